@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 ROOM = (
-    "'decon_' || lpad(CAST(user_id AS VARCHAR), greatest(length(CAST(user_id AS VARCHAR)), 4), '0')"
+    "'decon_' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 4) AS INTEGER), '0')"
     " || '_' || CASE WHEN total_study_day < 15 THEN 'a' ELSE 'b' END"
 )
 

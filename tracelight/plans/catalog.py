@@ -86,13 +86,18 @@ def model_table(name: str, swabs: DataFrame, subjects: DataFrame | None = None)
 
 
 def fit_model(
-    name: str, swabs: DataFrame, subjects: DataFrame | None = None
+    name: str, swabs: DataFrame, subjects: DataFrame | None = None, rounds: int | None = None
 ) -> Fit | Pooled | RoomFit:
-    """Fit one model of the catalogue."""
-    model, table = MODELS[name], model_table(name, swabs, subjects)
+    """Fit one model of the catalogue; ``rounds`` limits the rounds of a room-level model."""
+    return fit_table(name, model_table(name, swabs, subjects), rounds)
+
+
+def fit_table(name: str, table: DataFrame, rounds: int | None = None) -> Fit | Pooled | RoomFit:
+    """Fit one model of the catalogue to its analysis table."""
+    model = MODELS[name]
     if model.room_level:
         fit = fit_rooms if model.family == "bernoulli" else fit_rooms_lognormal
-        return fit(table, model.design)
+        return fit(table, model.design, **({} if rounds is None else {"rounds": rounds}))
     if model.family == "bernoulli":
         fits = fit_bernoulli(table, model.design, keys=model.strata)
     elif model.family == "gaussian":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,35 +39,39 @@ class Design:
             names += [term] if isinstance(term, str) else list(term)
         return list(dict.fromkeys(names))
 
-    def _pieces(self, name: str) -> list[tuple[str, Column]]:
+    def _pieces(self, name: str) -> list[tuple[str, object]]:
+        """(label, level) of a column; the level is None for a numeric column."""
         if name not in self.levels:
-            return [(name, F.col(name).cast("double"))]
-        pieces = []
-        for level in self.levels[name][1:]:
-            label = str(level).upper() if isinstance(level, bool) else str(level).replace(" ", "")
-            pieces.append((f"{name}{label}", (F.col(name) == F.lit(level)).cast("double")))
-        return pieces
-
-    def expressions(self) -> dict[str, Column]:
-        """Parameter name to design column; interactions come after the main terms."""
-        found: dict[str, Column] = {}
-        if self.intercept:
-            found["Intercept"] = F.lit(1.0)
-        singles = [t for t in self.terms if isinstance(t, str)]
+            return [(name, None)]
+        others = self.levels[name][1:]
+        labels = [str(v).upper() if isinstance(v, bool) else str(v).replace(" ", "") for v in others]
+        return [(f"{name}{label}", level) for label, level in zip(labels, others)]
+
+    def _parts(self) -> dict[str, list[tuple[str, object]]]:
+        """Label of every design column and the (column, level) pairs it multiplies."""
+        found: dict[str, list] = {"Intercept": []} if self.intercept else {}
+        singles = [(t,) for t in self.terms if isinstance(t, str)]
         products = [t for t in self.terms if not isinstance(t, str)]
-        for name in singles:
-            found.update(dict(self._pieces(name)))
-        for product in products:
-            crossed = reduce(
-                lambda left, right: [(f"{a}:{b}", x * y) for a, x in left for b, y in right],
-                [self._pieces(name) for name in product],
-            )
-            found.update(dict(crossed))
+        for term in singles + products:
+            choices = [[(label, name, level) for label, level in self._pieces(name)] for name in term]
+            for combination in product(*choices):
+                found[":".join(label for label, _, _ in combination)] = [(n, v) for _, n, v in combination]
         return found
 
     @property
     def parameters(self) -> list[str]:
-        return [f"b_{name}" for name in self.expressions()]
+        return [f"b_{label}" for label in self._parts()]
+
+    def expressions(self) -> dict[str, Column]:
+        """Label to design column; interactions come after the main terms."""
+
+        def column(name: str, level: object) -> Column:
+            return (F.col(name) if level is None else F.col(name) == F.lit(level)).cast("double")
+
+        return {
+            label: reduce(lambda a, b: a * b, [column(n, v) for n, v in pairs]) if pairs else F.lit(1.0)
+            for label, pairs in self._parts().items()
+        }
 
 
 def design_columns(frame: DataFrame, design: Design, keep: Sequence[str] = ()) -> DataFrame:
@@ -113,7 +118,7 @@ def parameter_listing(
         "cor": "lkj(1)", "sigma": "student_t(3, 0, 2.5)", "hu": "beta(1, 1)",
     } | (priors or {})
     rows = []
-    slopes = [n for n in design.expressions() if n != "Intercept"]
+    slopes = [p.removeprefix("b_") for p in design.parameters if p != "b_Intercept"]
     if slopes:
         rows.append((default["b"], "b", "", ""))
         rows += [(default["b"], "b", name, "") for name in slopes]

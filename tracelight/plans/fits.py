@@ -16,7 +16,7 @@ from tracelight.plans.design import Design, bernoulli_patterns, design_columns
 
 PRIOR_SD = 10.0
 MAX_STEPS = 25
-STEP_LIMIT = 1e-10
+STEP_LIMIT = 1e-8
 
 
 @dataclass
@@ -56,19 +56,40 @@ def _symmetric(values: Sequence[float], p: int) -> np.ndarray:
     return matrix
 
 
-def _dot(beta: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)])
+def with_predictor(rows: DataFrame, betas: dict[tuple, np.ndarray], keys: Sequence[str]) -> DataFrame:
+    """Add ``_eta``, the linear predictor at the coefficients of the row's stratum."""
 
+    def dot(beta: np.ndarray) -> Column:
+        return F.expr(" + ".join(f"({float(b)!r}D) * x{i}" for i, b in enumerate(beta)))
 
-def _strata_dot(betas: dict, keys: Sequence[str]) -> Column:
-    """Linear predictor with the coefficients of the row's stratum."""
     if not keys:
-        return _dot(betas[()])
+        return rows.withColumn("_eta", dot(betas[()]))
     eta = F.lit(None).cast("double")
     for key, beta in betas.items():
         same = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(keys, key)])
-        eta = F.when(same, _dot(beta)).otherwise(eta)
-    return eta
+        eta = F.when(same, dot(beta)).otherwise(eta)
+    return rows.withColumn("_eta", eta)
+
+
+# Pieces of the bernoulli score at ``_eta``: mean, residual, weight, ln(1 + e^eta).
+SCORE = {
+    "_m": "1 / (1 + exp(-_eta))",
+    "_r": "k - n / (1 + exp(-_eta))",
+    "_w": "n / (1 + exp(-_eta)) / (1 + exp(_eta))",
+    "_softplus": "greatest(_eta, 0D) + log1p(exp(-abs(_eta)))",
+}
+
+
+def score_sums(p: int) -> list[Column]:
+    """Gradient ``g<i>``, information ``h<i>_<j>``, log likelihood and trials."""
+    sums = [f"sum(_r * x{i}) AS g{i}" for i in range(p)]
+    sums += [f"sum(_w * x{i} * x{j}) AS h{i}_{j}" for i, j in _triangle(p)]
+    sums += ["sum(k * _eta - n * _softplus) AS loglik", "sum(n) AS rows"]
+    return [F.expr(text) for text in sums]
+
+
+def with_score(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", *[f"{text} AS {name}" for name, text in SCORE.items()])
 
 
 def bernoulli_sums(patterns: DataFrame, betas: dict, p: int, keys: Sequence[str] = ()) -> dict:
@@ -77,20 +98,9 @@ def bernoulli_sums(patterns: DataFrame, betas: dict, p: int, keys: Sequence[str]
     ``betas`` maps a key tuple (``()`` without keys) to its coefficients. One
     aggregate per call; partial sums are formed before the shuffle.
     """
-    eta = _strata_dot(betas, keys)
-    rows = patterns.withColumn("_eta", eta).withColumn("_m", 1.0 / (1.0 + F.exp(-F.col("_eta"))))
-    rows = rows.withColumn("_r", F.col("k") - F.col("n") * F.col("_m")).withColumn(
-        "_w", F.col("n") * F.col("_m") * (1.0 - F.col("_m"))
-    )
-    softplus = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta")))
-    sums = [F.sum(F.col("_r") * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)]
-    sums += [
-        F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in _triangle(p)
-    ]
-    sums.append(F.sum(F.col("k") * F.col("_eta") - F.col("n") * softplus).alias("loglik"))
-    sums.append(F.sum("n").alias("rows"))
+    rows = with_score(with_predictor(patterns, betas, keys))
     out = {}
-    for row in rows.groupBy(*keys).agg(*sums).collect():
+    for row in rows.groupBy(*keys).agg(*score_sums(p)).collect():
         key = tuple(row[k] for k in keys)
         gradient = np.array([row[f"g{i}"] for i in range(p)])
         information = _symmetric([row[f"h{i}_{j}"] for i, j in _triangle(p)], p)
@@ -127,12 +137,11 @@ def fit_bernoulli(
                 largest = max(largest, float(np.max(np.abs(move))))
             if largest < STEP_LIMIT:
                 break
-        final = bernoulli_sums(patterns, betas, p, keys)
     finally:
         patterns.unpersist()
     return {
         key: Fit(design, "bernoulli", betas[key], np.linalg.inv(h + precision), rows=n, iterations=step)
-        for key, (_, h, _, n) in final.items()
+        for key, (_, h, _, n) in sums.items()
     }
 
 
@@ -146,8 +155,8 @@ def least_squares(frame: DataFrame, design: Design, outcome: Column, keys: Seque
     rows = frame.select(*dict.fromkeys([*keys, *design.columns]), outcome.alias("_y")).dropna()
     rows = design_columns(rows, design, keep=[*keys, "_y"])
     p = len(design.parameters)
-    first = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _triangle(p)]
-    first += [F.sum(F.col(f"x{i}") * F.col("_y")).alias(f"m{i}") for i in range(p)]
+    first = [F.expr(f"sum(x{i} * x{j}) AS s{i}_{j}") for i, j in _triangle(p)]
+    first += [F.expr(f"sum(x{i} * _y) AS m{i}") for i in range(p)]
     cross, betas, counts = {}, {}, {}
     for row in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first).collect():
         key = tuple(row[k] for k in keys)
@@ -156,14 +165,14 @@ def least_squares(frame: DataFrame, design: Design, outcome: Column, keys: Seque
         cross[key] = _symmetric([row[f"s{i}_{j}"] for i, j in _triangle(p)], p)
         betas[key] = np.linalg.solve(cross[key], np.array([row[f"m{i}"] for i in range(p)]))
         counts[key] = row["n"]
-    residual = F.col("_y") - _strata_dot(betas, keys)
+    if not betas:
+        return {}
+    residuals = with_predictor(rows, betas, keys).withColumn("_e", F.col("_y") - F.col("_eta"))
     second = [F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)]
     second.append(F.sum(F.col("_e") * F.col("_e")).alias("ss"))
     fits = {}
-    for row in rows.withColumn("_e", residual).groupBy(*keys).agg(*second).collect():
+    for row in residuals.groupBy(*keys).agg(*second).collect():
         key = tuple(row[k] for k in keys)
-        if key not in betas:
-            continue
         gradient = np.array([row[f"g{i}"] for i in range(p)])
         correction = np.linalg.solve(cross[key], gradient)
         ss = max(row["ss"] - float(gradient @ correction), 0.0)

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import inverse_normal, is_detected
 from tracelight.functions.normal import primes
-from tracelight.operators.joins import keyed_join, spread_join
+from tracelight.operators.joins import SLICE_ROWS, keyed_join, spread_join
 from tracelight.plans.design import Design, bernoulli_patterns, design_columns, linear_predictor
-from tracelight.plans.fits import _triangle, lognormal_mean
-from tracelight.session import cut_lineage
+from tracelight.plans.fits import _triangle, lognormal_mean, score_sums, with_score
+from tracelight.session import cut_lineage, materialise, remove_table
 
 STEP_NORM = 5.0
 
@@ -88,117 +88,125 @@ def fit_rooms(
     design: Design,
     group: str = "subject_room_id",
     outcome: str = "scv2_detected",
-    rounds: int = 15,
-    tolerance: float = 1e-4,
+    rounds: int = 30,
+    tolerance: float = 1e-3,
 ) -> RoomFit:
     """Bernoulli outcome with room-level effects of every design column.
 
-    Each round takes one joint Newton step for the intercept and all rooms (the
-    rooms are eliminated from the intercept's equation), then updates the spread.
+    Each round takes one joint Newton step for the intercept and all rooms, then
+    updates the spread. The rooms are eliminated from the intercept's equation: a
+    room moves to ``a + b * step``, so one pass over the rooms yields both the
+    intercept's step and the second moments after it.
     """
     p = len(design.parameters)
     patterns = cut_lineage(bernoulli_patterns(frame, design, outcome, [group]))
     kind = patterns.schema[group].dataType.simpleString()
-    rooms = patterns.select(group).distinct()
-    state = rooms.select(group, *[F.lit(0.0).alias(f"u{i}") for i in range(p)])
+    rooms = patterns.groupBy(group).agg(F.count(F.lit(1)).alias("patterns"))
+    heavy = (rooms.agg(F.max("patterns")).first()[0] or 0) > SLICE_ROWS
+    state = rooms.selectExpr("*", *[f"0D AS u{i}" for i in range(p)])
     intercept, intercept_sd, spread, history = 0.0, 1.0, np.eye(p), []
-    room_count, total_rows = 1.0, 0.0
-    schema = _effect_schema(group, kind, p)
+    totals_of = [
+        f"sum({c}) AS {c}" for c in ("one", "rows", "schur", "pull", "loglik", "quad", "logdet")
+    ] + [
+        f"sum({text}) AS {name}{i}_{j}"
+        for i, j in _triangle(p)
+        for name, text in (
+            ("aa", f"a{i} * a{j} + v{i}_{j}"), ("ab", f"a{i} * b{j} + a{j} * b{i}"), ("bb", f"b{i} * b{j}")
+        )
+    ]
+    last_path = None
     for _ in range(rounds):
-        precision = np.linalg.inv(spread)
-        sums = cut_lineage(_room_sums(patterns, state, group, intercept, p))
-        totals = sums.mapInPandas(
-            _profile(p, precision), "rooms double, rows double, schur double, pull double, loglik double, quad double, logdet double"
-        ).groupBy().sum().first()
-        room_count, total_rows = totals[0], totals[1]
-        history.append(_objective(totals[4], totals[5], totals[6], room_count, spread, intercept))
-        step = (totals[3] - intercept) / (totals[2] + 1.0)
-        intercept_sd = float(1.0 / np.sqrt(totals[2] + 1.0))
-        state = cut_lineage(sums.mapInPandas(_room_step(p, precision, step, group), schema))
+        sums = _room_sums(patterns, state, group, intercept, p, heavy)
+        moves, path = materialise(
+            sums.mapInPandas(_room_moves(p, np.linalg.inv(spread), group), _move_schema(group, kind, p))
+        )
+        if last_path is not None:
+            remove_table(frame.sparkSession, last_path)
+        last_path = path
+        totals = moves.agg(*[F.expr(t) for t in totals_of]).first()
+        room_count = totals["one"]
+        history.append(
+            _objective(totals["loglik"], totals["quad"], totals["logdet"], room_count, spread, intercept)
+        )
+        step = float((totals["pull"] - intercept) / (totals["schur"] + 1.0))
+        intercept_sd = float(1.0 / np.sqrt(totals["schur"] + 1.0))
         intercept += step
-        spread_before = spread
-        spread = _shrunk_spread(_second_moment(state, p), room_count)
-        if abs(step) < tolerance and float(np.max(np.abs(spread - spread_before))) < tolerance:
+        second = np.zeros((p, p))
+        for i, j in _triangle(p):
+            aa, ab, bb = (totals[f"{n}{i}_{j}"] for n in ("aa", "ab", "bb"))
+            second[i, j] = second[j, i] = aa + step * ab + step * step * bb
+        before, spread = spread, _shrunk_spread(second, room_count)
+        state = moves.selectExpr(group, "patterns", *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)])
+        if abs(step) < tolerance and float(np.max(np.abs(spread - before))) < tolerance:
             break
+    effects = moves.selectExpr(
+        group, *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)], *[f"v{i}_{j}" for i, j in _triangle(p)]
+    )
     return RoomFit(
-        design, group, "bernoulli", float(intercept), intercept_sd, spread, state,
-        rows=total_rows, history=history,
+        design, group, "bernoulli", intercept, intercept_sd, spread, effects, rows=totals["rows"], history=history,
     )
 
 
-def _room_sums(patterns: DataFrame, state: DataFrame, group: str, intercept: float, p: int) -> DataFrame:
-    """Gradient, information and log likelihood per room at the current effects."""
-    effects = state.select(group, *[f"u{i}" for i in range(p)])
-    rows = spread_join(patterns, effects, [group])
-    eta = F.lit(float(intercept))
-    for i in range(p):
-        eta = eta + F.col(f"x{i}") * F.col(f"u{i}")
-    rows = rows.withColumn("_eta", eta).withColumn("_m", 1.0 / (1.0 + F.exp(-F.col("_eta"))))
-    residual = F.col("k") - F.col("n") * F.col("_m")
-    weight = F.col("n") * F.col("_m") * (1.0 - F.col("_m"))
-    softplus = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta")))
-    sums = [F.sum(residual * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)]
-    sums += [F.sum(weight * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in _triangle(p)]
-    sums += [F.first(f"u{i}").alias(f"u{i}") for i in range(p)]
-    sums.append(F.sum(F.col("k") * F.col("_eta") - F.col("n") * softplus).alias("loglik"))
-    sums.append(F.sum("n").alias("rows"))
-    return rows.groupBy(group).agg(*sums)
-
-
-def _profile(p: int, precision: np.ndarray):
-    """Contributions of a batch of rooms to the intercept's equation, rooms eliminated."""
+def _room_sums(
+    patterns: DataFrame, state: DataFrame, group: str, intercept: float, p: int, spread: bool
+) -> DataFrame:
+    """Gradient, information and log likelihood per room at the current effects.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, g, u = _matrices(batch, "h", p), _vectors(batch, "g", p), _vectors(batch, "u", p)
-            full = h + precision
-            cross = h[:, :, 0]
-            solved = np.linalg.solve(full, cross[:, :, None])[:, :, 0]
-            pull = g[:, 0] - np.einsum("ri,ri->r", solved, g - u @ precision)
-            schur = h[:, 0, 0] - np.einsum("ri,ri->r", solved, cross)
-            yield pd.DataFrame(
-                {
-                    "rooms": [float(len(batch))], "rows": [batch["rows"].sum()],
-                    "schur": [schur.sum()], "pull": [pull.sum()], "loglik": [batch["loglik"].sum()],
-                    "quad": [np.einsum("ri,ij,rj->", u, precision, u)],
-                    "logdet": [np.linalg.slogdet(full)[1].sum()],
-                }
-            )
+    ``spread`` cuts heavy rooms into slices for the join.
+    """
+    if spread:
+        rows = spread_join(patterns, state, [group], rows="patterns")
+    else:
+        rows = keyed_join(patterns, state.drop("patterns"), [group])
+    eta = " + ".join([f"({intercept!r}D)", *[f"x{i} * u{i}" for i in range(p)]])
+    rows = with_score(rows.withColumn("_eta", F.expr(eta)))
+    kept = [F.expr(f"first(u{i}) AS u{i}") for i in range(p)]
+    return rows.groupBy(group).agg(*score_sums(p), *kept, F.count(F.lit(1)).alias("patterns"))
 
-    return run
 
+def _move_schema(group: str, kind: str, p: int) -> str:
+    names = [f"{n}{i}" for n in "ab" for i in range(p)] + [f"v{i}_{j}" for i, j in _triangle(p)]
+    names += ["one", "rows", "schur", "pull", "loglik", "quad", "logdet"]
+    return ", ".join([f"{group} {kind}", "patterns bigint", *[f"{n} double" for n in names]])
 
-def _room_step(p: int, precision: np.ndarray, step: float, group: str):
-    """New effects of a batch of rooms after the intercept moved by ``step``."""
+
+def _room_moves(p: int, precision: np.ndarray, group: str):
+    """Newton moves of a batch of rooms, as functions of the intercept's step."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, g, u = _matrices(batch, "h", p), _vectors(batch, "g", p), _vectors(batch, "u", p)
-            v = np.linalg.inv(h + precision)
-            move = np.einsum("rij,rj->ri", v, g - u @ precision - h[:, :, 0] * step)
+            full = h + precision
+            v = np.linalg.inv(full)
+            cross, gradient = h[:, :, 0], g - u @ precision
+            move = np.einsum("rij,rj->ri", v, gradient)
+            follow = -np.einsum("rij,rj->ri", v, cross)
             norm = np.linalg.norm(move, axis=1, keepdims=True)
-            move *= np.minimum(1.0, STEP_NORM / np.maximum(norm, 1e-12))
-            yield _effect_rows(batch[group], group, u + move, v)
+            short = np.minimum(1.0, STEP_NORM / np.maximum(norm, 1e-12))
+            a, b = u + short * move, short * follow
+            data = {group: batch[group].to_numpy(), "patterns": batch["patterns"].to_numpy()}
+            data |= {f"a{i}": a[:, i] for i in range(p)} | {f"b{i}": b[:, i] for i in range(p)}
+            data |= {f"v{i}_{j}": v[:, i, j] for i, j in _triangle(p)}
+            data |= {
+                "one": np.ones(len(batch)), "rows": batch["rows"].to_numpy(),
+                "schur": h[:, 0, 0] + np.einsum("ri,ri->r", follow, cross),
+                "pull": g[:, 0] + np.einsum("ri,ri->r", follow, gradient),
+                "loglik": batch["loglik"].to_numpy(),
+                "quad": np.einsum("ri,ij,rj->r", u, precision, u),
+                "logdet": np.linalg.slogdet(full)[1],
+            }
+            yield pd.DataFrame(data)
 
     return run
 
 
-def _second_moment(state: DataFrame, p: int) -> np.ndarray:
-    sums = [F.sum(F.col(f"u{i}") * F.col(f"u{j}") + F.col(f"v{i}_{j}")).alias(f"s{i}_{j}") for i, j in _triangle(p)]
-    row = state.agg(*sums).first()
-    out = np.zeros((p, p))
-    for i, j in _triangle(p):
-        out[i, j] = out[j, i] = row[f"s{i}_{j}"]
-    return out
-
-
 def fit_rooms_lognormal(
     frame: DataFrame,
     design: Design,
     group: str = "subject_room_id",
     quantity: str = "copies_max",
-    rounds: int = 50,
-    tolerance: float = 1e-6,
+    rounds: int = 25,
+    tolerance: float = 1e-3,
 ) -> RoomFit:
     """Hurdle lognormal with room-level effects.
 
@@ -210,10 +218,10 @@ def fit_rooms_lognormal(
     detected = is_detected(F.col(quantity)) & (F.col(quantity) > 0)
     share = used.agg(F.avg((~detected).cast("double")), F.count(F.lit(1))).first()
     rows = design_columns(used.where(detected).withColumn("_y", F.log(quantity)), design, keep=[group, "_y"])
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in _triangle(p)]
-    sums += [F.sum(F.col(f"x{i}") * F.col("_y")).alias(f"g{i}") for i in range(p)]
-    sums += [F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.sum("_y").alias("y"), F.count(F.lit(1)).alias("n")]
-    products = cut_lineage(rows.groupBy(group).agg(*sums))
+    sums = [f"sum(x{i} * x{j}) AS h{i}_{j}" for i, j in _triangle(p)]
+    sums += [f"sum(x{i} * _y) AS g{i}" for i in range(p)]
+    sums += ["sum(_y * _y) AS yy", "sum(_y) AS y", "count(1) AS n"]
+    products = cut_lineage(rows.groupBy(group).agg(*[F.expr(t) for t in sums]))
     base = products.agg(F.sum("y"), F.sum("yy"), F.sum("n"), F.count(F.lit(1))).first()
     total, rooms = float(base[2]), float(base[3])
     intercept, spread = base[0] / total, np.eye(p)
