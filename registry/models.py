@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from registry.base import add, on_both, on_swabs, tidy
@@ -14,7 +13,6 @@ from registry.sql_fit import linear, lower, newton, normal_equations, normal_sco
 from registry.tables import EVENT_DRAWS, event_draws, signif_sql
 from tracelight import functions as C
 from tracelight.operators import describe, grid, groups, intervals, joins, prep, reshape
-from tracelight.operators.quantiles import buffered_quantiles
 from tracelight.plans import catalog, checks, design, fits, pooling, rooms
 from tracelight.plans import draws as posterior
 from tracelight.schemas import SEVERITY_LEVELS
@@ -302,7 +300,7 @@ for _name, _label in ((SEVERITY_MODEL, "severity"), (SEVERITY_SITE_MODEL, "sever
     SELECT site_category_touch, replace(covid_severity, 'Facemask Oxygen', 'Facemask<br>Oxygen') AS covid_severity,
     {rounded('median', 'epred', 5)}, {rounded('lower', digits=5)}, {rounded('upper', digits=5)}
     FROM best JOIN (SELECT site_category_touch, covid_severity, median(epred) AS median FROM epred GROUP BY 1, 2) USING (site_category_touch, covid_severity)"""))
-# The longest run of sorted draws is also checked on its own, on the copies of each unit.
+# The shortest run of sorted values is also checked on its own, on the copies of each unit and site.
 add("w7_shortest_run", on_swabs(lambda s: intervals.shortest_interval(s, ["unit", "swab_site"], "copies_max", 0.9)), query(SWABS, """
     sized AS (SELECT unit, swab_site, copies_max AS x, row_number() OVER w AS r, count(*) OVER (PARTITION BY unit, swab_site) AS n
       FROM swabs WHERE copies_max IS NOT NULL WINDOW w AS (PARTITION BY unit, swab_site ORDER BY copies_max)),
@@ -494,9 +492,7 @@ add("p11_importance_scores", lambda spark, folder: tidy(_scores(spark, folder, F
     "model_name", "y", *SHARED, "n", "elpd"), 4), query(*_loo_parts(), f"""
     SELECT model_name, CAST(y AS BIGINT) AS y, CAST(subject_covid_day AS BIGINT) AS subject_covid_day, CAST(total_study_day AS BIGINT) AS total_study_day,
     site_category, high_touch, covid_severity, n, {rounded('elpd', digits=4)} FROM scores_all"""))
-add("p11_smoothed_totals", lambda spark, folder: tidy(
-    reshape.stack({name: checks.score_totals(_scores(spark, folder, True).where(F.col("model_name") == name))
-                   for name in (SEVERITY_MODEL, SEVERITY_SITE_MODEL)}), 3))
+add("p11_smoothed_totals", lambda spark, folder: tidy(checks.score_totals(_scores(spark, folder, True), ["model_name"]), 3))
 add("p12_compare_models", lambda spark, folder: tidy(checks.compare_models(
     _scores(spark, folder, False), ["y", *SHARED]), 3), query(*_loo_parts(), f"""
     totals AS (SELECT model_name, sum(n * elpd) AS total FROM scores_all GROUP BY 1),

@@ -45,27 +45,34 @@ def offset_from_start(
     return marked.withColumn(name, F.col(column) - F.col("_start")).drop("_start")
 
 
-def dense_ids(df: DataFrame, key: Column, name: str = "id") -> DataFrame:
-    """Consecutive numbers from 1 for the distinct keys in sort order, as (key, name).
+def range_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``_rank`` (from 1, ascending) and ``_n`` within each group of any size.
 
-    The distinct keys are range-partitioned and materialised once, each range is
-    numbered on its own, and the counts of the ranges before it are added: no
-    task ever sorts all keys.
+    The rows are range-partitioned by group and value and written once; each range
+    is numbered on its own and the counts of the group's earlier ranges are added.
+    No task sorts a whole group.
     """
-    ranges = (
-        df.select(key.alias("key")).where(F.col("key").isNotNull()).distinct()
-        .repartitionByRange("key")
-        .withColumn("_range", F.spark_partition_id())
+    keys = list(keys)
+    ranges = cut_lineage(
+        df.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
     )
-    ranges = cut_lineage(ranges)
-    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy("key")
-    numbered = ranges.withColumn("_position", F.row_number().over(inside))
-    return keyed_join(numbered, starts, ["_range"]).select(
-        "key", (F.col("_start") + F.col("_position")).alias(name)
+    sizes = ranges.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    group = Window.partitionBy(*keys)
+    running = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select(
+        *keys, "_range", (F.sum("_size").over(running) - F.col("_size")).alias("_start"),
+        F.sum("_size").over(group).alias("_n"),
     )
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    numbered = ranges.withColumn("_position", F.row_number().over(inside))
+    joined = keyed_join(numbered, starts, [*keys, "_range"])
+    return joined.withColumn("_rank", F.col("_start") + F.col("_position")).drop("_range", "_start", "_position")
+
+
+def dense_ids(df: DataFrame, key: Column, name: str = "id") -> DataFrame:
+    """Consecutive numbers from 1 for the distinct keys in sort order, as (key, name)."""
+    keys = df.select(key.alias("key")).where(F.col("key").isNotNull()).distinct()
+    return range_ranks(keys, [], "key").select("key", F.col("_rank").alias(name))
 
 
 def column_stats(df: DataFrame, column: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Intervals of draws: ribbons, shortest intervals and median curves.
 
-Every group here is bounded by its construction: the draws of one grid point,
-times the pooled grid points.
+A ribbon or curve group is bounded by its construction: the draws of one grid
+point, times the pooled grid points. Shortest intervals take groups of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.operators.groups import range_ranks
 from tracelight.operators.joins import keyed_join
 
 # Equal-tail 95, 80 and 50 % intervals around the median.
@@ -40,17 +41,15 @@ def shortest_interval(
     """
     keys = list(keys)
     rows = epred.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.median("_x").alias(value)
-    )
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
+    ranked = range_ranks(rows, keys, "_x")
     # Rounded before the ceiling: 0.95 * 100 is a hair above 95 in binary.
     span = F.ceil(F.round(F.col("_n") * F.lit(mass), 9)) - 1
-    sized = keyed_join(ranked, sizes, keys)
-    upper = sized.select(*keys, (F.col("_rank") - span).alias("_rank"), F.col("_x").alias("_upper"))
-    pairs = keyed_join(sized, upper, [*keys, "_rank"], "inner")
-    best = F.min(F.struct((F.col("_upper") - F.col("_x")).alias("width"), F.col("_x"), F.col("_upper")))
+    upper = ranked.select(*keys, (F.col("_rank") - span).alias("_rank"), F.col("_x").alias("_upper"))
+    pairs = keyed_join(ranked, upper.where(F.col("_rank") > 0), [*keys, "_rank"])
+    best = F.min(F.when(F.col("_upper").isNotNull(), F.struct(
+        (F.col("_upper") - F.col("_x")).alias("width"), F.col("_x"), F.col("_upper"))))
+    middle = F.col("_rank").between(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))
     return (
-        pairs.groupBy(*keys).agg(F.first(value).alias(value), best.alias("_best"))
+        pairs.groupBy(*keys).agg(F.avg(F.when(middle, F.col("_x"))).alias(value), best.alias("_best"))
         .select(*keys, value, F.col("_best._x").alias("lower"), F.col("_best._upper").alias("upper"))
     )

@@ -210,13 +210,13 @@ def leave_one_out(
     return rows.mapInPandas(score, f"{schema}, elpd double, shape double")
 
 
-def score_totals(scores: DataFrame) -> DataFrame:
-    """Total score, its standard error and the number of unreliable tails."""
+def score_totals(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Total score, its standard error and the number of unreliable tails, per key."""
     n = F.sum("n")
     mean = F.sum(F.col("n") * F.col("elpd")) / n
     square = F.sum(F.col("n") * F.col("elpd") * F.col("elpd"))
     variance = (square - n * mean * mean) / (n - 1)
-    return scores.agg(
+    return scores.groupBy(*keys).agg(
         (n * mean).alias("elpd_loo"),
         F.sqrt(n * F.greatest(variance, F.lit(0.0))).alias("se_elpd_loo"),
         F.sum(F.when(F.col("shape") > SHAPE_LIMIT, F.col("n")).otherwise(0)).alias("bad_tails"),

@@ -20,6 +20,7 @@ from tracelight.operators.joins import keyed_join
 from tracelight.plans.design import Design, linear_predictor
 from tracelight.plans.fits import PRIOR_SD, Fit, lognormal_mean
 from tracelight.schemas import DRAWS
+from tracelight.session import cut_lineage
 
 CHAINS = 4
 MAX_DRAWS = 20_000
@@ -32,7 +33,11 @@ def half_covariance(fit: Fit) -> np.ndarray:
 
 
 def laplace_draws(spark: SparkSession, fit: Fit, count: int) -> DataFrame:
-    """``draw`` and one column ``b<i>`` per parameter (``sigma`` and ``hu`` if the model has them)."""
+    """``draw`` and one column ``b<i>`` per parameter (``sigma`` and ``hu`` if the model has them).
+
+    The table is written once: it is small, used many times, and filters on
+    predictions would otherwise be pushed down through the long score expressions.
+    """
     p = len(fit.beta)
     scores = spark.range(count).withColumnRenamed("id", "draw")
     extra = (fit.sigma is not None) + (fit.hurdle is not None)
@@ -53,7 +58,7 @@ def laplace_draws(spark: SparkSession, fit: Fit, count: int) -> DataFrame:
         odds, error = np.log(share / (1 - share)), 1 / np.sqrt(fit.rows * share * (1 - share))
         logit = F.lit(float(odds)) + F.lit(float(error)) * F.col(f"z{p + 1}")
         columns.append((1.0 / (1.0 + F.exp(-logit))).alias("hu"))
-    return scores.select("draw", *columns)
+    return cut_lineage(scores.select("draw", *columns))
 
 
 def long_draws(wide: DataFrame, design: Design, model_name: str, chains: int = CHAINS) -> DataFrame:
