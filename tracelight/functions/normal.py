@@ -7,6 +7,7 @@ inverse normal distribution. A retried task yields the same draws.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,16 @@ def inverse_normal(p: Column) -> Column:
     )
 
 
+def inverse_normal_array(p: np.ndarray) -> np.ndarray:
+    """The same quantile for an array inside a task."""
+    centred, low = p - 0.5, np.minimum(p, 1 - p)
+    square = centred * centred
+    centre = np.polyval(CENTRE_NUMERATOR, square) * centred / np.polyval(CENTRE_DENOMINATOR, square)
+    t = np.sqrt(-2.0 * np.log(low))
+    tail = np.polyval(TAIL_NUMERATOR, t) / np.polyval(TAIL_DENOMINATOR, t)
+    return np.where(low < TAIL_START, np.where(p < 0.5, tail, -tail), centre)
+
+
 def uniform_score(draw: Column, coordinate: int) -> Column:
     """Low-discrepancy uniform of a draw number, coordinates counted from 0."""
     root = F.sqrt(F.lit(float(primes(coordinate + 1)[-1])))

@@ -17,14 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.functions import inverse_normal, is_detected
-from tracelight.functions.normal import primes
+from tracelight.functions import is_detected
+from tracelight.functions.normal import inverse_normal_array, primes
 from tracelight.operators.joins import SLICE_ROWS, keyed_join, spread_join
 from tracelight.plans.design import Design, bernoulli_patterns, design_columns, linear_predictor
 from tracelight.plans.fits import _triangle, lognormal_mean, score_sums, with_score
 from tracelight.session import cut_lineage, materialise, remove_table
 
 STEP_NORM = 5.0
+ROOMS_PER_BATCH = 64
 
 
 @dataclass
@@ -292,44 +293,41 @@ def _gaussian_effects(p: int, precision: np.ndarray, intercept: float, sigma2: f
 def room_draws(fit: RoomFit, count: int) -> DataFrame:
     """Draws of ``intercept + x'u`` per room: key, ``draw``, ``b<i>`` (and ``sigma``, ``hu``).
 
-    The low-discrepancy sequence of a room is shifted by a hash of its key.
+    The low-discrepancy sequence of a room is shifted by a hash of its key; the
+    intercept's sequence is shared by all rooms.
     """
     p = len(fit.design.parameters)
-    group, schema = fit.group, fit.effects.schema
-    kind = schema[group].dataType.simpleString()
-    half_columns = [f"c{i}_{j}" for i, j in _triangle(p)]
+    group, kind = fit.group, fit.effects.schema[fit.group].dataType.simpleString()
+    shifts = [
+        (F.pmod(F.xxhash64(F.col(group), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias(f"s{i}")
+        for i in range(p)
+    ]
+    roots = np.sqrt(np.array(primes(p + 1), float))
+    intercept, intercept_sd, sigma, hurdle = fit.intercept, fit.intercept_sd, fit.sigma, fit.hurdle
 
-    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = np.arange(1, count + 1)[:, None] * roots[None, :]
+        common = intercept + intercept_sd * inverse_normal_array(np.clip(steps[:, p] % 1.0, 1e-9, 1 - 1e-9))
         for batch in batches:
-            lower = np.linalg.cholesky(_matrices(batch, "v", p) + 1e-12 * np.eye(p))
-            data = {group: batch[group].to_numpy()} | {f"u{i}": batch[f"u{i}"].to_numpy() for i in range(p)}
-            yield pd.DataFrame(data | {f"c{i}_{j}": lower[:, i, j] for i, j in _triangle(p)})
-
-    columns = [f"{group} {kind}"] + [f"u{i} double" for i in range(p)] + [f"{c} double" for c in half_columns]
-    rooms = fit.effects.mapInPandas(halves, ", ".join(columns))
-    rows = rooms.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
-
-    def score(coordinate: int, salted: bool = True):
-        root = float(np.sqrt(primes(coordinate + 1)[-1]))
-        product = (F.col("draw").cast("double") + 1.0) * F.lit(root)
-        if salted:
-            product = product + F.pmod(F.xxhash64(F.col(group), F.lit(coordinate)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        part = product - F.floor(product)
-        return inverse_normal(F.least(F.greatest(part, F.lit(1e-9)), F.lit(1 - 1e-9)))
-
-    rows = rows.withColumns({f"z{j}": score(j) for j in range(p)})
-    values = []
-    for i in range(p):
-        value = F.col(f"u{i}")
-        for j in range(i + 1):
-            value = value + F.col(f"c{i}_{j}") * F.col(f"z{j}")
-        if i == 0:
-            value = value + F.lit(fit.intercept) + F.lit(fit.intercept_sd) * score(p, salted=False)
-        values.append(value.alias(f"b{i}"))
-    if fit.sigma is not None:
-        values.append(F.lit(fit.sigma).alias("sigma"))
-        values.append(F.lit(fit.hurdle).alias("hu"))
-    return rows.select(group, "draw", *values)
+            for start in range(0, len(batch), ROOMS_PER_BATCH):
+                part = batch.iloc[start : start + ROOMS_PER_BATCH]
+                lower = np.linalg.cholesky(_matrices(part, "v", p) + 1e-12 * np.eye(p))
+                uniform = (steps[None, :, :p] + _vectors(part, "s", p)[:, None, :]) % 1.0
+                z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
+                values = _vectors(part, "u", p)[:, None, :] + np.einsum("rij,rdj->rdi", lower, z)
+                values[:, :, 0] += common[None, :]
+                data = {
+                    group: np.repeat(part[group].to_numpy(), count),
+                    "draw": np.tile(np.arange(count, dtype="int64"), len(part)),
+                }
+                data |= {f"b{i}": values[:, :, i].ravel() for i in range(p)}
+                if sigma is not None:
+                    data |= {"sigma": sigma, "hu": hurdle}
+                yield pd.DataFrame(data)
+
+    names = [f"b{i}" for i in range(p)] + (["sigma", "hu"] if sigma is not None else [])
+    schema = ", ".join([f"{group} {kind}", "draw bigint", *[f"{n} double" for n in names]])
+    return fit.effects.select("*", *shifts).mapInPandas(sample, schema)
 
 
 def room_curves(fit: RoomFit, grid: DataFrame, count: int) -> DataFrame:

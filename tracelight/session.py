@@ -1,4 +1,4 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings and the shared folder whose tables cut lineage."""
 
 from __future__ import annotations
 
@@ -52,8 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tracelight-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)  # remembered for the next call
     return folder
 
 
