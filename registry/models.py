@@ -283,8 +283,8 @@ grid AS (SELECT lo + i * (hi - lo) / 9.0 AS subject_covid_day, wlo + j * (whi -
 def _hdi(spark, folder, name):
     epred = _epred(spark, folder, name, WAVE_EVEN, ("site_category", "high_touch", "covid_severity"), 100)
     labelled = prep.with_contact_label(epred).select(
-        F.concat("site_category", F.lit(" "), "high_touch").alias("site_category_touch"), "covid_severity", "epred")
-    best = intervals.shortest_interval(labelled, ["site_category_touch", "covid_severity"])
+        F.concat("site_category", F.lit(" "), "high_touch").alias("site_category_touch"), "covid_severity", "draw", "epred")
+    best = intervals.shortest_interval(labelled, ["site_category_touch", "covid_severity"], tie=["draw"])
     return tidy(best.withColumn("covid_severity", F.regexp_replace("covid_severity", "Facemask Oxygen", "Facemask<br>Oxygen")), 5)
 
 
@@ -301,7 +301,7 @@ for _name, _label in ((SEVERITY_MODEL, "severity"), (SEVERITY_SITE_MODEL, "sever
     {rounded('median', 'epred', 5)}, {rounded('lower', digits=5)}, {rounded('upper', digits=5)}
     FROM best JOIN (SELECT site_category_touch, covid_severity, median(epred) AS median FROM epred GROUP BY 1, 2) USING (site_category_touch, covid_severity)"""))
 # The shortest run of sorted values is also checked on its own, on the copies of each unit and site.
-add("w7_shortest_run", on_swabs(lambda s: intervals.shortest_interval(s, ["unit", "swab_site"], "copies_max", 0.9)), query(SWABS, """
+add("w7_shortest_run", on_swabs(lambda s: intervals.shortest_interval(s, ["unit", "swab_site"], "copies_max", 0.9, ["event_id"])), query(SWABS, """
     sized AS (SELECT unit, swab_site, copies_max AS x, row_number() OVER w AS r, count(*) OVER (PARTITION BY unit, swab_site) AS n
       FROM swabs WHERE copies_max IS NOT NULL WINDOW w AS (PARTITION BY unit, swab_site ORDER BY copies_max)),
     pairs AS (SELECT a.unit, a.swab_site, a.x AS lower, b.x AS upper FROM sized a JOIN sized b ON a.unit = b.unit AND a.swab_site = b.swab_site

@@ -67,6 +67,14 @@ def test_ranks_equal_a_sorted_group(spark):
             assert got[name, x] == (position, len(ordered))
 
 
+def test_copies_of_one_value_are_ranked_apart(spark):
+    rows = [(i, 5.0 if i % 3 else float(i)) for i in range(400)]
+    ranked = groups.range_ranks(spark.createDataFrame(rows, "id int, x double"), [], "x", ["id"]).collect()
+    assert sorted(r["_rank"] for r in ranked) == list(range(1, 401))
+    ordered = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert [r.id for r in sorted(ranked, key=lambda r: r["_rank"])] == ordered
+
+
 def test_dense_ids(spark):
     ids = groups.dense_ids(spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",)], "k string"), F.col("k"))
     assert tuples(ids, "key", "id") == [("a", 1), ("b", 2), ("c", 3)]

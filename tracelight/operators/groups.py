@@ -45,7 +45,7 @@ def offset_from_start(
     return marked.withColumn(name, F.col(column) - F.col("_start")).drop("_start")
 
 
-def range_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def range_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str] = ()) -> DataFrame:
     """Add ``_rank`` (from 1, ascending) and ``_n`` within each group of any size.
 
     The rows are range-partitioned by group and value and written once; each range
@@ -54,7 +54,7 @@ def range_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     ranges = cut_lineage(
-        df.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id())
+        df.repartitionByRange(*keys, value, *tie).withColumn("_range", F.spark_partition_id())
     )
     sizes = ranges.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*keys)
@@ -63,7 +63,7 @@ def range_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         *keys, "_range", (F.sum("_size").over(running) - F.col("_size")).alias("_start"),
         F.sum("_size").over(group).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    inside = Window.partitionBy(*keys, "_range").orderBy(value, *tie)
     numbered = ranges.withColumn("_position", F.row_number().over(inside))
     joined = keyed_join(numbered, starts, [*keys, "_range"])
     return joined.withColumn("_rank", F.col("_start") + F.col("_position")).drop("_range", "_start", "_position")

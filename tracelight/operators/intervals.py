@@ -33,15 +33,17 @@ def median_curve(epred: DataFrame, keys: Sequence[str], value: str = "epred") ->
 
 
 def shortest_interval(
-    epred: DataFrame, keys: Sequence[str], value: str = "epred", mass: float = 0.95
+    epred: DataFrame, keys: Sequence[str], value: str = "epred", mass: float = 0.95, tie: Sequence[str] = ()
 ) -> DataFrame:
     """Median and the single shortest interval holding ``mass`` of the draws.
 
     Candidates are runs of ``ceil(mass * n)`` sorted draws; the lowest wins a tie.
+    ``tie`` names columns that tell rows of equal value apart, for data in which
+    one value may be very frequent.
     """
     keys = list(keys)
-    rows = epred.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
-    ranked = range_ranks(rows, keys, "_x")
+    rows = epred.select(*keys, *tie, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
+    ranked = range_ranks(rows, keys, "_x", tie)
     # Rounded before the ceiling: 0.95 * 100 is a hair above 95 in binary.
     span = F.ceil(F.round(F.col("_n") * F.lit(mass), 9)) - 1
     upper = ranked.select(*keys, (F.col("_rank") - span).alias("_rank"), F.col("_x").alias("_upper"))
