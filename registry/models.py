@@ -493,6 +493,24 @@ add("p11_importance_scores", lambda spark, folder: tidy(_scores(spark, folder, F
     SELECT model_name, CAST(y AS BIGINT) AS y, CAST(subject_covid_day AS BIGINT) AS subject_covid_day, CAST(total_study_day AS BIGINT) AS total_study_day,
     site_category, high_touch, covid_severity, n, {rounded('elpd', digits=4)} FROM scores_all"""))
 add("p11_smoothed_totals", lambda spark, folder: tidy(checks.score_totals(_scores(spark, folder, True), ["model_name"]), 3))
+
+
+def _hurdle_scores(spark, folder):
+    """Smoothed scores of the two hurdle models that share the spatial table."""
+    table, fit, wide = model_draws(spark, folder, HURDLE_MODEL)
+    columns = fit.design.columns
+    rows = table.dropna(subset=columns)
+    counts = rows.groupBy(C.null_to_zero(F.col("copies_max")).alias("y"), *columns).agg(F.count(F.lit(1)).alias("n"))
+    short = design.Design(("distance",))
+    other = posterior.laplace_draws(spark, fits.fit_hurdle(rows, short)[()], DRAWS)
+    scores = reshape.stack({
+        HURDLE_MODEL: checks.leave_one_out(counts, columns, wide, fit.design, family="hurdle_lognormal"),
+        "distance_only": checks.leave_one_out(counts, columns, other, short, family="hurdle_lognormal"),
+    })
+    return tidy(checks.compare_models(scores, ["y", *columns]), 3)
+
+
+add("p12_compare_hurdle", _hurdle_scores)
 add("p12_compare_models", lambda spark, folder: tidy(checks.compare_models(
     _scores(spark, folder, False), ["y", *SHARED]), 3), query(*_loo_parts(), f"""
     totals AS (SELECT model_name, sum(n * elpd) AS total FROM scores_all GROUP BY 1),

@@ -215,6 +215,26 @@ def test_smoothed_scores_approach_refitted_ones(spark):
     assert math.isclose(totals.elpd_loo, sum(r.elpd * r.n for r in got.values()), rel_tol=1e-9)
 
 
+def test_hurdle_scores_equal_plain_importance_sampling(spark, table):
+    fit = fits.fit_hurdle(table, FIXED)[()]
+    wide = draws.laplace_draws(spark, fit, 60)
+    y = F.coalesce("copies_max", F.lit(0.0))
+    counts = table.limit(30).groupBy(y.alias("y"), *FIXED.columns).agg(F.count("*").alias("n"))
+    scores = checks.leave_one_out(counts, FIXED.columns, wide, FIXED, smooth=False, family="hurdle_lognormal")
+    sample = wide.collect()
+    for r in scores.collect():
+        inverse = []
+        for d in sample:
+            mu = d.b0 + d.b1 * r.distance + d.b2 * (r.site_category == "Floor") + d.b3 * r.high_touch
+            if r.y > 0:
+                z = (math.log(r.y) - mu) / d.sigma
+                like = (1 - d.hu) * math.exp(-z * z / 2) / (r.y * d.sigma * math.sqrt(2 * math.pi))
+            else:
+                like = d.hu
+            inverse.append(1 / like)
+        assert math.isclose(r.elpd, -math.log(np.mean(inverse)), rel_tol=1e-9)
+
+
 def test_compare_models_ranks_the_best_first(spark):
     rows = [("good", i, 1, -0.5 - 0.01 * i) for i in range(10)] + [("bad", i, 1, -1.0) for i in range(10)]
     scores = spark.createDataFrame(rows, "model_name string, id int, n bigint, elpd double")

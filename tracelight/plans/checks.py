@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelight.operators.joins import keyed_join
-from tracelight.plans.design import Design
+from tracelight.plans.design import Design, linear_predictor
 from tracelight.plans.draws import draw_matrix, pair_with_draws
-from tracelight.plans.design import linear_predictor
+from tracelight.session import cut_lineage
 
 # Thresholds of the sampler checks.
 RHAT_LIMIT = 1.1
@@ -173,18 +173,32 @@ def smoothed_scores(loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(np.exp(joint - high).sum(axis=1)) + high[:, 0] - total, shapes
 
 
+def _log_likelihood(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, family: str) -> np.ndarray:
+    """Rows x draws; a hurdle matrix carries ``sigma`` and ``hu`` in its last two columns."""
+    y = y[:, None]
+    if family == "bernoulli":
+        eta = x @ matrix.T
+        return y * eta - np.logaddexp(0.0, eta)
+    mu, sigma, hu = x @ matrix[:, :-2].T, matrix[None, :, -2], matrix[None, :, -1]
+    logy = np.log(np.where(y > 0, y, 1.0))
+    density = -0.5 * ((logy - mu) / sigma) ** 2 - np.log(sigma) - 0.5 * np.log(2 * np.pi) - logy
+    return np.where(y > 0, np.log1p(-hu) + density, np.log(hu))
+
+
 def leave_one_out(
-    counts: DataFrame, columns: Sequence[str], draws: DataFrame, design: Design, smooth: bool = True
+    counts: DataFrame, columns: Sequence[str], draws: DataFrame, design: Design, smooth: bool = True,
+    family: str = "bernoulli",
 ) -> DataFrame:
     """Leave-one-out score of every distinct (covariates, outcome) row.
 
-    ``counts`` has ``columns``, outcome ``y`` (0/1) and weight ``n``. Repeated
+    ``counts`` has ``columns``, outcome ``y`` (0/1, or the quantity with zero for
+    undetected of a hurdle lognormal) and weight ``n``. Repeated
     observations share their score, so they are scored once. The draws (a bounded
     matrix) travel to the rows; nothing is shuffled. Without smoothing the score
     is the plain importance-sampling estimate.
     """
     p = len(design.parameters)
-    matrix = draw_matrix(draws, p)
+    matrix = draw_matrix(draws, p, () if family == "bernoulli" else ("sigma", "hu"))
     expressions = [c.alias(f"_x{i}") for i, c in enumerate(design.expressions().values())]
     rows = counts.select(*columns, "y", "n", *expressions)
     fields = [f for f in rows.schema.fields if not f.name.startswith("_x")]
@@ -195,9 +209,8 @@ def leave_one_out(
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                eta = part[[f"_x{i}" for i in range(p)]].to_numpy(float) @ matrix.T
-                y = part["y"].to_numpy(float)[:, None]
-                loglik = y * eta - np.logaddexp(0.0, eta)
+                x = part[[f"_x{i}" for i in range(p)]].to_numpy(float)
+                loglik = _log_likelihood(part["y"].to_numpy(float), x, matrix, family)
                 if smooth:
                     elpd, shape = smoothed_scores(loglik)
                 else:
@@ -227,8 +240,10 @@ def compare_models(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Difference to the best model, ranked: ``elpd_diff`` and its standard error.
 
     ``scores`` has ``model_name``, ``keys`` (same rows for every model), weight
-    ``n`` and ``elpd``.
+    ``n`` and ``elpd``. They are written once: three steps read them, and scoring
+    is the costly part.
     """
+    scores = cut_lineage(scores)
     totals = scores.groupBy("model_name").agg(F.sum(F.col("n") * F.col("elpd")).alias("elpd_loo"))
     best = totals.agg(F.max_by("model_name", F.struct("elpd_loo", "model_name"))).scalar()
     top = scores.where(F.col("model_name") == best).select(*keys, F.col("elpd").alias("_best"))

@@ -86,12 +86,13 @@ def thin(draws: DataFrame, count: int) -> DataFrame:
     return draws.where(F.col("draw") < count)
 
 
-def draw_matrix(draws: DataFrame, p: int) -> np.ndarray:
+def draw_matrix(draws: DataFrame, p: int, extra: Sequence[str] = ()) -> np.ndarray:
     """Draws as a (draws x parameters) matrix; at most ``MAX_DRAWS`` rows by contract."""
-    rows = draws.select("draw", *[f"b{i}" for i in range(p)]).orderBy("draw").limit(MAX_DRAWS + 1).collect()
+    names = [*[f"b{i}" for i in range(p)], *extra]
+    rows = draws.select("draw", *names).orderBy("draw").limit(MAX_DRAWS + 1).collect()
     if len(rows) > MAX_DRAWS:
         raise ValueError(f"more than {MAX_DRAWS} draws; thin them first")
-    return np.array([[row[f"b{i}"] for i in range(p)] for row in rows])
+    return np.array([[row[name] for name in names] for row in rows])
 
 
 def pair_with_draws(grid: DataFrame, draws: DataFrame, count: int, keys: Sequence[str] = ()) -> DataFrame:
