@@ -1,12 +1,82 @@
-"""From raw documents to packed sequences: stages that each write a table and read it back."""
+"""From raw documents to packed sequences: stages that each write a table and read it back.
+
+Every stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last returns token pieces in sequences. Null ids are kept apart
+from all others; null text counts as empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tracelight.llm import decontaminate, lempel_ziv, near_dup, ordinal, packing
+from tracelight.llm import text as T
+from tracelight.session import cut_lineage
+
+#: Least probability of the highest grade (sound and clean) that keeps a document.
+CLEAN = 0.5
+#: Words in a repeated passage that goes, and in a benchmark passage that makes a document go.
+PASSAGE, PHRASE = 50, 10
+
+
+def _key():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NO_ID))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier puts in the highest grade; poor and toxic ones go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = ordinal.fit(docs, ordinal.quality_grades(labels))
+    return ordinal.graded(docs, model).filter(F.element_at("tails", -1) >= CLEAN).select("given.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8; one row of each id."""
+    kept = near_dup.near_duplicates(docs, size=5, threshold=80).filter("kept").select(_key().alias("k"))
+    rows = docs.select(_key().alias("k"), F.struct("*").alias("given")).join(kept, "k", "left_semi")
+    order = Window.partitionBy("k").orderBy(F.xxhash64("given"))
+    return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("given.*")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier; what is left empty goes."""
+    found = lempel_ziv.without_copies(docs, PASSAGE).filter("n_removed < n_words or n_removed = 0")
+    text = F.coalesce("kept_text", F.col("given.text"))
+    fields = [F.col("given").getField(c) for c in docs.columns]
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("given.n_chars"))}
+    return found.select(*[new.get(c, f).alias(c) for c, f in zip(docs.columns, fields, strict=True)])
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate.hits(T.keyed_texts(docs), items, PHRASE)[0].select(F.col("doc_id").alias("k")).distinct()
+    rows = docs.select(_key().alias("k"), F.struct("*").alias("given"))
+    return rows.join(hit, "k", "left_anti").select("given.*")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the kept documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("sequences", sequences),
+]
 
-STAGES: list = []
+#: SQL has no form for the classifier, the minhash components or the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder."""
+    docs = T.documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return docs

@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelight.llm import text as T
 
@@ -211,7 +212,12 @@ def covered(n: int, spans) -> np.ndarray:
 
 
 def without_copies(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Documents with ``kept_text``: their words, joined by one space, without those in a duplicate span; and the counts."""
+    """Rows of ``docs`` as a struct ``given``, with n_words, n_removed, kept_text and kept_sha256.
+
+    ``kept_text`` is the text without the words of duplicate spans (null where there
+    are none); what is kept keeps its own white space, and one space stands for what
+    went. ``kept_sha256`` is of the kept words joined by one space.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,20 +229,21 @@ def without_copies(docs: DataFrame, window: int = 20) -> DataFrame:
                 raw = data.tobytes()
                 for row in range(len(offsets) - 1):
                     a, b = edges[row], edges[row + 1]
-                    out = covered(b - a, [(s["start"], s["length"]) for s in spans[first + row] or []])
-                    left = np.flatnonzero(~out) + a
-                    joined = b" ".join([raw[i:j] for i, j in zip(starts[left].tolist(), ends[left].tolist(), strict=True)])
+                    left = ~covered(b - a, [(s["start"], s["length"]) for s in spans[first + row] or []])
+                    words = np.flatnonzero(left) + a
+                    joined = b" ".join([raw[i:j] for i, j in zip(starts[words].tolist(), ends[words].tolist(), strict=True)])
                     n.append(b - a)
-                    gone.append(int(out.sum()))
-                    kept.append(joined.decode("utf-8", "replace") if gone[-1] else None)
+                    gone.append(int(b - a - len(words)))
                     digest.append(hashlib.sha256(joined).hexdigest())
+                    runs = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8))).reshape(-1, 2) + a
+                    parts = b" ".join([raw[starts[i] : ends[j - 1]] for i, j in runs.tolist()])
+                    kept.append(parts.decode("utf-8", "replace") if gone[-1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
-                 pa.array(digest, pa.string())],
-                names=["doc_id", "text", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
-
-    texts = T.keyed_texts(docs)
-    both = texts.join(duplicate_spans(docs, window), "doc_id", "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    return both.mapInArrow(run, schema)
+                [batch.column("given"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())],
+                names=["given", "n_words", "n_removed", "kept_text", "kept_sha256"],
+            )
+
+    rows = docs.select(F.struct("*").alias("given"), *(F.col(c) for c in ("doc_id", "text")))
+    rows = T.keyed_texts(rows, "given").join(duplicate_spans(docs, window), "doc_id", "left").select("given", "text", "spans")
+    schema = StructType([rows.schema["given"]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
+    return rows.mapInArrow(run, schema)

@@ -9,11 +9,12 @@ whole shingle sets reach the threshold.
 Exact copies (equal sets) become one class before anything is compared. First
 each text is compared with the smallest text it shares a bucket with, which
 settles nearly all of a group of copies. A bucket is settled when its texts are in
-one component. The others go on in rounds: what is left of a small bucket is
-compared pair by pair, a large one's next text (the pivot) with all later texts of
-other components; a large bucket that two pivots did not settle is split once by
-each of the remaining bands. No pair of a bucket is left out unless a component
-already joins it.
+one component. Of the others, small ones are compared pair by pair. The texts of
+large ones are joined exactly, by prefix filter: shingles in order of rarity, two sets
+that reach the threshold share one of the first few of each. Texts under one such
+shingle are compared across components only, each text outside the largest
+component with the rest; where that would be many, one text a round. So no pair of a
+bucket is left out unless a component already joins it.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that
 repeat an id are one document, and the smallest set hash speaks for it. Ids are
@@ -35,8 +36,10 @@ from tracelight.session import cut_lineage
 
 #: Bands in each of the two collections, minhashes in a band.
 BANDS, ROWS = 12, 3
-#: What is left of a bucket is compared pair by pair up to this size; beyond it, pivot by pivot or under longer keys.
+#: A bucket that is not settled is compared pair by pair up to this size.
 SMALL = 16
+#: Under one shingle, texts outside the largest component that are compared with all others at once.
+OUTSIDE = 32
 BLOCK = 256
 
 
@@ -184,29 +187,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, buckets to go on with) of buckets ``left`` (key, rep, comp, turn): unsettled ones only."""
-    bucket = Window.partitionBy("key")
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("pivot"))
-    open_ = sizes.filter("low < high")
-    rows = left.join(open_, "key")
-    small = rows.filter(F.col("n") <= SMALL)
-    lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "comp"))).alias("all"))
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (key, rep, comp) whose key holds several components, with the key's size ``n``."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    return placed.join(sizes.select("key", "n"), "key")
+
+
+def _pairwise(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most ``SMALL`` texts."""
+    lists = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "comp"))).alias("all"))
     inner = lists.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    pairs = inner.filter("x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    large = rows.filter(F.col("n") > SMALL)
-    heads = large.filter("rep = pivot").select("key", F.col("comp").alias("own")).distinct()
-    later = large.filter("rep > pivot").join(heads, "key")
-    pairs = pairs.union(later.filter("comp <> own").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    return pairs.distinct(), later.select("key", "rep", (F.col("turn") + 1).alias("turn"))
+    return inner.filter("x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
-def _split(left: DataFrame, signatures: DataFrame, bands: int) -> DataFrame:
-    """Large buckets under longer keys: each remaining band in turn joins the bucket's own two."""
-    own = F.col("key").bitwiseAND(255)
-    rows = left.join(signatures.select("rep", "bands"), "rep").select("key", "rep", F.posexplode("bands").alias("place", "band"))
-    rows = rows.filter((F.col("place") != F.floor(own / bands)) & (F.col("place") != bands + own % bands))
-    return rows.select(F.xxhash64("key", "place", "band").alias("key"), "rep")
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, size): the shingles of each set."""
+    for batch in batches:
+        for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            shingle = np.frombuffer(packed.as_py(), np.int64)
+            n = len(shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.full(n, rep)), pa.array(np.full(n, n))], names=["key", "rep", "size"])
+
+
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(key, rep, size): of each set the rarest shingles that a set it is linked with must share one of."""
+    rows = cut_lineage(sets.mapInArrow(_spelled, "key long, rep long, size long"))
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    of = Window.partitionBy("rep")
+    shared = rows.join(often, "key").withColumn("rank", F.row_number().over(of.orderBy("df", "key"))).withColumn("shared", F.count("*").over(of))
+    # Shingles that only one set has come first and meet nothing.
+    length = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
+    return shared.filter(F.col("rank") <= length - (F.col("size") - F.col("shared"))).select("key", "rep", "size")
+
+
+def _across(placed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows to go on with) under the shingles of ``placed`` (key, rep, size, comp)."""
+    rows = _unsettled(placed)
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
+    rows = cut_lineage(rows.join(most, "key"))
+    other = rows.filter("comp <> main")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    # All texts outside at once, or, of many, one.
+    asks = other.filter(F.col("outside") <= OUTSIDE).unionByName(other.filter(F.col("outside") > OUTSIDE).withColumn("i", first).filter("i = 1").drop("i"))
+    x, y = asks.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx")), rows.select("key", "rep", "comp", "size")
+    near = 100 * F.least("sx", "size") >= threshold * F.greatest("sx", "size")
+    met = x.join(y, "key").filter((F.col("cx") != F.col("comp")) & near)
+    pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    asked = asks.filter(F.col("outside") > OUTSIDE).select("key", "rep")
+    later = rows.filter(F.col("outside") > OUTSIDE).join(asked, ["key", "rep"], "left_anti").select("key", "rep", "size")
+    return pairs, later
 
 
 def near_duplicates(
@@ -237,30 +267,24 @@ def near_duplicates(
         wide = wide.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
         return cut_lineage(wide.select("a", "b", "left", "right").mapInArrow(_confirm(threshold), "a long, b long, linked boolean"))
 
+    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        labels = components(links.filter("linked"))
+        known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+        return rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
     heads = left.groupBy("key").agg(F.min("rep").alias("a"))
     first = left.join(heads, "key").filter("rep > a").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))
     compared = compare(first.select("a", "b"))
-    left = left.withColumn("turn", F.lit(0))
-    while True:
-        labels = components(compared.filter("linked"))
-        known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-        placed = left.join(known, "rep", "left").select("key", "rep", "turn", F.coalesce("comp", "rep").alias("comp"))
-        pairs, later = _candidates(cut_lineage(placed))
-        pairs = cut_lineage(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-        later = cut_lineage(later)
-        if not later.limit(1).count():
-            left = None
-        else:
-            again = later.filter("turn = 2").select("key", "rep")
-            left = later.filter("turn <> 2").unionByName(_split(again, classes, bands).withColumn("turn", F.lit(3)))
-            left = cut_lineage(left)
-        if pairs.limit(1).count():
-            compared = compared.union(compare(pairs))
-        elif left is None:
-            break
-        if left is None:
-            labels = components(compared.filter("linked"))
-            break
+    rows = cut_lineage(_unsettled(placed(left, compared)))
+    fresh = lambda pairs: pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    compared = compared.union(compare(fresh(_pairwise(rows.filter(F.col("n") <= SMALL)))))
+    large = rows.filter(F.col("n") > SMALL).select("rep").distinct()
+    later = cut_lineage(_prefixes(sets.join(large, "rep"), threshold))
+    while later.limit(1).count():
+        pairs, later = _across(cut_lineage(placed(later, compared)), threshold)
+        pairs, later = cut_lineage(fresh(pairs)), cut_lineage(later)
+        compared = compared.union(compare(pairs))
+    labels = components(compared.filter("linked"))
     reps = classes.select("set_a", "set_b", "n_shingles", "rep")
     reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     found = ident.drop("bands").join(reps.drop("rep", "label"), ["set_a", "set_b", "n_shingles"], "left")

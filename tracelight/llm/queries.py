@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, lempel_ziv, near_dup, tokens, url_rules
+from tracelight.llm import decontaminate, dimension_scan, lattice, lempel_ziv, licenses, near_dup, ordinal, packing, tokens, url_rules
 from tracelight.llm import text as T
+from tracelight.llm.twins import TWINS
+
+__all__ = ["QUERIES", "TWINS"]
 
 # The rules of the url query.
 RULES = [
@@ -16,35 +19,67 @@ RULES = [
 ]
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.score_documents(T.documents(spark, folder))
+
+
 def lempel_ziv_spans(spark: SparkSession, folder: str) -> DataFrame:
-    found = lempel_ziv.without_copies(T.documents(spark, folder), 20)
-    return found.select(T.given_id(), "n_words", "n_removed", "kept_sha256")
+    docs = T.documents(spark, folder).select("doc_id", "text")
+    return lempel_ziv.without_copies(docs, 20).select("given.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(T.documents(spark, folder))
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return dimension_scan.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_files(T.documents(spark, folder))
 
 
+def page_licences(spark: SparkSession, folder: str) -> DataFrame:
+    known = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
+    return licenses.scan(licenses.page_files(_table(spark, folder, "pages")), known).withColumnRenamed("id", "page_id")
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = T.documents(spark, folder).select("doc_id", "text")
+    model = ordinal.fit(docs, ordinal.quality_grades(_table(spark, folder, "labels")))
+    tail = F.col("tails")
+    return ordinal.graded(docs, model).select(
+        "given.doc_id", "score", "expected_grade", tail[0].alias("p_sound"), tail[1].alias("p_clean"), (tail[1] >= 0.5).alias("kept")
+    )
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(T.documents(spark, folder), size=4, threshold=80)
 
 
 def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return url_rules.judge(spark.read.parquet(f"{folder}/pages.parquet"), rules)
+    return url_rules.judge(_table(spark, folder, "pages"), rules)
 
 
 def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
-    items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return decontaminate.contamination(T.documents(spark, folder), items, 10).drop("ranges")
+    return decontaminate.contamination(T.documents(spark, folder), _table(spark, folder, "benchmark"), 10).drop("ranges")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_lattice": lattice_scores,
     "op2_lempel_ziv_dedup": lempel_ziv_spans,
+    "op3_genetic_packing": packed_sequences,
+    "op4_dimension_scan": nearest_vectors,
     "op5_token_files": token_files,
+    "op6_licence_scan": page_licences,
+    "op7_ordinal_quality": quality_scores,
     "op8_tensored_minhash": near_duplicates,
     "op9_url_rules": url_verdicts,
     "op10_positional_index": benchmark_hits,
 }
-
-TWINS: dict[str, str] = {}

@@ -32,10 +32,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (null as ``NO_ID``) and ``text`` (null as empty); other columns are left out."""
+def keyed_texts(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id`` (null as ``NO_ID``), ``text`` (null as empty) and the named columns; the rest is left out."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *others
     )
 
 
