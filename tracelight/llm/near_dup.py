@@ -13,8 +13,9 @@ one component. Of the others, small ones are compared pair by pair. The texts of
 large ones are joined exactly, by prefix filter: shingles in order of rarity, two sets
 that reach the threshold share one of the first few of each. Texts under one such
 shingle are compared across components only, each text outside the largest
-component with the rest; where that would be many, one text a round. So no pair of a
-bucket is left out unless a component already joins it.
+component with the rest (of very many, some a round), and only where what follows
+the shingle in both sets is enough for the threshold. So no pair of a bucket is
+left out unless a component already joins it.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that
 repeat an id are one document, and the smallest set hash speaks for it. Ids are
@@ -38,8 +39,8 @@ from tracelight.session import cut_lineage
 BANDS, ROWS = 12, 3
 #: A bucket that is not settled is compared pair by pair up to this size.
 SMALL = 16
-#: Under one shingle, texts outside the largest component that are compared with all others at once.
-OUTSIDE = 32
+#: Under one shingle, texts outside the largest component that meet the others in one round.
+OUTSIDE = 1024
 BLOCK = 256
 
 
@@ -210,32 +211,35 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(key, rep, size): of each set the rarest shingles that a set it is linked with must share one of."""
+    """(key, rep, size, after): of each set the rarest shingles that a set it is linked with must share one of.
+
+    ``after`` counts the set's shingles from this one on, in the order of rarity.
+    """
     rows = cut_lineage(sets.mapInArrow(_spelled, "key long, rep long, size long"))
     often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     of = Window.partitionBy("rep")
     shared = rows.join(often, "key").withColumn("rank", F.row_number().over(of.orderBy("df", "key"))).withColumn("shared", F.count("*").over(of))
     # Shingles that only one set has come first and meet nothing.
-    length = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
-    return shared.filter(F.col("rank") <= length - (F.col("size") - F.col("shared"))).select("key", "rep", "size")
+    after = shared.select("key", "rep", "size", (F.col("shared") - F.col("rank") + 1).alias("after"))
+    return after.filter(100 * F.col("after") >= threshold * F.col("size"))
 
 
 def _across(placed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows to go on with) under the shingles of ``placed`` (key, rep, size, comp)."""
+    """(pairs, rows to go on with) under the shingles of ``placed`` (key, rep, size, after, comp)."""
     rows = _unsettled(placed)
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
     rows = cut_lineage(rows.join(most, "key"))
-    other = rows.filter("comp <> main")
     first = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    # All texts outside at once, or, of many, one.
-    asks = other.filter(F.col("outside") <= OUTSIDE).unionByName(other.filter(F.col("outside") > OUTSIDE).withColumn("i", first).filter("i = 1").drop("i"))
-    x, y = asks.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx")), rows.select("key", "rep", "comp", "size")
-    near = 100 * F.least("sx", "size") >= threshold * F.greatest("sx", "size")
-    met = x.join(y, "key").filter((F.col("cx") != F.col("comp")) & near)
+    other = cut_lineage(rows.filter("comp <> main").withColumn("turn", first))
+    x = other.filter(F.col("turn") <= OUTSIDE).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("after").alias("ax"))
+    y = rows.select("key", "rep", "comp", "size", "after")
+    # At the first shingle a pair shares, all that it shares comes from there on.
+    enough = (100 + threshold) * F.least("ax", "after") >= threshold * (F.col("sx") + F.col("size"))
+    met = x.join(y, "key").filter((F.col("cx") != F.col("comp")) & enough)
     pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    asked = asks.filter(F.col("outside") > OUTSIDE).select("key", "rep")
-    later = rows.filter(F.col("outside") > OUTSIDE).join(asked, ["key", "rep"], "left_anti").select("key", "rep", "size")
+    asked = other.filter(F.col("turn") <= OUTSIDE).select("key", "rep")
+    later = rows.filter(F.col("outside") > OUTSIDE).join(asked, ["key", "rep"], "left_anti").select("key", "rep", "size", "after")
     return pairs, later
 
 
