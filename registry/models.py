@@ -13,14 +13,14 @@ from registry.sql_fit import linear, lower, newton, normal_equations, normal_sco
 from registry.tables import EVENT_DRAWS, event_draws, signif_sql
 from tracelight import functions as C
 from tracelight.operators import describe, grid, groups, intervals, joins, prep, reshape
-from tracelight.plans import catalog, checks, design, fits, pooling, rooms
+from tracelight.plans import catalog, checks, design, fits, pooling, rooms, strata
 from tracelight.plans import draws as posterior
 from tracelight.schemas import SEVERITY_LEVELS
 from tracelight.sources import files, model_store, views
 from tracelight.session import shared_path
 
-DRAWS = 400
-ROUNDS = 6  # of the room-level fits: enough to move every room, short enough for a check
+DRAWS = 4000
+THINNED = 1000
 
 FLOOR = "site_category = 'Floor'"
 TOUCH = "high_touch"
@@ -195,7 +195,7 @@ for _name, _model in catalog.MODELS.items():
 
 
 def _rooms(spark, folder, name):
-    fit = catalog.fit_model(name, views.swabs(spark, folder), rounds=ROUNDS)
+    fit = catalog.fit_model(name, views.swabs(spark, folder))
     return tidy(fit.effects.select(fit.group, *[F.col(f"u{i}") for i in range(len(fit.design.parameters))]), 4)
 
 
@@ -251,10 +251,10 @@ def _epred(spark, folder, name=DISTANCE_MODEL, even=None, levels=("site_category
     return posterior.expected_draws(points, wide, fit.design, count)
 
 
-add("p1_expected_draws", lambda spark, folder: tidy(_epred(spark, folder, count=50), 5), query(
-    *draw_parts(DISTANCE_MODEL, 50), GRID7, EPRED7, f"SELECT {rounded('distance', digits=5)}, site_category, high_touch, draw, {rounded('epred', digits=5)} FROM epred"))
-add("p2_thinned_draws", lambda spark, folder: tidy(posterior.thin(model_draws(spark, folder, DISTANCE_MODEL)[2], 100), 4), query(
-    *draw_parts(DISTANCE_MODEL), "SELECT draw, " + ", ".join(rounded(f"b{i}", digits=4) for i in range(4)) + " FROM draws WHERE draw < 100"))
+add("p1_expected_draws", lambda spark, folder: tidy(_epred(spark, folder), 5), query(
+    *draw_parts(DISTANCE_MODEL), GRID7, EPRED7, f"SELECT {rounded('distance', digits=5)}, site_category, high_touch, draw, {rounded('epred', digits=5)} FROM epred"))
+add("p2_thinned_draws", lambda spark, folder: tidy(posterior.thin(model_draws(spark, folder, DISTANCE_MODEL)[2], THINNED), 4), query(
+    *draw_parts(DISTANCE_MODEL), "SELECT draw, " + ", ".join(rounded(f"b{i}", digits=4) for i in range(4)) + f" FROM draws WHERE draw < {THINNED}"))
 RIBBON_SQL = ", ".join(rounded(f"quantile_cont(epred, {p})", n, 5) for n, p in intervals.RIBBON.items())
 add("p3_ribbon", lambda spark, folder: tidy(intervals.ribbon(_epred(spark, folder), ["distance", "site_category", "high_touch"]), 5), query(
     *draw_parts(DISTANCE_MODEL), GRID7, EPRED7, f"SELECT {rounded('distance', digits=5)}, site_category, high_touch, {RIBBON_SQL} FROM epred GROUP BY epred.distance, site_category, high_touch"))
@@ -281,7 +281,7 @@ grid AS (SELECT lo + i * (hi - lo) / 9.0 AS subject_covid_day, wlo + j * (whi -
 
 
 def _hdi(spark, folder, name):
-    epred = _epred(spark, folder, name, WAVE_EVEN, ("site_category", "high_touch", "covid_severity"), 100)
+    epred = _epred(spark, folder, name, WAVE_EVEN, ("site_category", "high_touch", "covid_severity"), THINNED)
     labelled = prep.with_contact_label(epred).select(
         F.concat("site_category", F.lit(" "), "high_touch").alias("site_category_touch"), "covid_severity", "draw", "epred")
     best = intervals.shortest_interval(labelled, ["site_category_touch", "covid_severity"], tie=["draw"])
@@ -290,10 +290,10 @@ def _hdi(spark, folder, name):
 
 for _name, _label in ((SEVERITY_MODEL, "severity"), (SEVERITY_SITE_MODEL, "severity_site")):
     _p = len(TERMS[_name]) + 1
-    add(f"p4_shortest_interval_{_label}", partial(_hdi, name=_name), query(*draw_parts(_name, 100), GRID22, f"""
+    add(f"p4_shortest_interval_{_label}", partial(_hdi, name=_name), query(*draw_parts(_name, THINNED), GRID22, f"""
     epred AS MATERIALIZED (SELECT site_category || CASE WHEN high_touch THEN ' High Touch' ELSE ' Low Touch' END AS site_category_touch, covid_severity,
       1 / (1 + exp(-({linear(_p, TERMS[_name])}))) AS epred FROM grid, draws),
-    spans AS (SELECT site_category_touch, covid_severity, epred AS lower, lead(epred, CAST(ceil(0.95 * 10000) AS INTEGER) - 1)
+    spans AS (SELECT site_category_touch, covid_severity, epred AS lower, lead(epred, CAST(ceil(0.95 * 100 * {THINNED}) AS INTEGER) - 1)
       OVER (PARTITION BY site_category_touch, covid_severity ORDER BY epred) AS upper FROM epred),
     best AS (SELECT * FROM spans WHERE upper IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY site_category_touch, covid_severity ORDER BY upper - lower, lower) = 1)""", f"""
@@ -329,7 +329,18 @@ epred AS MATERIALIZED (SELECT distance, site_category, high_touch, draw, (1 - hu
     {', '.join(rounded(f'quantile_cont(epred, {p})', n, 3) for n, p in intervals.RIBBON.items())} FROM epred GROUP BY epred.distance, site_category, high_touch"""))
 
 
-def _room_fit(spark, folder, name="mvbinom_time_category_touch_mix_subject", points=10, count=50):
+def _strata_ribbon(spark, folder, name):
+    model = catalog.MODELS[name]
+    epred = strata.strata_expected(name, views.swabs(spark, folder), DRAWS)
+    return tidy(intervals.ribbon(epred, [model.design.columns[0], *model.strata]), 3)
+
+
+for _name, _model in catalog.MODELS.items():
+    if _model.strata:
+        add(f"p3_ribbon_{_name}", partial(_strata_ribbon, name=_name))
+
+
+def _room_fit(spark, folder, name="mvbinom_time_category_touch_mix_subject", points=40, count=THINNED):
     swabs = views.swabs(spark, folder)
     table = catalog.model_table(name, swabs)
     fit = catalog.fit_model(name, swabs)
@@ -352,7 +363,7 @@ add("p5_median_curve", on_swabs(lambda s: intervals.median_curve(
 
 
 def _room_points(spark, folder):
-    swabs, fit, curves, axis = _room_fit(spark, folder, "mvbinom_distance_category_touch_mix_subject", 5)
+    swabs, fit, curves, axis = _room_fit(spark, folder, "mvbinom_distance_category_touch_mix_subject", 30)
     nearest = prep.touched_or_floor(prep.at_minimum(curves, axis))
     medians = intervals.median_curve(nearest, [fit.group, axis, "site_category", "high_touch"])
     return tidy(reshape.floor_against_touched(medians, swabs), 4)
@@ -495,22 +506,13 @@ add("p11_importance_scores", lambda spark, folder: tidy(_scores(spark, folder, F
 add("p11_smoothed_totals", lambda spark, folder: tidy(checks.score_totals(_scores(spark, folder, True), ["model_name"]), 3))
 
 
-def _hurdle_scores(spark, folder):
-    """Smoothed scores of the two hurdle models that share the spatial table."""
-    table, fit, wide = model_draws(spark, folder, HURDLE_MODEL)
-    columns = fit.design.columns
-    rows = table.dropna(subset=columns)
-    counts = rows.groupBy(C.null_to_zero(F.col("copies_max")).alias("y"), *columns).agg(F.count(F.lit(1)).alias("n"))
-    short = design.Design(("distance",))
-    other = posterior.laplace_draws(spark, fits.fit_hurdle(rows, short)[()], DRAWS)
-    scores = reshape.stack({
-        HURDLE_MODEL: checks.leave_one_out(counts, columns, wide, fit.design, family="hurdle_lognormal"),
-        "distance_only": checks.leave_one_out(counts, columns, other, short, family="hurdle_lognormal"),
-    })
-    return tidy(checks.compare_models(scores, ["y", *columns]), 3)
-
-
-add("p12_compare_hurdle", _hurdle_scores)
+def _comparison(spark, folder, names):
+    swabs, subjects = views.swabs(spark, folder), views.subjects(spark, folder)
+    return tidy(strata.compare_catalogue(names, swabs, subjects, DRAWS), 3)
+
+
+for _names in catalog.COMPARISONS:
+    add(f"p12_compare_{_names[0]}", partial(_comparison, names=_names))
 add("p12_compare_models", lambda spark, folder: tidy(checks.compare_models(
     _scores(spark, folder, False), ["y", *SHARED]), 3), query(*_loo_parts(), f"""
     totals AS (SELECT model_name, sum(n * elpd) AS total FROM scores_all GROUP BY 1),

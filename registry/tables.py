@@ -188,19 +188,19 @@ add("k1_subject_key", on_swabs(lambda s: prep.with_subject_key(
 
 
 def _missing_keys(swabs, subjects):
-    """Null keys on both sides and subjects without attributes."""
+    """Null keys on both sides; a third of the subjects have another key, so they match nothing."""
     left = prep.with_subject_key(swabs.withColumn(
         "redcap_id", F.when(F.col("event_id") % 17 != 0, F.col("redcap_id")))).select("event_id", "redcap_id")
     number = F.regexp_extract("redcap_id", "([0-9]+)", 1).cast("bigint")
-    right = prep.with_severity(subjects).where(number % 3 != 1).select(
-        F.when(number != 0, F.col("redcap_id")).alias("redcap_id"), "covid_severity")
+    key = F.when(number % 3 == 1, F.concat(F.lit("other_"), "redcap_id")).when(number != 0, F.col("redcap_id"))
+    right = prep.with_severity(subjects).select(key.alias("redcap_id"), "covid_severity")
     return joins.subject_attributes(left, right, ["covid_severity"])
 
 
 add("j1_subject_attributes", on_both(_missing_keys), query(SWABS, SUBJECTS, """
 sides AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN 'decon_subject_' || CAST(redcap_id AS VARCHAR) END AS redcap_id FROM swabs),
-attributes AS (SELECT CASE WHEN redcap_id <> 'decon_subject_0' THEN redcap_id END AS redcap_id, covid_severity FROM graded
-               WHERE CAST(regexp_extract(redcap_id, '([0-9]+)', 1) AS BIGINT) % 3 <> 1)""", """
+attributes AS (SELECT CASE WHEN CAST(regexp_extract(redcap_id, '([0-9]+)', 1) AS BIGINT) % 3 = 1 THEN 'other_' || redcap_id
+               WHEN redcap_id <> 'decon_subject_0' THEN redcap_id END AS redcap_id, covid_severity FROM graded)""", """
 SELECT s.event_id, s.redcap_id, a.covid_severity FROM sides s LEFT JOIN attributes a ON s.redcap_id IS NOT DISTINCT FROM a.redcap_id"""))
 add("j2_room_first_day", on_swabs(lambda s: joins.group_lookup(
     s.select("event_id", "subject_room_id"), with_gaps(s), ["subject_room_id"], {"pandemic_index": F.min("total_study_day")})),
@@ -362,9 +362,9 @@ FIRST = "SELECT event_id, subject_room_id, CAST(subject_room_day AS BIGINT) AS s
 add("w1_first_samples", on_swabs(lambda s: groups.first_samples(s).select("event_id", "subject_room_id", "subject_room_day")),
     query(SWABS, FIRST))
 add("w1_first_samples_strict", on_swabs(lambda s: groups.first_samples(
-    with_gaps(s).where("event_id % 3 = 0"), day="total_study_day", strict_na=True).select("event_id", "subject_room_id")),
-    query(SWABS, GAPS, """SELECT event_id, subject_room_id FROM (SELECT * FROM gaps WHERE event_id % 3 = 0)
-    WINDOW w AS (PARTITION BY subject_room_id)
+    with_gaps(s), ["subject_room_id", "swab_site"], "total_study_day", strict_na=True).select("event_id", "subject_room_id")),
+    query(SWABS, GAPS, """SELECT event_id, subject_room_id FROM gaps
+    WINDOW w AS (PARTITION BY subject_room_id, swab_site)
     QUALIFY total_study_day = min(total_study_day) OVER w AND count(*) OVER w = count(total_study_day) OVER w"""))
 add("w2_first_by_subject", on_swabs(lambda s: groups.first_samples(s, ["redcap_id"], "subject_covid_day").select("event_id", "redcap_id")),
     query(SWABS, "SELECT event_id, redcap_id FROM swabs QUALIFY subject_covid_day = min(subject_covid_day) OVER (PARTITION BY redcap_id)"))

@@ -121,8 +121,14 @@ def test_room_fit_improves_and_shrinks(spark):
         for i in range(200 if room == 0 else 20):
             rows.append((f"r{room}", float(i % 4), bool(rng.random() < 1 / (1 + math.exp(-(0.5 + level))))))
     frame = spark.createDataFrame(rows, "subject_room_id string, distance double, scv2_detected boolean")
-    fit = rooms.fit_rooms(frame, Design(()), rounds=5)
-    assert all(b >= a - 1e-6 for a, b in zip(fit.history, fit.history[1:]))
+    fit = rooms.fit_rooms(frame, Design(()))
+    assert fit.converged and fit.history[-1] >= max(fit.history) - 0.05
+    other = rooms.fit_rooms(frame, Design(()), start=0.05)
+    assert np.allclose(other.spread, fit.spread, rtol=1e-3) and abs(other.intercept - fit.intercept) < 1e-3
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        assert not rooms.fit_rooms(frame, Design(()), rounds=1).converged
+    assert any("not converged" in str(w.message) for w in caught)
     effects = {r.subject_room_id: r.u0 for r in fit.effects.collect()}
     raw = {}
     for room, _, found in rows:
@@ -137,6 +143,28 @@ def test_room_fit_improves_and_shrinks(spark):
     assert abs(mean - (fit.intercept + effects["r0"])) < 0.2
 
 
+def test_room_draws_keep_the_covariance_with_the_intercept(spark):
+    rng = np.random.default_rng(12)
+    y = [(f"r{room}", bool(rng.random() < 1 / (1 + math.exp(-0.8 * rng.normal())))) for room in range(10) for _ in range(300 if room < 2 else 12)]
+    frame = spark.createDataFrame(y, "subject_room_id string, scv2_detected boolean")
+    fit = rooms.fit_rooms(frame, Design(()))
+    # Dense curvature at the mode: intercept first, then the ten rooms.
+    effects = {r.subject_room_id: r.u0 for r in fit.effects.collect()}
+    keys = sorted(effects)
+    h = np.zeros((11, 11))
+    h[0, 0] = 1.0
+    for i, key in enumerate(keys, 1):
+        m = 1 / (1 + math.exp(-(fit.intercept + effects[key])))
+        w = sum(k == key for k, _ in y) * m * (1 - m)
+        h[0, 0] += w
+        h[0, i] = h[i, 0] = w
+        h[i, i] = w + 1 / fit.spread[0, 0]
+    dense = np.linalg.inv(h)
+    got = {r.subject_room_id: r.v for r in rooms.room_draws(fit, 2000).groupBy("subject_room_id").agg(F.var_samp("b0").alias("v")).collect()}
+    for i, key in enumerate(keys, 1):
+        assert math.isclose(got[key], dense[0, 0] + dense[i, i] + 2 * dense[0, i], rel_tol=0.15)
+
+
 def test_room_lognormal_fit(spark):
     rng = np.random.default_rng(8)
     rows = []
@@ -147,7 +175,38 @@ def test_room_lognormal_fit(spark):
     frame = spark.createDataFrame(rows, "subject_room_id string, distance double, copies_max double")
     fit = rooms.fit_rooms_lognormal(frame, Design(("distance",)))
     assert abs(fit.sigma - 0.4) < 0.08 and abs(fit.hurdle - 0.28) < 0.01
-    assert 0.2 < math.sqrt(fit.spread[0, 0]) < 1.2
+    assert 0.2 < math.sqrt(fit.spread[0, 0]) < 1.2 and fit.converged
+
+
+def test_weak_strata_keep_a_finite_line(spark):
+    rng = np.random.default_rng(6)
+    rows = [("wide", float(i % 9), float(np.exp(1 + 0.2 * (i % 9) + 0.3 * rng.normal()))) for i in range(90)]
+    rows += [("one row", 2.0, 5.0)] + [("one value", 3.0, float(v)) for v in (2, 4, 8, 16)] + [("nothing", float(i), None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "site_category string, distance double, copies_max double")
+    found = fits.fit_hurdle(frame, Design(("distance",)), keys=["site_category"])
+    assert set(found) == {("wide",), ("one row",), ("one value",), ("nothing",)}
+    assert all(np.all(np.isfinite(f.beta)) and np.all(np.linalg.eigvalsh(f.covariance) > 0) for f in found.values())
+    assert abs(found[("one value",)].beta @ [1, 3] - np.log([2, 4, 8, 16]).mean()) < 0.05
+    assert found[("nothing",)].hurdle == 1.0 and found[("one row",)].sigma == found[("wide",)].sigma
+    pooled = pooling.pool(found)
+    assert pooled.converged and pooled.stratum(("wide",)).hurdle == 0.0
+
+
+def test_nested_pooling_equals_a_dense_posterior():
+    design_ = Design(())
+    fit = lambda b, v: fits.Fit(design_, "bernoulli", np.array([b]), np.array([[v]]))
+    found = {("a", 1): fit(1.0, 0.2), ("a", 2): fit(1.6, 0.3), ("b", 1): fit(-0.5, 0.4)}
+    within, between = np.array([[0.5]]), np.array([[1.2]])
+    at, errors = pooling.joint_posterior(found, within, between, np.zeros(1))
+    # Marginal prior of the three children, then Bayes' rule.
+    prior = np.diag([0.5] * 3) + 1.2 * np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]])
+    noise = np.diag([0.2, 0.3, 0.4])
+    gain = prior @ np.linalg.inv(prior + noise)
+    assert np.allclose([at[k][0] for k in found], gain @ [1.0, 1.6, -0.5])
+    assert np.allclose([errors[k][0, 0] for k in found], np.diag(prior - gain @ prior))
+    pooled = pooling.pool_nested(found, np.zeros(1))
+    again = pooling.joint_posterior(found, pooled.spread, pooled.upper, np.zeros(1))
+    assert np.allclose([pooled.covariances[k] for k in found], [again[1][k] for k in found])
 
 
 def test_draws_have_the_fitted_moments(spark, table):
@@ -245,6 +304,16 @@ def test_compare_models_ranks_the_best_first(spark):
     assert math.isclose(got["bad"].se_diff, math.sqrt(10) * d.std(ddof=1), rel_tol=1e-6)
 
 
+def test_compared_models_must_score_the_same_rows(spark):
+    kind = "model_name string, id int, n bigint, elpd double"
+    for other in ([("b", 0, 1, -1.0)], [("b", 0, 1, -1.0), ("b", 1, 2, -1.0)], [("b", 0, 1, -1.0), ("b", 7, 1, -1.0)]):
+        scores = spark.createDataFrame([("a", 0, 1, -0.5), ("a", 1, 1, -0.5), *other], kind)
+        with pytest.raises(ValueError, match="rows or weights"):
+            checks.compare_models(scores, ["id"])
+    one = checks.compare_models(spark.createDataFrame([("a", 0, 1, -0.5), ("b", 0, 1, -0.7)], kind), ["id"]).collect()
+    assert [r.se_diff for r in one] == [None, None]
+
+
 def test_chain_checks(spark):
     rng = np.random.default_rng(1)
     rows = [("m", c, i, i, "p", float(rng.normal() + 5 * (c == 3))) for c in range(4) for i in range(50)]

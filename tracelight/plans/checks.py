@@ -228,10 +228,10 @@ def score_totals(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.sum("n")
     mean = F.sum(F.col("n") * F.col("elpd")) / n
     square = F.sum(F.col("n") * F.col("elpd") * F.col("elpd"))
-    variance = (square - n * mean * mean) / (n - 1)
+    variance = (square - n * mean * mean) / F.nullif(n - 1, F.lit(0))
     return scores.groupBy(*keys).agg(
         (n * mean).alias("elpd_loo"),
-        F.sqrt(n * F.greatest(variance, F.lit(0.0))).alias("se_elpd_loo"),
+        F.when(n > 1, F.sqrt(n * F.greatest(variance, F.lit(0.0)))).alias("se_elpd_loo"),
         F.sum(F.when(F.col("shape") > SHAPE_LIMIT, F.col("n")).otherwise(0)).alias("bad_tails"),
     )
 
@@ -241,18 +241,25 @@ def compare_models(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``scores`` has ``model_name``, ``keys`` (same rows for every model), weight
     ``n`` and ``elpd``. They are written once: three steps read them, and scoring
-    is the costly part.
+    is the costly part. Models that score other rows or weights than the best
+    cannot be compared: that is an error.
     """
     scores = cut_lineage(scores)
     totals = scores.groupBy("model_name").agg(F.sum(F.col("n") * F.col("elpd")).alias("elpd_loo"))
     best = totals.agg(F.max_by("model_name", F.struct("elpd_loo", "model_name"))).scalar()
-    top = scores.where(F.col("model_name") == best).select(*keys, F.col("elpd").alias("_best"))
-    paired = keyed_join(scores, top, keys, "inner").withColumn("_d", F.col("elpd") - F.col("_best"))
+    top = scores.where(F.col("model_name") == best).select(*keys, F.col("elpd").alias("_best"), F.col("n").alias("_n"), F.lit(1).alias("_top"))
+    paired = keyed_join(scores, top, keys).withColumn("_d", F.col("elpd") - F.col("_best"))
+    sizes = paired.groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_top").alias("met"), F.count_if(F.col("n") != F.col("_n")).alias("other"))
+    whole = top.count()
+    wrong = sizes.where((F.col("rows") != whole) | (F.col("met") != whole) | (F.col("other") > 0)).orderBy("model_name").collect()
+    if wrong:
+        raise ValueError("rows or weights differ from the best model's: " + ", ".join(r["model_name"] for r in wrong))
     n = F.sum("n")
     mean = F.sum(F.col("n") * F.col("_d")) / n
-    variance = (F.sum(F.col("n") * F.col("_d") * F.col("_d")) - n * mean * mean) / (n - 1)
+    variance = (F.sum(F.col("n") * F.col("_d") * F.col("_d")) - n * mean * mean) / F.nullif(n - 1, F.lit(0))
     return paired.groupBy("model_name").agg(
         (n * mean).alias("elpd_diff"),
-        F.sqrt(n * F.greatest(variance, F.lit(0.0))).alias("se_diff"),
+        F.when(n > 1, F.sqrt(n * F.greatest(variance, F.lit(0.0)))).alias("se_diff"),
         F.sum(F.col("n") * F.col("elpd")).alias("elpd_loo"),
     ).withColumn("rank", F.rank().over(Window.orderBy(F.col("elpd_diff").desc())))

@@ -23,7 +23,6 @@ from tracelight.schemas import DRAWS
 from tracelight.session import cut_lineage
 
 CHAINS = 4
-MAX_DRAWS = 20_000
 
 
 def half_covariance(fit: Fit) -> np.ndarray:
@@ -87,11 +86,9 @@ def thin(draws: DataFrame, count: int) -> DataFrame:
 
 
 def draw_matrix(draws: DataFrame, p: int, extra: Sequence[str] = ()) -> np.ndarray:
-    """Draws as a (draws x parameters) matrix; at most ``MAX_DRAWS`` rows by contract."""
+    """Draws as a (draws x parameters) matrix; its size is the number of draws the caller asked for."""
     names = [*[f"b{i}" for i in range(p)], *extra]
-    rows = draws.select("draw", *names).orderBy("draw").limit(MAX_DRAWS + 1).collect()
-    if len(rows) > MAX_DRAWS:
-        raise ValueError(f"more than {MAX_DRAWS} draws; thin them first")
+    rows = draws.select("draw", *names).orderBy("draw").collect()
     return np.array([[row[name] for name in names] for row in rows])
 
 

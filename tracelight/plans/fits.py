@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +32,7 @@ class Fit:
     hurdle: float | None = None
     rows: float = 0.0
     iterations: int = 0
+    converged: bool = True
 
     def table(self, spark: SparkSession, model_name: str) -> DataFrame:
         """(model_name, param, estimate, est_error) rows."""
@@ -137,53 +139,75 @@ def fit_bernoulli(
                 largest = max(largest, float(np.max(np.abs(move))))
             if largest < STEP_LIMIT:
                 break
+        else:
+            warnings.warn(f"the largest step after {max_steps} is {largest:.2g}: not converged", stacklevel=2)
     finally:
         patterns.unpersist()
     return {
-        key: Fit(design, "bernoulli", betas[key], np.linalg.inv(h + precision), rows=n, iterations=step)
+        key: Fit(design, "bernoulli", betas[key], np.linalg.inv(h + precision), rows=n, iterations=step, converged=largest < STEP_LIMIT)
         for key, (_, h, _, n) in sums.items()
     }
 
 
-def least_squares(frame: DataFrame, design: Design, outcome: Column, keys: Sequence[str] = ()) -> dict[tuple, Fit]:
+def least_squares(
+    frame: DataFrame, design: Design, outcome: Column, keys: Sequence[str] = (), prior_sd: float = PRIOR_SD
+) -> dict[tuple, Fit]:
     """Linear regression from one aggregate of cross products.
 
     A second pass takes the residuals at that solution, corrects the
     coefficients by their remaining gradient and sums the squares: differences
     of large totals would lose digits on long tables.
+
+    A stratum that cannot carry its own line (no rows to spare, or covariates
+    without spread) takes the residual scale of the others and a normal prior of
+    ``prior_sd``, so every stratum is returned.
     """
     rows = frame.select(*dict.fromkeys([*keys, *design.columns]), outcome.alias("_y")).dropna()
     rows = design_columns(rows, design, keep=[*keys, "_y"])
     p = len(design.parameters)
     first = [F.expr(f"sum(x{i} * x{j}) AS s{i}_{j}") for i, j in _triangle(p)]
     first += [F.expr(f"sum(x{i} * _y) AS m{i}") for i in range(p)]
-    cross, betas, counts = {}, {}, {}
+    cross, moments, betas, counts, own = {}, {}, {}, {}, {}
     for row in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first).collect():
         key = tuple(row[k] for k in keys)
-        if row["n"] < p:
+        if not row["n"]:
             continue
         cross[key] = _symmetric([row[f"s{i}_{j}"] for i, j in _triangle(p)], p)
-        betas[key] = np.linalg.solve(cross[key], np.array([row[f"m{i}"] for i in range(p)]))
-        counts[key] = row["n"]
+        moments[key], counts[key] = np.array([row[f"m{i}"] for i in range(p)]), row["n"]
+        own[key] = row["n"] > p and _well_posed(cross[key])
+        betas[key] = np.linalg.solve(cross[key], moments[key]) if own[key] else np.linalg.pinv(cross[key]) @ moments[key]
     if not betas:
         return {}
     residuals = with_predictor(rows, betas, keys).withColumn("_e", F.col("_y") - F.col("_eta"))
     second = [F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)]
     second.append(F.sum(F.col("_e") * F.col("_e")).alias("ss"))
-    fits = {}
-    for row in residuals.groupBy(*keys).agg(*second).collect():
-        key = tuple(row[k] for k in keys)
-        gradient = np.array([row[f"g{i}"] for i in range(p)])
+    sums = {tuple(row[k] for k in keys): row for row in residuals.groupBy(*keys).agg(*second).collect()}
+    fits, squares, spare = {}, 0.0, 0
+    for key in (k for k in betas if own[k]):
+        gradient = np.array([sums[key][f"g{i}"] for i in range(p)])
         correction = np.linalg.solve(cross[key], gradient)
-        ss = max(row["ss"] - float(gradient @ correction), 0.0)
-        sigma = float(np.sqrt(ss / max(counts[key] - p, 1)))
+        ss = max(sums[key]["ss"] - float(gradient @ correction), 0.0)
+        squares, spare = squares + ss, spare + counts[key] - p
+        sigma = float(np.sqrt(ss / (counts[key] - p)))
         fits[key] = Fit(
             design, "gaussian", betas[key] + correction, sigma**2 * np.linalg.inv(cross[key]),
             sigma=sigma, rows=counts[key], iterations=1,
         )
+    common = np.sqrt(squares / spare) if squares > 0 else 1.0
+    for key in (k for k in betas if not own[k]):
+        covariance = np.linalg.inv(cross[key] / common**2 + np.eye(p) / prior_sd**2)
+        fits[key] = Fit(
+            design, "gaussian", covariance @ moments[key] / common**2, covariance, sigma=float(common), rows=counts[key], iterations=1,
+        )
     return fits
 
 
+def _well_posed(matrix: np.ndarray) -> bool:
+    """Whether a matrix of cross products can be solved, whatever its columns' scales."""
+    scale = np.sqrt(np.diag(matrix))
+    return bool(np.all(scale > 0)) and float(np.linalg.eigvalsh(matrix / np.outer(scale, scale))[0]) > 1e-10
+
+
 def simple_lines(frame: DataFrame, x: str, y: Column, keys: Sequence[str]) -> DataFrame:
     """One-covariate regression per group, entirely in one aggregate."""
     rows = frame.select(*keys, F.col(x).cast("double").alias("x"), y.alias("y")).dropna()
@@ -227,6 +251,10 @@ def fit_hurdle(frame: DataFrame, design: Design, quantity: str = "copies_max", k
     zeros = used.groupBy(*keys).agg(F.avg((~detected).cast("double")).alias("hu"), F.count(F.lit(1)).alias("n"))
     shares = {tuple(r[k] for k in keys): (r["hu"], r["n"]) for r in zeros.collect()}
     fits = least_squares(used, design, F.when(detected, F.log(F.col(quantity))), keys)
+    p = len(design.parameters)
+    for key in (k for k, (_, n) in shares.items() if k not in fits and n):  # nothing detected: the prior alone
+        common = float(np.mean([f.sigma for f in fits.values()])) if fits else 1.0
+        fits[key] = Fit(design, "gaussian", np.zeros(p), np.eye(p) * PRIOR_SD**2, sigma=common)
     for key, fit in fits.items():
         fit.family = "hurdle_lognormal"
         fit.hurdle, fit.rows = shares[key]

@@ -9,6 +9,7 @@ only. Small p x p systems are solved in batches of rooms.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from tracelight.functions import is_detected
 from tracelight.functions.normal import inverse_normal_array, primes
 from tracelight.operators.joins import SLICE_ROWS, keyed_join, spread_join
 from tracelight.plans.design import Design, bernoulli_patterns, design_columns, linear_predictor
+from tracelight.plans.extrapolate import Accelerated
 from tracelight.plans.fits import _triangle, lognormal_mean, score_sums, with_score
 from tracelight.session import cut_lineage, materialise, remove_table
 
@@ -30,7 +32,10 @@ ROOMS_PER_BATCH = 64
 
 @dataclass
 class RoomFit:
-    """``effects`` has one row per room: key, ``u<i>`` and covariance ``v<i>_<j>``."""
+    """``effects`` has one row per room: key, ``u<i>``, covariance ``v<i>_<j>`` and ``b<i>``.
+
+    ``v`` holds at the fitted intercept; ``b`` is how ``u`` moves with the intercept.
+    """
 
     design: Design
     group: str
@@ -43,6 +48,7 @@ class RoomFit:
     hurdle: float | None = None
     rows: float = 0.0
     history: list[float] = field(default_factory=list)
+    converged: bool = True
 
 
 def _matrices(batch: pd.DataFrame, name: str, p: int) -> np.ndarray:
@@ -57,18 +63,22 @@ def _vectors(batch: pd.DataFrame, name: str, p: int) -> np.ndarray:
 
 
 def _effect_schema(group: str, kind: str, p: int) -> str:
-    columns = [f"{group} {kind}"] + [f"u{i} double" for i in range(p)]
+    columns = [f"{group} {kind}"] + [f"{n}{i} double" for n in "ub" for i in range(p)]
     return ", ".join(columns + [f"v{i}_{j} double" for i, j in _triangle(p)])
 
 
-def _effect_rows(keys: pd.Series, group: str, u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+def _effect_rows(keys: pd.Series, group: str, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     data = {group: keys.to_numpy()}
     p = u.shape[1]
-    data |= {f"u{i}": u[:, i] for i in range(p)}
+    data |= {f"u{i}": u[:, i] for i in range(p)} | {f"b{i}": b[:, i] for i in range(p)}
     data |= {f"v{i}_{j}": v[:, i, j] for i, j in _triangle(p)}
     return pd.DataFrame(data)
 
 
+def _unsettled(rounds: int, change: float) -> None:
+    warnings.warn(f"the room spread still moves by {change:.2g} of its size after {rounds} rounds: not converged", stacklevel=3)
+
+
 def _shrunk_spread(second: np.ndarray, rooms: float) -> np.ndarray:
     """Mean second moment with its standard deviations under a half-normal(0, 1) prior."""
     moment = second / rooms
@@ -89,15 +99,18 @@ def fit_rooms(
     design: Design,
     group: str = "subject_room_id",
     outcome: str = "scv2_detected",
-    rounds: int = 30,
-    tolerance: float = 1e-3,
+    rounds: int = 300,
+    tolerance: float = 1e-4,
+    start: float = 1.0,
 ) -> RoomFit:
     """Bernoulli outcome with room-level effects of every design column.
 
     Each round takes one joint Newton step for the intercept and all rooms, then
     updates the spread. The rooms are eliminated from the intercept's equation: a
     room moves to ``a + b * step``, so one pass over the rooms yields both the
-    intercept's step and the second moments after it.
+    intercept's step and the second moments after it. Every second spread is
+    extrapolated. Rounds end when the intercept and the plain step of the spread,
+    relative to its size, move by less than ``tolerance``; ``start`` is the first variance.
     """
     p = len(design.parameters)
     patterns = cut_lineage(bernoulli_patterns(frame, design, outcome, [group]))
@@ -105,7 +118,8 @@ def fit_rooms(
     rooms = patterns.groupBy(group).agg(F.count(F.lit(1)).alias("patterns"))
     heavy = (rooms.agg(F.max("patterns")).first()[0] or 0) > SLICE_ROWS
     state = rooms.selectExpr("*", *[f"0D AS u{i}" for i in range(p)])
-    intercept, intercept_sd, spread, history = 0.0, 1.0, np.eye(p), []
+    intercept, intercept_sd, spread, history = 0.0, 1.0, start * np.eye(p), []
+    ahead = Accelerated(spread)
     totals_of = [
         f"sum({c}) AS {c}" for c in ("one", "rows", "schur", "pull", "loglik", "quad", "logdet")
     ] + [
@@ -136,15 +150,19 @@ def fit_rooms(
         for i, j in _triangle(p):
             aa, ab, bb = (totals[f"{n}{i}_{j}"] for n in ("aa", "ab", "bb"))
             second[i, j] = second[j, i] = aa + step * ab + step * step * bb
-        before, spread = spread, _shrunk_spread(second, room_count)
+        plain = _shrunk_spread(second, room_count)
+        change = max(abs(step), float(np.max(np.abs(plain - spread))) / float(np.max(np.abs(plain))))
+        spread = ahead.next(plain)
         state = moves.selectExpr(group, "patterns", *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)])
-        if abs(step) < tolerance and float(np.max(np.abs(spread - before))) < tolerance:
+        if change < tolerance:
             break
+    else:
+        _unsettled(rounds, change)
     effects = moves.selectExpr(
-        group, *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)], *[f"v{i}_{j}" for i, j in _triangle(p)]
+        group, *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)], *[f"b{i}" for i in range(p)], *[f"v{i}_{j}" for i, j in _triangle(p)]
     )
     return RoomFit(
-        design, group, "bernoulli", intercept, intercept_sd, spread, effects, rows=totals["rows"], history=history,
+        design, group, "bernoulli", intercept, intercept_sd, plain, effects, rows=totals["rows"], history=history, converged=change < tolerance,
     )
 
 
@@ -206,8 +224,8 @@ def fit_rooms_lognormal(
     design: Design,
     group: str = "subject_room_id",
     quantity: str = "copies_max",
-    rounds: int = 25,
-    tolerance: float = 1e-3,
+    rounds: int = 500,
+    tolerance: float = 1e-4,
 ) -> RoomFit:
     """Hurdle lognormal with room-level effects.
 
@@ -226,6 +244,7 @@ def fit_rooms_lognormal(
     base = products.agg(F.sum("y"), F.sum("yy"), F.sum("n"), F.count(F.lit(1))).first()
     total, rooms = float(base[2]), float(base[3])
     intercept, spread = base[0] / total, np.eye(p)
+    ahead = Accelerated(spread)
     sigma2 = max(base[1] / total - intercept**2, 1e-6)
     intercept_sd = 1.0
     second = [f"s{i}_{j} double" for i, j in _triangle(p)]
@@ -241,17 +260,20 @@ def fit_rooms_lognormal(
         moved = (left / sigma2 - intercept) / (schur / sigma2 + 1.0)
         intercept_sd = float(1.0 / np.sqrt(schur / sigma2 + 1.0))
         update = _shrunk_spread(moment, rooms)
-        change = max(abs(moved), float(np.max(np.abs(update - spread))))
-        intercept, spread, sigma2 = intercept + moved, update, max(residual / total, 1e-9)
+        change = max(abs(moved), float(np.max(np.abs(update - spread))) / float(np.max(np.abs(update))), abs(residual / total / sigma2 - 1))
+        intercept, spread, sigma2 = intercept + moved, ahead.next(update), max(residual / total, 1e-9)
         if change < tolerance:
             break
+    else:
+        _unsettled(rounds, change)
+    spread = update
     kind = products.schema[group].dataType.simpleString()
     effects = products.mapInPandas(
         _gaussian_effects(p, np.linalg.inv(spread), intercept, sigma2, group), _effect_schema(group, kind, p)
     )
     return RoomFit(
         design, group, "hurdle_lognormal", float(intercept), intercept_sd, spread, cut_lineage(effects),
-        sigma=float(np.sqrt(sigma2)), hurdle=float(share[0]), rows=float(share[1]),
+        sigma=float(np.sqrt(sigma2)), hurdle=float(share[0]), rows=float(share[1]), converged=change < tolerance,
     )
 
 
@@ -284,8 +306,8 @@ def _gaussian_moments(p: int, precision: np.ndarray, intercept: float, sigma2: f
 def _gaussian_effects(p: int, precision: np.ndarray, intercept: float, sigma2: float, group: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            _, _, v, u = _gaussian_posterior(batch, p, precision, intercept, sigma2)
-            yield _effect_rows(batch[group], group, u, v)
+            h, _, v, u = _gaussian_posterior(batch, p, precision, intercept, sigma2)
+            yield _effect_rows(batch[group], group, u, -np.einsum("rij,rj->ri", v, h[:, :, 0]) / sigma2, v)
 
     return run
 
@@ -315,6 +337,8 @@ def room_draws(fit: RoomFit, count: int) -> DataFrame:
                 uniform = (steps[None, :, :p] + _vectors(part, "s", p)[:, None, :]) % 1.0
                 z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
                 values = _vectors(part, "u", p)[:, None, :] + np.einsum("rij,rdj->rdi", lower, z)
+                # A room moves with the intercept's draw, so the two keep their covariance.
+                values += _vectors(part, "b", p)[:, None, :] * (common - intercept)[None, :, None]
                 values[:, :, 0] += common[None, :]
                 data = {
                     group: np.repeat(part[group].to_numpy(), count),
