@@ -137,7 +137,7 @@ def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix of bytes with a leading space) of words of equal length, some thousand together."""
     words = words.cast(pa.large_string())
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], np.uint8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
     size = np.diff(offsets)
     order = np.argsort(size, kind="stable")
     cuts = np.flatnonzero(np.diff(size[order])) + 1
@@ -160,12 +160,12 @@ def _trie(pieces: list[bytes]) -> Trie:
 
 def word_scores(words: pa.Array, pieces: list[bytes], score: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability, all segmentations summed."""
-    out = np.zeros(len(words))
+    out, trie = np.zeros(len(words)), _trie(pieces)
     for rows, matrix in _by_length(words):
         if matrix.shape[1] <= LONG + 1:
-            out[rows] = forward(_trie(pieces), matrix, score)[-1]
+            out[rows] = forward(trie, matrix, score)[-1]
         else:
-            out[rows[0]] = _long_word(_trie(pieces), matrix[0], score)
+            out[rows[0]] = _long_word(trie, matrix[0], score)
     return out
 
 
@@ -264,14 +264,14 @@ def fit(counts: DataFrame, pieces: list[bytes], start: np.ndarray, rounds: int =
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], score=score) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(score))
+            total, trie = np.zeros(len(score)), _trie(pieces)
             for batch in batches:
                 weight = batch.column(1).to_numpy().astype(float)
                 for rows, matrix in _by_length(batch.column(0)):
                     if matrix.shape[1] <= LONG + 1:
-                        total += expected(_trie(pieces), matrix, score, weight[rows])
+                        total += expected(trie, matrix, score, weight[rows])
                     else:
-                        total += _long_expected(_trie(pieces), matrix[0], score, weight[rows[0]])
+                        total += _long_expected(trie, matrix[0], score, weight[rows[0]])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
 
@@ -286,6 +286,18 @@ def fit(counts: DataFrame, pieces: list[bytes], start: np.ndarray, rounds: int =
     return score, end
 
 
+def _least_count(table: DataFrame) -> int:
+    """Least count at which at most ``HEAD`` words are left, from a histogram over powers of the eighth root of two."""
+    step = F.floor(F.log2("total") * 8).cast("long").alias("step")
+    left, least = 0, 2**62
+    for step, n in sorted(((r.step, r.n) for r in table.groupBy(step).agg(F.count("*").alias("n")).collect()), reverse=True):
+        left += n
+        if left > HEAD:
+            break
+        least = int(np.ceil(2 ** (step / 8) - 1e-9))
+    return least
+
+
 def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = T.tuned(docs.sparkSession)
@@ -303,7 +315,8 @@ def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUN
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base), pa.array(value)], names=["word", "train", "total", "base", "value"])
 
     table = cut_lineage(counts.select("word", "train", "total").mapInArrow(weigh, "word string, train long, total long, base double, value double"))
-    top = table.orderBy(F.desc("total"), "word").limit(HEAD).select("word", "train", "base", "value").toArrow().combine_chunks()
+    least = _least_count(table)
+    top = table.filter(F.col("total") >= least).select("word", "train", "base", "value").toArrow().combine_chunks()
     # The end token's entry is needed for every text.
     close = table.filter("word = ''").select("train", "base", "value").first() or (0, 0.0, 0.0)
     head = top.column("word").cast(pa.large_string()).combine_chunks() if top.num_rows else pa.array([], pa.large_string())
