@@ -4,7 +4,7 @@ Graded ratings 0 < 1 < ... < g share one weight vector over hashed features;
 ordered thresholds cut its score: P(grade <= j) = logistic(t_j - s). The expected
 grade and the tail probability P(grade >= j) select documents.
 
-Features are the presence of words, of their first three and five letters, of
+Features are the presence of words, of their first three, four and five bytes, of
 each word's closing signs, of spelling in capitals, and how often a word
 follows itself; each hashes to one of ``2**BITS`` weights. The model is fitted on at
 most ``FITTED`` labelled rows (smallest hashes of the id); everything is scored.
@@ -27,11 +27,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tracelight.llm import text as T
 
-BITS = 18
+BITS = 22
 FITTED = 12_000
 #: Features that fewer fitted rows hold carry no weight.
-SEEN = 4
-EPOCHS, BATCH, RATE, PENALTY = 20, 128, 0.05, 2e-5
+SEEN = 8
+EPOCHS, BATCH, RATE, PENALTY = 16, 128, 0.02, 1e-3
 REPEATS = (0.02, 0.1, 0.3)
 
 
@@ -40,7 +40,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     small = T.LOWER[data]
     starts, ends, rows = T.words(small, offsets, T.ALNUM)
     groups = [(T.word_hashes(small, starts, ends), rows)]
-    for n, salt in ((3, 11), (5, 13)):
+    for n, salt in ((3, 11), (4, 12), (5, 13)):
         long = ends - starts > n
         groups.append((T.word_hashes(small, starts[long], starts[long] + n) + np.uint64(salt), rows[long]))
     # Whole words with their signs and capitals.
@@ -82,19 +82,25 @@ class Ordinal:
 
 
 def fit_rows(feature: np.ndarray, start: np.ndarray, grade: np.ndarray, grades: int) -> Ordinal:
-    """Penalised maximum likelihood by Adam over the rows; row i has feature[start[i] : start[i + 1]]."""
-    seen = np.bincount(feature, minlength=1 << BITS)
+    """Maximum likelihood with an absolute penalty, by Adam over the rows; row i has feature[start[i] : start[i + 1]]."""
+    names, feature, seen = np.unique(feature, return_inverse=True, return_counts=True)
     used = seen >= min(SEEN, max(1, len(grade) // 50))
     share = np.array([(grade < j).mean() for j in range(1, grades + 1)]).clip(0.01, 0.99)
     base = np.log(share / (1 - share))
     # Thresholds stay ordered: a first one and positive steps.
     step = np.append(base[0], np.log(np.maximum(0.05, np.diff(base))))
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(len(names))
     m, v, ms, vs = np.zeros_like(weights), np.zeros_like(weights), np.zeros(grades), np.zeros(grades)
     rng, turn = np.random.default_rng(11), 0
     size = np.diff(start)
-    for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(len(grade)), max(1, len(grade) // BATCH)):
+    kept = used[feature]
+    feature, owners = feature[kept], np.repeat(np.arange(len(grade)), size)[kept]
+    start = np.searchsorted(owners, np.arange(len(grade) + 1))
+    size = np.diff(start)
+    batches = max(1, len(grade) // BATCH)
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        for rows in np.array_split(rng.permutation(len(grade)), batches):
             turn += 1
             n = size[rows]
             f = feature[np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -106,15 +112,20 @@ def fit_rows(feature: np.ndarray, start: np.ndarray, grade: np.ndarray, grades:
             p = np.maximum(high - low, 1e-9)
             dlow, dhigh = low * (1 - low) / p, high * (1 - high) / p
             ds = (dhigh - dlow) / len(rows)  # of the negative log likelihood
-            g = np.bincount(f, ds[owner], 1 << BITS) * used + PENALTY * weights
+            g = np.bincount(f, ds[owner], len(names))
             dcut = np.array([(dlow * (grade[rows] == j + 1) - dhigh * (grade[rows] == j)).sum() for j in range(grades)]) / len(rows)
             gs = np.append(dcut.sum(), [dcut[j:].sum() * np.exp(step[j]) for j in range(1, grades)])
             a, b = 1 - 0.9**turn, 1 - 0.999**turn
             for x, grad, mm, vv in ((weights, g, m, v), (step, gs, ms, vs)):
                 mm += 0.1 * (grad - mm)
                 vv += 0.001 * (grad**2 - vv)
-                x -= RATE * (mm / a) / (np.sqrt(vv / b) + 1e-6)
-    return Ordinal(weights.astype(np.float32), np.append(step[0], step[0] + np.cumsum(np.exp(step[1:]))))
+                scale = rate / (np.sqrt(vv / b) + 1e-5)
+                x -= scale * (mm / a)
+                if x is weights:
+                    x[:] = np.sign(x) * np.maximum(np.abs(x) - scale * PENALTY, 0)
+    whole = np.zeros(1 << BITS, np.float32)
+    whole[names] = weights
+    return Ordinal(whole, np.append(step[0], step[0] + np.cumsum(np.exp(step[1:]))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, grades: int = 2, fitted: int = FITTED) -> Ordinal:
@@ -165,6 +176,9 @@ def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def quality_grades(labels: DataFrame) -> DataFrame:
-    """Grades of the labels table: 0 poor, 1 sound but toxic, 2 sound and clean."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    """Grades of the labels table: 0 toxic, 1 harmless but poor, 2 sound and clean.
+
+    Toxic is the lowest: the more toxic words, the lower the score, without an end.
+    """
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     return labels.select("doc_id", grade.alias("grade"))

@@ -54,7 +54,7 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = ordinal.fit(docs, ordinal.quality_grades(_table(spark, folder, "labels")))
     tail = F.col("tails")
     return ordinal.graded(docs, model).select(
-        "given.doc_id", "score", "expected_grade", tail[0].alias("p_sound"), tail[1].alias("p_clean"), (tail[1] >= 0.5).alias("kept")
+        "given.doc_id", "score", "expected_grade", tail[0].alias("p_harmless"), tail[1].alias("p_clean"), (tail[1] >= 0.5).alias("kept")
     )
 
 
