@@ -42,7 +42,7 @@ ANCHOR = 6
 #: One document in this many shows which anchors are hot.
 SAMPLED = 64
 #: Bytes of hash for a window.
-DIGEST = 5
+DIGEST = 4
 PIECE = "anchor long, doc_id long, place long, digests binary"
 
 
