@@ -33,24 +33,20 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """Words of a text with A-Z in lower case (other letters stay as they are)."""
+def parts(text: Column) -> Column:
+    """Words of a text with A-Z in lower case (other letters stay as they are), and an empty part where a separator opens or closes it."""
+    text = F.coalesce(text, F.lit(""))
     # lower() may change letters beyond A-Z, so only plain ASCII texts take it.
-    small = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, SMALL)).otherwise(F.lower(text))
-    parts = F.split(small, SEPARATOR)
-    # Only the first and the last part can be empty.
-    parts = F.when(F.element_at(parts, 1) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return F.split(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, SMALL)).otherwise(F.lower(text)), SEPARATOR)
 
 
-def _words(text: Column) -> Column:
-    """``words`` for any text: the empty and the wordless one have none."""
-    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, words(text)).otherwise(F.array().cast("array<string>"))
+def words(text: Column) -> Column:
+    return F.filter(parts(text), lambda x: x != "")
 
 
 def phrases(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(phrase, words) of all distinct windows, and (phrase, item_id) of the items that hold them."""
-    listed = items.select(F.col("item_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    listed = items.select(F.col("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = listed.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), size).alias("words"))
     each = cut_lineage(each.select("item_id", F.concat_ws(" ", "words").alias("phrase"), "words").distinct())
@@ -58,11 +54,14 @@ def phrases(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, pos) of the corpus for the given terms, kept while they stream past."""
+    """(term, doc_id, pos) of the corpus for the given terms, kept while they stream past.
+
+    Positions of a text that opens with a separator start at 1, for all its terms alike.
+    """
     held = terms.select("term")
     if held.count() <= BROADCAST_TERMS:
         held = F.broadcast(held)
-    every = docs.select("doc_id", F.posexplode(_words(F.col("text"))).alias("pos", "term"))
+    every = docs.select("doc_id", F.posexplode(parts(F.col("text"))).alias("pos", "term"))
     return every.join(held, "term").select("term", "doc_id", "pos")
 
 
@@ -77,7 +76,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[DataFrame,
     terms = cut_lineage(places.select("term").distinct())
 
     # Only the names of the terms meet the corpus here; every task sends one count for each.
-    found = docs.select(F.explode(_words(F.col("text"))).alias("term"))
+    found = docs.select(F.explode(parts(F.col("text"))).alias("term"))
     held = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     counts = found.join(held, "term").groupBy("term").agg(F.count("*").alias("n"))
     counted = places.join(cut_lineage(counts), "term", "left").fillna(0, ["n"])
@@ -112,7 +111,7 @@ def near_matches(docs: DataFrame, items: DataFrame, terms: int = 3, within: int
     of fewer distinct words use all they have.
     """
     docs = T.keyed_texts(docs)
-    words_ = items.select("item_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    words_ = items.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     index = postings(docs, words_.select("term").distinct())
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")
@@ -142,7 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     listed = found.select("doc_id", "phrase").join(owners, "phrase").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     listed = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     marked = cut_lineage(hit.join(listed, "doc_id", "left"))
-    counted = texts.select("doc_id", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
+    counted = texts.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(marked, "doc_id", "left").select(
         T.given_id(), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
