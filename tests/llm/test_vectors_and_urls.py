@@ -44,6 +44,21 @@ def test_nearest_by_inner_product(spark):
     assert all(np.isclose(s, dict(want[q])[v]) for q in got for _, v, s in got[q] if v in dict(want[q]))
 
 
+def test_measured_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2500, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in dimension_scan.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = []
+    for q in range(0, 2500, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.9
+
+
 def test_few_vectors_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     few = dimension_scan.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5])], kind), F.col("vec_id") % 20 == 0)

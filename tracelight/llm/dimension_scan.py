@@ -16,6 +16,9 @@ Equal vectors are one class, searched once, whatever its size; of a class only t
 most ``BLOCK`` vectors, and the queries of a list into parts of as many, so no task
 holds more than one block of each.
 
+How many lists a query probes is measured: on the sample, the fewest nearest lists
+that hold ``RECALL`` of the true neighbours of some sampled vectors.
+
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, as queries or as candidates. Rows that repeat
 an id count as one if their vectors are equal; with different vectors, that of the
@@ -35,9 +38,10 @@ from tracelight.session import cut_lineage
 
 #: Vectors that k-means is fitted on, at most.
 FITTED = 20_000
-#: Lists for n distinct vectors: the square root of n, at most this many; the share of lists that a query probes.
-LISTS, PROBED = 4096, 0.2
-LEAST_PROBED = 12
+#: Lists for n distinct vectors: the square root of n, at most this many.
+LISTS = 4096
+#: Recall that the probed lists must reach on the sample, the sampled queries for it, and the fewest lists probed.
+RECALL, ASKED, LEAST_PROBED = 0.96, 256, 12
 BLOCK = 2048
 #: Columns in a block; standard errors beyond which a partial distance is abandoned.
 COLUMNS, DOUBT = 16, 2.1
@@ -75,6 +79,21 @@ def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, norm**2 - (x**2).sum(1)))])
 
 
+def _probes(sample: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int) -> int:
+    """Lists to probe so that ``queries`` (unlifted) find ``RECALL`` of their ``k`` nearest in the (lifted) sample."""
+    if not len(queries):
+        queries = sample[:: max(1, len(sample) // ASKED), :-1]
+    asked = np.column_stack([queries, np.zeros(len(queries))])
+    half = (centre**2).sum(1) / 2
+    own = np.concatenate([(sample[a : a + 4096] @ centre.T - half).argmax(1) for a in range(0, len(sample), 4096)])
+    score = asked @ sample.T
+    k = min(k + 1, len(sample))  # a query's own copy in the sample counts too
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(half - asked @ centre.T, axis=1), axis=1)  # of each list, from the nearest on
+    needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
+
+
 def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, norm: float, k: int, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate id, inner product) of the ``k`` nearest found for each query among one block of vectors."""
     n = x.shape[1] + 1
@@ -103,8 +122,11 @@ def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, norm: float, k: int, rot
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that the column ``is_query`` (on vec_id) selects, its ``k`` nearest found."""
+def nearest(vectors: DataFrame, is_query, k: int = 20, probed: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that the column ``is_query`` (on vec_id) selects, its ``k`` nearest found.
+
+    ``probed`` is the share of lists to probe; None measures it.
+    """
     spark = T.tuned(vectors.sparkSession)
     hashed = usable(vectors).select("vec_id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
     rows = cut_lineage(hashed.groupBy("vec_id").agg(F.min(F.struct("a", "b", "v")).alias("x")).select("vec_id", "x.*"))
@@ -127,7 +149,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED) -
     lists = int(max(1, min(LISTS, count**0.5, len(sample))))
     centre = _centroids(sample, lists)
     rotation = _rotation(centre.shape[1])
-    probes = min(lists, max(LEAST_PROBED, int(np.ceil(lists * probed))))
+    wanted = _probes(sample, sample[:0, :-1], centre, k) if probed is None else int(np.ceil(lists * probed))
+    probes = min(lists, max(LEAST_PROBED, wanted))
 
     def assign(n: int, lifted: bool):
         def run(frames):
