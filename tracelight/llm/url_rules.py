@@ -46,6 +46,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def host_key(host: Column) -> Column:
     """Labels from the last to the first, each closed by a separator that no label holds."""
+    host = F.translate(host, "\x01\x02", "\x03\x03")
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
