@@ -1,6 +1,6 @@
 """Null-safe equi-joins that stay balanced when one key holds much of the data.
 
-No side is broadcast on trust. Spark picks a broadcast by measured size
+No side is broadcast on trust: a short lookup is counted first, otherwise Spark picks a broadcast by measured size
 (``spark.sql.autoBroadcastJoinThreshold``, re-checked at run time by adaptive
 execution) and a shuffle join beyond it. A key with more than ``slice_rows``
 left rows is cut into slices first, so no shuffle partition grows with it.
@@ -14,7 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.session import cut_lineage
+
 SLICE_ROWS = 5_000_000
+#: Rows of a lookup that may be sent to every task.
+LOOKUP_ROWS = 50_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -100,13 +104,17 @@ def group_lookup(df: DataFrame, source: DataFrame, keys: Sequence[str], stats: d
     return keyed_join(df, source.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
-def distinct_lookup(df: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def distinct_lookup(
+    df: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str], most: int = LOOKUP_ROWS
+) -> DataFrame:
     """Left join distinct (keys, columns) rows; a key with several rows fans out.
 
-    Every key of a short lookup is heavy, so slicing would not help: Spark
-    broadcasts the lookup while it is small and splits skewed partitions beyond.
+    Every key of a short lookup is heavy, so slicing would not help. The lookup is
+    written and counted: up to ``most`` rows go to every task, and nothing of ``df`` is
+    shuffled; beyond that adaptive execution splits skewed partitions.
     """
-    return keyed_join(df, source.select(*keys, *columns).distinct(), keys)
+    lookup = cut_lineage(source.select(*keys, *columns).distinct())
+    return keyed_join(df, F.broadcast(lookup) if lookup.count() <= most else lookup, keys)
 
 
 def one_per_key(source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

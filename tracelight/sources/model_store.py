@@ -11,12 +11,12 @@ from tracelight.schemas import DRAWS
 def write_draws(draws: DataFrame, path: str, compression: str = "zstd") -> None:
     """Add or replace the models present in ``draws``; other models are kept.
 
-    Rows are spread by model and parameter, so the many parameters of a room-level
-    model do not land in one file writer.
+    Rows are spread by model and parameter and rebalanced by size, so neither the many
+    parameters of a room-level model nor a very long parameter land in one file writer.
     """
     (
         draws.select(*DRAWS.fieldNames())
-        .repartition("model_name", "param")
+        .hint("rebalance", "model_name", "param")
         .sortWithinPartitions("param", "draw")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
