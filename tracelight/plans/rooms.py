@@ -99,8 +99,8 @@ def fit_rooms(
     design: Design,
     group: str = "subject_room_id",
     outcome: str = "scv2_detected",
-    rounds: int = 300,
-    tolerance: float = 1e-4,
+    rounds: int = 120,
+    tolerance: float = 5e-4,
     start: float = 1.0,
 ) -> RoomFit:
     """Bernoulli outcome with room-level effects of every design column.
