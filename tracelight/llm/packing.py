@@ -75,8 +75,10 @@ class Grouping:
         self.sizes, self.capacity = sizes, capacity
         self.of = np.full(len(sizes), -1, np.int64) if of is None else of
 
-    def fit(self, items: np.ndarray) -> None:
-        """Best fit: every item, large ones first, into the bin that it leaves fullest."""
+    def fit(self, items: np.ndarray, together: int | None = None) -> None:
+        """Best fit: every item into the bin that it leaves fullest, large ones first among each ``together`` items."""
+        parts = [items] if together is None else np.array_split(items, max(1, len(items) // together))
+        items = np.concatenate([part[np.argsort(-self.sizes[part], kind="stable")] for part in parts])
         used = int(self.of.max(initial=-1)) + 1
         placed = self.of >= 0
         load = np.bincount(self.of[placed], self.sizes[placed], used).astype(np.int64).tolist()
@@ -86,8 +88,7 @@ class Grouping:
         for b, x in enumerate(load):
             by_room[self.capacity - x].append(b)
             has |= 1 << (self.capacity - x)
-        for i in items[np.argsort(-self.sizes[items], kind="stable")].tolist():
-            size = int(self.sizes[i])
+        for i, size in zip(items.tolist(), self.sizes[items].tolist(), strict=True):
             fits = has >> size
             if fits:
                 room = size + (fits & -fits).bit_length() - 1
@@ -134,8 +135,7 @@ class Grouping:
         child = Grouping(self.sizes, self.capacity, dense)
         items = np.flatnonzero(displaced)
         items = items[np.argsort(-self.sizes[items] * (1 + ERROR * rng.standard_normal(len(items))), kind="stable")]
-        for part in np.array_split(items, max(1, len(items) // TOGETHER)):
-            child.fit(part)
+        child.fit(items, TOGETHER)
         return child
 
 
@@ -147,9 +147,7 @@ def _evolve(sizes: np.ndarray, capacity: int, elite: list[np.ndarray], seed: int
     while len(people) < POPULATION:
         new = Grouping(sizes, capacity)
         if people:  # part of the items is placed first, in random order
-            some = rng.permutation(len(sizes))[: len(sizes) // 4]
-            for part in np.array_split(some, max(1, len(some) // 64)):
-                new.fit(part)
+            new.fit(rng.permutation(len(sizes))[: len(sizes) // 4], TOGETHER)
         new.fit(np.flatnonzero(new.of < 0))
         people.append(new)
         if new.bins() <= least:
