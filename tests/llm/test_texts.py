@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm.conftest import PASSAGE, corpus
 from tracelight.llm import decontaminate, lempel_ziv, near_dup, ordinal
+from tracelight.llm import text as T
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -49,6 +50,29 @@ def test_hot_anchors_go_by_window(spark, docs, monkeypatch):
     assert {r.doc_id: r.n_removed for r in found} == {i: 0 if i == 0 else 62 for i in range(3000)}
 
 
+def test_windows_that_agree_on_half_a_hash_are_no_copies(spark):
+    rng = np.random.default_rng(4)
+    names = [f"v{i}" for i in range(500)]
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    starts, ends, _ = T.words(data, np.array([0, len(data)]), T.SPACE)
+    hashes = T.word_hashes(data, starts, ends)
+    # An anchor that is nearly always the smallest, then many windows that begin with it.
+    heads = rng.integers(0, 500, (20_000, lempel_ziv.ANCHOR))
+    powers = T.powers(T.STEP, 20)[:20]
+    head = heads[np.argmin(T.mixed((hashes[heads] * powers[: lempel_ziv.ANCHOR]).sum(axis=1)))]
+    rows = np.concatenate([np.tile(head, (300_000, 1)), rng.integers(0, 500, (300_000, 20 - len(head)))], axis=1)
+    whole = T.mixed(sum(hashes[rows[:, k]] * powers[k] for k in range(20)))
+    low = whole & np.uint64(2**32 - 1)
+    order = np.argsort(low)
+    at = np.flatnonzero((low[order][1:] == low[order][:-1]) & (whole[order][1:] != whole[order][:-1]))
+    pairs = [(order[i], order[i + 1]) for i in at]
+    pairs = [p for p in pairs if all(lempel_ziv._anchors(hashes[rows[x]], 20)[1][0] == 0 for x in p)]
+    assert pairs
+    texts = [" ".join(names[i] for i in rows[x]) for x in pairs[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in lempel_ziv.without_copies(frame, 20).collect()] == [0, 0]
+
+
 def brute_groups(rows, size, threshold=80):
     sets = {}
     for i, t in by_id(rows):

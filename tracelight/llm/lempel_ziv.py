@@ -42,7 +42,7 @@ ANCHOR = 6
 #: One document in this many shows which anchors are hot.
 SAMPLED = 64
 #: Bytes of hash for a window.
-DIGEST = 4
+DIGEST = 8
 PIECE = "anchor long, doc_id long, place long, digests binary"
 
 
@@ -243,7 +243,9 @@ def without_copies(docs: DataFrame, window: int = 20) -> DataFrame:
                 names=["given", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    rows = docs.select(F.struct("*").alias("given"), *(F.col(c) for c in ("doc_id", "text")))
-    rows = T.keyed_texts(rows, "given").join(duplicate_spans(docs, window), "doc_id", "left").select("given", "text", "spans")
+    rows = docs.select(F.struct("*").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NO_ID)).alias("doc_id"))
+    # The text travels inside ``given`` alone.
+    text = F.coalesce(F.col("given.text"), F.lit("")).alias("text")
+    rows = rows.join(duplicate_spans(docs, window), "doc_id", "left").select("given", text, "spans")
     schema = StructType([rows.schema["given"]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
     return rows.mapInArrow(run, schema)
