@@ -120,3 +120,24 @@ def test_licences_and_their_directories(spark):
     assert got == {1: ("MIT", "MIT", "own", None), 2: mit, 3: ("Apache-2.0", "Apache-2.0", "own", None), 4: none, 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "own", None),
                    6: none, 7: gpl, 8: none, 9: ("GPL-3.0", "GPL-3.0", "own", None), 10: gpl}
     assert licenses.scan(files.filter("id < 0"), known).count() == 0
+
+
+def test_pages_state_and_inherit_licences(spark):
+    from tracelight.llm.queries import QUERIES
+
+    prose = "<p>once upon a time there was a <b>river</b> and a bridge</p>"
+    rows = [
+        (1, "http://a.org/x/1", f"<title>t</title>{prose}<p>Licensed\nunder <a href='u'>CC BY 4.0</a>.</p><footer>&copy; a.org</footer>"), (2, "http://a.org/x/2", prose),
+        (3, "http://b.org/x/1", f"<!-- Released under the MIT License. -->{prose}"), (4, "http://b.org/x/y/2", prose),
+        (5, "http://c.org/1", f"<script>/*\n * Some code\n *\n * Licensed under the Apache License,\n * Version 2.0.\n */ f()</script>{prose}"), (6, "http://c.org/2", prose),
+        (7, "http://d.org/1", f"{prose}<p>Licensed under CC BY-NC 4.0.</p>{prose}"), (8, "http://d.org/2", prose), (9, "http://e.org/1", None),
+        (10, "http://f.org/1", f"{prose}<footer>all that was ever told of this river by <a>Licensed under CC BY-SA 4.0.</a> and others</footer>"), (11, "http://f.org/2", ""),
+    ]
+    known = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: (r.licence, r.origin) for r in licenses.scan(licenses.page_files(pages), known).collect()}
+    assert got == {1: ("CC-BY-4.0", "own"), 2: ("CC-BY-4.0", "inherited"), 3: ("MIT", "own"), 4: ("MIT", "inherited"), 5: ("Apache-2.0", "own"), 6: ("Apache-2.0", "inherited"),
+                   7: ("CC-BY-NC-4.0", "own"), 8: (None, None), 9: (None, None), 10: ("CC-BY-SA-4.0", "own"), 11: ("CC-BY-SA-4.0", "inherited")}
+    given = QUERIES["op6_licence_scan"](spark, "/root/testdata/sf0.1").groupBy("origin").count().collect()
+    print({r.origin: r["count"] for r in given})
+    assert all({r.origin: r["count"] for r in given}.get(o) for o in ("own", "inherited"))

@@ -46,7 +46,13 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved. No part may be reproduced without permission."),
 ]
-TAGS = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
+# What a page does not show, its comments, the tags inside a line of text, and the other tags.
+HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
+COMMENTS = r"(?s)<!--.*?-->|/\*.*?\*/|(?m:^[ \t]*//[^\n]*(?:\n[ \t]*//[^\n]*)*)"
+INLINE = r"(?i)</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|img|ins|kbd|mark|nobr|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(?=[\s/>])[^>]*>"
+FOOTER, TAGS = r"(?i)<footer\b[^>]*>", r"<[^>]*>"
+#: In the text of a page: a tag inside a line, the start of a footer.
+INSIDE, FOOT = "\x02", "\x03"
 
 
 def terms(text: Column) -> Column:
@@ -128,13 +134,40 @@ def scan(files: DataFrame, templates: DataFrame, alike: float = ALIKE) -> DataFr
     )
 
 
+def _whole(lines: Column) -> Column:
+    """Lines without the marks of the tags inside them."""
+    return F.translate(lines, INSIDE + FOOT, "")
+
+
+def _pieces(lines: Column) -> Column:
+    """Of lines that have tags inside: what stands between these, a line each."""
+    cut = F.regexp_extract_all(lines, F.lit(rf"(?<![^\n])[^\n{INSIDE}]*+{INSIDE}[^\n]*"), F.lit(0))
+    return F.translate(F.array_join(cut, "\n"), INSIDE + FOOT, "\n")
+
+
 def page_files(pages: DataFrame) -> DataFrame:
-    """Web pages as files: the url's host and path, and the visible text, one block for each element; the title is the header."""
+    """Web pages as files: the url's host and path, and the text, one block for each element and each text inside a line's tag.
+
+    Header blocks: the title, the comments (of scripts and styles too), the last block before the footer, the footer.
+    """
     host, path = host_and_path(F.col("url"))
-    html = F.coalesce("html", F.lit(""))
-    # The title first, so that it is block 0.
-    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", ""), TAGS, "\n")
-    text = F.when(F.col("html").isNotNull(), F.concat(F.when(title == "", "-").otherwise(title), F.lit("\n"), body))
+    html = F.translate(F.coalesce("html", F.lit("")), "\r\x01\x02\x03", "    ")
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    hidden = F.array_join(F.regexp_extract_all(html, F.lit(HIDDEN), F.lit(0)), "\n")
+    hidden = F.regexp_replace(hidden, r"(?i)(<script\b[^>]*>\s*)<!--", "$1")  # an old way to open a script
+    notes = F.array_join(F.regexp_extract_all(hidden, F.lit(COMMENTS), F.lit(0)), "\n\n")
+    # Only an empty line closes a block inside an element or a comment.
+    notes = F.translate(F.regexp_replace(F.regexp_replace(notes, r"\n[\s*/]*\n", "\x01"), r"\s+", " "), "\x01", "\n")
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", ""), r"\n(?!\s*\n)", " ")
+    for what, by in ((HIDDEN, ""), (INLINE, INSIDE), (FOOTER, f"\n{FOOT}\n"), (TAGS, "\n")):
+        body = F.regexp_replace(body, what, by)
+    parts = pages.select("page_id", "html", "url", title.alias("title"), notes.alias("notes"), body.alias("body"))
+    foot = F.when(F.contains("body", F.lit(FOOT)), F.substring_index("body", FOOT, -1)).otherwise("")
+    main = F.rtrim(F.substr("body", F.lit(1), F.length("body") - F.length(foot)), F.lit(f" \n\t\f\v{INSIDE}{FOOT}"))
+    ends = F.concat(F.substring_index(main, "\n", -1), F.lit("\n"), foot)
+    # The header first, so that its blocks are the first.
+    head = F.concat_ws("\n", F.when(F.col("title") == "", "-").otherwise(F.col("title")), "notes", _whole(ends), _pieces(ends))
+    parts = parts.withColumn("head", F.filter(F.split(head, r"\s*\n\s*"), lambda x: x != ""))
+    text = F.concat_ws("\n", F.array_join("head", "\n"), _whole(F.col("body")), _pieces(F.col("body")))
     where = F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path)))
-    return pages.select(F.col("page_id").alias("id"), where.alias("path"), text.alias("text"), F.lit(1).alias("header_blocks"))
+    return parts.select(F.col("page_id").alias("id"), where.alias("path"), F.when(F.col("html").isNotNull(), text).alias("text"), F.size("head").alias("header_blocks"))
