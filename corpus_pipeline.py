@@ -1,15 +1,14 @@
 """From raw documents to packed sequences: stages that each write a table and read it back.
 
 Every stage works on all rows its predecessor kept and returns the columns of
-``documents``; the last returns token pieces in sequences. Null ids are kept apart
-from all others; null text counts as empty.
+``documents``; the last returns token pieces in sequences. Every row is a document
+of its own, also where ids are null or repeated; null text counts as empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelight.llm import decontaminate, lempel_ziv, near_dup, ordinal, packing
 from tracelight.llm import text as T
@@ -21,8 +20,26 @@ CLEAN = 0.5
 PASSAGE, PHRASE = 50, 10
 
 
-def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NO_ID))
+#: The given id, where ``doc_id`` is a key.
+GIVEN_ID = "given doc_id"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows as a written table: ``row``, a number of its own, and ``given``."""
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("given")))
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``GIVEN_ID`` and another ``doc_id``: the given one if no other row has it, else a number below all those."""
+    rows, given = _numbered(docs), F.col("given.doc_id").cast("long")
+    ids = rows.select(given.alias("id")).filter("id is not null").groupBy("id").count()
+    repeated = cut_lineage(ids.filter("count > 1").select("id", F.lit(True).alias("again")))
+    # Null ids meet nothing that counts, and so are spread.
+    rows = rows.withColumn("id", F.coalesce(given, F.xxhash64("row"))).join(repeated, "id", "left")
+    alone = given.isNotNull() & F.col("again").isNull() & (given > -(2**62))
+    key = F.when(alone, given).otherwise(F.col("row") + F.lit(T.NO_ID + 1))
+    fields = [F.col("given").getField(c).alias(c) for c in docs.columns if c != "doc_id"]
+    return rows.select(key.alias("doc_id"), F.col("given.doc_id").alias(GIVEN_ID), *fields)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +50,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8; one row of each id."""
-    kept = near_dup.near_duplicates(docs, size=5, threshold=80).filter("kept").select(_key().alias("k"))
-    rows = docs.select(_key().alias("k"), F.struct("*").alias("given")).join(kept, "k", "left_semi")
-    order = Window.partitionBy("k").orderBy(F.xxhash64("given"))
-    return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("given.*")
+    """One row of each group of near duplicates, that of the smallest id: five words, similarity 0.8."""
+    rows = _numbered(docs)
+    found = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "given.text"), size=5, threshold=80)
+    ids = rows.select("row", F.coalesce(F.col("given.doc_id").cast("long"), F.lit(T.NO_ID)).alias("id"))
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select("given.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; what is left empty goes."""
-    found = lempel_ziv.without_copies(docs, PASSAGE).filter("n_removed < n_words or n_removed = 0")
+    found = lempel_ziv.without_copies(_apart(docs), PASSAGE).filter("n_removed < n_words or n_removed = 0")
     text = F.coalesce("kept_text", F.col("given.text"))
-    fields = [F.col("given").getField(c) for c in docs.columns]
+    fields = [F.col("given").getField(GIVEN_ID if c == "doc_id" else c) for c in docs.columns]
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("given.n_chars"))}
     return found.select(*[new.get(c, f).alias(c) for c, f in zip(docs.columns, fields, strict=True)])
 
@@ -52,9 +71,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.hits(T.keyed_texts(docs), items, PHRASE)[0].select(F.col("doc_id").alias("k")).distinct()
-    rows = docs.select(_key().alias("k"), F.struct("*").alias("given"))
-    return rows.join(hit, "k", "left_anti").select("given.*")
+    rows = _numbered(docs)
+    texts = T.keyed_texts(rows.select(F.col("row").alias("doc_id"), "given.text"))
+    hit = decontaminate.hits(texts, items, PHRASE)[0].select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(hit, "row", "left_anti").select("given.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
