@@ -26,6 +26,24 @@ def test_encoder_equals_the_library():
         assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == [whole(path, t) for t in some]
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    fresh = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> hi", "a<|endoftext|>b", "a <|endoftext|>", "<|endoftext|>!\n<|endoftext|> <|endoftext|", *ODD, *[t for _, t in corpus()]]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256, 23105]
+    for _ in range(2):
+        ids, at = tokens.encoder(path).encode(pa.array(texts, pa.string()))
+        assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = tokens.token_files(frame).orderBy("start").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in found] == [(len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for w in want]
+    first = {r.doc_id: r.ids_crc32 for r in packing.pack(frame).filter("piece = 0").collect()}
+    assert all(first[i] == zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for i, w in enumerate(want) if len(w) < 1024)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_encoder_on_random_signs(seed):
     rng = np.random.default_rng(seed)

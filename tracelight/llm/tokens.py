@@ -4,7 +4,8 @@
 byte-level vocabularies a text falls into chunks that never share a token: a word
 with the space or the line break before it. Chunks repeat, so a worker keeps the
 ids of those it has met (up to a fixed number). A text with other white space than
-single spaces and line breaks between words is encoded whole.
+single spaces and line breaks between words, or with an added token of the vocabulary
+file (``<|endoftext|>``), is encoded whole.
 """
 
 from __future__ import annotations
@@ -46,8 +47,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         kind = json.loads(self.whole.to_str())
+        # The library looks for these in the whole text, before it is split into words.
+        self.added = sorted({t["content"] for t in kind["added_tokens"]} - {""})
         pre = kind["pre_tokenizer"] or {}
         self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
         self.bare = Tokenizer(self.whole.model)
@@ -137,7 +139,8 @@ class TextEncoder:
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bad_chunk = length < 0
         bad_text = np.add.reduceat(bad_chunk[index], edges[:-1].astype(np.int64)) > 0 if len(index) else np.zeros(0, bool)
-        bad_text |= np.array(pc.match_substring(texts, "\0"))
+        for sign in ("\0", *self.added):
+            bad_text |= np.array(pc.match_substring(texts, sign))
         bad_text &= np.array(pc.binary_length(texts)) > 0
         sizes = np.maximum(length, 0)[index]
         ends = np.cumsum(sizes)
