@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, dimension_scan, lattice, lempel_ziv, licenses, near_dup, ordinal, packing, tokens, url_rules
+from tracelight.llm import decontaminate, dimension_scan, lattice, lempel_ziv, licenses, line_runs, near_dup, ordinal, packing, tokens, url_rules
 from tracelight.llm import text as T
 from tracelight.llm.twins import TWINS
 
@@ -71,6 +71,12 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(T.documents(spark, folder), _table(spark, folder, "benchmark"), 10).drop("ranges")
 
 
+def common_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = T.documents(spark, folder).select("doc_id", "text")
+    frequent = line_runs.frequent_lines(line_runs.batches_of(docs), least=10)
+    return line_runs.without_lines(docs, frequent).select("given.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_lattice": lattice_scores,
     "op2_lempel_ziv_dedup": lempel_ziv_spans,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tensored_minhash": near_duplicates,
     "op9_url_rules": url_verdicts,
     "op10_positional_index": benchmark_hits,
+    "op11_line_runs": common_lines,
 }

@@ -83,9 +83,25 @@ WITH RECURSIVE w AS (
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
 
+_LINES = r"""
+WITH l AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), e AS (
+  SELECT r, doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM l
+), k AS (
+  SELECT r, doc_id, line, i, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM e
+), f AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r
+"""
+
 TWINS: dict[str, str] = {
     "op2_lempel_ziv_dedup": _SPANS,
     "op8_tensored_minhash": _NEAR,
     "op9_url_rules": _URL,
     "op10_positional_index": _HITS,
+    "op11_line_runs": _LINES,
 }
