@@ -52,14 +52,14 @@ def test_levels_are_compacted_and_frequent_keys_are_counted_no_more(spark):
     other = spark.createDataFrame([(i, f"same\nnew {i}\nown 0") for i in range(6)], "doc_id long, text string")
     runs = line_runs.LineRuns(spark, least=5, fanout=2)
     runs.add(batch)
-    assert [len(x) for x in runs.levels] == [1] and not runs.known
+    assert [len(x) for x in runs.levels] == [1] and runs.known is None
     runs.add(other)
     assert [len(x) for x in runs.levels] == [0, 1] and runs.compactions == 1
-    assert [sorted(r.docs for r in k.collect()) for k in runs.known] == [[7, 12]]
+    assert sorted(r.docs for r in runs.known.collect()) == [7, 12]
     for _ in range(2):
         runs.add(batch)
     # "same" and "own 0" meet the frequent run and are in no other one.
-    known = {r.a for r in runs.known[0].collect()}
+    known = {r.a for r in runs.known.collect()}
     assert not known & {r.a for level in runs.levels for run in level for r in run.collect()}
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert runs.frequent().count() == 2

@@ -6,9 +6,9 @@ batch. Its runs are bucketed tables, sorted by hash: all runs have the same buck
 so they are merged and joined in place, without another shuffle.
 
 * A new batch is reduced to one row for each of its keys, merge-anti-joined with the
-  runs of keys that are already frequent, and the rest is added as a run of level 0.
+  run of keys that are already frequent, and the rest is added as a run of level 0.
 * ``FANOUT`` runs of one level are compacted into one of the next: counts are added,
-  keys that reach the threshold move to a frequent run and need no counting any more.
+  keys that reach the threshold move to the frequent run and need no counting any more.
 
 Counts only grow, so a key found frequent stays so, however batches are cut. At the
 end all levels are merged, and ``without_lines`` takes the frequent lines out of
@@ -69,7 +69,7 @@ class LineRuns:
         self.spark, self.least, self.fanout = spark, least, fanout
         self.buckets = T.partitions(spark)
         self.levels: list[list[DataFrame]] = []
-        self.known: list[DataFrame] = []
+        self.known: DataFrame | None = None
         self.compactions = 0
 
     def _run(self, counts: DataFrame) -> DataFrame:
@@ -84,9 +84,7 @@ class LineRuns:
 
     def _unknown(self, counts: DataFrame) -> DataFrame:
         """``counts`` without the keys known to be frequent."""
-        for run in self.known:
-            counts = counts.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
-        return counts
+        return counts if self.known is None else counts.join(self.known.select(*KEY).hint("merge"), KEY, "left_anti")
 
     def add(self, docs: DataFrame) -> None:
         """Count the lines of a new batch: each key once a document."""
@@ -103,32 +101,31 @@ class LineRuns:
             self.levels[level] = []
             self._push(level + 1, merged)
 
+    def _two(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Two runs as one: a merge join of sorted buckets, counts added."""
+        both = left.join(right.withColumnRenamed("docs", "more").hint("merge"), KEY, "full_outer")
+        return self._run(both.select(*KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs")))
+
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """One run of ``runs``, of what is not frequent yet; the keys that now are go to a run of their own."""
+        """One run of ``runs``, of what is not frequent yet; the keys that now are go to the frequent run."""
         self.compactions += 1
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.union(run)
-        counts = self._run(self._unknown(whole).groupBy(*KEY).agg(F.sum("docs").alias("docs")))
-        self.known.append(self._run(counts.filter(F.col("docs") >= self.least)))
-        if len(self.known) >= self.fanout:
-            # Each key is in one of these runs only.
-            known = self.known[0]
-            for run in self.known[1:]:
-                known = known.union(run)
-            self.known = [self._run(known.groupBy(*KEY).agg(F.max("docs").alias("docs")))]
-        return counts.filter(F.col("docs") < self.least)
+        runs = [self._unknown(run) for run in runs]
+        while len(runs) > 1:
+            runs = [self._two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        reached = runs[0].filter(F.col("docs") >= self.least)
+        # A key is in one of these two only.
+        self.known = self._two(self.known, reached) if self.known is not None else self._run(reached)
+        return runs[0].filter(F.col("docs") < self.least)
 
     def frequent(self) -> DataFrame:
         """(a, b, docs) of the lines that ``least`` documents hold; docs is what was counted until a key was known to be frequent."""
         left = [run for level in self.levels for run in level]
         if left:
-            self._push(len(self.levels), self._merged(left))
-            self.levels[:-1] = [[] for _ in self.levels[:-1]]
-        found = self.known[0] if self.known else self.spark.createDataFrame([], "a long, b long, docs long")
-        for run in self.known[1:]:
-            found = found.union(run)
-        return found
+            self.levels = [[] for _ in self.levels]
+            self.levels.append([self._merged(left)])
+        if self.known is None:
+            return self.spark.createDataFrame([], "a long, b long, docs long")
+        return self.known
 
 
 def batches_of(table: DataFrame, most: int = 4) -> list[DataFrame]:
