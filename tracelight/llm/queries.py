@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, dimension_scan, lattice, lempel_ziv, licenses, line_runs, near_dup, ordinal, packing, tokens, url_rules
+from tracelight.llm import alignment, decontaminate, dimension_scan, lattice, lempel_ziv, licenses, line_runs, metric_codes, near_dup, ordinal, packing, tokens, url_rules
 from tracelight.llm import text as T
 from tracelight.llm.twins import TWINS
 
@@ -77,6 +77,14 @@ def common_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_runs.without_lines(docs, frequent).select("given.doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(T.documents(spark, folder))
+
+
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_codes.codes(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_lattice": lattice_scores,
     "op2_lempel_ziv_dedup": lempel_ziv_spans,
@@ -89,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": url_verdicts,
     "op10_positional_index": benchmark_hits,
     "op11_line_runs": common_lines,
+    "op12_token_alignment": aligned_tokens,
+    "op13_metric_codes": vector_codes,
 }

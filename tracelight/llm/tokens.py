@@ -14,6 +14,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +40,131 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class TextEncoder:
-    """Ids of texts under one vocabulary file, with what it has encoded before at hand."""
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in alphabet]
+    return {b: chr(b) for b in alphabet} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, path: str):
+
+class ChunkedEncoder:
+    """Ids of texts by those of their chunks; a subclass says what a chunk's ids are.
+
+    ``spaced`` encodes a space and the text. ``signs`` send a text that holds one to the whole-text path.
+    """
+
+    def __init__(self, chunked: bool, spaced: bool, signs: tuple[str, ...], kept: int):
+        self.chunked, self.spaced, self.signs, self.kept = chunked, spaced, signs, kept
+        self.chunks: dict[str, int] = {}
+        # The chunks' ids lie in ``flat``, chunk i in flat[start[i] : start[i] + length[i]]; there is room for more behind ``used``.
+        self.flat, self.start, self.length, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, as they are."""
+        raise NotImplementedError
+
+    def _learn(self, chunks: list[str]) -> dict[str, tuple | list | None]:
+        """Ids of chunks; None for one that has no ids of its own."""
+        raise NotImplementedError
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return self._encode([" " + t for t in texts] if self.spaced else texts)
+
+    def _places(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, length) for these chunks; length -1 marks one without ids of its own."""
+        get, known = self.chunks.get, len(self.chunks)
+        at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.flat, self.start[at], self.length[at]
+        new = [chunks[i] for i in missing]
+        found = self._learn(new)
+        length = np.array([-1 if found[c] is None else len(found[c]) for c in new], np.int64)
+        size = np.maximum(length, 0)
+        ends = self.used + np.cumsum(size)
+        n, total = known + len(new), int(ends[-1])
+        self.flat = _roomy(self.flat, self.used, total)
+        self.start, self.length = _roomy(self.start, known, n), _roomy(self.length, known, n)
+        self.flat[self.used : total] = np.fromiter((i for c in new for i in found[c] or ()), np.uint32, total - self.used)
+        self.start[known:n], self.length[known:n] = ends - size, length
+        at[missing] = known + np.arange(len(new))
+        # What is beyond the limit is overwritten by the next call.
+        more = min(len(new), self.kept - known)
+        if more > 0:
+            self.chunks.update(zip(new[:more], range(known, known + more), strict=True))
+            self.used = int(ends[more - 1])
+        return self.flat, self.start[at], self.length[at]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, offsets) of the texts; nulls are empty."""
+        big = pa.large_string()
+        texts = pc.fill_null(texts, "").cast(big)
+        if not self.chunked:
+            return _flat([np.array(x, np.uint32) for x in self._whole(texts.to_pylist())])
+        spread = texts if self.spaced else pc.binary_join_element_wise(pa.scalar("\0", big), texts, pa.scalar("", big))
+        lists = pc.split_pattern(pc.replace_substring(spread, "\n", " \n"), " ")
+        coded = lists.values.dictionary_encode() if lists.offset == 0 else pa.concat_arrays([lists.flatten()]).dictionary_encode()
+        flat, start, length = self._places(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bad_chunk = length < 0
+        bad_text = np.add.reduceat(bad_chunk[index], edges[:-1].astype(np.int64)) > 0 if len(index) else np.zeros(0, bool)
+        for sign in self.signs:
+            bad_text |= np.array(pc.match_substring(texts, sign))
+        bad_text &= self.spaced | (np.array(pc.binary_length(texts)) > 0)
+        sizes = np.maximum(length, 0)[index]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        source = np.arange(total) + np.repeat(start[index] - (ends - sizes), sizes)
+        ids = flat[source]
+        offsets = np.concatenate([[0], ends])[edges]
+        if not bad_text.any():
+            return ids, offsets
+        parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        rows = np.flatnonzero(bad_text)
+        for row, got in zip(rows, self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
+            parts[row] = np.array(got, np.uint32)
+        return _flat(parts)
+
+
+def _roomy(row: np.ndarray, used: int, need: int) -> np.ndarray:
+    """``row`` with room for ``need`` entries; its first ``used`` stay."""
+    if need <= len(row):
+        return row
+    out = np.zeros(max(need, 2 * len(row), 1 << 16), row.dtype)
+    out[:used] = row[:used]
+    return out
+
+
+class TextEncoder(ChunkedEncoder):
+    """Ids of texts under one vocabulary file, with what it has encoded before at hand.
+
+    ``spaced``: of a space and the text, in which the strings of added tokens are plain text.
+    """
+
+    def __init__(self, path: str, spaced: bool = False, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = spaced
         kind = json.loads(self.whole.to_str())
         # The library looks for these in the whole text, before it is split into words.
-        self.added = sorted({t["content"] for t in kind["added_tokens"]} - {""})
+        added = () if spaced else tuple(sorted({t["content"] for t in kind["added_tokens"]} - {""}))
         pre = kind["pre_tokenizer"] or {}
-        self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
+        chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
+        super().__init__(bool(chunked), spaced, ("\0", *added), kept)
         self.bare = Tokenizer(self.whole.model)
-        alphabet = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in alphabet]
-        self.letters = {b: chr(b) for b in alphabet} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letters = byte_letters()
         self.words: dict[str, tuple] = {}
-        self.chunks: dict[str, int] = {}
-        # The chunks' ids lie in ``flat``, chunk i in flat[start[i] : start[i] + length[i]].
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, words: dict[str, tuple]) -> None:
+        if len(self.words) < self.kept:
+            self.words.update(islice(words.items(), self.kept - len(self.words)))
+
     def _learn_words(self, words: set[str]) -> dict[str, tuple]:
         """Ids of words (each with its space), those of plain letters without splitting again."""
         new = [w for w in words if w not in self.words]
@@ -73,8 +174,7 @@ class TextEncoder:
         found = dict(zip(plain, (tuple(e.ids) for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)), strict=True)) if plain else {}
         other = [w for w in new if w not in found]
         found.update(zip(other, map(tuple, self._encode(other)), strict=True))
-        if len(self.words) + len(found) <= KEPT:
-            self.words.update(found)
+        self._keep(found)
         return found
 
     def _learn(self, chunks: list[str]) -> dict[str, tuple | None]:
@@ -95,8 +195,7 @@ class TextEncoder:
         found = self._learn_words(lead)
         bare = [w for w in need - lead if w not in self.words]
         found.update(zip(bare, map(tuple, self._encode(bare)), strict=True))
-        if len(self.words) + len(bare) <= KEPT:
-            self.words.update((w, found[w]) for w in bare)
+        self._keep({w: found[w] for w in bare})
         line = tuple(self._encode(["\n"])[0])
         for c, (broken, word, tail) in parts.items():
             ids = found.get(word) or self.words[word]
@@ -105,57 +204,6 @@ class TextEncoder:
             out[c] = ids + (found.get(tail) or self.words[tail]) if tail else ids
         return out
 
-    def _places(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, length) for these chunks; length -1 marks one without ids of its own."""
-        get = self.chunks.get
-        at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return self.flat, self.start[at], self.length[at]
-        new = [chunks[i] for i in missing]
-        found = self._learn(new)
-        length = np.array([-1 if found[c] is None else len(found[c]) for c in new], np.int64)
-        ids = np.fromiter((i for c in new for i in found[c] or ()), np.uint32, int(np.maximum(length, 0).sum()))
-        ends = len(self.flat) + np.cumsum(np.maximum(length, 0))
-        at[missing] = len(self.start) + np.arange(len(missing))
-        flat = np.concatenate([self.flat, ids])
-        starts, lengths = np.concatenate([self.start, ends - np.maximum(length, 0)]), np.concatenate([self.length, length])
-        if len(self.chunks) + len(new) <= KEPT:
-            self.chunks.update(zip(new, range(len(self.start), len(starts)), strict=True))
-            self.flat, self.start, self.length = flat, starts, lengths
-        return flat, starts[at], lengths[at]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, offsets) of the texts; nulls are empty."""
-        big = pa.large_string()
-        texts = pc.fill_null(texts, "").cast(big)
-        if not self.chunked:
-            return _flat([np.array(x, np.uint32) for x in self._encode(texts.to_pylist())])
-        spread = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", big), texts, pa.scalar("", big)), "\n", " \n")
-        lists = pc.split_pattern(spread, " ")
-        coded = lists.values.dictionary_encode() if lists.offset == 0 else pa.concat_arrays([lists.flatten()]).dictionary_encode()
-        flat, start, length = self._places(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy()
-        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bad_chunk = length < 0
-        bad_text = np.add.reduceat(bad_chunk[index], edges[:-1].astype(np.int64)) > 0 if len(index) else np.zeros(0, bool)
-        for sign in ("\0", *self.added):
-            bad_text |= np.array(pc.match_substring(texts, sign))
-        bad_text &= np.array(pc.binary_length(texts)) > 0
-        sizes = np.maximum(length, 0)[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(start[index] - (ends - sizes), sizes)
-        ids = flat[source]
-        offsets = np.concatenate([[0], ends])[edges]
-        if not bad_text.any():
-            return ids, offsets
-        parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        rows = np.flatnonzero(bad_text)
-        for row, got in zip(rows, self._encode(texts.take(pa.array(rows)).to_pylist()), strict=True):
-            parts[row] = np.array(got, np.uint32)
-        return _flat(parts)
-
 
 def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)

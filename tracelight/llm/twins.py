@@ -98,10 +98,43 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropp
 FROM k LEFT JOIN f USING (key) GROUP BY r
 """
 
+def _codes(rounds: int = 2) -> str:
+    """Assignment and means as often as asked, in whole numbers."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (
+  SELECT r, part, entry, sum((c.v - b.v) * (c.v - b.v)) AS far FROM c JOIN b{k} b USING (part, pos) GROUP BY ALL
+), a{k} AS (
+  SELECT r, part, arg_min(entry, far * 64 + entry) AS entry, min(far) AS far FROM d{k} GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS (
+  SELECT part, pos, entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+    SELECT part, pos, entry, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v FROM c JOIN a{k} USING (r, part) GROUP BY ALL
+  ) m USING (part, pos, entry)
+)""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT r, i // (n // 16) AS part, i % (n // 16) AS pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT r, len(e) AS n, unnest(e) AS x, unnest(generate_series(0, len(e) - 1)) AS i FROM k)
+), b0 AS (
+  SELECT part, pos, r AS entry, v FROM c WHERE r < 64
+), {", ".join(steps)}, t AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} JOIN k USING (r) GROUP BY r, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256 FROM t
+"""
+
+
 TWINS: dict[str, str] = {
     "op2_lempel_ziv_dedup": _SPANS,
     "op8_tensored_minhash": _NEAR,
     "op9_url_rules": _URL,
     "op10_positional_index": _HITS,
     "op11_line_runs": _LINES,
+    "op13_metric_codes": _codes(),
 }
