@@ -420,6 +420,48 @@ odds AS (SELECT model_name, param, exp(avg(value)) AS e, exp(quantile_cont(value
     {rounded(signif_sql('hi', 3), '"Q97_5_exp"', 4)} FROM odds
     WHERE (model_name = '{DISTANCE_MODEL}' AND param = 'b_site_categoryFloor') OR (model_name = '{SEVERITY_MODEL}' AND param LIKE '%SignificantOxygen%')"""))
 
+# The names under which the five models are printed.
+STACKED = {
+    DISTANCE_MODEL: "Distance Fixed", TIME_MODEL: "Time Fixed", "mvbinom_time_category_touch_mix_subject": "Time Subject Random",
+    WAVE_MODEL: "Time Pandemic Wave Adjusted", SEVERITY_MODEL: "COVID-19 Severity",
+}
+FIXED = [name for name in STACKED if not catalog.MODELS[name].room_level]
+SUMMARY_COLUMNS = ["Estimate", "Est_Error", "Q2_5", "Q97_5"]
+
+
+def _named(frame):
+    names = F.create_map(*[F.lit(x) for pair in STACKED.items() for x in pair])
+    return frame.withColumn("model_name", F.element_at(names, F.col("model_name")))
+
+
+def _room_parameters(spark, folder, name="mvbinom_time_category_touch_mix_subject"):
+    """Long draws of a room-level model's population parameters, resampled by their weights."""
+    fit = catalog.fit_model(name, views.swabs(spark, folder))
+    draws, weights, _ = rooms.parameter_draws(fit, DRAWS)
+    picked = posterior.resample(draws, weights, DRAWS)
+    return posterior.long_draws(picked, fit.design, name)
+
+
+def _all_summaries(spark, folder):
+    fixed = _summaries(spark, folder, FIXED)
+    return _named(fixed.unionByName(posterior.parameter_summary(_room_parameters(spark, folder))))
+
+
+def _fixed_fits():
+    parts, named = [], {name: f"f{i}" for i, name in enumerate(FIXED)}
+    for name, alias in named.items():
+        parts += fit_parts(name, alias)
+    parts.append(normal_scores(DRAWS, max(len(TERMS[n]) for n in FIXED) + 1))
+    parts += [draw_sql(f"{alias}_draws", alias, len(TERMS[name]) + 1, DRAWS) for name, alias in named.items()]
+    long = " UNION ALL ".join(_long(name, f"{alias}_draws").replace(f"'{name}' AS", f"'{STACKED[name]}' AS") for name, alias in named.items())
+    return [*dict.fromkeys(parts), f"long AS ({long})"]
+
+
+add("p7_fixed_models", lambda spark, folder: tidy(_named(_summaries(spark, folder, FIXED)), 4),
+    query(*_fixed_fits(), f"SELECT model_name, param, {SUMMARY} FROM long GROUP BY 1, 2"))
+# The room-level model among the others, with exponentiated copies of all numbers.
+add("p8_combined_summary", lambda spark, folder: tidy(posterior.with_odds(_all_summaries(spark, folder)), 4))
+
 # ---------------------------------------------------------------- checks
 
 add("p9_chain_convergence", lambda spark, folder: tidy(checks.chain_convergence(event_draws(spark, folder))), query(EVENT_DRAWS, """

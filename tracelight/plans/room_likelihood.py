@@ -19,8 +19,9 @@ NODES = {1: 31, 2: 21}
 NEWTON_STEPS, SETTLED = 60, 1e-9
 #: A step moves no parameter by more than this.
 LONGEST = 2.0
-#: Lengths of a step that one pass tries.
+#: Lengths of a step that one pass tries, the whole one first; distance of the points that show the curvature, and its least value.
 LENGTHS = (1.0, 0.4, 0.1, 2.5)
+NEXT, LEAST_CURVATURE = 1e-5, 0.5
 
 
 def packed(lower: np.ndarray) -> np.ndarray:
@@ -57,10 +58,10 @@ class Rows:
         mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
         value = eta @ self.k - np.logaddexp(0.0, eta) @ self.n
         weight = self.n * mu * (1 - mu)
-        h = np.einsum("sm,mi,mj->sij", weight, self.x, self.x, optimize=True)
+        h = (self.x.T * weight[:, None, :]) @ self.x
 
         def third(a: np.ndarray) -> np.ndarray:
-            spread = np.einsum("mi,sij,mj->sm", self.x, a, self.x, optimize=True)
+            spread = ((self.x @ a) * self.x).sum(axis=2)
             return (weight * (1 - 2 * mu) * spread) @ self.x
 
         return value, (self.k - self.n * mu) @ self.x, h, third
@@ -69,6 +70,11 @@ class Rows:
         eta = beta @ self.x.T
         return eta @ self.k - np.logaddexp(0.0, eta) @ self.n
 
+    def slope(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eta = beta @ self.x.T
+        mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+        return eta @ self.k - np.logaddexp(0.0, eta) @ self.n, (self.k - self.n * mu) @ self.x
+
 
 @dataclass
 class Expansion:
@@ -95,9 +101,12 @@ class Expansion:
         move = beta - self.centre
         return self.base + move @ self.g - 0.5 * np.einsum("si,ij,sj->s", move, self.h, move)
 
+    def slope(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.value(beta), self.g - (beta - self.centre) @ self.h
+
 
 def _shifted(intercept: np.ndarray, lower: np.ndarray, z: np.ndarray) -> np.ndarray:
-    beta = np.einsum("sij,sj->si", lower, z)
+    beta = (lower @ z[:, :, None])[:, :, 0]
     beta[:, 0] += intercept
     return beta
 
@@ -105,15 +114,14 @@ def _shifted(intercept: np.ndarray, lower: np.ndarray, z: np.ndarray) -> np.ndar
 def modes(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Mode of ``z`` for every parameter set, by Newton steps that never lose likelihood."""
     sets, p, _ = lower.shape
-    z = np.zeros((sets, p))
+    z, turned = np.zeros((sets, p)), lower.transpose(0, 2, 1)
     score = lambda z: room.value(_shifted(intercept, lower, z)) - 0.5 * (z * z).sum(axis=1)
     now, live = score(z), np.ones(sets, bool)
     for _ in range(NEWTON_STEPS):
         _, g, h, _ = room.at(_shifted(intercept, lower, z))
         if isinstance(room, Expansion):
             h = np.broadcast_to(room.h, h.shape)
-        full = np.eye(p) + np.einsum("sji,sjk,skl->sil", lower, h, lower, optimize=True)
-        step = np.linalg.solve(full, (np.einsum("sji,sj->si", lower, g) - z)[..., None])[..., 0]
+        step = np.linalg.solve(np.eye(p) + turned @ h @ lower, turned @ g[:, :, None] - z[:, :, None])[:, :, 0]
         step[~live] = 0
         for _ in range(30):
             new = score(z + step)
@@ -133,7 +141,8 @@ def room_terms(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray,
     sets, p, _ = lower.shape
     z = modes(room, intercept, lower)
     value, g, h, third = room.at(_shifted(intercept, lower, z))
-    full = np.eye(p) + np.einsum("sji,sjk,skl->sil", lower, h, lower, optimize=True)
+    turned = lower.transpose(0, 2, 1)
+    full = np.eye(p) + turned @ h @ lower
     inverse = np.linalg.inv(full)
     logdet = np.linalg.slogdet(full)[1]
     if nodes is not None:
@@ -143,7 +152,7 @@ def room_terms(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray,
         flat = points.reshape(-1, p)
         many = len(t)
         beta = _shifted(np.repeat(intercept, many), np.repeat(lower, many, axis=0), flat)
-        loglik, g, _, _ = room.at(beta)
+        loglik, g = room.slope(beta)
         each = (loglik - 0.5 * (flat * flat).sum(axis=1)).reshape(sets, many) + 0.5 * (t * t).sum(axis=1) + weight
         top = each.max(axis=1)
         share = np.exp(each - top[:, None])
@@ -154,13 +163,15 @@ def room_terms(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray,
         by_b = np.einsum("sk,sk->s", share, g[:, :, 0])
         return value, np.concatenate([by_b[:, None], packed(by_l)], axis=1), z
     value = value - 0.5 * (z * z).sum(axis=1) - 0.5 * logdet
-    cover = np.einsum("sij,sjk,slk->sil", lower, inverse, lower, optimize=True)
+    cover = lower @ inverse @ turned
     c = third(cover)
-    hl = h @ lower
-    w = np.einsum("sij,skj,sk->si", inverse, lower, c, optimize=True)
+    # How the mode moves: by the curvature of the room's own log likelihood.
+    own = h if isinstance(room, Rows) else np.broadcast_to(room.h, h.shape)
+    moves = inverse if isinstance(room, Rows) else np.linalg.inv(np.eye(p) + turned @ own @ lower)
+    w = (moves @ turned @ c[:, :, None])[:, :, 0]
     outer = lambda a, b: a[:, :, None] * b[:, None, :]
-    by_l = outer(g, z) - hl @ inverse - 0.5 * outer(c, z) - 0.5 * outer(g, w) + 0.5 * outer(np.einsum("sij,sj->si", hl, w), z)
-    follow = -np.einsum("sij,sj->si", cover, h[:, :, 0])
+    by_l = outer(g, z) - h @ lower @ inverse - 0.5 * outer(c, z) - 0.5 * outer(g, w) + 0.5 * outer((own @ lower @ w[:, :, None])[:, :, 0], z)
+    follow = -(lower @ moves @ turned @ own[:, :, :1])[:, :, 0]
     follow[:, 0] += 1
     by_b = g[:, 0] - 0.5 * (c * follow).sum(axis=1)
     return value, np.concatenate([by_b[:, None], packed(by_l)], axis=1), z
@@ -175,7 +186,7 @@ def gaussian_terms(h: np.ndarray, g: np.ndarray, n: float, y: float, yy: float,
     s2 = sigma**2
     centred = g[None, :] - intercept[:, None] * h[None, :, 0]
     squares = yy - 2 * intercept * y + n * intercept**2
-    inner = np.einsum("sji,jk,skl->sil", lower, h, lower, optimize=True)
+    inner = lower.transpose(0, 2, 1) @ h @ lower
     full = np.eye(p) + inner / s2[:, None, None]
     cover = np.linalg.inv(full)
     pull = np.einsum("sji,sj->si", lower, centred)
@@ -208,17 +219,29 @@ class Optimum:
     change: float
 
 
+def _bent(curvature: np.ndarray) -> np.ndarray:
+    """``curvature`` with positive eigenvalues: far from a maximum it may bend the wrong way."""
+    values, axes = np.linalg.eigh((curvature + curvature.T) / 2)
+    return (axes * np.maximum(np.abs(values), LEAST_CURVATURE)) @ axes.T
+
+
 def maximise(evaluate: Callable, theta: np.ndarray, tolerance: float, passes: int, moved: Callable) -> Optimum:
-    """Quasi-Newton ascent; every pass evaluates a few lengths of one step.
+    """Newton ascent whose curvature comes from gradients around the point, quasi-Newton where a step is cut.
 
-    ``evaluate(thetas)`` gives values, gradients and, for the first, the sum of the rooms'
-    squared scores, which start the curvature; BFGS updates follow. The search ends
-    when the next step would change the parameters by less than ``tolerance`` as ``moved``
-    measures it.
+    ``evaluate(thetas)`` gives values and gradients of many parameter sets in one pass. Each
+    pass tries a few lengths of the step and the points next to its end: a whole step
+    that helps is taken with its new curvature, a shorter or longer one with a BFGS update.
+    The search ends when the next step would change the parameters by less than
+    ``tolerance`` as ``moved`` measures it.
     """
-    values, gradients, squares = evaluate(theta[None])
-    value, gradient, curvature = values[0], gradients[0], squares + np.eye(len(theta))
-    history, used, change, lengths, fresh = [float(value)], 1, np.inf, LENGTHS, True
+    d, near = len(theta), NEXT * np.eye(len(theta))
+
+    def around(values: np.ndarray, gradients: np.ndarray) -> np.ndarray:
+        return _bent(-(gradients[1:] - gradients[0]) / NEXT)
+
+    values, gradients = evaluate(np.concatenate([theta[None], theta + near]))
+    value, gradient, curvature = values[0], gradients[0], around(values, gradients)
+    history, used, change, lengths = [float(value)], 1, np.inf, LENGTHS
     while used < passes:
         step = np.linalg.solve(curvature, gradient)
         step *= min(1.0, LONGEST / max(np.abs(step).max(), 1e-300))
@@ -226,23 +249,24 @@ def maximise(evaluate: Callable, theta: np.ndarray, tolerance: float, passes: in
         if change < tolerance:
             return Optimum(theta, float(value), history, used, True, change)
         tried = theta + np.array(lengths)[:, None] * step
-        values, gradients, squares = evaluate(tried)
+        values, gradients = evaluate(np.concatenate([tried, tried[0] + near]))
         used += 1
-        best = int(np.nanargmax(np.where(np.isfinite(values), values, -np.inf)))
+        n = len(tried)
+        best = int(np.where(np.isfinite(values[:n]), values[:n], -np.inf).argmax())
         if not values[best] > value:
-            if lengths[0] < 1e-4:
-                if fresh:  # no length helps along the plain curvature either
-                    break
-                curvature, fresh, lengths = squares + np.eye(len(theta)), True, LENGTHS
-                continue
+            if lengths[0] < 1e-6:  # nothing helps along this step: the value is flat to rounding
+                break
             lengths = tuple(x * 0.02 for x in lengths)
             continue
-        lengths, fresh = LENGTHS, False
-        s, y = tried[best] - theta, gradient - gradients[best]
-        bent = curvature @ s
-        if s @ y > 1e-10 * np.linalg.norm(s) * np.linalg.norm(y):
-            curvature = curvature - np.outer(bent, bent) / (s @ bent) + np.outer(y, y) / (s @ y)
-        theta, value, gradient = tried[best], values[best], gradients[best]
+        # The whole step is as good as another that gains little more, and comes with its curvature.
+        if values[0] - value > 0.5 * (values[best] - value):
+            best, curvature = 0, around(values[[0, *range(n, n + d)]], gradients[[0, *range(n, n + d)]])
+        else:
+            s, y = tried[best] - theta, gradient - gradients[best]
+            along = curvature @ s
+            if s @ y > 1e-10 * np.linalg.norm(s) * np.linalg.norm(y):
+                curvature = curvature - np.outer(along, along) / (s @ along) + np.outer(y, y) / (s @ y)
+        theta, value, gradient, lengths = tried[best], values[best], gradients[best], LENGTHS
         history.append(float(value))
     return Optimum(theta, float(value), history, used, change < tolerance, change)
 

@@ -1,40 +1,54 @@
-"""Random effects of many groups (rooms) by expectation-maximisation on Spark.
+"""Random effects of many groups (rooms) by their marginal likelihood, on Spark.
 
-The model is ``eta = b + x'u_room`` with ``u_room ~ N(0, S)``, ``b ~ N(0, 1)``
-and half-normal(0, 1) standard deviations. Every round is aggregates and joins
-keyed by room: rows are reduced to one gradient and one information matrix per
-room before they are shuffled, so a room of any size costs its partial sums
-only. Small p x p systems are solved in batches of rooms.
+The model is ``eta = b + x'u_room`` with ``u_room = L z_room``, ``z ~ N(0, I)``, ``b ~ N(0, 1)``
+and half-normal(0, 1) standard deviations, the lengths of the rows of ``L``. Each room's
+effect is integrated out where the room lies (``room_likelihood``); one aggregate adds up
+values and gradients, and the driver takes Newton and quasi-Newton steps on the few parameters.
+
+A room with at most ``held`` covariate patterns is one row that lists them. A larger room
+is never gathered: it is reduced to its derivatives up to the third at a centre, by
+partial sums, and the centre follows the room's mode until nothing moves.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations_with_replacement, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import is_detected
 from tracelight.functions.normal import inverse_normal_array, primes
-from tracelight.operators.joins import SLICE_ROWS, keyed_join, spread_join
+from tracelight.operators.joins import keyed_join, spread_join
+from tracelight.plans import room_likelihood as likelihood
 from tracelight.plans.design import Design, bernoulli_patterns, design_columns, linear_predictor
-from tracelight.plans.extrapolate import Accelerated
 from tracelight.plans.fits import _triangle, lognormal_mean, score_sums, with_score
-from tracelight.session import cut_lineage, materialise, remove_table
+from tracelight.session import cut_lineage
 
-STEP_NORM = 5.0
 ROOMS_PER_BATCH = 64
+#: Variances below this are as good as none: they move by no more than a share of it.
+NO_SPREAD = 1e-3
+#: Patterns of a room that are listed in one row.
+HELD = 2000
+#: Numbers that a room's evaluation may hold at once (sets x nodes x patterns).
+CELLS = 2_000_000
+#: Times the centres of large rooms are moved before the first search, before a later one, and searches at most.
+FIRST_MOVES, LATER_MOVES, SEARCHES = 8, 2, 12
 
 
 @dataclass
 class RoomFit:
     """``effects`` has one row per room: key, ``u<i>``, covariance ``v<i>_<j>`` and ``b<i>``.
 
-    ``v`` holds at the fitted intercept; ``b`` is how ``u`` moves with the intercept.
+    ``v`` holds at the fitted intercept; ``b`` is how ``u`` moves with the intercept. ``theta`` is
+    (intercept, lower triangle of L, and log sigma for normal rows); ``objective`` evaluates the
+    log posterior of many such parameter sets in one pass (values and gradients).
     """
 
     design: Design
@@ -49,6 +63,9 @@ class RoomFit:
     rows: float = 0.0
     history: list[float] = field(default_factory=list)
     converged: bool = True
+    passes: int = 0
+    theta: np.ndarray | None = None
+    objective: Callable | None = field(default=None, repr=False)
 
 
 def _matrices(batch: pd.DataFrame, name: str, p: int) -> np.ndarray:
@@ -67,31 +84,164 @@ def _effect_schema(group: str, kind: str, p: int) -> str:
     return ", ".join(columns + [f"v{i}_{j} double" for i, j in _triangle(p)])
 
 
-def _effect_rows(keys: pd.Series, group: str, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    data = {group: keys.to_numpy()}
+def _effect_rows(group: str, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> dict:
+    data: dict = {group: None}
     p = u.shape[1]
     data |= {f"u{i}": u[:, i] for i in range(p)} | {f"b{i}": b[:, i] for i in range(p)}
     data |= {f"v{i}_{j}": v[:, i, j] for i, j in _triangle(p)}
-    return pd.DataFrame(data)
+    return data
+
+
+def _lower(theta: np.ndarray, p: int) -> np.ndarray:
+    return likelihood.unpacked(theta[..., 1 : 1 + p * (p + 1) // 2], p)
+
+
+def _moved(p: int) -> Callable:
+    """How far one parameter set is from another: the intercept and other numbers as they are, the spread by its size."""
+
+    def run(old: np.ndarray, new: np.ndarray) -> float:
+        first, second = (x @ x.T for x in (_lower(old, p), _lower(new, p)))
+        change = np.max(np.abs(second - first)) / max(np.max(np.abs(second)), NO_SPREAD)
+        other = np.append(new[0] - old[0], new[1 + p * (p + 1) // 2 :] - old[1 + p * (p + 1) // 2 :])
+        return float(max(change, np.max(np.abs(other))))
+
+    return run
+
+
+def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
+    """Log posterior of many parameter sets: ``terms(room, thetas)`` summed over all rooms, and the prior.
+
+    ``tables()`` gives pairs (table, reader of a batch's rooms). Every batch of rooms yields its sums only.
+    """
+
+    def evaluate(thetas: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        sets, d = thetas.shape
+
+        def sums(read: Callable) -> Callable:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros((sets, 1 + d))
+                for batch in batches:
+                    for room in read(batch):
+                        value, slope = terms(room, thetas)
+                        total[:, 0] += value
+                        total[:, 1:] += slope
+                cells = total.ravel() if gradient else total[:, 0].copy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "value"])
+
+            return run
+
+        parts = [table.mapInArrow(sums(read), "cell long, value double") for table, read in tables()]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.union(part)
+        # One number for each set and parameter comes to the driver, whatever the number of rooms.
+        found = whole.groupBy("cell").agg(F.sum("value").alias("value")).toPandas().sort_values("cell")["value"].to_numpy()
+        prior, slope = likelihood.log_prior(thetas, p)
+        if not gradient:
+            return found + prior, None
+        total = found.reshape(sets, 1 + d)
+        return total[:, 0] + prior, total[:, 1:] + slope
+
+    return evaluate
+
+
+def _listed(batch: pa.RecordBatch, p: int) -> Iterator[likelihood.Rows]:
+    """The rooms of a batch whose patterns stand in one row."""
+    lists = batch.column("patterns")
+    cells = lists.flatten()
+    x = np.stack([cells.field(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)], axis=1)
+    n, k = (cells.field(c).to_numpy(zero_copy_only=False) for c in "nk")
+    at = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield likelihood.Rows(x[a:b], n[a:b], k[a:b])
+
+
+def _expanded(batch: pa.RecordBatch, p: int) -> Iterator[likelihood.Expansion]:
+    """The large rooms of a batch, by their derivatives."""
+    get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    n = batch.num_rows
+    centre, g = (np.stack([get(f"{c}{i}") for i in range(p)], axis=1) for c in "cg")
+    h, t = np.zeros((n, p, p)), np.zeros((n, p, p, p))
+    for i, j in _triangle(p):
+        h[:, i, j] = h[:, j, i] = get(f"h{i}_{j}")
+    for where in combinations_with_replacement(range(p), 3):
+        for i, j, k in set(permutations(where)):
+            t[:, i, j, k] = get("t" + "_".join(map(str, where)))
+    base = get("loglik")
+    for row in range(n):
+        yield likelihood.Expansion(centre[row], float(base[row]), g[row], h[row], t[row])
+
+
+def _bernoulli_terms(p: int, nodes: int | None) -> Callable:
+    def run(room, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        listed = isinstance(room, likelihood.Rows)  # a large room needs no nodes
+        size = room.n.size * (nodes**p if nodes else 8) if listed else 1
+        parts = []
+        for some in np.array_split(thetas, max(1, min(len(thetas), len(thetas) * size // CELLS))):
+            value, slope, _ = likelihood.room_terms(room, some[:, 0], _lower(some, p), nodes if listed else None)
+            parts.append((value, slope))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    return run
+
+
+def _expansions(patterns: DataFrame, centres: DataFrame, group: str, p: int) -> DataFrame:
+    """Derivatives of the large rooms' log likelihood at their centres (key, ``c<i>``), a row for each room."""
+    rows = spread_join(patterns, centres, [group], rows="patterns")
+    eta = " + ".join(f"x{i} * c{i}" for i in range(p))
+    rows = with_score(rows.withColumn("_eta", F.expr(eta)))
+    third = [
+        F.expr(f"sum(_w * (1 - 2 / (1 + exp(-_eta))) * x{i} * x{j} * x{k}) AS t{i}_{j}_{k}")
+        for i, j, k in combinations_with_replacement(range(p), 3)
+    ]
+    kept = [F.expr(f"first(c{i}) AS c{i}") for i in range(p)]
+    return cut_lineage(rows.groupBy(group).agg(*score_sums(p), *third, *kept, F.count(F.lit(1)).alias("patterns")))
 
 
-def _unsettled(rounds: int, change: float) -> None:
-    warnings.warn(f"the room spread still moves by {change:.2g} of its size after {rounds} rounds: not converged", stacklevel=3)
+def _followed(far: DataFrame, theta: np.ndarray, group: str, kind: str, p: int) -> DataFrame:
+    """The large rooms' modes under ``theta``, as new centres."""
+    lower = _lower(theta, p)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [likelihood.modes(room, theta[:1], lower[None])[0] for room in _expanded(batch, p)]
+            beta = (np.array(z) @ lower.T).reshape(-1, p)
+            beta[:, 0] += theta[0]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(group), batch.column("patterns"), *[pa.array(beta[:, i].copy()) for i in range(p)]],
+                names=[group, "patterns", *[f"c{i}" for i in range(p)]],
+            )
+
+    columns = ", ".join([f"{group} {kind}", "patterns bigint", *[f"c{i} double" for i in range(p)]])
+    return cut_lineage(far.mapInArrow(run, columns))
+
+
+def _effects(table: DataFrame, read: Callable, theta: np.ndarray, group: str, kind: str, p: int) -> DataFrame:
+    """Effects of all rooms of a table under ``theta``, with ``schur``, what a room says of the intercept once its effect is taken out."""
+    lower = _lower(theta, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, b, v, schur = [], [], [], []
+            for room in read(batch):
+                z = likelihood.modes(room, theta[:1], lower[None])
+                beta = z @ lower.T
+                beta[:, 0] += theta[0]
+                h = room.at(beta)[2][0]
+                cover = lower @ np.linalg.inv(np.eye(p) + lower.T @ h @ lower) @ lower.T
+                u.append((z @ lower.T)[0])
+                b.append(-cover @ h[:, 0])
+                v.append(cover)
+                schur.append(h[0, 0] - h[0] @ cover @ h[:, 0])
+            u, b, v = np.array(u).reshape(-1, p), np.array(b).reshape(-1, p), np.array(v).reshape(-1, p, p)
+            found = _effect_rows(group, u, b, v) | {"schur": np.array(schur)}
+            yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(x, pa.float64()) for c, x in found.items() if c != group]], names=list(found))
 
-def _shrunk_spread(second: np.ndarray, rooms: float) -> np.ndarray:
-    """Mean second moment with its standard deviations under a half-normal(0, 1) prior."""
-    moment = second / rooms
-    raw = np.maximum(np.diag(moment), 1e-12)
-    total = raw * rooms
-    penalised = (-rooms + np.sqrt(rooms**2 + 4 * total)) / 2
-    scale = np.sqrt(penalised / raw)
-    return moment * np.outer(scale, scale) + 1e-9 * np.eye(len(raw))
+    return table.mapInArrow(run, _effect_schema(group, kind, p) + ", schur double")
 
 
-def _objective(loglik: float, quad: float, logdet: float, rooms: float, spread: np.ndarray, intercept: float) -> float:
-    _, volume = np.linalg.slogdet(spread)
-    return loglik - 0.5 * (quad + rooms * volume + logdet + intercept**2 + np.trace(spread))
+def _unsettled(passes: int, change: float) -> None:
+    warnings.warn(f"the room spread still moves by {change:.2g} of its size after {passes} passes: not converged", stacklevel=3)
 
 
 def fit_rooms(
@@ -99,124 +249,80 @@ def fit_rooms(
     design: Design,
     group: str = "subject_room_id",
     outcome: str = "scv2_detected",
-    rounds: int = 120,
-    tolerance: float = 5e-4,
+    rounds: int = 60,
+    tolerance: float = 1e-4,
     start: float = 1.0,
+    held: int = HELD,
+    nodes: int | None = None,
 ) -> RoomFit:
     """Bernoulli outcome with room-level effects of every design column.
 
-    Each round takes one joint Newton step for the intercept and all rooms, then
-    updates the spread. The rooms are eliminated from the intercept's equation: a
-    room moves to ``a + b * step``, so one pass over the rooms yields both the
-    intercept's step and the second moments after it. Every second spread is
-    extrapolated. Rounds end when the intercept and the plain step of the spread,
-    relative to its size, move by less than ``tolerance``; ``start`` is the first variance.
+    A pass evaluates a few lengths of one Newton step over all rooms. The search
+    ends when the next whole step would change the intercept, or the spread relative to
+    its size, by less than ``tolerance``, at the latest after ``rounds`` passes; ``start``
+    is the first variance. ``nodes`` in each direction integrate a room's effect (one or
+    two effects; by default as many as ``NODES`` says); more effects go by Laplace's method.
     """
     p = len(design.parameters)
+    nodes = nodes or likelihood.NODES.get(p)
     patterns = cut_lineage(bernoulli_patterns(frame, design, outcome, [group]))
     kind = patterns.schema[group].dataType.simpleString()
-    rooms = patterns.groupBy(group).agg(F.count(F.lit(1)).alias("patterns"))
-    heavy = (rooms.agg(F.max("patterns")).first()[0] or 0) > SLICE_ROWS
-    state = rooms.selectExpr("*", *[f"0D AS u{i}" for i in range(p)])
-    intercept, intercept_sd, spread, history = 0.0, 1.0, start * np.eye(p), []
-    ahead = Accelerated(spread)
-    totals_of = [
-        f"sum({c}) AS {c}" for c in ("one", "rows", "schur", "pull", "loglik", "quad", "logdet")
-    ] + [
-        f"sum({text}) AS {name}{i}_{j}"
-        for i, j in _triangle(p)
-        for name, text in (
-            ("aa", f"a{i} * a{j} + v{i}_{j}"), ("ab", f"a{i} * b{j} + a{j} * b{i}"), ("bb", f"b{i} * b{j}")
-        )
-    ]
-    last_path = None
-    for _ in range(rounds):
-        sums = _room_sums(patterns, state, group, intercept, p, heavy)
-        moves, path = materialise(
-            sums.mapInPandas(_room_moves(p, np.linalg.inv(spread), group), _move_schema(group, kind, p))
-        )
-        if last_path is not None:
-            remove_table(frame.sparkSession, last_path)
-        last_path = path
-        totals = moves.agg(*[F.expr(t) for t in totals_of]).first()
-        room_count = totals["one"]
-        history.append(
-            _objective(totals["loglik"], totals["quad"], totals["logdet"], room_count, spread, intercept)
-        )
-        step = float((totals["pull"] - intercept) / (totals["schur"] + 1.0))
-        intercept_sd = float(1.0 / np.sqrt(totals["schur"] + 1.0))
-        intercept += step
-        second = np.zeros((p, p))
-        for i, j in _triangle(p):
-            aa, ab, bb = (totals[f"{n}{i}_{j}"] for n in ("aa", "ab", "bb"))
-            second[i, j] = second[j, i] = aa + step * ab + step * step * bb
-        plain = _shrunk_spread(second, room_count)
-        change = max(abs(step), float(np.max(np.abs(plain - spread))) / float(np.max(np.abs(plain))))
-        spread = ahead.next(plain)
-        state = moves.selectExpr(group, "patterns", *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)])
-        if change < tolerance:
+    sizes = patterns.groupBy(group).agg(F.count(F.lit(1)).alias("patterns"))
+    largest, rows = sizes.agg(F.max("patterns")).first()[0] or 0, patterns.agg(F.sum("n")).first()[0] or 0.0
+    large = largest > held
+    few = keyed_join(patterns, sizes.where(F.col("patterns") <= held), [group], "left_semi") if large else patterns
+    lists = F.sort_array(F.collect_list(F.struct(*[f"x{i}" for i in range(p)], "n", "k")))  # at most ``held`` a room
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    small = cut_lineage(few.groupBy(group).agg(lists.alias("patterns")).repartition(tasks, group))
+    far = None
+    tables = lambda: [(small, lambda batch: _listed(batch, p)), *([(far, lambda batch: _expanded(batch, p))] if large else [])]
+    evaluate = _objective(tables, _bernoulli_terms(p, nodes), p)
+
+    theta = np.concatenate([[0.0], likelihood.packed(np.sqrt(start) * np.eye(p))])
+    history, passes, shift = [], 0, 0.0
+    if large:
+        some = keyed_join(patterns, sizes.where(F.col("patterns") > held), [group], "left_semi")
+        centres = sizes.where(F.col("patterns") > held).selectExpr("*", *[f"0D AS c{i}" for i in range(p)])
+    for search in range(SEARCHES):
+        if large:
+            for _ in range(LATER_MOVES if search else FIRST_MOVES):
+                centres = _followed(_expansions(some, centres, group, p), theta, group, kind, p)
+            far = _expansions(some, centres, group, p)
+        best = likelihood.maximise(evaluate, theta, tolerance, rounds - passes, _moved(p))
+        shift = _moved(p)(theta, best.theta)
+        theta, passes, history = best.theta, passes + best.passes, history + best.history
+        if not large or (search and shift < tolerance) or passes >= rounds:
             break
-    else:
-        _unsettled(rounds, change)
-    effects = moves.selectExpr(
-        group, *[f"a{i} + ({step!r}D) * b{i} AS u{i}" for i in range(p)], *[f"b{i}" for i in range(p)], *[f"v{i}_{j}" for i, j in _triangle(p)]
-    )
+    converged = best.converged and (not large or shift < tolerance)
+    if not converged:
+        _unsettled(passes, best.change)
+    found = [_effects(table, read, theta, group, kind, p) for table, read in tables()]
+    effects = cut_lineage(found[0] if len(found) == 1 else found[0].union(found[1]))
+    schur = effects.agg(F.sum("schur")).first()[0] or 0.0
+    lower = _lower(theta, p)
     return RoomFit(
-        design, group, "bernoulli", intercept, intercept_sd, plain, effects, rows=totals["rows"], history=history, converged=change < tolerance,
+        design, group, "bernoulli", float(theta[0]), float(1.0 / np.sqrt(schur + 1.0)), lower @ lower.T, effects.drop("schur"), rows=rows,
+        history=history, converged=converged, passes=passes, theta=theta, objective=evaluate,
     )
 
 
-def _room_sums(
-    patterns: DataFrame, state: DataFrame, group: str, intercept: float, p: int, spread: bool
-) -> DataFrame:
-    """Gradient, information and log likelihood per room at the current effects.
-
-    ``spread`` cuts heavy rooms into slices for the join.
-    """
-    if spread:
-        rows = spread_join(patterns, state, [group], rows="patterns")
-    else:
-        rows = keyed_join(patterns, state.drop("patterns"), [group])
-    eta = " + ".join([f"({intercept!r}D)", *[f"x{i} * u{i}" for i in range(p)]])
-    rows = with_score(rows.withColumn("_eta", F.expr(eta)))
-    kept = [F.expr(f"first(u{i}) AS u{i}") for i in range(p)]
-    return rows.groupBy(group).agg(*score_sums(p), *kept, F.count(F.lit(1)).alias("patterns"))
-
-
-def _move_schema(group: str, kind: str, p: int) -> str:
-    names = [f"{n}{i}" for n in "ab" for i in range(p)] + [f"v{i}_{j}" for i, j in _triangle(p)]
-    names += ["one", "rows", "schur", "pull", "loglik", "quad", "logdet"]
-    return ", ".join([f"{group} {kind}", "patterns bigint", *[f"{n} double" for n in names]])
-
+@dataclass
+class Products:
+    """Cross products of a room's design rows and log quantities."""
 
-def _room_moves(p: int, precision: np.ndarray, group: str):
-    """Newton moves of a batch of rooms, as functions of the intercept's step."""
+    h: np.ndarray
+    g: np.ndarray
+    n: float
+    y: float
+    yy: float
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, g, u = _matrices(batch, "h", p), _vectors(batch, "g", p), _vectors(batch, "u", p)
-            full = h + precision
-            v = np.linalg.inv(full)
-            cross, gradient = h[:, :, 0], g - u @ precision
-            move = np.einsum("rij,rj->ri", v, gradient)
-            follow = -np.einsum("rij,rj->ri", v, cross)
-            norm = np.linalg.norm(move, axis=1, keepdims=True)
-            short = np.minimum(1.0, STEP_NORM / np.maximum(norm, 1e-12))
-            a, b = u + short * move, short * follow
-            data = {group: batch[group].to_numpy(), "patterns": batch["patterns"].to_numpy()}
-            data |= {f"a{i}": a[:, i] for i in range(p)} | {f"b{i}": b[:, i] for i in range(p)}
-            data |= {f"v{i}_{j}": v[:, i, j] for i, j in _triangle(p)}
-            data |= {
-                "one": np.ones(len(batch)), "rows": batch["rows"].to_numpy(),
-                "schur": h[:, 0, 0] + np.einsum("ri,ri->r", follow, cross),
-                "pull": g[:, 0] + np.einsum("ri,ri->r", follow, gradient),
-                "loglik": batch["loglik"].to_numpy(),
-                "quad": np.einsum("ri,ij,rj->r", u, precision, u),
-                "logdet": np.linalg.slogdet(full)[1],
-            }
-            yield pd.DataFrame(data)
 
-    return run
+def _products(batch: pa.RecordBatch, p: int) -> Iterator[Products]:
+    frame = batch.to_pandas()
+    h, g = _matrices(frame, "h", p), _vectors(frame, "g", p)
+    n, y, yy = (frame[c].to_numpy(float) for c in ("n", "y", "yy"))
+    for row in range(len(frame)):
+        yield Products(h[row], g[row], n[row], y[row], yy[row])
 
 
 def fit_rooms_lognormal(
@@ -224,13 +330,13 @@ def fit_rooms_lognormal(
     design: Design,
     group: str = "subject_room_id",
     quantity: str = "copies_max",
-    rounds: int = 500,
+    rounds: int = 60,
     tolerance: float = 1e-4,
 ) -> RoomFit:
-    """Hurdle lognormal with room-level effects.
+    """Hurdle lognormal with room-level effects; the marginal likelihood of the logarithms is exact.
 
     Undetected rows only feed the hurdle share. The cross products of a room are
-    summed once; the rounds then touch one row per room.
+    summed once; the passes then touch one row per room.
     """
     p = len(design.parameters)
     used = frame.dropna(subset=[*design.columns, group])
@@ -240,76 +346,89 @@ def fit_rooms_lognormal(
     sums = [f"sum(x{i} * x{j}) AS h{i}_{j}" for i, j in _triangle(p)]
     sums += [f"sum(x{i} * _y) AS g{i}" for i in range(p)]
     sums += ["sum(_y * _y) AS yy", "sum(_y) AS y", "count(1) AS n"]
-    products = cut_lineage(rows.groupBy(group).agg(*[F.expr(t) for t in sums]))
-    base = products.agg(F.sum("y"), F.sum("yy"), F.sum("n"), F.count(F.lit(1))).first()
-    total, rooms = float(base[2]), float(base[3])
-    intercept, spread = base[0] / total, np.eye(p)
-    ahead = Accelerated(spread)
-    sigma2 = max(base[1] / total - intercept**2, 1e-6)
-    intercept_sd = 1.0
-    second = [f"s{i}_{j} double" for i, j in _triangle(p)]
-    for _ in range(rounds):
-        stats = products.mapInPandas(
-            _gaussian_moments(p, np.linalg.inv(spread), intercept, sigma2),
-            ", ".join([*second, "residual double", "schur double", "left double"]),
-        ).groupBy().sum().first()
-        moment = np.zeros((p, p))
-        for (i, j), value in zip(_triangle(p), stats):
-            moment[i, j] = moment[j, i] = value
-        residual, schur, left = stats[-3], stats[-2], stats[-1]
-        moved = (left / sigma2 - intercept) / (schur / sigma2 + 1.0)
-        intercept_sd = float(1.0 / np.sqrt(schur / sigma2 + 1.0))
-        update = _shrunk_spread(moment, rooms)
-        change = max(abs(moved), float(np.max(np.abs(update - spread))) / float(np.max(np.abs(update))), abs(residual / total / sigma2 - 1))
-        intercept, spread, sigma2 = intercept + moved, ahead.next(update), max(residual / total, 1e-9)
-        if change < tolerance:
-            break
-    else:
-        _unsettled(rounds, change)
-    spread = update
-    kind = products.schema[group].dataType.simpleString()
-    effects = products.mapInPandas(
-        _gaussian_effects(p, np.linalg.inv(spread), intercept, sigma2, group), _effect_schema(group, kind, p)
-    )
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    products = cut_lineage(rows.groupBy(group).agg(*[F.expr(t) for t in sums]).repartition(tasks, group))
+    y, yy, total = (products.agg(F.sum("y"), F.sum("yy"), F.sum("n")).first()[i] or 0.0 for i in range(3))
+    mean = y / max(total, 1)
+
+    def terms(room: Products, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sigma = np.exp(np.clip(thetas[:, -1], -20, 20))
+        return likelihood.gaussian_terms(room.h, room.g, room.n, room.y, room.yy, thetas[:, 0], _lower(thetas, p), sigma)[:2]
+
+    read = lambda batch: _products(batch, p)
+    evaluate = _objective(lambda: [(products, read)], terms, p)
+    theta = np.concatenate([[mean], likelihood.packed(np.eye(p)), [0.5 * np.log(max(yy / max(total, 1) - mean**2, 1e-6))]])
+    best = likelihood.maximise(evaluate, theta, tolerance, rounds, _moved(p))
+    if not best.converged:
+        _unsettled(best.passes, best.change)
+    theta, kind = best.theta, products.schema[group].dataType.simpleString()
+    lower, sigma = _lower(theta, p), float(np.exp(theta[-1]))
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, b, v, schur = [], [], [], []
+            for r in read(batch):
+                _, _, z, cover = likelihood.gaussian_terms(r.h, r.g, r.n, r.y, r.yy, theta[:1], lower[None], np.array([sigma]))
+                cover = lower @ cover[0] @ lower.T
+                u.append(lower @ z[0])
+                b.append(-cover @ r.h[:, 0] / sigma**2)
+                v.append(cover)
+                schur.append((r.n - r.h[0] @ cover @ r.h[:, 0] / sigma**2) / sigma**2)
+            u, b, v = np.array(u).reshape(-1, p), np.array(b).reshape(-1, p), np.array(v).reshape(-1, p, p)
+            found = _effect_rows(group, u, b, v) | {"schur": np.array(schur)}
+            yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(x, pa.float64()) for c, x in found.items() if c != group]], names=list(found))
+
+    table = cut_lineage(products.mapInArrow(effects, _effect_schema(group, kind, p) + ", schur double"))
+    schur = table.agg(F.sum("schur")).first()[0] or 0.0
     return RoomFit(
-        design, group, "hurdle_lognormal", float(intercept), intercept_sd, spread, cut_lineage(effects),
-        sigma=float(np.sqrt(sigma2)), hurdle=float(share[0]), rows=float(share[1]), converged=change < tolerance,
+        design, group, "hurdle_lognormal", float(theta[0]), float(1.0 / np.sqrt(schur + 1.0)), lower @ lower.T, table.drop("schur"),
+        sigma=sigma, hurdle=float(share[0] or 0.0), rows=float(share[1]), history=best.history, converged=best.converged, passes=best.passes,
+        theta=theta, objective=evaluate,
     )
 
 
-def _gaussian_posterior(batch: pd.DataFrame, p: int, precision: np.ndarray, intercept: float, sigma2: float):
-    h, g = _matrices(batch, "h", p), _vectors(batch, "g", p)
-    v = np.linalg.inv(h / sigma2 + precision)
-    centred = g - intercept * h[:, :, 0]
-    return h, centred, v, np.einsum("rij,rj->ri", v, centred / sigma2)
+def parameter_names(fit: RoomFit) -> list[str]:
+    """Intercept, standard deviations and correlations of the room effects, then sigma and hu where the model has them."""
+    terms = [name.removeprefix("b_") for name in fit.design.parameters]
+    names = ["b_Intercept", *[f"sd_{fit.group}__{t}" for t in terms]]
+    names += [f"cor_{fit.group}__{terms[i]}__{terms[j]}" for j in range(len(terms)) for i in range(j)]
+    return names + (["sigma", "hu"] if fit.sigma is not None else [])
 
 
-def _gaussian_moments(p: int, precision: np.ndarray, intercept: float, sigma2: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, centred, v, u = _gaussian_posterior(batch, p, precision, intercept, sigma2)
-            n, y, yy = (batch[c].to_numpy(float) for c in ("n", "y", "yy"))
-            squares = yy - 2 * intercept * y + n * intercept**2
-            fitted = 2 * np.einsum("ri,ri->r", u, centred) - np.einsum("ri,rij,rj->r", u, h, u)
-            residual = squares - fitted + np.einsum("rij,rji->r", h, v)
-            cross = h[:, :, 0]
-            solved = np.einsum("rij,rj->ri", v, cross) / sigma2
-            schur = n - np.einsum("ri,ri->r", solved, cross)
-            left = (y - n * intercept) - np.einsum("ri,ri->r", solved, centred)
-            second = np.einsum("ri,rj->ij", u, u) + v.sum(axis=0)
-            row = {f"s{i}_{j}": [second[i, j]] for i, j in _triangle(p)}
-            yield pd.DataFrame(row | {"residual": [residual.sum()], "schur": [schur.sum()], "left": [left.sum()]})
+def parameter_draws(fit: RoomFit, count: int) -> tuple[DataFrame, DataFrame, float]:
+    """Draws of the population parameters (``draw`` and ``parameter_names``), their weights (draw, weight), the effective sample size.
 
-    return run
-
-
-def _gaussian_effects(p: int, precision: np.ndarray, intercept: float, sigma2: float, group: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, _, v, u = _gaussian_posterior(batch, p, precision, intercept, sigma2)
-            yield _effect_rows(batch[group], group, u, -np.einsum("rij,rj->ri", v, h[:, :, 0]) / sigma2, v)
-
-    return run
+    Draws are normal around the mode with the inverse information, whose second
+    derivatives come from one pass; the weight of a draw is its posterior (the sum over
+    rooms of their log integrals, one more pass) over its normal density.
+    """
+    p, spark = len(fit.design.parameters), fit.effects.sparkSession
+    theta, d = fit.theta, len(fit.theta)
+    curved, axes = np.linalg.eigh(likelihood.information(fit.objective, theta))
+    # A direction in which the posterior is flat or bends the wrong way is held to the prior's scale.
+    curved = np.maximum(curved, 1.0)
+    roots = np.sqrt(np.array(primes(d + 1), float))
+    uniform = (np.arange(1, count + 1)[:, None] * roots[None, :]) % 1.0
+    z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
+    thetas = theta + (z[:, :d] / np.sqrt(curved)) @ axes.T
+    values = fit.objective(thetas, False)[0]
+    logw = values + 0.5 * (z[:, :d] ** 2).sum(axis=1)
+    weight = np.exp(logw - logw.max())
+    weight /= weight.sum()
+    lower = _lower(thetas, p)
+    spread = lower @ lower.transpose(0, 2, 1)
+    sd = np.sqrt(np.diagonal(spread, axis1=1, axis2=2))
+    cor = spread / np.maximum(sd[:, :, None] * sd[:, None, :], 1e-300)
+    columns = [thetas[:, 0], *sd.T, *[cor[:, i, j] for j in range(p) for i in range(j)]]
+    if fit.sigma is not None:
+        share = min(max(fit.hurdle, 0.5 / fit.rows), 1 - 0.5 / fit.rows)
+        logit = np.log(share / (1 - share)) + z[:, d] / np.sqrt(fit.rows * share * (1 - share))
+        columns += [np.exp(thetas[:, -1]), 1 / (1 + np.exp(-logit))]
+    table = pd.DataFrame({"draw": np.arange(count), **dict(zip(parameter_names(fit), columns, strict=True))})
+    size = float(1.0 / (weight**2).sum())
+    if size < 0.5 * count:
+        warnings.warn(f"effective sample size {size:.0f} of {count}: the approximation is poor", stacklevel=2)
+    return spark.createDataFrame(table), spark.createDataFrame(pd.DataFrame({"draw": np.arange(count), "weight": weight})), size
 
 
 def room_draws(fit: RoomFit, count: int) -> DataFrame:
