@@ -69,9 +69,9 @@ class PieceEncoder(ChunkedEncoder):
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self._encode(texts)  # the vocabulary puts the space
 
-    def _learn(self, chunks: list[str]) -> dict[str, list | None]:
+    def _learn(self, chunks: list[str]) -> list[list | None]:
         # After a line break there is no space: the one the vocabulary puts before the chunk is taken off.
-        return {c: None if not c else ids[1:] if c[0] == "\n" else ids for c, ids in zip(chunks, self._encode(chunks), strict=True)}
+        return [None if not c else ids[1:] if c[0] == "\n" else ids for c, ids in zip(chunks, self._encode(chunks), strict=True)]
 
     def token_bytes(self) -> list[bytes]:
         p = self.pieces

@@ -10,11 +10,12 @@ file (``<|endoftext|>``), is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,8 @@ class ChunkedEncoder:
         """Ids of whole texts, as they are."""
         raise NotImplementedError
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple | list | None]:
-        """Ids of chunks; None for one that has no ids of its own."""
+    def _learn(self, chunks: list[str]) -> list[tuple | list | None]:
+        """Ids of each chunk; None for one that has no ids of its own."""
         raise NotImplementedError
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -78,15 +79,17 @@ class ChunkedEncoder:
         if not len(missing):
             return self.flat, self.start[at], self.length[at]
         new = [chunks[i] for i in missing]
-        found = self._learn(new)
-        length = np.array([-1 if found[c] is None else len(found[c]) for c in new], np.int64)
-        size = np.maximum(length, 0)
+        lists = self._learn(new)
+        own = np.fromiter((x is not None for x in lists), bool, len(lists))
+        if not own.all():
+            lists = [x or () for x in lists]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
         ends = self.used + np.cumsum(size)
         n, total = known + len(new), int(ends[-1])
         self.flat = _roomy(self.flat, self.used, total)
         self.start, self.length = _roomy(self.start, known, n), _roomy(self.length, known, n)
-        self.flat[self.used : total] = np.fromiter((i for c in new for i in found[c] or ()), np.uint32, total - self.used)
-        self.start[known:n], self.length[known:n] = ends - size, length
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(lists), np.uint32, total - self.used)
+        self.start[known:n], self.length[known:n] = ends - size, np.where(own, size, -1)
         at[missing] = known + np.arange(len(new))
         # What is beyond the limit is overwritten by the next call.
         more = min(len(new), self.kept - known)
@@ -97,6 +100,16 @@ class ChunkedEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of the texts; nulls are empty."""
+        # Millions of short lists and no cycles: the collector would only walk over them.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         big = pa.large_string()
         texts = pc.fill_null(texts, "").cast(big)
         if not self.chunked:
@@ -168,8 +181,7 @@ class TextEncoder(ChunkedEncoder):
     def _learn_words(self, words: set[str]) -> dict[str, tuple]:
         """Ids of words (each with its space), those of plain letters without splitting again."""
         new = [w for w in words if w not in self.words]
-        plain = [w for w in new if w.isascii() or max(w) < "ɐ"]
-        plain = [w for w in plain if w[1:].isalpha()]
+        plain = [w for w in new if w[1:].isalpha() and (w.isascii() or max(w) < "ɐ")]
         spelled = "\n".join(plain).encode().decode("latin1").translate(self.letters).split(self.letters[10])
         found = dict(zip(plain, (tuple(e.ids) for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)), strict=True)) if plain else {}
         other = [w for w in new if w not in found]
@@ -177,33 +189,45 @@ class TextEncoder(ChunkedEncoder):
         self._keep(found)
         return found
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple | None]:
+    def _learn(self, chunks: list[str]) -> list[tuple | None]:
         """Ids of chunks; None for one that has no ids of its own."""
-        parts, out = {}, {}
-        for c in chunks:
-            body = c[1:] if c[:1] in ("\n", "\0") else c
-            if not body or "\0" in body or len(body.split()) != 1 or body.split()[0] != body:
-                out[c] = None
-                continue
-            stem = body.rstrip(SIGNS)
-            if not stem or not (stem[-1].isalpha() and stem[-1] < "ɐ"):
-                stem = body
-            before = "" if body is not c else " "
-            parts[c] = (c[:1] == "\n", before + stem, body[len(stem) :])
-        need = {w for _, w, _ in parts.values()} | {t for _, _, t in parts.values() if t}
+        parts = [self._parted(c) for c in chunks]
+        need = {p[1] for p in parts if p is not None}
+        need.update({p[2] for p in parts if p is not None and p[2]})
         lead = {w for w in need if w[0] == " "}
         found = self._learn_words(lead)
         bare = [w for w in need - lead if w not in self.words]
-        found.update(zip(bare, map(tuple, self._encode(bare)), strict=True))
-        self._keep({w: found[w] for w in bare})
+        new = dict(zip(bare, map(tuple, self._encode(bare)), strict=True))
+        self._keep(new)
+        found.update(new)
         line = tuple(self._encode(["\n"])[0])
-        for c, (broken, word, tail) in parts.items():
+        out = []
+        for part in parts:
+            if part is None:
+                out.append(None)
+                continue
+            broken, word, tail = part
             ids = found.get(word) or self.words[word]
             if broken:
                 ids = line + ids
-            out[c] = ids + (found.get(tail) or self.words[tail]) if tail else ids
+            out.append(ids + (found.get(tail) or self.words[tail]) if tail else ids)
         return out
 
+    @staticmethod
+    def _parted(c: str) -> tuple[bool, str, str] | None:
+        """(after a line break, word with the space before it, signs after it) of a chunk that has ids of its own."""
+        if c.isalpha():  # nearly all chunks: a word, or one with a sign
+            return False, " " + c, ""
+        if c[:-1].isalpha() and c[-1] in SIGNS and c[-2] < "ɐ":
+            return False, " " + c[:-1], c[-1]
+        body = c[1:] if c[:1] in ("\n", "\0") else c
+        if not body or "\0" in body or len(body.split()) != 1 or body.split()[0] != body:
+            return None
+        stem = body.rstrip(SIGNS)
+        if not stem or not (stem[-1].isalpha() and stem[-1] < "ɐ"):
+            stem = body
+        return c[:1] == "\n", ("" if body is not c else " ") + stem, body[len(stem) :]
+
 
 def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
