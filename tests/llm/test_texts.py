@@ -182,3 +182,27 @@ def test_empty_tables(spark, docs, empty):
     model = ordinal.fit(docs, spark.createDataFrame([], "doc_id long, grade int"))
     assert ordinal.graded(docs, model).filter("tails[1] > 0.5").count() == len(corpus())
     assert ordinal.graded(empty, model).count() == 0
+
+
+def test_quality_fit_ends_at_the_optimum():
+    """Against a dense search from another start: no feature can be moved to a smaller loss, and the rest stays at zero."""
+    rng = np.random.default_rng(5)
+    grade = rng.integers(0, 3, 300)
+    rows = [np.unique(np.append(rng.integers(0, 40, 12), 60 + g)) for g in grade]
+    start = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = ordinal.fit_rows(np.concatenate(rows).astype(np.int32), start, grade, 2)
+    assert model.flat <= ordinal.FLAT
+    x = np.zeros((300, 64))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+
+    def total(weights, cuts):
+        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+        s = x @ weights
+        p = 1 / (1 + np.exp(s - edge[grade + 1])) - 1 / (1 + np.exp(s - edge[grade]))
+        return -np.log(p).mean() + ordinal.PENALTY * np.abs(weights).sum()
+
+    weights = model.dense()[:64].astype(float)
+    least = total(weights, model.thresholds)
+    assert all(total(weights + e, model.thresholds) >= least - 1e-6 for j in range(64) for e in (0.02 * np.eye(64)[j], -0.02 * np.eye(64)[j]))
+    assert weights[62] > 0 > weights[60] and np.diff(model.thresholds)[0] > 0
