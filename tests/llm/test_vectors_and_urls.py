@@ -141,3 +141,48 @@ def test_pages_state_and_inherit_licences(spark):
     given = QUERIES["op6_licence_scan"](spark, "/root/testdata/sf0.1").groupBy("origin").count().collect()
     print({r.origin: r["count"] for r in given})
     assert all({r.origin: r["count"] for r in given}.get(o) for o in ("own", "inherited"))
+
+
+def test_scores_are_the_brute_force_cosines(spark):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    whole = defaultdict(list)
+    for name, text in licenses.TEMPLATES:
+        whole[name].append(text)
+    texts = ["\n\n".join(parts) for parts in whole.values()]
+    texts += ["once upon a time\nthe software is a license of the terms", "", "This program is free software under the GNU license, version 3 or any later version.", texts[0].upper()]
+    spelled = lambda t: [x for x in re.split(r"[^\w.]+|_+|\.(?!\d)", t.lower()) if x]
+    blocks = [(i, j, spelled(b)) for i, t in enumerate(texts) for j, b in enumerate(re.split(r"\n\s*", t))]
+    known = {t for _, text in licenses.TEMPLATES for t in spelled(text)}
+    df = Counter(t for i in range(len(texts)) for t in {x for k, _, b in blocks if k == i for x in b} & known)
+    idf = lambda t: math.log((len(texts) + 1) / (df[t] + 0.5)) if t in known else math.log((len(texts) + 1) / 0.5)
+    vector = lambda b: {t: n * idf(t) for t, n in Counter(b).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    expected = {}
+    for i, j, b in blocks:
+        v = vector(b)
+        for name, text in licenses.TEMPLATES:
+            w = vector(spelled(text))
+            if v and (score := round(sum(x * w.get(t, 0) for t, x in v.items()) / (size(v) * size(w)), 9)) >= licenses.ALIKE:
+                expected[i, j] = min(expected.get((i, j), (0, "")), (-score, name))
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").select("row", licenses.block_terms(F.col("text")).alias("blocks"))
+    found = licenses.matches(files, spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")).collect()
+    got = {(r.row, r.block): (r.score, r.licence) for r in found}
+    assert got.keys() == expected.keys() and len(got) >= len(licenses.TEMPLATES)
+    assert all(abs(got[k][0] + expected[k][0]) < 1e-8 and got[k][1] == expected[k][1] for k in got)
+
+
+def test_pages_that_repeat_one_sign_end_soon(spark):
+    import time
+
+    many = 1_000_000
+    rows = ["<script>" + "// aa\n" * 100_000 + "</script>", "\n" * many, "<title" * many, "<script " * many, "<!--" * many, "<script>/*" * many, "<a " * many, "<footer" * many, "<" * many,
+            "<style>" * many, " \n" * many, "<script>" + "/* */" * 200_000, "</script " * many, "<script>\n" + "*" * many + "</script>", "<b>x" * 200_000]
+    pages = spark.createDataFrame([(i, f"http://a.org/d{i}/x", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    known = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
+    start = time.time()
+    assert licenses.scan(licenses.page_files(pages), known).count() == len(rows)
+    assert time.time() - start < 120
+    assert licenses.scan(licenses.page_files(pages.filter("page_id < 0")), known).count() == 0

@@ -30,7 +30,7 @@ from tracelight.session import cut_lineage
 #: Least cosine of a block and its template.
 ALIKE = 0.6
 
-# Short notices by which files name their licence.
+# Short notices by which files name their licence, then the paragraphs of the licences themselves.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -45,12 +45,50 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved. No part may be reproduced without permission."),
-]
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+     "following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+     "above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+     "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+     "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+     "in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+     "this software without specific prior written permission."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+     "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+     "permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+     "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+     "file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+]
 # What a page does not show, its comments, the tags inside a line of text, and the other tags.
-HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
-COMMENTS = r"(?s)<!--.*?-->|/\*.*?\*/|(?m:^[ \t]*//[^\n]*(?:\n[ \t]*//[^\n]*)*)"
-INLINE = r"(?i)</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|img|ins|kbd|mark|nobr|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(?=[\s/>])[^>]*>"
-FOOTER, TAGS = r"(?i)<footer\b[^>]*>", r"<[^>]*>"
+# What never closes goes to the end, and loops give nothing back, so each pass is linear in the page.
+HIDDEN = r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)"
+COMMENTS = r"(?s)<!--.*?(?:-->|\z)|/\*.*?(?:\*/|\z)|(?m:^[ \t]*+//[^\n]*+(?:\n[ \t]*+//[^\n]*+)*+)"
+INLINE = r"(?i)</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|img|ins|kbd|mark|nobr|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(?=[\s/>])[^>]*+(?:>|\z)"
+TITLE = r"(?is)<title[^>]*+(?:>|\z)(.*?)(?:</title>|\z)"
+FOOTER, TAGS = r"(?i)<footer\b[^>]*+(?:>|\z)", r"<[^>]*+(?:>|\z)"
+#: Line breaks with an empty line between them.
+GAP = r"\n[^\S\n]*+\n\s*+"
 #: In the text of a page: a tag inside a line, the start of a footer.
 INSIDE, FOOT = "\x02", "\x03"
 
@@ -59,13 +97,18 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?!\p{N})"), lambda x: x != "")
 
 
+def block_terms(text: Column) -> Column:
+    """The terms of each block, in order."""
+    return F.transform(F.split(text, r"\n\s*"), terms)
+
+
 def _weighted(templates: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """(template, licence, term, w, norm), key terms, and the weight of a term that no document has."""
+    """(template, licence, term, w, norm), key terms, and the weight of a term that no document has. ``files``: (row, blocks)."""
     each = templates.withColumn("template", F.xxhash64("licence", "text"))
     counted = each.select("template", "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     counted = cut_lineage(counted)
     names = F.array(*[F.lit(r.term) for r in counted.select("term").distinct().orderBy("term").collect()])  # as many as the templates have
-    held = files.select(F.array_intersect(terms(F.col("text")), names).alias("t"))
+    held = files.select(F.array_intersect(F.flatten("blocks"), names).alias("t"))
     df = held.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = files.count()
     unseen = F.log(F.lit((n + 1) / 0.5))
@@ -81,12 +124,12 @@ def _weighted(templates: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def matches(files: DataFrame, templates: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(row, block, licence, score): the best template of each block that reaches ``alike``. ``files``: (row, text)."""
-    files = files.filter("text is not null")
+    """(row, block, licence, score): the best template of each block that reaches ``alike``. ``files``: (row, blocks), the terms of each block."""
+    files = files.filter("blocks is not null")
     weighed, keys, unseen = _weighted(templates, files)
     names = F.array(*[F.lit(r.term) for r in keys.orderBy("term").collect()])
-    blocks = files.select("row", F.posexplode(F.split("text", r"\n\s*")).alias("block", "t")).filter("t <> ''")
-    open_ = blocks.withColumn("t", terms(F.col("t"))).filter(F.arrays_overlap("t", names))
+    blocks = files.select("row", F.posexplode("blocks").alias("block", "t"))
+    open_ = blocks.filter(F.arrays_overlap("t", names))
     each = open_.select("row", "block", F.explode("t").alias("term")).groupBy("row", "block", "term").agg(F.count("*").alias("n"))
     each = cut_lineage(each)
     idf = weighed.groupBy("term").agg(F.max("idf").alias("idf"))
@@ -111,8 +154,10 @@ def scan(files: DataFrame, templates: DataFrame, alike: float = ALIKE) -> DataFr
 
     A file whose match lies in its first ``header_blocks`` blocks is a licence file of its directory.
     """
-    files = cut_lineage(files.withColumn("row", F.monotonically_increasing_id()))
-    found = cut_lineage(matches(files.select("row", "text"), templates, alike))
+    # A text is taken apart once: what is written is its terms, by block.
+    files = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", "header_blocks", block_terms(F.col("text")).alias("blocks"))
+    files = cut_lineage(files)
+    found = cut_lineage(matches(files.select("row", "blocks"), templates, alike))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "licence", "block")
     own = found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row", F.col("licence").alias("own_licence"), "score")
     heads = found.join(files.select("row", "header_blocks"), "row").filter("block < header_blocks").groupBy("row").agg(F.min(F.struct("block", "licence")).alias("h"))
@@ -136,13 +181,13 @@ def scan(files: DataFrame, templates: DataFrame, alike: float = ALIKE) -> DataFr
 
 def _whole(lines: Column) -> Column:
     """Lines without the marks of the tags inside them."""
-    return F.translate(lines, INSIDE + FOOT, "")
+    return F.regexp_replace(lines, f"[{INSIDE}{FOOT}]", "")
 
 
 def _pieces(lines: Column) -> Column:
     """Of lines that have tags inside: what stands between these, a line each."""
     cut = F.regexp_extract_all(lines, F.lit(rf"(?<![^\n])[^\n{INSIDE}]*+{INSIDE}[^\n]*"), F.lit(0))
-    return F.translate(F.array_join(cut, "\n"), INSIDE + FOOT, "\n")
+    return F.regexp_replace(F.array_join(cut, "\n"), f"[{INSIDE}{FOOT}]", "\n")
 
 
 def page_files(pages: DataFrame) -> DataFrame:
@@ -151,14 +196,15 @@ def page_files(pages: DataFrame) -> DataFrame:
     Header blocks: the title, the comments (of scripts and styles too), the last block before the footer, the footer.
     """
     host, path = host_and_path(F.col("url"))
-    html = F.translate(F.coalesce("html", F.lit("")), "\r\x01\x02\x03", "    ")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), "[\r\x01\x02\x03]", " ")
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"\s+", " "))
     hidden = F.array_join(F.regexp_extract_all(html, F.lit(HIDDEN), F.lit(0)), "\n")
-    hidden = F.regexp_replace(hidden, r"(?i)(<script\b[^>]*>\s*)<!--", "$1")  # an old way to open a script
+    hidden = F.regexp_replace(hidden, r"(?i)(<script\b[^<>]*+>\s*+)<!--", "$1")  # an old way to open a script
     notes = F.array_join(F.regexp_extract_all(hidden, F.lit(COMMENTS), F.lit(0)), "\n\n")
     # Only an empty line closes a block inside an element or a comment.
-    notes = F.translate(F.regexp_replace(F.regexp_replace(notes, r"\n[\s*/]*\n", "\x01"), r"\s+", " "), "\x01", "\n")
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", ""), r"\n(?!\s*\n)", " ")
+    notes = F.replace(F.regexp_replace(F.regexp_replace(notes, r"\n[\s*/]*\n", "\x01"), r"\s+", " "), F.lit("\x01"), F.lit("\n"))
+    body = F.regexp_replace(F.regexp_replace(html, TITLE, ""), GAP, "\x01")
+    body = F.replace(F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("\x01"), F.lit("\n"))
     for what, by in ((HIDDEN, ""), (INLINE, INSIDE), (FOOTER, f"\n{FOOT}\n"), (TAGS, "\n")):
         body = F.regexp_replace(body, what, by)
     parts = pages.select("page_id", "html", "url", title.alias("title"), notes.alias("notes"), body.alias("body"))
