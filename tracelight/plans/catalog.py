@@ -13,7 +13,8 @@ from tracelight.operators.groups import standard_score
 from tracelight.operators.prep import analysis_table
 from tracelight.plans.design import Design
 from tracelight.plans.fits import Fit, fit_bernoulli, fit_hurdle, least_squares
-from tracelight.plans.pooling import Pooled, pool, pool_nested
+from tracelight.plans.mixture import integrate
+from tracelight.plans.pooling import Pooled
 from tracelight.plans.rooms import RoomFit, fit_rooms, fit_rooms_lognormal
 
 DISTANCE, TIME, WAVE = "distance", "subject_covid_day", "total_study_day"
@@ -108,4 +109,4 @@ def fit_table(name: str, table: DataFrame, rounds: int | None = None) -> Fit | P
         return fits[()]
     # Models with a population intercept shrink to their common mean, others to zero.
     centre = None if model.family == "hurdle_lognormal" else np.zeros(len(model.design.parameters))
-    return (pool if len(model.strata) == 1 else pool_nested)(fits, centre)
+    return integrate(fits, centre)

@@ -22,11 +22,18 @@ from tracelight.plans import catalog
 from tracelight.plans.checks import compare_models, leave_one_out
 from tracelight.plans.draws import expected_draws, laplace_draws
 from tracelight.plans.fits import Fit
+from tracelight.plans.mixture import Mixture, mixture_draws
 from tracelight.plans.pooling import Pooled
+from tracelight.session import cut_lineage
 
 
 def strata_draws(spark: SparkSession, pooled: Pooled, keys: Sequence[str], count: int) -> DataFrame:
-    """Draws of every stratum: its key columns, ``draw``, ``b<i>`` (and ``sigma``, ``hu``)."""
+    """Draws of every stratum: its key columns, ``draw``, ``b<i>`` (and ``sigma``, ``hu``).
+
+    Where the spread is integrated out, draws of all strata are joint draws of the mixture.
+    """
+    if isinstance(pooled, Mixture):
+        return cut_lineage(mixture_draws(spark, pooled, list(keys), count))
     parts = []
     for key in sorted(pooled.estimates, key=str):
         wide = laplace_draws(spark, pooled.stratum(key), count)
@@ -61,8 +68,9 @@ def model_scores(name: str, fit: Fit | Pooled, counts: DataFrame, columns: Seque
     model, spark = catalog.MODELS[name], counts.sparkSession
     if isinstance(fit, Fit):
         return leave_one_out(counts, columns, laplace_draws(spark, fit, draws), model.design, smooth, model.family)
+    wide = strata_draws(spark, fit, model.strata, draws)
     parts = [
-        leave_one_out(counts.where(_is(model.strata, key)), columns, laplace_draws(spark, fit.stratum(key), draws), model.design, smooth, model.family)
+        leave_one_out(counts.where(_is(model.strata, key)), columns, wide.where(_is(model.strata, key)).drop(*model.strata), model.design, smooth, model.family)
         for key in sorted(fit.estimates, key=str)
     ]
     return reduce(DataFrame.unionByName, parts)
