@@ -245,18 +245,27 @@ grid AS (SELECT lo + i * (hi - lo) / 99 AS distance, site_category, high_touch F
 EPRED7 = f"epred AS MATERIALIZED (SELECT distance, site_category, high_touch, draw, 1 / (1 + exp(-({linear(4, TERMS[DISTANCE_MODEL])}))) AS epred FROM grid, draws)"
 
 
-def _epred(spark, folder, name=DISTANCE_MODEL, even=None, levels=("site_category", "high_touch"), count=DRAWS):
+def _points(spark, folder, name, even, levels, count):
     table, fit, wide = model_draws(spark, folder, name, count)
-    points = grid.prediction_grid(prep.model_frame(table, ["scv2_detected", *fit.design.columns]), even or {"distance": 100}, levels)
+    return grid.prediction_grid(prep.model_frame(table, ["scv2_detected", *fit.design.columns]), even or {"distance": 100}, levels), fit, wide
+
+
+def _epred(spark, folder, name=DISTANCE_MODEL, even=None, levels=("site_category", "high_touch"), count=DRAWS):
+    points, fit, wide = _points(spark, folder, name, even, levels, count)
     return posterior.expected_draws(points, wide, fit.design, count)
 
 
+def _ribbon(spark, folder, name=DISTANCE_MODEL, even=None, by=("distance", "site_category", "high_touch"), count=DRAWS):
+    points, fit, wide = _points(spark, folder, name, even, ("site_category", "high_touch"), count)
+    return posterior.expected_quantiles(points, wide, fit.design, count, by, intervals.RIBBON)
+
+
 add("p1_expected_draws", lambda spark, folder: tidy(_epred(spark, folder), 5), query(
     *draw_parts(DISTANCE_MODEL), GRID7, EPRED7, f"SELECT {rounded('distance', digits=5)}, site_category, high_touch, draw, {rounded('epred', digits=5)} FROM epred"))
 add("p2_thinned_draws", lambda spark, folder: tidy(posterior.thin(model_draws(spark, folder, DISTANCE_MODEL)[2], THINNED), 4), query(
     *draw_parts(DISTANCE_MODEL), "SELECT draw, " + ", ".join(rounded(f"b{i}", digits=4) for i in range(4)) + f" FROM draws WHERE draw < {THINNED}"))
 RIBBON_SQL = ", ".join(rounded(f"quantile_cont(epred, {p})", n, 5) for n, p in intervals.RIBBON.items())
-add("p3_ribbon", lambda spark, folder: tidy(intervals.ribbon(_epred(spark, folder), ["distance", "site_category", "high_touch"]), 5), query(
+add("p3_ribbon", lambda spark, folder: tidy(_ribbon(spark, folder), 5), query(
     *draw_parts(DISTANCE_MODEL), GRID7, EPRED7, f"SELECT {rounded('distance', digits=5)}, site_category, high_touch, {RIBBON_SQL} FROM epred GROUP BY epred.distance, site_category, high_touch"))
 
 GRID21 = """
@@ -266,8 +275,8 @@ grid AS (SELECT lo + i * (hi - lo) / 9.0 AS subject_covid_day, wlo + j * (whi -
   WHERE NOT (high_touch AND site_category = 'Floor'))"""
 EPRED21 = f"epred AS MATERIALIZED (SELECT grid.*, draw, 1 / (1 + exp(-({linear(6, TERMS[WAVE_MODEL])}))) AS epred FROM grid, draws)"
 WAVE_EVEN = {"subject_covid_day": 10, "total_study_day": 10}
-add("p3_ribbon_pooled", lambda spark, folder: tidy(intervals.ribbon(_epred(
-    spark, folder, WAVE_MODEL, WAVE_EVEN), ["total_study_day", "site_category", "high_touch"]), 5), query(
+add("p3_ribbon_pooled", lambda spark, folder: tidy(_ribbon(
+    spark, folder, WAVE_MODEL, WAVE_EVEN, ("total_study_day", "site_category", "high_touch")), 5), query(
     *draw_parts(WAVE_MODEL), GRID21, EPRED21, f"""SELECT {rounded('total_study_day', digits=5)}, site_category, high_touch, {RIBBON_SQL}
     FROM epred GROUP BY epred.total_study_day, site_category, high_touch"""))
 
@@ -319,8 +328,9 @@ draws AS MATERIALIZED (SELECT lines.*, fit.sigma * exp(z4 / sqrt(2 * greatest(ro
 def _hurdle_ribbon(spark, folder):
     table, fit, wide = model_draws(spark, folder, HURDLE_MODEL)
     points = grid.prediction_grid(table.dropna(subset=fit.design.columns), {"distance": 100}, ["site_category", "high_touch"])
-    epred = posterior.expected_draws(points, wide, fit.design, DRAWS, "hurdle_lognormal")
-    return tidy(intervals.ribbon(epred, ["distance", "site_category", "high_touch"]), 3)
+    found = posterior.expected_quantiles(
+        points, wide, fit.design, DRAWS, ["distance", "site_category", "high_touch"], intervals.RIBBON, "hurdle_lognormal")
+    return tidy(found, 3)
 
 
 add("p3_ribbon_hurdle", _hurdle_ribbon, query(*HURDLE_DRAWS, GRID7.replace("spatial_days", "spatial"), f"""
@@ -330,9 +340,7 @@ epred AS MATERIALIZED (SELECT distance, site_category, high_touch, draw, (1 - hu
 
 
 def _strata_ribbon(spark, folder, name):
-    model = catalog.MODELS[name]
-    epred = strata.strata_expected(name, views.swabs(spark, folder), DRAWS)
-    return tidy(intervals.ribbon(epred, [model.design.columns[0], *model.strata]), 3)
+    return tidy(strata.strata_ribbon(name, views.swabs(spark, folder), DRAWS), 3)
 
 
 for _name, _model in catalog.MODELS.items():

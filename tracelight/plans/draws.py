@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelight.functions import normal_score
 from tracelight.operators.joins import keyed_join
-from tracelight.plans.design import Design, linear_predictor
-from tracelight.plans.fits import PRIOR_SD, Fit, lognormal_mean
+from tracelight.plans.design import Design
+from tracelight.plans.fits import PRIOR_SD, Fit
 from tracelight.schemas import DRAWS
 from tracelight.session import cut_lineage
 
@@ -105,20 +108,103 @@ def pair_with_draws(grid: DataFrame, draws: DataFrame, count: int, keys: Sequenc
     return keyed_join(numbered, thin(draws, count), [*keys, "draw"], "inner")
 
 
+@dataclass(frozen=True)
+class DrawTable:
+    """Draws as one matrix (or one for each key), of a size the caller asked for; tasks hold it whole."""
+
+    keys: tuple[str, ...]
+    values: dict[tuple, np.ndarray]
+    family: str
+
+    @classmethod
+    def of(cls, draws: DataFrame, p: int, count: int, family: str, keys: Sequence[str] = ()) -> DrawTable:
+        extra = ["sigma", "hu"] if family == "hurdle_lognormal" else []
+        names = [f"b{i}" for i in range(p)] + extra
+        found = thin(draws, count).select(*keys, "draw", *names).toPandas().sort_values("draw")
+        groups = found.groupby(list(keys), dropna=False) if keys else [((), found)]
+        return cls(tuple(keys), {k: g[names].to_numpy(float) for k, g in groups}, family)
+
+    def expected(self, key: tuple, x: np.ndarray) -> np.ndarray:
+        """Expected outcome (rows x draws) of design rows."""
+        table = self.values.get(key)
+        if table is None:
+            return np.zeros((len(x), 0))
+        eta = np.zeros((len(x), len(table)))
+        for i in range(x.shape[1]):  # term by term, in the order of the linear predictor
+            eta += x[:, i, None] * table[:, i]
+        if self.family == "bernoulli":
+            return 1.0 / (1.0 + np.exp(-eta))
+        if self.family == "hurdle_lognormal":
+            sigma, hu = table[:, -2], table[:, -1]
+            return (1.0 - hu) * np.exp(eta + sigma * sigma / 2.0)
+        return eta
+
+
+def _designed(grid: DataFrame, design: Design) -> DataFrame:
+    """``grid`` as struct ``point`` with its design row ``x``, spread over the tasks; a grid is small by construction."""
+    x = F.array(*[c.cast("double") for c in design.expressions().values()])
+    return grid.select(F.struct(*grid.columns).alias("point"), x.alias("x"))
+
+
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+
+
 def expected_draws(
     grid: DataFrame, draws: DataFrame, design: Design, count: int, family: str = "bernoulli",
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Expected outcome per grid row and draw, as grid columns, ``draw``, ``epred``."""
-    paired = pair_with_draws(grid, draws, count, keys)
-    eta = linear_predictor([F.col(f"b{i}") for i in range(len(design.parameters))], design)
-    if family == "bernoulli":
-        value = 1.0 / (1.0 + F.exp(-eta))
-    elif family == "hurdle_lognormal":
-        value = lognormal_mean(eta, F.col("sigma"), F.col("hu"))
-    else:
-        value = eta
-    return paired.select(*grid.columns, "draw", value.alias("epred"))
+    """Expected outcome per grid row and draw, as grid columns, ``draw``, ``epred``.
+
+    Tasks hold the draws and multiply their grid rows with them: no join, no shuffle of grid times draws.
+    """
+    p = len(design.parameters)
+    table = DrawTable.of(draws, p, count, family, keys)
+    tasks = grid.sparkSession.sparkContext.defaultParallelism
+    points = _designed(grid, design).repartition(tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point, x = batch.column("point"), _matrix(batch.column("x"), p)
+            for row in range(batch.num_rows):
+                found = table.expected(tuple(point.field(k)[row].as_py() for k in table.keys), x[row : row + 1])[0]
+                repeated = point.take(pa.array(np.full(len(found), row)))
+                yield pa.RecordBatch.from_arrays([repeated, pa.array(np.arange(len(found))), pa.array(found)], names=["point", "draw", "epred"])
+
+    schema = StructType([points.schema["point"]]).add("draw", "long").add("epred", "double")
+    return points.mapInArrow(run, schema).select("point.*", "draw", "epred")
+
+
+def expected_quantiles(
+    grid: DataFrame, draws: DataFrame, design: Design, count: int, groups: Sequence[str], points: dict[str, float],
+    family: str = "bernoulli", keys: Sequence[str] = (),
+) -> DataFrame:
+    """Quantiles (name: share) of the expected outcome over all draws and grid rows of a group.
+
+    The grid rows of a group come together in one row (a grid is small by construction); their values
+    with all draws are made and reduced in place, so neither of them is a row anywhere. ``keys`` are
+    among ``groups``.
+    """
+    p = len(design.parameters)
+    table = DrawTable.of(draws, p, count, family, keys)
+    x = F.array(*[c.cast("double") for c in design.expressions().values()])
+    rows = grid.groupBy(*groups).agg(F.collect_list(x).alias("x")).select(F.struct(*groups).alias("point"), "x")
+    shares = list(points.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point, out = batch.column("point"), []
+            for row in range(batch.num_rows):
+                design_rows = np.array(batch.column("x")[row].as_py(), float).reshape(-1, p)
+                values = table.expected(tuple(point.field(k)[row].as_py() for k in table.keys), design_rows)
+                out.append(np.quantile(values, shares) if values.size else np.full(len(shares), np.nan))
+            columns = np.array(out).reshape(-1, len(shares)).T
+            yield pa.RecordBatch.from_arrays([point, *[pa.array(c.copy(), from_pandas=True) for c in columns]], names=["point", *points])
+
+    schema = StructType([rows.schema["point"]])
+    for name in points:
+        schema = schema.add(name, "double")
+    return rows.mapInArrow(run, schema).select("point.*", *points)
 
 
 def importance_weights(

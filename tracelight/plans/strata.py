@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from tracelight.functions import is_detected
 from tracelight.operators.grid import prediction_grid
 from tracelight.operators.groups import undo_standard_score
+from tracelight.operators.intervals import RIBBON
 from tracelight.operators.prep import analysis_table
 from tracelight.operators.reshape import stack
 from tracelight.plans import catalog
 from tracelight.plans.checks import compare_models, leave_one_out
-from tracelight.plans.draws import expected_draws, laplace_draws
+from tracelight.plans.draws import expected_draws, expected_quantiles, laplace_draws
 from tracelight.plans.fits import Fit
 from tracelight.plans.mixture import Mixture, mixture_draws
 from tracelight.plans.pooling import Pooled
@@ -41,22 +42,42 @@ def strata_draws(spark: SparkSession, pooled: Pooled, keys: Sequence[str], count
     return reduce(DataFrame.unionByName, parts)
 
 
-def strata_expected(name: str, swabs: DataFrame, count: int, points: int = 100) -> DataFrame:
-    """Expected outcome of a pooled model by stratum, grid point and draw.
-
-    A scaled axis is moved back to its own units.
-    """
+def _cells(name: str, swabs: DataFrame, count: int, points: int) -> tuple[DataFrame, DataFrame]:
+    """Grid of a pooled model over its axis and fitted strata, and the draws of these."""
     model = catalog.MODELS[name]
     table = catalog.model_table(name, swabs)
     pooled = catalog.fit_table(name, table)
     axis = model.design.columns[0]
     cells = prediction_grid(table.dropna(subset=[axis, *model.strata]), {axis: points}, model.strata)
-    wide = strata_draws(swabs.sparkSession, pooled, model.strata, count)
     fitted = reduce(lambda a, b: a | b, [_is(model.strata, key) for key in pooled.estimates])
-    out = expected_draws(cells.where(fitted), wide, model.design, count, model.family, model.strata)
+    return cells.where(fitted), strata_draws(swabs.sparkSession, pooled, model.strata, count)
+
+
+def _unscaled(out: DataFrame, name: str, swabs: DataFrame) -> DataFrame:
+    model = catalog.MODELS[name]
     if model.scaled is None:
         return out
-    return undo_standard_score(out, axis, analysis_table(swabs, model.variant), model.scaled)
+    return undo_standard_score(out, model.design.columns[0], analysis_table(swabs, model.variant), model.scaled)
+
+
+def strata_expected(name: str, swabs: DataFrame, count: int, points: int = 100) -> DataFrame:
+    """Expected outcome of a pooled model by stratum, grid point and draw.
+
+    A scaled axis is moved back to its own units.
+    """
+    model = catalog.MODELS[name]
+    cells, wide = _cells(name, swabs, count, points)
+    return _unscaled(expected_draws(cells, wide, model.design, count, model.family, model.strata), name, swabs)
+
+
+def strata_ribbon(name: str, swabs: DataFrame, count: int, points: int = 100) -> DataFrame:
+    """Median and equal-tail intervals of a pooled model by stratum and grid point."""
+    model = catalog.MODELS[name]
+    cells, wide = _cells(name, swabs, count, points)
+    found = expected_quantiles(
+        cells, wide, model.design, count, [model.design.columns[0], *model.strata], RIBBON, model.family, model.strata
+    )
+    return _unscaled(found, name, swabs)
 
 
 def _is(keys: Sequence[str], key: tuple):
