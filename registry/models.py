@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from registry.base import add, on_both, on_swabs, tidy
 from registry.sql_base import LONG_DAYS, SEVERITY, SPATIAL, SPATIAL_DAYS, SUBJECTS, SWABS, analysis, query, rounded
 from registry.sql_fit import draws as draw_sql
-from registry.sql_fit import linear, lower, newton, normal_equations, normal_scores, patterns
+from registry.sql_fit import inverse_normal, linear, lower, newton, normal_equations, normal_scores, patterns
 from registry.tables import EVENT_DRAWS, event_draws, signif_sql
 from tracelight import functions as C
 from tracelight.operators import describe, grid, groups, intervals, joins, prep, reshape
-from tracelight.plans import catalog, checks, design, fits, pooling, rooms, strata
+from tracelight.plans import catalog, checks, design, fits, mixing, pooling, rooms, strata
 from tracelight.plans import draws as posterior
 from tracelight.schemas import SEVERITY_LEVELS
 from tracelight.sources import files, model_store, views
@@ -483,6 +483,34 @@ chains AS (SELECT model_name, param, chain, iteration > middle AS half, avg(valu
 ratios AS (SELECT model_name, param, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM chains GROUP BY 1, 2)""",
     f"SELECT model_name, param, {rounded('rhat')}, rhat < 1.1 AS converged FROM ratios"))
 
+# Average ranks over all chains, and the split-chain ratio of their normal scores (plain and folded).
+RANKED = """ranked AS (SELECT *, rank() OVER (PARTITION BY model_name, param ORDER BY value)
+  + (count(*) OVER (PARTITION BY model_name, param, value) - 1) / 2 AS rank, count(*) OVER (PARTITION BY model_name, param) AS n FROM event_draws)"""
+add("p9_average_ranks", lambda spark, folder: tidy(mixing.average_ranks(
+    event_draws(spark, folder), ["model_name", "param"], "value").select("model_name", "chain", "iteration", "param", "rank")),
+    query(EVENT_DRAWS, RANKED, f"SELECT model_name, chain, iteration, param, {rounded('rank')} FROM ranked"))
+
+
+def _score_sql(source, value, name):
+    ranks = f"rank() OVER (PARTITION BY model_name, param ORDER BY {value}) + (count(*) OVER (PARTITION BY model_name, param, {value}) - 1) / 2"
+    share = f"({ranks} - 0.375) / (count(*) OVER (PARTITION BY model_name, param) + 0.25)"
+    return f"SELECT *, {inverse_normal('u')} AS {name} FROM (SELECT * EXCLUDE (u), {share} AS u FROM (SELECT *, 0 AS u FROM ({source})))"
+
+
+def _ratio_sql(value):
+    return f"""SELECT model_name, param, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM
+      (SELECT model_name, param, chain, half, avg({value}) AS m, var_samp({value}) AS v, count(*) AS n FROM scored GROUP BY 1, 2, 3, 4) GROUP BY 1, 2"""
+
+
+add("p9_rank_convergence", lambda spark, folder: tidy(mixing.rank_convergence(event_draws(spark, folder))), query(EVENT_DRAWS, f"""
+middles AS (SELECT model_name, chain, (min(iteration) + max(iteration)) / 2 AS middle FROM event_draws GROUP BY 1, 2),
+halves AS (SELECT d.*, iteration > middle AS half FROM event_draws d JOIN middles USING (model_name, chain)),
+away AS (SELECT *, abs(value - median(value) OVER (PARTITION BY model_name, param)) AS away FROM halves),
+scored AS MATERIALIZED ({_score_sql(_score_sql("SELECT * FROM away", "value", "z"), "away", "folded")}),
+ratios AS (SELECT model_name, param, max(rhat) AS rhat FROM ({_ratio_sql("z")} UNION ALL {_ratio_sql("folded")}) GROUP BY 1, 2)""",
+    f"SELECT model_name, param, {rounded('rhat')}, rhat < 1.1 AS converged FROM ratios"))
+add("p9_effective_sizes", lambda spark, folder: tidy(mixing.effective_sizes(event_draws(spark, folder)), 3))
+
 
 def _steps(spark, folder):
     events = files.read_table(spark, folder, "events")

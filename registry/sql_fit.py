@@ -92,24 +92,25 @@ def horner(coefficients: list[float], x: str) -> str:
     return text
 
 
-def normal_scores(count: int, p: int) -> str:
-    """CTE ``scores`` with ``draw`` and ``z<j>``."""
-    uniforms = ", ".join(
-        f"(i + 1) * sqrt({float(q)!r}::DOUBLE) - floor((i + 1) * sqrt({float(q)!r}::DOUBLE)) AS u{j}" for j, q in enumerate(normal.primes(p))
-    )
+def inverse_normal(u: str) -> str:
+    """SQL of the standard normal quantile of a column."""
 
     def tail(q: str) -> str:
         t = f"sqrt(-2 * ln({q}))"
         return f"{horner(normal.TAIL_NUMERATOR, t)} / {horner(normal.TAIL_DENOMINATOR, t)}"
 
-    scores = []
-    for j in range(p):
-        u, c = f"u{j}", f"(u{j} - 0.5)"
-        square = f"({c} * {c})"
-        centre = f"{horner(normal.CENTRE_NUMERATOR, square)} * {c} / {horner(normal.CENTRE_DENOMINATOR, square)}"
-        scores.append(
-            f"CASE WHEN {u} < 0.02425 THEN {tail(u)} WHEN {u} > 1 - 0.02425 THEN -({tail(f'(1 - {u})')}) ELSE {centre} END AS z{j}"
-        )
+    c = f"({u} - 0.5)"
+    square = f"({c} * {c})"
+    centre = f"{horner(normal.CENTRE_NUMERATOR, square)} * {c} / {horner(normal.CENTRE_DENOMINATOR, square)}"
+    return f"CASE WHEN {u} < 0.02425 THEN {tail(u)} WHEN {u} > 1 - 0.02425 THEN -({tail(f'(1 - {u})')}) ELSE {centre} END"
+
+
+def normal_scores(count: int, p: int) -> str:
+    """CTE ``scores`` with ``draw`` and ``z<j>``."""
+    uniforms = ", ".join(
+        f"(i + 1) * sqrt({float(q)!r}::DOUBLE) - floor((i + 1) * sqrt({float(q)!r}::DOUBLE)) AS u{j}" for j, q in enumerate(normal.primes(p))
+    )
+    scores = [f"{inverse_normal(f'u{j}')} AS z{j}" for j in range(p)]
     return f"scores AS MATERIALIZED (SELECT i AS draw, {', '.join(scores)} FROM (SELECT i, {uniforms} FROM range({count}) r(i)))"
 
 
