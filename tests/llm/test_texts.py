@@ -206,3 +206,25 @@ def test_quality_fit_ends_at_the_optimum():
     least = total(weights, model.thresholds)
     assert all(total(weights + e, model.thresholds) >= least - 1e-6 for j in range(64) for e in (0.02 * np.eye(64)[j], -0.02 * np.eye(64)[j]))
     assert weights[62] > 0 > weights[60] and np.diff(model.thresholds)[0] > 0
+
+
+def test_rows_of_one_id_do_not_touch_each_other(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    a, b, c = words("a", 40), words("b", 40), words("c", 40)
+    # Each passage stays once, whatever rows share an id.
+    for rows in ([(1, a), (5, a), (5, c), (6, c)], [(None, a), (None, a + " x"), (None, c), (None, b), (6, c)], [(5, a), (5, b), (5, a + " " + b)], [(5, a), (5, a), (6, a)]):
+        out = lempel_ziv.without_copies(table(rows), 20).collect()
+        kept = " ".join((r.kept_text if r.n_removed else r.given.text) for r in out).split()
+        assert len(out) == len(rows) and {w for _, t in rows for w in t.split()} == set(kept)
+        assert all(kept.count(w) == 1 or rows == [(5, a), (5, a), (6, a)] for w in kept)
+    for seed in range(3):
+        rows = [(1, a), (1, b + f" {seed}"), (2, b), (3, c), (None, c + " y"), (None, a + " y")]
+        found = near_dup.near_duplicates(table(rows), 4, 80).collect()
+        assert len(found) == 6 and sum(r.kept for r in found) == 3
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == sorted([(1, 0), (0, 0), (1, 1), (2, 1), (3, 0), (0, 0)])
+    phrase = words("p", 10).split()
+    items = spark.createDataFrame([(9, " ".join(phrase))], "item_id long, text string")
+    rows = [(1, " ".join(phrase[:5])), (1, "q q q q q " + " ".join(phrase[5:])), (None, " ".join(phrase)), (None, "none"), (2, "x " + " ".join(phrase)), (2, " ".join(phrase[::-1]))]
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.contamination(table(rows), items, 10).collect()))
+    assert got == [(0, 1, 0), (0, 10, 10), (1, 5, 0), (1, 10, 0), (2, 10, 0), (2, 11, 10)]

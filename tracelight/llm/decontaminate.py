@@ -13,7 +13,7 @@ are joined on (document, start), and candidates come from the rarest term, so a
 frequent word or a passage in a third of the documents meets no list as a whole.
 
 Nulls have no words and are never hit; benchmark items that repeat a phrase share
-its search. Rows that repeat an id are one document: their postings lie together.
+its search. Rows with a null or repeated id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -129,8 +129,8 @@ def near_matches(docs: DataFrame, items: DataFrame, terms: int = 3, within: int
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit word ranges (start, stop)."""
-    texts = T.keyed_texts(docs)
-    found, owners = hits(texts, items, size)
+    texts = T.separated(docs)[0]
+    found, owners = hits(texts.select("doc_id", "text"), items, size)
     # Hit words: the union of [start, start + length) by document, from starts in order.
     spans = found.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
     order = Window.partitionBy("doc_id").orderBy("start")
@@ -141,9 +141,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     listed = found.select("doc_id", "phrase").join(owners, "phrase").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     listed = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     marked = cut_lineage(hit.join(listed, "doc_id", "left"))
-    counted = texts.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    counted = texts.select("doc_id", "given_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(marked, "doc_id", "left").select(
-        T.given_id(), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        F.col("given_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "ranges",
     )

@@ -15,12 +15,12 @@ A piece travels with ``DIGEST`` bytes of hash for each of its windows; two windo
 are equal if they agree on the 64-bit anchor, its place in the window and these.
 
 Hot anchors (found on a sample of the documents, which only chooses how rows
-travel) are sent window by window, and each task sends a repeated piece once: a
-passage in a third of all documents is spread over all blocks.
+travel) are sent window by window, and each task sends a repeated piece once (of those
+it remembers): a passage in a third of all documents is spread over all blocks.
 
-Nulls and texts shorter than a window have no spans. Ids are numbers, null sorts
-first. Rows that repeat an id are one document: positions of one of its rows count
-for all of them, and a window is no copy of the same position.
+Nulls and texts shorter than a window have no spans. Ids are numbers. Rows with a null
+or repeated id are told apart by their text and come first, in an order of their own;
+rows with the same id and text are one document, and a window is no copy of itself.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from tracelight.llm import text as T
 ANCHOR = 6
 #: One document in this many shows which anchors are hot.
 SAMPLED = 64
+#: Pieces whose first place a task remembers, 24 bytes each.
+MET = 2_000_000
 #: Bytes of hash for a window.
 DIGEST = 8
 PIECE = "anchor long, doc_id long, place long, digests binary"
@@ -60,14 +62,38 @@ def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return best, place
 
 
+class Met:
+    """Pieces a task has sent, by key, each with its earliest document and place; no more than ``MET`` are remembered."""
+
+    def __init__(self):
+        self.key, self.owner, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def earlier(self, key: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pieces were sent for an earlier document, or an earlier place of the same one."""
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[i] == key) & ((self.owner[i] < owner) | ((self.owner[i] == owner) & (self.at[i] < at)))
+
+    def add(self, key: np.ndarray, owner: np.ndarray, at: np.ndarray) -> None:
+        if len(self.key) >= MET:
+            return
+        key, owner, at = (np.concatenate(x) for x in zip((self.key, self.owner, self.at), (key, owner, at), strict=True))
+        order = np.lexsort((at, owner, key))
+        k = key[order]
+        order = order[np.concatenate([[True], k[1:] != k[:-1]])]
+        self.key, self.owner, self.at = key[order], owner[order], at[order]
+
+
 def _pieces(window: int, hot: np.ndarray):
-    """Pieces of whole texts; a piece that a batch has met before comes without digests, as a copy.
+    """Pieces of whole texts; a piece that the task has met earlier in the order of documents comes without digests, as a copy.
 
     ``place`` holds the anchor's place in words, then in 12 bits each the words from
     the piece's last and first window start to the anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             parts, owner, size = [], [], 0
@@ -86,9 +112,9 @@ def _pieces(window: int, hot: np.ndarray):
                     owner.append(np.full(len(cuts), ids[first + row]))
             if parts:
                 anchor, at, cuts, stops, flat, every = (np.concatenate([p[i] for p in parts]) for i in range(6))
-                yield emit(anchor, np.concatenate(owner), at, cuts, stops - cuts, flat, every)
+                yield emit(met, anchor, np.concatenate(owner), at, cuts, stops - cuts, flat, every)
 
-    def emit(anchor, owner, at, start, n, flat, every) -> pa.RecordBatch:
+    def emit(met, anchor, owner, at, start, n, flat, every) -> pa.RecordBatch:
         """Pieces of ``n`` windows from ``start``, whose hashes stand in ``every`` from ``flat``."""
         if len(hot) and (is_hot := np.isin(anchor, hot)).any():
             many = n[is_hot]
@@ -105,9 +131,12 @@ def _pieces(window: int, hot: np.ndarray):
         order = np.lexsort((at, owner, key))
         k = key[order]
         head = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(len(k)), 0))
-        # Not the first of equal pieces in this batch, nor at the place of the first.
+        # Not the first of equal pieces in this batch or before it, nor at the place of the first.
         copy = np.zeros(len(k), bool)
         copy[order] = (owner[order] != owner[order[head]]) | (at[order] != at[order[head]])
+        copy |= met.earlier(key, owner, at)
+        first = order[head == np.arange(len(k))]
+        met.add(key[first], owner[first], at[first])
         # A copy needs no partner any more: it goes with a key of its own, to any block.
         anchor = np.where(copy, T.mixed(owner.astype(np.uint64) * np.uint64(31) + at.astype(np.uint64)), anchor)
         sent = np.where(copy, 0, n)
@@ -123,6 +152,68 @@ def _pieces(window: int, hot: np.ndarray):
     return run
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as their lowest bytes, then the next ones ...: high bytes are mostly zeros, which compress to nothing."""
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, wide).T).tobytes()
+
+
+def _packed(blocks: int):
+    """Pieces (``PIECE``) as one row for each batch and target block: (block, body). Copies have no digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, doc, place = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
+            digests = batch.column("digests")
+            sent = np.array(pc.is_valid(digests))
+            offsets = np.frombuffer(digests.buffers()[1], np.int32)[digests.offset : digests.offset + len(digests) + 1].astype(np.int64)
+            data = np.frombuffer(digests.buffers()[2], np.uint8) if digests.buffers()[2] is not None else np.zeros(0, np.uint8)
+            size = np.diff(offsets)
+            block = (T.mixed(anchor.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            order = np.lexsort((place, doc, block))
+            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+            bodies, used = [], np.flatnonzero(np.diff(cuts))
+            for b in used:
+                rows = order[cuts[b] : cuts[b + 1]]
+                docs, which = np.unique(doc[rows], return_inverse=True)
+                n = size[rows]
+                index = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                head = np.array([len(rows), len(docs)], np.int64).tobytes()
+                bodies.append(b"".join([
+                    head, docs.tobytes(), np.ascontiguousarray(anchor[rows]).tobytes(), _planes(which, "<u4"), _planes(place[rows] >> 24, "<u8"),
+                    _planes(place[rows] >> 12 & 4095, "<u2"), _planes(place[rows] & 4095, "<u2"), sent[rows].astype(np.uint8).tobytes(), data[index].tobytes(),
+                ]))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], names=["block", "body"])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of packed rows."""
+    for batch in batches:
+        for body in batch.column("body"):
+            raw = np.frombuffer(body.as_buffer(), np.uint8)
+            n, many = (int(x) for x in raw[:16].view(np.int64))
+            at = 16
+
+            def take(wide: int, count: int, planes: bool = True) -> np.ndarray:
+                nonlocal at
+                part = raw[at : at + wide * count]
+                at += wide * count
+                return np.ascontiguousarray(part.reshape(wide, count).T if planes else part).view(f"<u{wide}").ravel()
+
+            docs = take(8, many, False).astype(np.int64)
+            anchor, which = take(8, n, False).astype(np.int64), take(4, n)
+            start, low, high = take(8, n).astype(np.int64), take(2, n).astype(np.int64), take(2, n).astype(np.int64)
+            sent = take(1, n, False).astype(bool)
+            ends = np.cumsum(np.where(sent, (high - low + 1) * DIGEST, 0))
+            column = pa.Array.from_buffers(
+                pa.binary(), n, [pa.py_buffer(np.packbits(sent, bitorder="little")), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[at:].tobytes())]
+            )
+            place = start << 24 | low << 12 | high
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(docs[which]), pa.array(place), column], names=["anchor", "doc_id", "place", "digests"])
+
+
 def _factors(window: int):
     """Factors (doc_id, start, length in words) of the pieces of a block, which come sorted by anchor, document and place."""
 
@@ -186,19 +277,25 @@ def _factors(window: int):
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, spans): by document the factors (start, length) in words that occur earlier, in order of start."""
-    spark = T.tuned(docs.sparkSession)
-    texts = T.keyed_texts(docs)
+def duplicate_spans(texts: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, spans): by document the factors (start, length) in words that occur earlier, in order of start.
+
+    ``texts``: doc_id, a key for each document, and text, without nulls.
+    """
+    texts = texts.select("doc_id", "text")
+    spark = T.tuned(texts.sparkSession)
     n = T.partitions(spark)
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
     counts = sample.mapInArrow(_pieces(window, np.zeros(0, np.uint64)), PIECE).groupBy("anchor").agg(F.countDistinct("doc_id").alias("n"))
     # The hottest only, so the list stays bounded; any choice gives the same result.
     hottest = counts.filter("n >= 16").orderBy(F.desc("n"), "anchor").limit(4 * n).collect()
     hot = np.array([r.anchor for r in hottest], np.int64).astype(np.uint64)
-    pieces = texts.mapInArrow(_pieces(window, hot), PIECE).repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "place")
+    pack, cut = _packed(n), _pieces(window, hot)
+    # Pieces travel packed, many in a row for each block; the block they lie in is that of their anchor.
+    packed = texts.mapInArrow(lambda batches: pack(cut(batches)), "block int, body binary").repartitionById(n, "block")
+    pieces = packed.mapInArrow(_unpacked, PIECE).sortWithinPartitions("anchor", "doc_id", "place")
     factors = pieces.mapInArrow(_factors(window), "doc_id long, start int, length int")
-    return factors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    return factors.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
 
 
 def covered(n: int, spans) -> np.ndarray:
@@ -243,9 +340,9 @@ def without_copies(docs: DataFrame, window: int = 20) -> DataFrame:
                 names=["given", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    rows = docs.select(F.struct("*").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.lit(T.NO_ID)).alias("doc_id"))
-    # The text travels inside ``given`` alone.
+    keyed = T.separated(docs, F.struct("*").alias("given"))[0]
+    # The text travels inside ``given`` alone. Equal rows share a key: their spans are a set.
     text = F.coalesce(F.col("given.text"), F.lit("")).alias("text")
-    rows = rows.join(duplicate_spans(docs, window), "doc_id", "left").select("given", text, "spans")
+    rows = keyed.select("given", "doc_id").join(duplicate_spans(keyed, window), "doc_id", "left").select("given", text, "spans")
     schema = StructType([rows.schema["given"]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
     return rows.mapInArrow(run, schema)

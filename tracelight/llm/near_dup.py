@@ -17,9 +17,10 @@ component with the rest (of very many, some a round), and only where what follow
 the shingle in both sets is enough for the threshold. So no pair of a bucket is
 left out unless a component already joins it.
 
-Nulls and texts without words have an empty set and link with nothing. Rows that
-repeat an id are one document, and the smallest set hash speaks for it. Ids are
-numbers; null is a document of its own.
+Nulls and texts without words have an empty set and link with nothing. Ids are
+numbers. Rows with a null or repeated id are told apart by their text; rows with the
+same id and text are one document. A component is named by its smallest id, null first,
+and one document of it is kept.
 """
 
 from __future__ import annotations
@@ -252,9 +253,11 @@ def near_duplicates(
     of a shingle; a text of fewer words has its whole sequence as one.
     """
     spark = T.tuned(docs.sparkSession)
-    texts = T.keyed_texts(docs)
+    texts, plain = T.separated(docs)
+    if not plain:  # read again below, with the keys as they are now
+        texts = cut_lineage(texts)
     kinds = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    signed = cut_lineage(texts.mapInArrow(_signatures(size, lower, bands, rows), kinds))
+    signed = cut_lineage(texts.select("doc_id", "text").mapInArrow(_signatures(size, lower, bands, rows), kinds))
     ident = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_a", "set_b", "bands")).alias("s")).select("doc_id", "s.*")
     classes = cut_lineage(ident.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
@@ -263,7 +266,7 @@ def near_duplicates(
     left = cut_lineage(keys.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long"))
 
     members = left.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut_lineage(texts.join(members, "doc_id").mapInArrow(_packed_sets(size, lower), "rep long, shingles binary")
+    sets = cut_lineage(texts.select("doc_id", "text").join(members, "doc_id").mapInArrow(_packed_sets(size, lower), "rep long, shingles binary")
                        .groupBy("rep").agg(F.max("shingles").alias("shingles")))
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -293,5 +296,12 @@ def near_duplicates(
     reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     found = ident.drop("bands").join(reps.drop("rep", "label"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id").alias("component_id")
-    return found.select("doc_id", "n_shingles", component, (F.col("doc_id") == component).alias("kept")).select(
-        T.given_id(), "n_shingles", T.given_id("component_id"), "kept")
+    found = found.select("doc_id", "n_shingles", component)
+    if plain:
+        return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    ids = texts.select("doc_id", "given_id").distinct()
+    found = cut_lineage(found.join(ids, "doc_id"))
+    smallest = F.min(F.struct(F.coalesce("given_id", F.lit(T.NO_ID)).alias("id"), "doc_id")).alias("first")
+    named = found.join(found.groupBy("component_id").agg(smallest), "component_id")
+    name, kept = T.given_id("first.id").alias("component_id"), (F.col("doc_id") == F.col("first.doc_id")).alias("kept")
+    return named.select(F.col("given_id").alias("doc_id"), "n_shingles", name, kept)

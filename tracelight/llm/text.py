@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.session import cut_lineage
+
 #: Stands for a null id inside the operators; it sorts before every id that is given.
 NO_ID = -(2**63)
 #: Texts handled together inside a task, in bytes; a longer text is handled alone.
@@ -39,6 +41,33 @@ def keyed_texts(docs: DataFrame, *others: str) -> DataFrame:
     )
 
 
+#: Keys of rows whose id is null, repeated or not above this lie below it.
+LOWEST_ID = -(2**62)
+#: Repeated ids that may be sent to every task; more are joined by a shuffle.
+SENT_IDS = 200_000
+
+
+def separated(docs: DataFrame, *others: Column | str) -> tuple[DataFrame, bool]:
+    """(``doc_id``, ``text``, ``given_id`` and ``others``) with a key for each document, and whether all keys are the given ids.
+
+    A row keeps its id as key if no other row has it. Rows with a null or repeated id are
+    told apart by their text: the key is a hash of both, below all others. So only rows
+    with the same id and the same text are one document.
+    """
+    given, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    seen = docs.select(given.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    again = cut_lineage(seen.filter((F.col("rows") > 1) | F.col("id").isNull() | (F.col("id") <= LOWEST_ID)).select("id"))
+    count = again.count()
+    rows = docs.select(given.alias("given_id"), text.alias("text"), *others)
+    if not count:
+        return rows.select(F.col("given_id").alias("doc_id"), *rows.columns), True
+    repeated = again.filter("id is not null").select(F.col("id").alias("again"))
+    rows = rows.join(F.broadcast(repeated) if count <= SENT_IDS else repeated, F.col("given_id") == F.col("again"), "left")
+    alone = F.col("given_id").isNotNull() & F.col("again").isNull()
+    own = F.lit(LOWEST_ID) - F.shiftrightunsigned(F.xxhash64("given_id", "text"), 2)
+    return rows.withColumn("doc_id", F.when(alone, F.col("given_id")).otherwise(own)).drop("again"), False
+
+
 def given_id(name: str = "doc_id") -> Column:
     """The id as it was given, null again where ``NO_ID`` stands."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
