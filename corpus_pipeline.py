@@ -2,7 +2,8 @@
 
 Every stage works on all rows its predecessor kept and returns the columns of
 ``documents``; the last returns token pieces in sequences. Every row is a document
-of its own, also where ids are null or repeated; null text counts as empty.
+of its own, also where ids are null or repeated (rows with the same id and text are
+told apart by the near-duplicate stage, which keeps one); null text counts as empty.
 """
 
 from __future__ import annotations
@@ -20,28 +21,11 @@ CLEAN = 0.5
 PASSAGE, PHRASE = 50, 10
 
 
-#: The given id, where ``doc_id`` is a key.
-GIVEN_ID = "given doc_id"
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """Rows as a written table: ``row``, a number of its own, and ``given``."""
     return cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("given")))
 
 
-def _apart(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``GIVEN_ID`` and another ``doc_id``: the given one if no other row has it, else a number below all those."""
-    rows, given = _numbered(docs), F.col("given.doc_id").cast("long")
-    ids = rows.select(given.alias("id")).filter("id is not null").groupBy("id").count()
-    repeated = cut_lineage(ids.filter("count > 1").select("id", F.lit(True).alias("again")))
-    # Null ids meet nothing that counts, and so are spread.
-    rows = rows.withColumn("id", F.coalesce(given, F.xxhash64("row"))).join(repeated, "id", "left")
-    alone = given.isNotNull() & F.col("again").isNull() & (given > -(2**62))
-    key = F.when(alone, given).otherwise(F.col("row") + F.lit(T.NO_ID + 1))
-    fields = [F.col("given").getField(c).alias(c) for c in docs.columns if c != "doc_id"]
-    return rows.select(key.alias("doc_id"), F.col("given.doc_id").alias(GIVEN_ID), *fields)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier puts in the highest grade; poor and toxic ones go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -61,11 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; what is left empty goes."""
-    found = lempel_ziv.without_copies(_apart(docs), PASSAGE).filter("n_removed < n_words or n_removed = 0")
+    found = lempel_ziv.without_copies(docs, PASSAGE).filter("n_removed < n_words or n_removed = 0")
     text = F.coalesce("kept_text", F.col("given.text"))
-    fields = [F.col("given").getField(GIVEN_ID if c == "doc_id" else c) for c in docs.columns]
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("given.n_chars"))}
-    return found.select(*[new.get(c, f).alias(c) for c, f in zip(docs.columns, fields, strict=True)])
+    return found.select(*[new.get(c, F.col("given").getField(c)).alias(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
