@@ -12,8 +12,9 @@ from registry.sql_fit import draws as draw_sql
 from registry.sql_fit import inverse_normal, linear, lower, newton, normal_equations, normal_scores, patterns
 from registry.tables import EVENT_DRAWS, event_draws, signif_sql
 from tracelight import functions as C
+from tracelight.functions import normal
 from tracelight.operators import describe, grid, groups, intervals, joins, prep, reshape
-from tracelight.plans import catalog, checks, design, fits, mixing, pooling, rooms, strata
+from tracelight.plans import catalog, checks, densities, design, fits, mixing, pooling, rooms, strata
 from tracelight.plans import draws as posterior
 from tracelight.schemas import SEVERITY_LEVELS
 from tracelight.sources import files, model_store, views
@@ -435,6 +436,7 @@ STACKED = {
 }
 FIXED = [name for name in STACKED if not catalog.MODELS[name].room_level]
 SUMMARY_COLUMNS = ["Estimate", "Est_Error", "Q2_5", "Q97_5"]
+_SUMMARY_PARTS = """avg(value) AS "Estimate", stddev_samp(value) AS "Est_Error", quantile_cont(value, 0.025) AS "Q2_5", quantile_cont(value, 0.975) AS "Q97_5\""""
 
 
 def _named(frame):
@@ -467,8 +469,11 @@ def _fixed_fits():
 
 add("p7_fixed_models", lambda spark, folder: tidy(_named(_summaries(spark, folder, FIXED)), 4),
     query(*_fixed_fits(), f"SELECT model_name, param, {SUMMARY} FROM long GROUP BY 1, 2"))
+add("p8_fixed_models", lambda spark, folder: tidy(posterior.with_odds(_named(_summaries(spark, folder, FIXED))), 3),
+    query(*_fixed_fits(), f"parts AS (SELECT model_name, param, {_SUMMARY_PARTS} FROM long GROUP BY 1, 2)", "SELECT model_name, param, " + ", ".join(
+        rounded(f'"{c}"', digits=3) + ", " + rounded(f'exp("{c}")', f'"{c}_exp"', 3) for c in SUMMARY_COLUMNS) + " FROM parts"))
 # The room-level model among the others, with exponentiated copies of all numbers.
-add("p8_combined_summary", lambda spark, folder: tidy(posterior.with_odds(_all_summaries(spark, folder)), 4))
+add("g9_stacked_parameters", lambda spark, folder: tidy(posterior.with_odds(_all_summaries(spark, folder)), 4))
 
 # ---------------------------------------------------------------- checks
 
@@ -509,7 +514,36 @@ away AS (SELECT *, abs(value - median(value) OVER (PARTITION BY model_name, para
 scored AS MATERIALIZED ({_score_sql(_score_sql("SELECT * FROM away", "value", "z"), "away", "folded")}),
 ratios AS (SELECT model_name, param, max(rhat) AS rhat FROM ({_ratio_sql("z")} UNION ALL {_ratio_sql("folded")}) GROUP BY 1, 2)""",
     f"SELECT model_name, param, {rounded('rhat')}, rhat < 1.1 AS converged FROM ratios"))
-add("p9_effective_sizes", lambda spark, folder: tidy(mixing.effective_sizes(event_draws(spark, folder)), 3))
+
+
+def _size_sql(value):
+    """CTEs of the effective size of a column of ``scored``, by lagged products, ending in ``<value>_size``."""
+    v = value
+    return f"""
+{v}_rows AS MATERIALIZED (SELECT model_name, param, chain, half, {v} - avg({v}) OVER (PARTITION BY model_name, param, chain, half) AS x,
+  row_number() OVER (PARTITION BY model_name, param, chain, half ORDER BY iteration) AS i, count(*) OVER (PARTITION BY model_name, param, chain, half) AS n FROM scored),
+{v}_chains AS (SELECT model_name, param, chain, half, avg({v}) AS m, var_samp({v}) AS v, count(*) AS n FROM scored GROUP BY 1, 2, 3, 4),
+{v}_stats AS (SELECT model_name, param, avg(v) AS w, (avg(n) - 1) / avg(n) * avg(v) + coalesce(var_samp(m), 0) AS t, sum(n) AS draws, min(n) AS least FROM {v}_chains GROUP BY 1, 2),
+{v}_lagged AS (SELECT a.model_name, a.param, b.i - a.i AS lag, sum(a.x * b.x / a.n) AS s FROM {v}_rows a JOIN {v}_rows b
+  ON a.model_name = b.model_name AND a.param = b.param AND a.chain = b.chain AND a.half = b.half AND b.i >= a.i GROUP BY 1, 2, 3),
+{v}_counts AS (SELECT model_name, param, count(*) AS chains FROM {v}_chains GROUP BY 1, 2),
+{v}_rho AS (SELECT model_name, param, lag, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - s / chains) / nullif(t, 0) END AS rho
+  FROM {v}_lagged JOIN {v}_stats USING (model_name, param) JOIN {v}_counts USING (model_name, param) WHERE lag < least),
+{v}_pairs AS (SELECT model_name, param, lag // 2 AS k, sum(rho) AS pair FROM {v}_rho GROUP BY 1, 2, 3 HAVING count(*) = 2),
+{v}_kept AS (SELECT *, min(pair) OVER (PARTITION BY model_name, param ORDER BY k) AS low FROM {v}_pairs),
+{v}_time AS (SELECT model_name, param, 2 * sum(low) - 1 AS took FROM {v}_kept WHERE low > 0 GROUP BY 1, 2),
+{v}_size AS (SELECT model_name, param, CASE WHEN t > 0 THEN draws / greatest(coalesce(took, 0), 1 / log10(draws)) END AS size
+  FROM {v}_stats LEFT JOIN {v}_time USING (model_name, param))"""
+
+
+add("p9_effective_sizes", lambda spark, folder: tidy(mixing.effective_sizes(event_draws(spark, folder)), 3), query(EVENT_DRAWS, f"""
+middles AS (SELECT model_name, chain, (min(iteration) + max(iteration)) / 2 AS middle FROM event_draws GROUP BY 1, 2),
+halves AS (SELECT d.*, iteration > middle AS half FROM event_draws d JOIN middles USING (model_name, chain)),
+limits AS (SELECT model_name, param, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM event_draws GROUP BY 1, 2),
+flagged AS (SELECT h.*, CAST(value <= lo AS DOUBLE) AS below, CAST(value <= hi AS DOUBLE) AS upto FROM halves h JOIN limits USING (model_name, param)),
+scored AS MATERIALIZED ({_score_sql("SELECT * FROM flagged", "value", "z")})""", *[_size_sql(v) for v in ("z", "below", "upto")], f"""
+SELECT model_name, param, {rounded('z_size.size', 'ess_bulk', 3)}, {rounded('least(below_size.size, upto_size.size)', 'ess_tail', 3)}
+FROM z_size JOIN below_size USING (model_name, param) JOIN upto_size USING (model_name, param)"""))
 
 
 def _steps(spark, folder):
@@ -546,6 +580,55 @@ def _quantity_check(spark, folder):
 
 add("p10_quantity_check", _quantity_check)
 
+EDGES = (0.0, 4.0, 33)
+
+
+def _density_rows(spark, folder, first):
+    swabs = views.swabs(spark, folder)
+    return prep.with_site_flags(prep.comparable_sites(groups.first_samples(swabs) if first else swabs))
+
+
+def _density(spark, folder, name=HURDLE_MODEL):
+    model = catalog.MODELS[name]
+    rows = _density_rows(spark, folder, model.variant.startswith("spatial"))
+    if model.strata:
+        table = catalog.model_table(name, views.swabs(spark, folder))
+        wide = strata.strata_draws(spark, catalog.fit_table(name, table), model.strata, 10)
+        rows = groups.standard_score(rows, model.scaled) if model.scaled else rows
+        return tidy(densities.density_check(rows, wide, model.design, "event_id", model.family, EDGES, 10, model.strata), 4)
+    if model.room_level:
+        fit = catalog.fit_model(name, views.swabs(spark, folder))
+        return tidy(densities.density_check(rows, rooms.room_draws(fit, 10), model.design, "event_id", model.family, EDGES, 10, [fit.group]), 4)
+    _, fit, wide = model_draws(spark, folder, name, 10)
+    return tidy(densities.density_check(rows, wide, fit.design, "event_id", model.family, EDGES), 4)
+
+
+def _uniform_sql(salt):
+    a, b = normal.primes(2 * salt + 2)[-2:]
+    x = f"((event_id % {densities.PERIOD} + 1) * sqrt({float(a)!r}::DOUBLE) + (draw + 1) * sqrt({float(b)!r}::DOUBLE))"
+    return f"least(greatest({x} - floor({x}), 1e-9), 1 - 1e-9)"
+
+
+STEP = (EDGES[1] - EDGES[0]) / (EDGES[2] - 1)
+add("p10_density_hurdle", _density, query(*[x.replace(f"range({DRAWS})", "range(10)") for x in HURDLE_DRAWS], f"""
+rowed AS (SELECT event_id, copies_max, distance, CASE WHEN site_descriptor LIKE '%floor%' THEN 'Floor' ELSE 'Elevated' END AS site_category, touch = 'High' AS high_touch
+  FROM first_samples WHERE NOT regexp_matches(site_descriptor, 'bathroom|sink|toilet|nurse')),
+used AS (SELECT * FROM rowed WHERE event_id IS NOT NULL AND distance IS NOT NULL AND high_touch IS NOT NULL),
+drawn AS (SELECT draw, {linear(4, HURDLE_TERMS)} AS mu, sigma, hu, {_uniform_sql(0)} AS u, {_uniform_sql(1)} AS v FROM used, draws),
+values_ AS (SELECT draw, (mu + sigma * ({inverse_normal('v')})) / ln(10) AS x FROM drawn WHERE u >= hu
+  UNION ALL SELECT -1, log10(copies_max) FROM used WHERE copies_max > 0),
+placed AS (SELECT draw, least(greatest((x - {EDGES[0]}) / {STEP}, 0), {EDGES[2] - 1}) AS spot FROM values_),
+shared AS (SELECT draw, spot, least(floor(spot), {EDGES[2] - 2}) AS b FROM placed),
+binned AS MATERIALIZED (SELECT draw, bin, sum(w) AS weight, any_value({EDGES[0]} + bin * {STEP}) AS x FROM
+  (SELECT draw, b AS bin, b + 1 - spot AS w FROM shared UNION ALL SELECT draw, b + 1, spot - b FROM shared) GROUP BY 1, 2),
+wide AS (SELECT draw, sum(weight) AS n, greatest(0.9 * sqrt(greatest(sum(weight * x * x) / sum(weight) - (sum(weight * x) / sum(weight)) ** 2, 0)) * sum(weight) ** (-0.2::DOUBLE), {STEP}) AS h
+  FROM binned GROUP BY 1)""", f"""
+SELECT w.draw, i AS bin, {rounded(f'CAST(any_value({EDGES[0]} + i * {STEP}) AS DOUBLE)', 'x', 4)}, {rounded('coalesce(sum(CASE WHEN bin = i THEN weight END), 0)', 'weight', 4)},
+  {rounded(f'sum(weight * exp(-0.5 * (({EDGES[0]} + i * {STEP} - x) / h) ** 2) / (h * n * sqrt(2 * pi())))', 'density', 4)}
+FROM wide w CROSS JOIN range({EDGES[2]}) g(i) JOIN binned USING (draw) GROUP BY w.draw, i"""))
+for _name in ("linear_distance_mix_category_touch", "hurdle_time_mix_category", "binom_time_mix_category_touch", "mvhurdle_distance_category_touch_mix_subject"):
+    add(f"p10_density_{_name}", partial(_density, name=_name))
+
 SHARED = ["subject_covid_day", "total_study_day", "site_category", "high_touch", "covid_severity"]
 
 
@@ -622,3 +705,21 @@ def _stored_draws(spark, folder):
 
 add("s2_stored_models", _stored_draws, query(*draw_parts(DISTANCE_MODEL), "SELECT draw, " + ", ".join(
     rounded(f"b{i}", digits=4) for i in range(4)) + " FROM draws"))
+
+
+def _model_infos(spark, folder):
+    """What the store says of its models; the second write replaces one of them."""
+    path = shared_path(spark, "models")
+    for name in (DISTANCE_MODEL, TIME_MODEL, DISTANCE_MODEL):
+        _, fit, wide = model_draws(spark, folder, name, THINNED)
+        model_store.write_draws(posterior.long_draws(wide, fit.design, name), path, about=[catalog.model_info(name, fit)])
+    return tidy(model_store.read_models(spark, path).drop("version"))
+
+
+def _info_sql(name, source, day):
+    return f"""SELECT '{name}' AS model_name, 'bernoulli' AS family, '{catalog.formula(name)}' AS formula, CAST(count(*) AS DOUBLE) AS fitted_rows,
+      true AS converged, {THINNED}::BIGINT AS draws FROM {source} WHERE scv2_detected IS NOT NULL AND {day} IS NOT NULL AND site_category IS NOT NULL AND high_touch IS NOT NULL"""
+
+
+add("s2_model_table", _model_infos, query(SWABS, SPATIAL_DAYS, LONG_DAYS, f"""{_info_sql(DISTANCE_MODEL, 'spatial_days', 'distance')}
+    UNION ALL {_info_sql(TIME_MODEL, 'longitudinal_days', 'subject_covid_day')}"""))

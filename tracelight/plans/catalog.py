@@ -16,6 +16,7 @@ from tracelight.plans.fits import Fit, fit_bernoulli, fit_hurdle, least_squares
 from tracelight.plans.mixture import integrate
 from tracelight.plans.pooling import Pooled
 from tracelight.plans.rooms import RoomFit, fit_rooms, fit_rooms_lognormal
+from tracelight.sources.model_store import ModelInfo
 
 DISTANCE, TIME, WAVE = "distance", "subject_covid_day", "total_study_day"
 SITE, TOUCH, SEVERITY = "site_category", "high_touch", "covid_severity"
@@ -79,6 +80,21 @@ COMPARISONS: list[Sequence[str]] = [
 ]
 
 
+def formula(name: str) -> str:
+    """The model as text: outcome, terms, and the groups they vary by."""
+    model = MODELS[name]
+    outcome = {"bernoulli": "scv2_detected", "gaussian": "log10(copies_max)"}.get(model.family, "copies_max")
+    terms = " + ".join(["1", *[t if isinstance(t, str) else ":".join(t) for t in model.terms]])
+    groups = ["subject_room_id"] if model.room_level else ["/".join(model.strata)] if model.strata else []
+    return f"{outcome} ~ ({terms} | {groups[0]})" if groups else f"{outcome} ~ {terms}"
+
+
+def model_info(name: str, fit: Fit | Pooled | RoomFit) -> ModelInfo:
+    """What the store says of a fitted model."""
+    rows = sum(f.rows for f in fit.fits.values()) if isinstance(fit, Pooled) else fit.rows
+    return ModelInfo(name, MODELS[name].family, formula(name), float(rows), bool(fit.converged))
+
+
 def model_table(name: str, swabs: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """Analysis table of a model; a scaled covariate uses all rows before any is dropped."""
     model = MODELS[name]
