@@ -667,6 +667,13 @@ add("p11_importance_scores", lambda spark, folder: tidy(_scores(spark, folder, F
 add("p11_smoothed_totals", lambda spark, folder: tidy(checks.score_totals(_scores(spark, folder, True), ["model_name"]), 3))
 
 
+def _left_out_rooms(spark, folder, name="mvbinom_time_category_touch_mix_subject"):
+    return tidy(rooms.leave_room_out(catalog.fit_model(name, views.swabs(spark, folder)), THINNED), 3)
+
+
+add("p11_leave_room_out", _left_out_rooms)
+
+
 def _comparison(spark, folder, names):
     swabs, subjects = views.swabs(spark, folder), views.subjects(spark, folder)
     return tidy(strata.compare_catalogue(names, swabs, subjects, DRAWS), 3)

@@ -159,3 +159,24 @@ def test_draws_of_normal_rows_have_sigma_and_share(spark):
     draws, _, _ = rooms.parameter_draws(fit, 400)
     found = draws.toPandas()
     assert abs(found["sigma"].mean() - fit.sigma) < 0.05 and abs(found["hu"].mean() - 1 / 3) < 0.02 and (found["sd_subject_room_id__Intercept"] >= 0).all()
+
+
+def test_scores_of_left_out_rooms_equal_refits(spark):
+    rows = sample(np.random.default_rng(41), 10, (1.0, 0.0), rows=8)
+    frame = spark.createDataFrame(rows, "subject_room_id string, distance double, scv2_detected boolean")
+    fit = rooms.fit_rooms(frame, Design(()))
+    got = {r.subject_room_id: r for r in rooms.leave_room_out(fit, 2000).collect()}
+    names = list(dict.fromkeys(r[0] for r in rows))
+    parts = dict(zip(names, listed(rows, 1), strict=True))
+    b, s = np.linspace(-2.5, 3.5, 49), np.linspace(0.0, 4.0, 49)
+    each = {k: np.array([[dense(r, np.array([x, y])) for y in s] for x in b]) for k, r in parts.items()}
+    prior, off = -0.5 * (b[:, None] ** 2 + s[None, :] ** 2), {}
+    for name in names:
+        # The posterior of the other rooms, as a fit without this one would have it.
+        others = prior + sum(v for k, v in each.items() if k != name)
+        mass = np.exp(others - others.max())
+        elpd = math.log((mass * np.exp(each[name])).sum() / mass.sum())
+        off[name] = (abs(got[name].elpd - elpd), got[name].shape)
+    print(off)
+    # A room that says much of the spread has a heavy tail, and the shape says so.
+    assert all(gap < (0.05 if shape < 0.7 else 0.25) for gap, shape in off.values()) and sum(shape < 0.7 for _, shape in off.values()) >= 7

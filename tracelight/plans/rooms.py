@@ -48,7 +48,8 @@ class RoomFit:
 
     ``v`` holds at the fitted intercept; ``b`` is how ``u`` moves with the intercept. ``theta`` is
     (intercept, lower triangle of L, and log sigma for normal rows); ``objective`` evaluates the
-    log posterior of many such parameter sets in one pass (values and gradients).
+    log posterior of many such parameter sets in one pass (values and gradients); ``tables`` and
+    ``terms`` are what it adds up: the rooms, and a room's log integrals under many parameter sets.
     """
 
     design: Design
@@ -66,6 +67,8 @@ class RoomFit:
     passes: int = 0
     theta: np.ndarray | None = None
     objective: Callable | None = field(default=None, repr=False)
+    tables: Callable | None = field(default=None, repr=False)
+    terms: Callable | None = field(default=None, repr=False)
 
 
 def _matrices(batch: pd.DataFrame, name: str, p: int) -> np.ndarray:
@@ -276,7 +279,8 @@ def fit_rooms(
     small = cut_lineage(few.groupBy(group).agg(lists.alias("patterns")).repartition(tasks, group))
     far = None
     tables = lambda: [(small, lambda batch: _listed(batch, p)), *([(far, lambda batch: _expanded(batch, p))] if large else [])]
-    evaluate = _objective(tables, _bernoulli_terms(p, nodes), p)
+    terms = _bernoulli_terms(p, nodes)
+    evaluate = _objective(tables, terms, p)
 
     theta = np.concatenate([[0.0], likelihood.packed(np.sqrt(start) * np.eye(p))])
     history, passes, shift = [], 0, 0.0
@@ -302,7 +306,7 @@ def fit_rooms(
     lower = _lower(theta, p)
     return RoomFit(
         design, group, "bernoulli", float(theta[0]), float(1.0 / np.sqrt(schur + 1.0)), lower @ lower.T, effects.drop("schur"), rows=rows,
-        history=history, converged=converged, passes=passes, theta=theta, objective=evaluate,
+        history=history, converged=converged, passes=passes, theta=theta, objective=evaluate, tables=tables, terms=terms,
     )
 
 
@@ -356,7 +360,8 @@ def fit_rooms_lognormal(
         return likelihood.gaussian_terms(room.h, room.g, room.n, room.y, room.yy, thetas[:, 0], _lower(thetas, p), sigma)[:2]
 
     read = lambda batch: _products(batch, p)
-    evaluate = _objective(lambda: [(products, read)], terms, p)
+    tables = lambda: [(products, read)]
+    evaluate = _objective(tables, terms, p)
     theta = np.concatenate([[mean], likelihood.packed(np.eye(p)), [0.5 * np.log(max(yy / max(total, 1) - mean**2, 1e-6))]])
     best = likelihood.maximise(evaluate, theta, tolerance, rounds, _moved(p))
     if not best.converged:
@@ -383,7 +388,7 @@ def fit_rooms_lognormal(
     return RoomFit(
         design, group, "hurdle_lognormal", float(theta[0]), float(1.0 / np.sqrt(schur + 1.0)), lower @ lower.T, table.drop("schur"),
         sigma=sigma, hurdle=float(share[0] or 0.0), rows=float(share[1]), history=best.history, converged=best.converged, passes=best.passes,
-        theta=theta, objective=evaluate,
+        theta=theta, objective=evaluate, tables=tables, terms=terms,
     )
 
 
@@ -395,14 +400,8 @@ def parameter_names(fit: RoomFit) -> list[str]:
     return names + (["sigma", "hu"] if fit.sigma is not None else [])
 
 
-def parameter_draws(fit: RoomFit, count: int) -> tuple[DataFrame, DataFrame, float]:
-    """Draws of the population parameters (``draw`` and ``parameter_names``), their weights (draw, weight), the effective sample size.
-
-    Draws are normal around the mode with the inverse information, whose second
-    derivatives come from one pass; the weight of a draw is its posterior (the sum over
-    rooms of their log integrals, one more pass) over its normal density.
-    """
-    p, spark = len(fit.design.parameters), fit.effects.sparkSession
+def _theta_draws(fit: RoomFit, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parameter sets, normal scores, weights): normal around the mode with the inverse information, weighted to the posterior."""
     theta, d = fit.theta, len(fit.theta)
     curved, axes = np.linalg.eigh(likelihood.information(fit.objective, theta))
     # A direction in which the posterior is flat or bends the wrong way is held to the prior's scale.
@@ -411,10 +410,20 @@ def parameter_draws(fit: RoomFit, count: int) -> tuple[DataFrame, DataFrame, flo
     uniform = (np.arange(1, count + 1)[:, None] * roots[None, :]) % 1.0
     z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
     thetas = theta + (z[:, :d] / np.sqrt(curved)) @ axes.T
-    values = fit.objective(thetas, False)[0]
-    logw = values + 0.5 * (z[:, :d] ** 2).sum(axis=1)
+    logw = fit.objective(thetas, False)[0] + 0.5 * (z[:, :d] ** 2).sum(axis=1)
     weight = np.exp(logw - logw.max())
-    weight /= weight.sum()
+    return thetas, z, weight / weight.sum()
+
+
+def parameter_draws(fit: RoomFit, count: int) -> tuple[DataFrame, DataFrame, float]:
+    """Draws of the population parameters (``draw`` and ``parameter_names``), their weights (draw, weight), the effective sample size.
+
+    Draws are normal around the mode with the inverse information, whose second
+    derivatives come from one pass; the weight of a draw is its posterior (the sum over
+    rooms of their log integrals, one more pass) over its normal density.
+    """
+    p, spark, d = len(fit.design.parameters), fit.effects.sparkSession, len(fit.theta)
+    thetas, z, weight = _theta_draws(fit, count)
     lower = _lower(thetas, p)
     spread = lower @ lower.transpose(0, 2, 1)
     sd = np.sqrt(np.diagonal(spread, axis1=1, axis2=2))
@@ -431,6 +440,33 @@ def parameter_draws(fit: RoomFit, count: int) -> tuple[DataFrame, DataFrame, flo
     return spark.createDataFrame(table), spark.createDataFrame(pd.DataFrame({"draw": np.arange(count), "weight": weight})), size
 
 
+def leave_room_out(fit: RoomFit, count: int = 1000) -> DataFrame:
+    """Score of every room as if it were new: key, ``elpd`` and ``shape`` of the tail (large: not to be trusted).
+
+    A new room's effect is integrated out, so a draw of the population parameters gives a
+    room one number; the posterior without the room comes from reweighting these draws, with
+    smoothed tails. Draws are resampled by their weights first. Rooms stay where they lie.
+    For normal rows the score is that of the logarithms of detected quantities.
+    """
+    from tracelight.plans.checks import smoothed_scores
+
+    thetas, _, weight = _theta_draws(fit, count)
+    thetas = thetas[np.minimum(np.searchsorted(np.cumsum(weight), (np.arange(count) + 0.5) / count), count - 1)]
+    group, kind, terms = fit.group, fit.effects.schema[fit.group].dataType.simpleString(), fit.terms
+
+    def scored(read: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [smoothed_scores(terms(room, thetas)[0][None]) for room in read(batch)]
+                elpd, shape = (np.array([f[i][0] for f in found]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(elpd, pa.float64()), pa.array(shape, pa.float64())], names=[group, "elpd", "shape"])
+
+        return run
+
+    parts = [table.mapInArrow(scored(read), f"{group} {kind}, elpd double, shape double") for table, read in fit.tables()]
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
 def room_draws(fit: RoomFit, count: int) -> DataFrame:
     """Draws of ``intercept + x'u`` per room: key, ``draw``, ``b<i>`` (and ``sigma``, ``hu``).
 
