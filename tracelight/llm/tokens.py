@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tracelight.llm import text as T
 from tracelight.session import cut_lineage, shared_path
 
-#: Chunks and words whose ids a worker keeps.
-KEPT = 600_000
+#: Chunks whose ids a worker keeps; of the words they are made of it keeps half as many (some 140 MB together).
+KEPT = 400_000
 #: Text that is encoded together, in bytes.
 ENCODED_BYTES = 1 << 22
 
@@ -175,8 +175,9 @@ class TextEncoder(ChunkedEncoder):
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _keep(self, words: dict[str, tuple]) -> None:
-        if len(self.words) < self.kept:
-            self.words.update(islice(words.items(), self.kept - len(self.words)))
+        room = self.kept // 2 - len(self.words)
+        if room > 0:
+            self.words.update(islice(words.items(), room))
 
     def _learn_words(self, words: set[str]) -> dict[str, tuple]:
         """Ids of words (each with its space), those of plain letters without splitting again."""
