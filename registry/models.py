@@ -78,6 +78,37 @@ add("g2_observed_parameters", on_both(lambda s, p: design.observed_parameters(
     SELECT 'b', f || replace(CASE v WHEN 'true' THEN 'TRUE' WHEN 'false' THEN 'FALSE' ELSE v END, ' ', '')
     FROM (SELECT * FROM levels QUALIFY row_number() OVER (PARTITION BY f ORDER BY v) > 1)"""))
 
+ROOM_PRIORS = {"Intercept": "normal(0, 1)", "sd": "normal(0, 1)"}
+
+
+def _prior_listing(swabs, subjects):
+    ill = design.Design(("subject_covid_day", "site_category", "total_study_day", "high_touch", "covid_severity"))
+    fixed = design.prior_listing(prep.analysis_table(swabs, "severity", subjects), ill, "bernoulli")
+    room_model = catalog.MODELS["mvbinom_time_category_touch_mix_subject"]
+    varying = design.prior_listing(
+        prep.analysis_table(swabs, room_model.variant), room_model.design, "bernoulli", "subject_room_id", ROOM_PRIORS)
+    return reshape.stack({"severity": fixed, "rooms": varying})
+
+
+def _listing_sql(name, source, numeric, factors, where):
+    """(model_name, class, coef) of the levels that occur."""
+    levels = " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS f, CAST({f} AS VARCHAR) AS v FROM {source} WHERE {where}" for f in factors)
+    parts = [f"SELECT '{name}' AS m, 'Intercept' AS coef", *[f"SELECT '{name}', '{n}'" for n in numeric]]
+    later = f"""SELECT '{name}', f || replace(CASE v WHEN 'true' THEN 'TRUE' WHEN 'false' THEN 'FALSE' ELSE v END, ' ', '')
+      FROM (SELECT * FROM ({levels}) QUALIFY row_number() OVER (PARTITION BY f ORDER BY v) > 1)"""
+    return f"{name}_names AS ({' UNION ALL '.join([*parts, later])})"
+
+
+add("g2_prior_listing", on_both(_prior_listing), query(SWABS, SUBJECTS, LONG_DAYS, SEVERITY,
+    _listing_sql("severity", "severity", ["subject_covid_day", "total_study_day"], ["site_category", "high_touch", "covid_severity"],
+                 "covid_severity IS NOT NULL AND high_touch IS NOT NULL AND subject_covid_day IS NOT NULL AND total_study_day IS NOT NULL"),
+    _listing_sql("rooms", "longitudinal_days", ["subject_covid_day"], ["site_category", "high_touch"], "high_touch IS NOT NULL AND subject_covid_day IS NOT NULL"), """
+    SELECT 'severity' AS model_name, 'student_t(3, 0, 2.5)' AS prior, 'Intercept' AS class, '' AS coef, '' AS "group"
+    UNION ALL SELECT 'severity', '', 'b', '', '' UNION ALL SELECT m, '', 'b', coef, '' FROM severity_names WHERE coef <> 'Intercept'
+    UNION ALL SELECT 'rooms', 'normal(0, 1)', 'Intercept', '', '' UNION ALL SELECT 'rooms', 'normal(0, 1)', 'sd', '', g FROM (VALUES (''), ('subject_room_id')) t(g)
+    UNION ALL SELECT m, 'normal(0, 1)', 'sd', coef, 'subject_room_id' FROM rooms_names
+    UNION ALL SELECT 'rooms', 'lkj(1)', 'cor', '', g FROM (VALUES (''), ('subject_room_id')) t(g)"""))
+
 
 def _patterns(swabs):
     table = prep.analysis_table(swabs, "longitudinal_days")

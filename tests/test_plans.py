@@ -343,3 +343,15 @@ def test_poor_approximation_warns(spark, table):
         warnings.simplefilter("always")
         draws.importance_weights(design.bernoulli_patterns(table, FIXED), wide, fit)
     assert any("effective sample size" in str(w.message) for w in caught)
+
+
+def test_prior_listing_follows_the_levels_that_occur(spark):
+    frame = spark.createDataFrame([("Elevated", True, 1.0), ("Floor", None, 2.0), ("Elevated", False, 3.0)], "site_category string, high_touch boolean, distance double")
+    full = design.Design(("distance", "site_category", "high_touch"))
+    got = sorted(tuple(r) for r in design.prior_listing(frame, full, "hurdle_lognormal").collect())
+    # The row with the floor is not complete, so that level does not occur.
+    assert got == sorted([("student_t(3, 0, 2.5)", "Intercept", "", ""), ("", "b", "", ""), ("", "b", "distance", ""), ("", "b", "high_touchTRUE", ""),
+                          ("student_t(3, 0, 2.5)", "sigma", "", ""), ("beta(1, 1)", "hu", "", "")])
+    alone = design.prior_listing(frame, design.Design(()), "bernoulli", "room", {"sd": "normal(0, 1)"}).collect()
+    assert sorted((r["class"], r.coef, r.group, r.prior) for r in alone) == [
+        ("Intercept", "", "", "student_t(3, 0, 2.5)"), ("sd", "", "", "normal(0, 1)"), ("sd", "", "room", "normal(0, 1)"), ("sd", "Intercept", "room", "normal(0, 1)")]

@@ -145,7 +145,7 @@ def observed_parameters(frame: DataFrame, numeric: Sequence[str], factors: Seque
     sort order is the reference.
     """
     sets = [F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in factors]
-    found = frame.agg(*sets)
+    found = frame.agg(*sets) if sets else frame.sparkSession.range(1)
     names = [F.array(F.lit("Intercept"), *[F.lit(n) for n in numeric])]
     for factor in factors:
         others = F.slice(F.col(factor), F.lit(2), F.greatest(F.size(factor) - 1, F.lit(0)))
@@ -156,3 +156,41 @@ def observed_parameters(frame: DataFrame, numeric: Sequence[str], factors: Seque
     return found.select(F.explode(F.concat(*names)).alias("coef")).select(
         F.when(F.col("coef") == "Intercept", "Intercept").otherwise("b").alias("class"), "coef"
     )
+
+
+# The priors a model has by default, by class.
+DEFAULT_PRIORS = {
+    "Intercept": "student_t(3, 0, 2.5)", "b": "", "sd": "student_t(3, 0, 2.5)", "cor": "lkj(1)", "sigma": "student_t(3, 0, 2.5)", "hu": "beta(1, 1)",
+}
+
+
+def prior_listing(
+    frame: DataFrame, design: Design, family: str, group: str | None = None, priors: dict[str, str] | None = None
+) -> DataFrame:
+    """Parameters that a model of this design has on the rows of ``frame``, and their priors: prior, class, coef, group.
+
+    Coefficients come from the levels that occur. With ``group`` every design column varies by
+    it (standard deviations and correlations) and has no coefficient of its own. A class has one
+    row without a coefficient, whose prior holds for all of them. ``priors`` overrides by class.
+    """
+    texts = DEFAULT_PRIORS | (priors or {})
+    factors = [c for c in design.columns if c in design.levels]
+    found = observed_parameters(frame.dropna(subset=design.columns), [c for c in design.columns if c not in design.levels], factors)
+    slopes, every = found.where("class = 'b'"), found.select("coef")
+
+    def rows(kind: str, source: DataFrame | None = None, of: str = "") -> DataFrame:
+        source = frame.sparkSession.range(1).select(F.lit("").alias("coef")) if source is None else source
+        return source.select(F.lit(texts[kind]).alias("prior"), F.lit(kind).alias("class"), "coef", F.lit(of).alias("group"))
+
+    parts = [rows("Intercept")]
+    if group is None:
+        some = slopes.limit(1).select(F.lit("").alias("coef"))  # the class itself, where it has members
+        parts += [rows("b", some), rows("b", slopes)]
+    else:
+        several = slopes.limit(1).select(F.lit("").alias("coef"))
+        parts += [rows("sd"), rows("sd", None, group), rows("sd", every, group), rows("cor", several), rows("cor", several, group)]
+    if family in ("gaussian", "hurdle_lognormal"):
+        parts.append(rows("sigma"))
+    if family == "hurdle_lognormal":
+        parts.append(rows("hu"))
+    return reduce(DataFrame.unionByName, parts)
