@@ -351,6 +351,31 @@ add("w7_shortest_run", on_swabs(lambda s: intervals.shortest_interval(s, ["unit"
     SELECT unit, swab_site, {rounded('m', 'copies_max')}, {rounded('lower')}, {rounded('upper')} FROM pairs
     JOIN (SELECT unit, swab_site, median(copies_max) AS m FROM swabs GROUP BY 1, 2) USING (unit, swab_site)"""))
 
+# Regions of highest density of each unit's quantities: several modes, several intervals.
+REGION_POINTS, REGION_STEP = 129, 1 / 128
+add("p4_density_regions", on_swabs(lambda s: densities.density_regions(
+    s.select("unit", F.log10("copies_max").alias("quantity")), ["unit"], "quantity", 0.8)), query(SWABS, f"""
+    ends AS (SELECT unit, min(log10(copies_max)) AS low, max(log10(copies_max)) AS high FROM swabs GROUP BY 1),
+    scaled AS (SELECT unit, CASE WHEN high > low THEN (log10(copies_max) - (low - 0.1 * (high - low))) / (1.2 * (high - low)) ELSE 0.5 END AS x
+      FROM swabs JOIN ends USING (unit) WHERE copies_max IS NOT NULL),
+    spots AS (SELECT unit, least(greatest(x / {REGION_STEP}, 0), 128) AS spot FROM scaled),
+    shared AS (SELECT unit, spot, least(floor(spot), 127) AS b FROM spots),
+    binned AS MATERIALIZED (SELECT unit, bin, sum(w) AS weight, any_value(CAST(bin * {REGION_STEP} AS DOUBLE)) AS x FROM
+      (SELECT unit, b AS bin, b + 1 - spot AS w FROM shared UNION ALL SELECT unit, b + 1, spot - b FROM shared) GROUP BY 1, 2),
+    broad AS (SELECT unit, sum(weight) AS n, greatest(0.9 * sqrt(greatest(sum(weight * x * x) / sum(weight) - (sum(weight * x) / sum(weight)) ** 2, 0))
+      * sum(weight) ** (-0.2::DOUBLE), {REGION_STEP}) AS h FROM binned GROUP BY 1),
+    raw AS (SELECT unit, i, sum(weight * exp(-0.5 * ((i * {REGION_STEP} - x) / h) ** 2) / (h * n)) AS d,
+      coalesce(sum(CASE WHEN bin = i THEN weight END), 0) AS w FROM broad CROSS JOIN range(129) g(i) JOIN binned USING (unit) GROUP BY 1, 2),
+    rel AS (SELECT unit, i, w, round(d / max(d) OVER (PARTITION BY unit), 12) AS d FROM raw),
+    ranked AS (SELECT *, sum(w) OVER (PARTITION BY unit ORDER BY d DESC, i) - w AS before, sum(w) OVER (PARTITION BY unit) AS whole,
+      lag(d) OVER (PARTITION BY unit ORDER BY i) AS l, lead(d) OVER (PARTITION BY unit ORDER BY i) AS r FROM rel),
+    cuts AS (SELECT *, min(CASE WHEN before < whole * (0.8 - 1e-9) THEN d END) OVER (PARTITION BY unit) AS cut FROM ranked),
+    kept AS (SELECT *, i - row_number() OVER (PARTITION BY unit ORDER BY i) AS run FROM cuts WHERE d >= cut),
+    runs AS (SELECT unit, run, min(CASE WHEN l < cut THEN i * {REGION_STEP} - {REGION_STEP} * (d - cut) / (d - l) ELSE i * {REGION_STEP} END) AS lower,
+      max(CASE WHEN r < cut THEN i * {REGION_STEP} + {REGION_STEP} * (d - cut) / (d - r) ELSE i * {REGION_STEP} END) AS upper, sum(w) / any_value(whole) AS share FROM kept GROUP BY 1, 2)""", f"""
+    SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY run) AS region, {rounded('low - 0.1 * (high - low) + lower * 1.2 * (high - low)', 'lower')},
+    {rounded('low - 0.1 * (high - low) + upper * 1.2 * (high - low)', 'upper')}, {rounded('share')} FROM runs JOIN ends USING (unit)"""))
+
 HURDLE_DRAWS = [*HURDLE_FIT, normal_scores(DRAWS, 6), draw_sql("lines", "fit", 4, DRAWS, "sigma * "), """
 draws AS MATERIALIZED (SELECT lines.*, fit.sigma * exp(z4 / sqrt(2 * greatest(rows * (1 - hu) - 4, 1))) AS sigma,
   1 / (1 + exp(-(ln(hu / (1 - hu)) + z5 / sqrt(rows * hu * (1 - hu))))) AS hu

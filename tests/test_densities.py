@@ -64,3 +64,57 @@ def test_more_draws_than_are_sent(spark, monkeypatch):
     draws = spark.createDataFrame([(f"r{r}", d, 1.0, 0.1, 0.5) for r in range(3) for d in range(4)], "room string, draw long, b0 double, b1 double, sigma double")
     made = densities.with_draws(rows, draws, 4, ["room"])
     assert made.count() == 240 and made.columns.count("room") == 1
+
+
+def regions(values, mass, points=129):
+    """The same by plain loops."""
+    x = np.array(values)
+    low, wide = x.min() - 0.1 * (x.max() - x.min()), 1.2 * (x.max() - x.min())
+    scaled = (x - low) / wide if wide > 0 else np.full(len(x), 0.5)
+    weight, step = np.zeros(points), 1 / (points - 1)
+    for v in scaled:
+        left = min(int(v / step), points - 2)
+        weight[left] += left + 1 - v / step
+        weight[left + 1] += v / step - left
+    grid = np.arange(points) * step
+    n, mean = weight.sum(), (weight * grid).sum() / weight.sum()
+    h = max(0.9 * math.sqrt(max((weight * grid**2).sum() / n - mean**2, 0)) * n**-0.2, step)
+    density = np.array([(weight * np.exp(-0.5 * ((g - grid) / h) ** 2)).sum() for g in grid])
+    density = np.round(density / density.max(), 12)
+    order = sorted(range(points), key=lambda i: (-density[i], i))
+    held, cut = 0.0, None
+    for i in order:
+        if held >= n * (mass - 1e-9):
+            break
+        held, cut = held + weight[i], density[i]
+    out, i = [], 0
+    while i < points:
+        if density[i] >= cut:
+            j = i
+            while j + 1 < points and density[j + 1] >= cut:
+                j += 1
+            a = grid[i] - step * (density[i] - cut) / (density[i] - density[i - 1]) if i else grid[i]
+            b = grid[j] + step * (density[j] - cut) / (density[j] - density[j + 1]) if j + 1 < points else grid[j]
+            out.append((low + a * wide, low + b * wide, weight[i : j + 1].sum() / n))
+            i = j
+        i += 1
+    return out
+
+
+def test_two_modes_give_two_regions(spark):
+    rng = np.random.default_rng(9)
+    values = {
+        "one": rng.normal(0, 1, 4000).tolist(), "two": [*rng.normal(-4, 0.5, 1500), *rng.normal(3, 0.8, 2500)], "same": [2.5] * 30, "few": [1.0, 2.0], None: [0.0, 0.0, 7.0],
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("one", None)]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    got = {}
+    for r in densities.density_regions(frame, ["g"], "x", 0.9).orderBy("region").collect():
+        got.setdefault(r.g, []).append((r.lower, r.upper, r.share))
+    for key, vs in values.items():
+        assert np.allclose(got[key], regions(vs, 0.9), atol=1e-7), key
+    assert len(got["one"]) == 1 and abs(got["one"][0][0] + 1.645) < 0.2 and abs(got["one"][0][1] - 1.645) < 0.2
+    (a, b, _), (c, d, _) = got["two"]
+    assert a < -4 < b < -2 < 1 < c < 3 < d and got["same"] == [(2.5, 2.5, got["same"][0][2])]
+    inside = np.mean([any(lo <= v <= hi for lo, hi, _ in got["two"]) for v in values["two"]])
+    assert abs(inside - 0.9) < 0.02
