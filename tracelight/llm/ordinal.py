@@ -35,6 +35,8 @@ FITTED = 12_000
 SEEN = 8
 #: Absolute penalty on the weights beside the mean loss. The fit ends when no derivative is larger than ``FLAT``, or after ``STEPS``.
 PENALTY, FLAT, STEPS = 3e-4, 3e-5, 1000
+#: Features that the fit takes at once.
+CELLS = 1 << 19
 #: Pairs of steps that the search remembers.
 MEMORY = 12
 REPEATS = (0.02, 0.1, 0.3)
@@ -145,13 +147,21 @@ def _descend(loss, x: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, floa
 
 def fit_rows(feature: np.ndarray, start: np.ndarray, grade: np.ndarray, grades: int) -> Ordinal:
     """Penalised maximum likelihood; row i has feature[start[i] : start[i + 1]]."""
-    seen = np.bincount(feature, minlength=1 << BITS)
-    used = seen >= min(SEEN, max(1, len(grade) // 50))
-    number = (np.cumsum(used) - 1).astype(np.int32)
-    kept = used[feature]
-    owner = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(start))[kept]
-    column, names = number[feature[kept]], np.flatnonzero(used)
-    n, many = len(grade), len(names)
+    n, parts = len(grade), []
+    # Some rows at a time: nothing but the features themselves is as long as they are.
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, start[-1], CELLS)), n))
+    cuts = np.unique(np.append(0, cuts))
+    seen = np.zeros(1 << BITS, np.int32)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        np.add.at(seen, feature[start[i] : start[j]], 1)
+    used = seen >= min(SEEN, max(1, n // 50))
+    names, number = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        some = feature[start[i] : start[j]]
+        kept = used[some]
+        parts.append((i, j, np.repeat(np.arange(j - i, dtype=np.int32), np.diff(start[i : j + 1]))[kept], number[some[kept]]))
+    del feature, seen, used, number
+    many = len(names)
     share = np.array([(grade < j).mean() for j in range(1, grades + 1)]).clip(0.01, 0.99)
     base = np.log(share / (1 - share))
     # Thresholds stay ordered: a first one and positive steps.
@@ -162,13 +172,14 @@ def fit_rows(feature: np.ndarray, start: np.ndarray, grade: np.ndarray, grades:
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights, step = x[:many], x[many:]
-        s = np.bincount(owner, weights[column], n)
+        s = np.concatenate([np.bincount(owner, weights[column], j - i) for i, j, owner, column in parts])
         edge = np.concatenate([[-np.inf], thresholds(step), [np.inf]])
         low, high = (1 / (1 + np.exp(-np.clip(edge[grade + k] - s, -35, 35))) for k in (0, 1))
         p = np.maximum(high - low, 1e-15)
         dlow, dhigh = low * (1 - low) / p, high * (1 - high) / p
         slope = np.empty_like(x)
-        slope[:many] = np.bincount(column, (dhigh - dlow)[owner], many) / n
+        down = dhigh - dlow
+        slope[:many] = sum(np.bincount(column, down[i:j][owner], many) for i, j, owner, column in parts) / n
         dcut = np.array([(dlow * (grade == j + 1) - dhigh * (grade == j)).sum() for j in range(grades)]) / n
         slope[many:] = np.append(dcut.sum(), [dcut[j:].sum() * np.exp(step[j]) for j in range(1, grades)]) + 1e-3 * (step - first) / n
         return (-np.log(p).sum() + 0.5e-3 * ((step - first) ** 2).sum()) / n, slope
@@ -200,11 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 2, fitted: int = FITTE
             lists += batch.column(1).to_pylist()
         order = sorted(range(len(grade)), key=lambda i: (lists[i], grade[i]))
         start = np.concatenate([[0], np.cumsum([len(lists[i]) // 4 for i in order])]).astype(np.int64)
-        flat = np.frombuffer(b"".join(lists[i] for i in order), "<i4")
+        flat, grade = np.frombuffer(b"".join(lists[i] for i in order), "<i4"), [grade[i] for i in order]
+        del lists
         if not order:
             found = Ordinal(np.zeros(0, np.int64), np.zeros(0, np.float32), np.full(grades, -30.0))
         else:
-            found = fit_rows(flat, start, np.clip(np.array([grade[i] for i in order], np.int64), 0, grades), grades)
+            found = fit_rows(flat, start, np.clip(np.array(grade, np.int64), 0, grades), grades)
         some = found.weights != 0
         parts = [x.tobytes() for x in (found.names[some].astype("<i4"), found.weights[some].astype("<f4"), found.thresholds.astype("<f8"))]
         yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in parts], pa.array([found.flat])], names=["names", "weights", "thresholds", "flat"])

@@ -29,7 +29,7 @@ from tracelight.session import cut_lineage, shared_path
 #: Chunks whose ids a worker keeps; of the words they are made of it keeps half as many (some 140 MB together).
 KEPT = 400_000
 #: Text that is encoded together, in bytes.
-ENCODED_BYTES = 1 << 22
+ENCODED_BYTES = 1 << 21
 
 # Signs that a byte-level vocabulary never joins with the letters before them.
 SIGNS = ".,;:!?|*&$%#()\"-"
