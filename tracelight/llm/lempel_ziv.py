@@ -93,6 +93,7 @@ def _pieces(window: int, hot: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         met = Met()
         for batch in batches:
             ids = batch.column(0).to_numpy()

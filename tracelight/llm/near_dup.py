@@ -76,6 +76,7 @@ def _signatures(size: int, lower: bool, bands: int, rows: int):
     seeds = np.stack([rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             count = np.zeros(len(ids), np.int64)

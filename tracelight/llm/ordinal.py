@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 2, fitted: int = FITTE
     rows = T.keyed_texts(docs).join(F.broadcast(rated), "doc_id").select("grade", "text")  # at most ``fitted`` ids are sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             for first, data, offsets in T.slices(batch.column(1)):
                 n = len(offsets) - 1
@@ -234,6 +235,7 @@ def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
     T.tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         weights = model.dense()
         for batch in batches:
             parts = []

@@ -162,3 +162,12 @@ def worker_state() -> dict:
     if not hasattr(sys, "_corpus_worker_state"):
         sys._corpus_worker_state = {}
     return sys._corpus_worker_state
+
+
+def forget() -> None:
+    """Give back what other operators' tasks have kept in this worker, such as the ids of words."""
+    import gc
+
+    if worker_state():
+        worker_state().clear()
+        gc.collect()
