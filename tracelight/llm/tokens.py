@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tracelight.llm import text as T
 from tracelight.session import cut_lineage, shared_path
 
-#: Chunks whose ids a worker keeps; of the words they are made of it keeps half as many (some 140 MB together).
-KEPT = 400_000
+#: Chunks whose ids a worker keeps, and as many of the words they are made of (some 320 MB together).
+KEPT = 600_000
 #: Text that is encoded together, in bytes.
-ENCODED_BYTES = 1 << 21
+ENCODED_BYTES = 1 << 22
 
 # Signs that a byte-level vocabulary never joins with the letters before them.
 SIGNS = ".,;:!?|*&$%#()\"-"
@@ -175,7 +175,7 @@ class TextEncoder(ChunkedEncoder):
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _keep(self, words: dict[str, tuple]) -> None:
-        room = self.kept // 2 - len(self.words)
+        room = self.kept - len(self.words)
         if room > 0:
             self.words.update(islice(words.items(), room))
 
