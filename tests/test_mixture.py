@@ -104,3 +104,19 @@ def test_given_models_feed_the_ribbon(spark, name):
     assert isinstance(fit, mixture.Mixture) and abs(fit.weights.sum() - 1) < 1e-9
     draws = strata.strata_draws(spark, fit, catalog.MODELS[name].strata, 200)
     assert draws.count() == 200 * len(fit.estimates) and draws.dropna().count() == draws.count()
+
+
+@pytest.mark.parametrize("given", [True, False])
+@pytest.mark.parametrize("scale", [1e-2, 1e-6, 1e-12])
+def test_small_errors_of_many_rows_keep_the_strata(given, scale):
+    """With many rows a stratum's error is far below the widest spreads: sums of both lost it, or could not be solved."""
+    rng, keys = np.random.default_rng(4), [("E", False), ("E", True), ("F", False)]
+    fits = {}
+    for k in keys:
+        a = rng.normal(size=(2, 2)) * np.array([[0.3], [0.01]])
+        fits[k] = fit_of(rng.normal(size=2) * [1, 0.02], scale * (a @ a.T + np.diag([1e-3, 1e-6])))
+    got = mixture.integrate(fits, np.zeros(2) if given else None)
+    for k, f in fits.items():
+        error = np.sqrt(np.diag(f.covariance))
+        assert (np.abs(got.estimates[k] - f.beta) < 2 * error).all()
+        assert np.allclose(np.sqrt(np.diag(got.covariances[k])), error, rtol=0.1)

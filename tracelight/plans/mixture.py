@@ -70,6 +70,13 @@ def _spreads(x: np.ndarray, p: int, prior: tuple[float, float]) -> tuple[np.ndar
     return half @ half.transpose(0, 2, 1), logp
 
 
+def _roots(spreads: np.ndarray) -> np.ndarray:
+    """``R`` with ``R R'`` equal to each spread; a spread may be singular, or of any size."""
+    sd = np.sqrt(np.maximum(np.diagonal(spreads, axis1=1, axis2=2), 1e-300))
+    values, axes = np.linalg.eigh(spreads / sd[:, :, None] / sd[:, None, :])
+    return sd[:, :, None] * axes * np.sqrt(np.maximum(values, 0))[:, None, :]
+
+
 def spread_nodes(p: int, levels: int, prior: tuple[float, float] = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """(spreads by node and level, log weights without the likelihood)."""
     each = _unknowns(p)
@@ -96,31 +103,35 @@ def integrate(fits: dict[tuple, Fit], centre: np.ndarray | None = None, prior: t
     levels = len(keys[0])
     spreads, logw = spread_nodes(p, levels, prior)
     middle = raw.mean(axis=0) if centre is None else np.asarray(centre, float)
-    # Prior covariance of all strata together: their own level, then that of the parent they share.
-    same = np.array([[a[0] == b[0] for b in keys] for a in keys], float) if levels == 2 else np.zeros((many, many))
-    cover = np.einsum("ab,nij->naibj", np.eye(many), spreads[:, -1]) + (np.einsum("ab,nij->naibj", same, spreads[:, 0]) if levels == 2 else 0)
-    cover = cover.reshape(len(spreads), many * p, many * p)
+    # Prior covariance of all strata together is F F': their own level, then that of the parent they share.
+    parents = list(dict.fromkeys(k[0] for k in keys)) if levels == 2 else []
+    shared = np.array([[k[0] == parent for parent in parents] for k in keys], float).reshape(many, len(parents))
+    wide = np.zeros((many, 0)) if centre is not None else WIDE * np.ones((many, 1))
+    # Everything in units of the strata's own errors: the covariance is C (1 + G G') C', G = C^-1 F.
+    units = np.linalg.cholesky(np.array([fits[k].covariance for k in keys]))
+    inverse = np.linalg.inv(units)
+    blocks = [np.einsum("ab,aij,njk->naibk", np.eye(many), inverse, _roots(spreads[:, -1]))]
+    if levels == 2:
+        blocks.append(np.einsum("ab,aij,njk->naibk", shared, inverse, _roots(spreads[:, 0])))
+    blocks = [x.reshape(len(spreads), many * p, -1) for x in blocks]
     if centre is None:
-        cover = cover + WIDE**2 * np.kron(np.ones((many, many)), np.eye(p))
-    own = np.zeros((many, p, many, p))
-    for i, k in enumerate(keys):
-        own[i, :, i] = fits[k].covariance
-    own = own.reshape(many * p, many * p)
-    left = (raw - middle).ravel()
-    whole = cover + own
-    pulled = np.linalg.solve(whole, np.broadcast_to(left, (len(spreads), len(left)))[:, :, None])[:, :, 0]
-    logw = logw - 0.5 * (left * pulled).sum(axis=1) - 0.5 * np.linalg.slogdet(whole)[1]
+        far = np.einsum("ab,aij->aibj", wide, inverse).reshape(many * p, -1)
+        blocks.append(np.broadcast_to(far, (len(spreads), *far.shape)))
+    # Singular values keep both a spread of any size and errors far below it, where sums of the two would lose these.
+    axes, size, _ = np.linalg.svd(np.concatenate(blocks, axis=2), full_matrices=False)
+    left = np.einsum("aij,aj->ai", inverse, raw - middle).ravel()
+    pulled = left @ axes
+    logw = logw - 0.5 * (pulled**2 / (1 + size**2)).sum(axis=1) - 0.5 * np.log1p(size**2).sum(axis=1)
     weight = np.exp(logw - logw.max())
     weight /= weight.sum()
     some = weight > 1e-10
-    weight, spreads, cover, pulled = weight[some] / weight[some].sum(), spreads[some], cover[some], pulled[some]
+    weight, spreads, axes, size, pulled = weight[some] / weight[some].sum(), spreads[some], axes[some], size[some], pulled[some]
     if len(weight) == SET_NODES and 1 / (weight**2).sum() < 50:
         warnings.warn("few spreads carry the weight: the integral over them is rough", stacklevel=2)
-    mean = np.tile(middle, many) + (cover @ pulled[:, :, None])[:, :, 0]
-    gain = np.linalg.solve(cover + own, cover)
-    # own - own (cover + own)^-1 own, written so that a wide prior cancels nothing.
-    given = own @ gain
-    given = (given + given.transpose(0, 2, 1)) / 2
+    whole = np.einsum("aij,ab->aibj", units, np.eye(many)).reshape(many * p, many * p)
+    axes, share = whole @ axes, size**2 / (1 + size**2)
+    mean = np.tile(middle, many) + (axes @ (share * pulled)[:, :, None])[:, :, 0]
+    given = (axes * share[:, None, :]) @ axes.transpose(0, 2, 1)
     average = weight @ mean
     total = np.einsum("n,nij->ij", weight, given) + np.einsum("n,ni,nj->ij", weight, mean - average, mean - average)
     at = {k: slice(i * p, (i + 1) * p) for i, k in enumerate(keys)}
@@ -154,5 +165,3 @@ def mixture_draws(spark: SparkSession, mixed: Mixture, keys: list[str], count: i
             columns["hu"] = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + z[:, d + 1] / np.sqrt(fit.rows * share * (1 - share)))))
         parts.append(pd.DataFrame(columns))
     return spark.createDataFrame(pd.concat(parts, ignore_index=True))
-
-
