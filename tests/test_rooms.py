@@ -55,6 +55,21 @@ def test_gradients_are_those_of_the_values(p, nodes):
         assert np.allclose(at(thetas)[1], numeric, atol=1e-6)
 
 
+@pytest.mark.parametrize("p,nodes", [(4, None), (2, 21)])
+def test_many_rooms_at_once_equal_single_ones(p, nodes):
+    """Rooms of other sizes, filled up with rows of no trials, are evaluated together."""
+    rng = np.random.default_rng(50 + p)
+    alone = [room_of(rng, p, patterns) for patterns in (1, 4, 9, 9, 12)]
+    fill = lambda a: np.concatenate([a, np.zeros((12 - len(a), *a.shape[1:]))])
+    together = likelihood.Rows(*(np.stack([fill(getattr(r, c)) for r in alone]) for c in ("x", "n", "k")))
+    thetas = rng.normal(0, 0.8, (6, 1 + p * (p + 1) // 2))
+    value, gradient, z = likelihood.room_terms(together, thetas[:, 0], likelihood.unpacked(thetas[:, 1:], p), nodes)
+    assert value.shape == (5, 6) and gradient.shape == (5, 6, thetas.shape[1])
+    for i, room in enumerate(alone):
+        one = likelihood.room_terms(room, thetas[:, 0], likelihood.unpacked(thetas[:, 1:], p), nodes)
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip((value[i], gradient[i], z[i]), one, strict=True))
+
+
 def test_normal_rows_equal_the_dense_density():
     rng = np.random.default_rng(3)
     x, y = np.c_[np.ones(20), rng.normal(size=(20, 2))], rng.normal(1, 2, 20)

@@ -151,7 +151,9 @@ def smoothed_scores(loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tail = int(min(0.2 * draws, 3 * np.sqrt(draws)))
     shapes = np.full(rows, -np.inf)
     if tail >= 5:
-        order = np.argsort(logw, axis=1)
+        # Only the tail is put in order.
+        order = np.argpartition(logw, draws - tail - 1, axis=1)[:, draws - tail - 1 :]
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(logw, order, axis=1), axis=1), axis=1)
         ranked = np.take_along_axis(logw, order, axis=1)
         cut = ranked[:, -tail - 1]
         varied = ranked[:, -1] - cut > 1e-10

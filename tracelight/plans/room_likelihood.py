@@ -3,7 +3,7 @@
 A room's effect is ``u = L z`` with ``z ~ N(0, I)``, so a spread of lower rank needs no
 inverse. ``z`` is integrated out: by adaptive Gauss-Hermite nodes around the room's mode
 where few effects allow it, else by Laplace's method with the third derivatives that its
-gradient needs. Everything here is numpy for one room and many parameter sets at once;
+gradient needs. Everything here is numpy for many rooms and many parameter sets at once;
 ``rooms`` runs it inside batches of rooms and adds the rooms up in one aggregate.
 """
 
@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 #: Gauss-Hermite nodes in each direction, by the number of effects; more effects go by Laplace's method.
 NODES = {1: 31, 2: 21}
-NEWTON_STEPS, SETTLED = 60, 1e-9
+#: A Newton step of this size leaves an error of its square.
+NEWTON_STEPS, SETTLED = 60, 1e-6
 #: A step moves no parameter by more than this.
 LONGEST = 2.0
 #: Lengths of a step that one pass tries, the whole one first; distance of the points that show the curvature, and its least value.
@@ -46,34 +48,45 @@ def hermite(p: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Rows:
-    """Covariate patterns of a room: design rows, trials and successes."""
+    """Covariate patterns of a room: design rows, trials and successes.
+
+    All arrays may have a leading axis of rooms of about one size; a shorter room is filled up with rows of no
+    trials. Coefficients are (sets, p) for one room and (rooms, sets, p) for many, here and in ``Expansion``.
+    """
 
     x: np.ndarray
     n: np.ndarray
     k: np.ndarray
 
+    @cached_property
+    def _squares(self) -> np.ndarray:
+        return (self.x[..., :, None] * self.x[..., None, :]).reshape(*self.x.shape[:-1], -1)
+
+    def __getitem__(self, some) -> Rows:
+        return Rows(self.x[some], self.n[some], self.k[some])
+
+    def _scores(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eta = beta @ self.x.mT
+        small = np.exp(-np.abs(eta))
+        value = eta @ self.k[..., None] - (np.maximum(eta, 0) + np.log(1 + small)) @ self.n[..., None]
+        return value[..., 0], np.where(eta >= 0, 1.0, small) / (1 + small)
+
     def at(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
         """(log likelihood, gradient, information) for many coefficients, and the third derivatives' product with a matrix."""
-        eta = beta @ self.x.T
-        mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-        value = eta @ self.k - np.logaddexp(0.0, eta) @ self.n
-        weight = self.n * mu * (1 - mu)
-        h = (self.x.T * weight[:, None, :]) @ self.x
+        value, mu = self._scores(beta)
+        n = self.n[..., None, :]
+        weight = n * mu * (1 - mu)
+        h = (weight @ self._squares).reshape(*weight.shape[:-1], *2 * beta.shape[-1:])
 
         def third(a: np.ndarray) -> np.ndarray:
-            spread = ((self.x @ a) * self.x).sum(axis=2)
+            spread = a.reshape(*a.shape[:-2], -1) @ self._squares.mT
             return (weight * (1 - 2 * mu) * spread) @ self.x
 
-        return value, (self.k - self.n * mu) @ self.x, h, third
-
-    def value(self, beta: np.ndarray) -> np.ndarray:
-        eta = beta @ self.x.T
-        return eta @ self.k - np.logaddexp(0.0, eta) @ self.n
+        return value, (self.k[..., None, :] - n * mu) @ self.x, h, third
 
     def slope(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        eta = beta @ self.x.T
-        mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-        return eta @ self.k - np.logaddexp(0.0, eta) @ self.n, (self.k - self.n * mu) @ self.x
+        value, mu = self._scores(beta)
+        return value, (self.k[..., None, :] - self.n[..., None, :] * mu) @ self.x
 
 
 @dataclass
@@ -84,120 +97,143 @@ class Expansion:
     """
 
     centre: np.ndarray
-    base: float
+    base: float | np.ndarray
     g: np.ndarray
     h: np.ndarray
     t: np.ndarray
 
-    def at(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
-        move = beta - self.centre
-        h = self.h + np.einsum("ijk,sk->sij", self.t, move)
-        floor = np.linalg.eigvalsh(h)[:, 0] <= 0  # too far from the centre for third derivatives
-        h = np.where(floor[:, None, None], self.h, h)
-        third = lambda a: np.where(floor[:, None], 0.0, np.einsum("ijk,sij->sk", self.t, a))
-        return self.value(beta), self.g - move @ self.h, h, third
+    def __getitem__(self, some) -> Expansion:
+        return Expansion(self.centre[some], self.base[some], self.g[some], self.h[some], self.t[some])
 
-    def value(self, beta: np.ndarray) -> np.ndarray:
-        move = beta - self.centre
-        return self.base + move @ self.g - 0.5 * np.einsum("si,ij,sj->s", move, self.h, move)
+    def at(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
+        own = self.h[..., None, :, :]
+        h = own + np.einsum("...ijk,...sk->...sij", self.t, beta - self.centre[..., None, :])
+        floor = np.linalg.eigvalsh(h)[..., 0] <= 0  # too far from the centre for third derivatives
+        h = np.where(floor[..., None, None], own, h)
+        third = lambda a: np.where(floor[..., None], 0.0, np.einsum("...ijk,...sij->...sk", self.t, a))
+        return *self.slope(beta), h, third
 
     def slope(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.value(beta), self.g - (beta - self.centre) @ self.h
+        move = beta - self.centre[..., None, :]
+        bent = move @ self.h
+        return np.asarray(self.base)[..., None] + (move * (self.g[..., None, :] - 0.5 * bent)).sum(axis=-1), self.g[..., None, :] - bent
 
 
 def _shifted(intercept: np.ndarray, lower: np.ndarray, z: np.ndarray) -> np.ndarray:
-    beta = (lower @ z[:, :, None])[:, :, 0]
-    beta[:, 0] += intercept
+    beta = (lower @ z[..., None])[..., 0]
+    beta[..., 0] += intercept
     return beta
 
 
-def modes(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Mode of ``z`` for every parameter set, by Newton steps that never lose likelihood."""
+def _curved(room: Rows | Expansion, h: np.ndarray) -> np.ndarray:
+    """The curvature of the room's own log likelihood, by which its mode moves."""
+    return h if isinstance(room, Rows) else np.broadcast_to(room.h[..., None, :, :], h.shape)
+
+
+def modes(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Mode of ``z`` for every room and parameter set, by Newton steps that never lose likelihood; there is but one, wherever they start."""
     sets, p, _ = lower.shape
-    z, turned = np.zeros((sets, p)), lower.transpose(0, 2, 1)
-    score = lambda z: room.value(_shifted(intercept, lower, z)) - 0.5 * (z * z).sum(axis=1)
-    now, live = score(z), np.ones(sets, bool)
+    turned, lead = lower.mT, room.h.shape[:-2] if isinstance(room, Expansion) else room.n.shape[:-1]
+    z = np.zeros((*lead, sets, p)) if start is None else np.array(np.broadcast_to(start, (*lead, sets, p)))
+
+    def score(room, z: np.ndarray) -> tuple:
+        value, g, h, _ = room.at(_shifted(intercept, lower, z))
+        return value - 0.5 * (z * z).sum(axis=-1), g, _curved(room, h)
+
+    now, g, h = score(room, z)
+    whole, rooms_left = z, None  # rooms that have settled are left where they are
     for _ in range(NEWTON_STEPS):
-        _, g, h, _ = room.at(_shifted(intercept, lower, z))
-        if isinstance(room, Expansion):
-            h = np.broadcast_to(room.h, h.shape)
-        step = np.linalg.solve(np.eye(p) + turned @ h @ lower, turned @ g[:, :, None] - z[:, :, None])[:, :, 0]
-        step[~live] = 0
+        step = np.linalg.solve(np.eye(p) + turned @ h @ lower, turned @ g[..., None] - z[..., None])[..., 0]
         for _ in range(30):
-            new = score(z + step)
+            new, g, h = score(room, z + step)
             worse = new < now - 1e-9 * (1 + np.abs(now))
             if not worse.any():
                 break
             step[worse] /= 2
         z, now = z + step, new
-        live = np.abs(step).max(axis=1) > SETTLED
+        live = (np.abs(step) > SETTLED).any(axis=-1)
+        if rooms_left is None:
+            whole = z
+        else:
+            whole[rooms_left] = z
         if not live.any():
             break
-    return z
-
-
-def room_terms(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray, nodes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log marginal likelihood, its gradient by (intercept, packed L), mode) of one room for every parameter set."""
+        if lead:
+            some = live.any(axis=-1)
+            if 2 * some.sum() < len(some):
+                rooms_left = np.flatnonzero(some) if rooms_left is None else rooms_left[some]
+                room, z, now, g, h = room[some], z[some], now[some], g[some], h[some]
+    return whole
+
+
+def room_terms(
+    room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray, nodes: int | None = None, gradient: bool = True
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(log marginal likelihood, its gradient by (intercept, packed L), mode) of every room for every parameter set."""
     sets, p, _ = lower.shape
-    z = modes(room, intercept, lower)
+    # The first set's mode is near those of the others.
+    near = modes(room, intercept[:1], lower[:1])
+    z = near if sets == 1 else modes(room, intercept, lower, near)
     value, g, h, third = room.at(_shifted(intercept, lower, z))
-    turned = lower.transpose(0, 2, 1)
+    turned = lower.mT
     full = np.eye(p) + turned @ h @ lower
-    inverse = np.linalg.inv(full)
     logdet = np.linalg.slogdet(full)[1]
     if nodes is not None:
         t, weight = hermite(p, nodes)
-        root = np.linalg.cholesky(inverse)
-        points = z[:, None, :] + np.einsum("sij,kj->ski", root, t)
-        flat = points.reshape(-1, p)
-        many = len(t)
-        beta = _shifted(np.repeat(intercept, many), np.repeat(lower, many, axis=0), flat)
-        loglik, g = room.slope(beta)
-        each = (loglik - 0.5 * (flat * flat).sum(axis=1)).reshape(sets, many) + 0.5 * (t * t).sum(axis=1) + weight
-        top = each.max(axis=1)
-        share = np.exp(each - top[:, None])
-        value = top + np.log(share.sum(axis=1)) - 0.5 * logdet
-        share /= share.sum(axis=1, keepdims=True)
-        g = g.reshape(sets, many, p)
-        by_l = np.einsum("sk,ski,skj->sij", share, g, points)
-        by_b = np.einsum("sk,sk->s", share, g[:, :, 0])
-        return value, np.concatenate([by_b[:, None], packed(by_l)], axis=1), z
-    value = value - 0.5 * (z * z).sum(axis=1) - 0.5 * logdet
+        root = np.linalg.cholesky(np.linalg.inv(full))
+        points = z[..., None, :] + np.einsum("...sij,kj->...ski", root, t)
+        many, lead = len(t), z.shape[:-2]
+        beta = _shifted(intercept[:, None], lower[:, None], points)
+        loglik, g = room.slope(beta.reshape(*lead, sets * many, p))
+        each = loglik.reshape(*lead, sets, many) - 0.5 * (points * points).sum(axis=-1) + 0.5 * (t * t).sum(axis=1) + weight
+        top = each.max(axis=-1)
+        share = np.exp(each - top[..., None])
+        value = top + np.log(share.sum(axis=-1)) - 0.5 * logdet
+        if not gradient:
+            return value, None, z
+        share /= share.sum(axis=-1, keepdims=True)
+        g = share[..., None] * g.reshape(*lead, sets, many, p)
+        return value, np.concatenate([g[..., 0].sum(axis=-1)[..., None], packed(g.mT @ points)], axis=-1), z
+    value = value - 0.5 * (z * z).sum(axis=-1) - 0.5 * logdet
+    if not gradient:
+        return value, None, z
+    inverse = np.linalg.inv(full)
     cover = lower @ inverse @ turned
     c = third(cover)
     # How the mode moves: by the curvature of the room's own log likelihood.
-    own = h if isinstance(room, Rows) else np.broadcast_to(room.h, h.shape)
+    own = _curved(room, h)
     moves = inverse if isinstance(room, Rows) else np.linalg.inv(np.eye(p) + turned @ own @ lower)
-    w = (moves @ turned @ c[:, :, None])[:, :, 0]
-    outer = lambda a, b: a[:, :, None] * b[:, None, :]
-    by_l = outer(g, z) - h @ lower @ inverse - 0.5 * outer(c, z) - 0.5 * outer(g, w) + 0.5 * outer((own @ lower @ w[:, :, None])[:, :, 0], z)
-    follow = -(lower @ moves @ turned @ own[:, :, :1])[:, :, 0]
-    follow[:, 0] += 1
-    by_b = g[:, 0] - 0.5 * (c * follow).sum(axis=1)
-    return value, np.concatenate([by_b[:, None], packed(by_l)], axis=1), z
+    w = (moves @ turned @ c[..., None])[..., 0]
+    outer = lambda a, b: a[..., :, None] * b[..., None, :]
+    by_l = outer(g, z) - h @ lower @ inverse - 0.5 * outer(c, z) - 0.5 * outer(g, w) + 0.5 * outer((own @ lower @ w[..., None])[..., 0], z)
+    follow = -(lower @ moves @ turned @ own[..., :1])[..., 0]
+    follow[..., 0] += 1
+    by_b = g[..., 0] - 0.5 * (c * follow).sum(axis=-1)
+    return value, np.concatenate([by_b[..., None], packed(by_l)], axis=-1), z
 
 
 def gaussian_terms(h: np.ndarray, g: np.ndarray, n: float, y: float, yy: float, intercept: np.ndarray, lower: np.ndarray, sigma: np.ndarray):
-    """The same for normal rows, from a room's cross products; gradient by (intercept, packed L, log sigma). Exact.
+    """The same for normal rows, from rooms' cross products; gradient by (intercept, packed L, log sigma). Exact.
 
-    Returns (value, gradient, mean of z, covariance of z).
+    Returns (value, gradient, mean of z, covariance of z). ``h``, ``g``, ``n``, ``y`` and ``yy`` may have a leading axis of rooms.
     """
     p = lower.shape[-1]
     s2 = sigma**2
-    centred = g[None, :] - intercept[:, None] * h[None, :, 0]
+    h, g, n, y, yy = h[..., None, :, :], g[..., None, :], *(np.asarray(v)[..., None] for v in (n, y, yy))
+    centred = g - intercept[:, None] * h[..., 0]
     squares = yy - 2 * intercept * y + n * intercept**2
-    inner = lower.transpose(0, 2, 1) @ h @ lower
+    inner = lower.mT @ h @ lower
     full = np.eye(p) + inner / s2[:, None, None]
     cover = np.linalg.inv(full)
-    pull = np.einsum("sji,sj->si", lower, centred)
-    mean = np.einsum("sij,sj->si", cover, pull) / s2[:, None]
-    value = -n * np.log(sigma) - 0.5 * (squares - (pull * mean).sum(axis=1)) / s2 - 0.5 * np.linalg.slogdet(full)[1] - 0.5 * n * np.log(2 * np.pi)
-    second = cover + mean[:, :, None] * mean[:, None, :]
-    by_l = (centred[:, :, None] * mean[:, None, :] - (h[None] @ lower) @ second) / s2[:, None, None]
-    by_b = (y - n * intercept - np.einsum("j,sjk,sk->s", h[0], lower, mean)) / s2
-    residual = squares - 2 * (pull * mean).sum(axis=1) + np.einsum("sij,sji->s", inner, second)
+    pull = (lower.mT @ centred[..., None])[..., 0]
+    mean = (cover @ pull[..., None])[..., 0] / s2[:, None]
+    value = -n * np.log(sigma) - 0.5 * (squares - (pull * mean).sum(axis=-1)) / s2 - 0.5 * np.linalg.slogdet(full)[1] - 0.5 * n * np.log(2 * np.pi)
+    second = cover + mean[..., :, None] * mean[..., None, :]
+    by_l = (centred[..., :, None] * mean[..., None, :] - h @ lower @ second) / s2[:, None, None]
+    by_b = (y - n * intercept - (h[..., 0] * (lower @ mean[..., None])[..., 0]).sum(axis=-1)) / s2
+    residual = squares - 2 * (pull * mean).sum(axis=-1) + (inner * second).sum(axis=(-2, -1))
     by_s = -n + residual / s2
-    return value, np.concatenate([by_b[:, None], packed(by_l), by_s[:, None]], axis=1), mean, cover
+    return value, np.concatenate([by_b[..., None], packed(by_l), by_s[..., None]], axis=-1), mean, cover
 
 
 def log_prior(theta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,8 +36,10 @@ ROOMS_PER_BATCH = 64
 NO_SPREAD = 1e-3
 #: Patterns of a room that are listed in one row.
 HELD = 2000
-#: Numbers that a room's evaluation may hold at once (sets x nodes x patterns).
-CELLS = 2_000_000
+#: Numbers that an array of an evaluation may hold at once (rooms x sets x nodes x patterns).
+CELLS = 200_000
+#: Rooms whose scores are smoothed at once.
+SCORED = 256
 #: Times the centres of large rooms are moved before the first search, before a later one, and searches at most.
 FIRST_MOVES, LATER_MOVES, SEARCHES = 8, 2, 12
 
@@ -112,9 +114,9 @@ def _moved(p: int) -> Callable:
 
 
 def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
-    """Log posterior of many parameter sets: ``terms(room, thetas)`` summed over all rooms, and the prior.
+    """Log posterior of many parameter sets: ``terms(rooms, thetas, gradient)`` summed over all rooms, and the prior.
 
-    ``tables()`` gives pairs (table, reader of a batch's rooms). Every batch of rooms yields its sums only.
+    ``tables()`` gives pairs (table, reader of a batch's rooms, many at once). Every task yields its sums only.
     """
 
     def evaluate(thetas: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
@@ -124,10 +126,11 @@ def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros((sets, 1 + d))
                 for batch in batches:
-                    for room in read(batch):
-                        value, slope = terms(room, thetas)
-                        total[:, 0] += value
-                        total[:, 1:] += slope
+                    for _, rooms in read(batch):
+                        for _, some, value, slope in terms(rooms, thetas, gradient):
+                            total[some, 0] += value.sum(axis=0)
+                            if gradient:
+                                total[some, 1:] += slope.sum(axis=0)
                 cells = total.ravel() if gradient else total[:, 0].copy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "value"])
 
@@ -148,21 +151,41 @@ def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
     return evaluate
 
 
-def _listed(batch: pa.RecordBatch, p: int) -> Iterator[likelihood.Rows]:
-    """The rooms of a batch whose patterns stand in one row."""
+def _parts(many: int, sets: int, size: int) -> Iterator[tuple[slice, slice]]:
+    """Rooms and sets, cut so that ``size`` numbers for each pair of them stay within ``CELLS``."""
+    columns = max(1, min(sets, CELLS // size))
+    rows = max(1, CELLS // (size * columns))
+    for i in range(0, many, rows):
+        for j in range(0, sets, columns):
+            yield slice(i, i + rows), slice(j, j + columns)
+
+
+def _listed(batch: pa.RecordBatch, p: int) -> Iterator[tuple[np.ndarray, likelihood.Rows]]:
+    """The rooms of a batch whose patterns stand in one row, with their places: rooms of about one size together."""
     lists = batch.column("patterns")
     cells = lists.flatten()
     x = np.stack([cells.field(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)], axis=1)
     n, k = (cells.field(c).to_numpy(zero_copy_only=False) for c in "nk")
-    at = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield likelihood.Rows(x[a:b], n[a:b], k[a:b])
-
-
-def _expanded(batch: pa.RecordBatch, p: int) -> Iterator[likelihood.Expansion]:
-    """The large rooms of a batch, by their derivatives."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    first, order = np.concatenate([[0], np.cumsum(sizes)])[:-1], np.argsort(sizes, kind="stable")
+    start = 0
+    while start < len(order):
+        end = int(np.searchsorted(sizes[order], sizes[order[start]] * 1.25 + 2, side="right"))
+        end = min(end, start + max(1, CELLS // max(int(sizes[order[start]]) * p * p, 1)))
+        rooms = order[start:end]
+        place = np.arange(sizes[rooms].max())
+        there = place < sizes[rooms, None]
+        at = np.where(there, first[rooms, None] + place, first[rooms, None])
+        yield rooms, likelihood.Rows(np.where(there[..., None], x[at], 0.0), np.where(there, n[at], 0.0), np.where(there, k[at], 0.0))
+        start = end
+
+
+def _expanded(batch: pa.RecordBatch, p: int) -> Iterator[tuple[np.ndarray, likelihood.Expansion]]:
+    """The large rooms of a batch, by their derivatives, with their places."""
     get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
     n = batch.num_rows
+    if not n:
+        return
     centre, g = (np.stack([get(f"{c}{i}") for i in range(p)], axis=1) for c in "cg")
     h, t = np.zeros((n, p, p)), np.zeros((n, p, p, p))
     for i, j in _triangle(p):
@@ -170,20 +193,18 @@ def _expanded(batch: pa.RecordBatch, p: int) -> Iterator[likelihood.Expansion]:
     for where in combinations_with_replacement(range(p), 3):
         for i, j, k in set(permutations(where)):
             t[:, i, j, k] = get("t" + "_".join(map(str, where)))
-    base = get("loglik")
-    for row in range(n):
-        yield likelihood.Expansion(centre[row], float(base[row]), g[row], h[row], t[row])
+    yield np.arange(n), likelihood.Expansion(centre, np.array(get("loglik"), float), g, h, t)
 
 
 def _bernoulli_terms(p: int, nodes: int | None) -> Callable:
-    def run(room, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        listed = isinstance(room, likelihood.Rows)  # a large room needs no nodes
-        size = room.n.size * (nodes**p if nodes else 8) if listed else 1
-        parts = []
-        for some in np.array_split(thetas, max(1, min(len(thetas), len(thetas) * size // CELLS))):
-            value, slope, _ = likelihood.room_terms(room, some[:, 0], _lower(some, p), nodes if listed else None)
-            parts.append((value, slope))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    """Rooms' log integrals and gradients, in parts: (rooms, sets, values, gradients)."""
+
+    def run(rooms, thetas: np.ndarray, gradient: bool = True) -> Iterator[tuple]:
+        listed = isinstance(rooms, likelihood.Rows)  # a large room needs no nodes
+        many, size = (rooms.n.shape[0], rooms.n.shape[1] * (nodes**p if nodes else 1)) if listed else (len(rooms.base), 1)
+        for some, sets in _parts(many, len(thetas), max(size, p**3)):
+            found = likelihood.room_terms(rooms[some], thetas[sets, 0], _lower(thetas[sets], p), nodes if listed else None, gradient)
+            yield some, sets, *found[:2]
 
     return run
 
@@ -207,8 +228,8 @@ def _followed(far: DataFrame, theta: np.ndarray, group: str, kind: str, p: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [likelihood.modes(room, theta[:1], lower[None])[0] for room in _expanded(batch, p)]
-            beta = (np.array(z) @ lower.T).reshape(-1, p)
+            z = [likelihood.modes(rooms, theta[:1], lower[None])[:, 0] for _, rooms in _expanded(batch, p)]
+            beta = np.concatenate([np.zeros((0, p)), *z]) @ lower.T
             beta[:, 0] += theta[0]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(group), batch.column("patterns"), *[pa.array(beta[:, i].copy()) for i in range(p)]],
@@ -225,19 +246,16 @@ def _effects(table: DataFrame, read: Callable, theta: np.ndarray, group: str, ki
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, b, v, schur = [], [], [], []
-            for room in read(batch):
-                z = likelihood.modes(room, theta[:1], lower[None])
-                beta = z @ lower.T
-                beta[:, 0] += theta[0]
-                h = room.at(beta)[2][0]
-                cover = lower @ np.linalg.inv(np.eye(p) + lower.T @ h @ lower) @ lower.T
-                u.append((z @ lower.T)[0])
-                b.append(-cover @ h[:, 0])
-                v.append(cover)
-                schur.append(h[0, 0] - h[0] @ cover @ h[:, 0])
-            u, b, v = np.array(u).reshape(-1, p), np.array(b).reshape(-1, p), np.array(v).reshape(-1, p, p)
-            found = _effect_rows(group, u, b, v) | {"schur": np.array(schur)}
+            n = batch.num_rows
+            u, b, v, schur = np.zeros((n, p)), np.zeros((n, p)), np.zeros((n, p, p)), np.zeros(n)
+            for at, rooms in read(batch):
+                u[at] = likelihood.modes(rooms, theta[:1], lower[None])[:, 0] @ lower.T
+                beta = u[at] + np.eye(p)[0] * theta[0]
+                h = rooms.at(beta[:, None])[2][:, 0]
+                v[at] = lower @ np.linalg.inv(np.eye(p) + lower.T @ h @ lower) @ lower.T
+                b[at] = -(v[at] @ h[:, :, :1])[:, :, 0]
+                schur[at] = h[:, 0, 0] + (h[:, 0] * b[at]).sum(axis=1)
+            found = _effect_rows(group, u, b, v) | {"schur": schur}
             yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(x, pa.float64()) for c, x in found.items() if c != group]], names=list(found))
 
     return table.mapInArrow(run, _effect_schema(group, kind, p) + ", schur double")
@@ -312,21 +330,21 @@ def fit_rooms(
 
 @dataclass
 class Products:
-    """Cross products of a room's design rows and log quantities."""
+    """Cross products of rooms' design rows and log quantities."""
 
     h: np.ndarray
     g: np.ndarray
-    n: float
-    y: float
-    yy: float
+    n: np.ndarray
+    y: np.ndarray
+    yy: np.ndarray
+
+    def __getitem__(self, some) -> Products:
+        return Products(self.h[some], self.g[some], self.n[some], self.y[some], self.yy[some])
 
 
-def _products(batch: pa.RecordBatch, p: int) -> Iterator[Products]:
+def _products(batch: pa.RecordBatch, p: int) -> Iterator[tuple[np.ndarray, Products]]:
     frame = batch.to_pandas()
-    h, g = _matrices(frame, "h", p), _vectors(frame, "g", p)
-    n, y, yy = (frame[c].to_numpy(float) for c in ("n", "y", "yy"))
-    for row in range(len(frame)):
-        yield Products(h[row], g[row], n[row], y[row], yy[row])
+    yield np.arange(len(frame)), Products(_matrices(frame, "h", p), _vectors(frame, "g", p), *(frame[c].to_numpy(float) for c in ("n", "y", "yy")))
 
 
 def fit_rooms_lognormal(
@@ -355,9 +373,11 @@ def fit_rooms_lognormal(
     y, yy, total = (products.agg(F.sum("y"), F.sum("yy"), F.sum("n")).first()[i] or 0.0 for i in range(3))
     mean = y / max(total, 1)
 
-    def terms(room: Products, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sigma = np.exp(np.clip(thetas[:, -1], -20, 20))
-        return likelihood.gaussian_terms(room.h, room.g, room.n, room.y, room.yy, thetas[:, 0], _lower(thetas, p), sigma)[:2]
+    def terms(rooms: Products, thetas: np.ndarray, gradient: bool = True) -> Iterator[tuple]:
+        for some, sets in _parts(len(rooms.n), len(thetas), p**3):
+            r, t = rooms[some], thetas[sets]
+            sigma = np.exp(np.clip(t[:, -1], -20, 20))
+            yield some, sets, *likelihood.gaussian_terms(r.h, r.g, r.n, r.y, r.yy, t[:, 0], _lower(t, p), sigma)[:2]
 
     read = lambda batch: _products(batch, p)
     tables = lambda: [(products, read)]
@@ -371,16 +391,11 @@ def fit_rooms_lognormal(
 
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, b, v, schur = [], [], [], []
-            for r in read(batch):
-                _, _, z, cover = likelihood.gaussian_terms(r.h, r.g, r.n, r.y, r.yy, theta[:1], lower[None], np.array([sigma]))
-                cover = lower @ cover[0] @ lower.T
-                u.append(lower @ z[0])
-                b.append(-cover @ r.h[:, 0] / sigma**2)
-                v.append(cover)
-                schur.append((r.n - r.h[0] @ cover @ r.h[:, 0] / sigma**2) / sigma**2)
-            u, b, v = np.array(u).reshape(-1, p), np.array(b).reshape(-1, p), np.array(v).reshape(-1, p, p)
-            found = _effect_rows(group, u, b, v) | {"schur": np.array(schur)}
+            _, r = next(read(batch))
+            _, _, z, cover = likelihood.gaussian_terms(r.h, r.g, r.n, r.y, r.yy, theta[:1], lower[None], np.array([sigma]))
+            u, v = z[:, 0] @ lower.T, lower @ cover[:, 0] @ lower.T
+            b = -(v @ r.h[:, :, :1])[:, :, 0] / sigma**2
+            found = _effect_rows(group, u, b, v) | {"schur": (r.n + (r.h[:, 0] * b).sum(axis=1)) / sigma**2}
             yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(x, pa.float64()) for c, x in found.items() if c != group]], names=list(found))
 
     table = cut_lineage(products.mapInArrow(effects, _effect_schema(group, kind, p) + ", schur double"))
@@ -457,8 +472,14 @@ def leave_room_out(fit: RoomFit, count: int = 1000) -> DataFrame:
     def scored(read: Callable) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [smoothed_scores(terms(room, thetas)[0][None]) for room in read(batch)]
-                elpd, shape = (np.array([f[i][0] for f in found]) for i in (0, 1))
+                elpd, shape = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                for at, rooms in read(batch):
+                    for i in range(0, len(at), SCORED):
+                        some = at[i : i + SCORED]
+                        each = np.zeros((len(some), count))
+                        for part, sets, value, _ in terms(rooms[i : i + SCORED], thetas, False):
+                            each[part, sets] = value
+                        elpd[some], shape[some] = smoothed_scores(each)
                 yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(elpd, pa.float64()), pa.array(shape, pa.float64())], names=[group, "elpd", "shape"])
 
         return run
