@@ -405,19 +405,19 @@ for _name, _model in catalog.MODELS.items():
         add(f"p3_ribbon_{_name}", partial(_strata_ribbon, name=_name))
 
 
-def _room_fit(spark, folder, name="mvbinom_time_category_touch_mix_subject", points=40, count=THINNED):
+def _room_fit(spark, folder, name="mvbinom_time_category_touch_mix_subject", points=40):
     swabs = views.swabs(spark, folder)
     table = catalog.model_table(name, swabs)
     fit = catalog.fit_model(name, swabs)
     axis = fit.design.columns[0]
     frame = prep.model_frame(table, [fit.group, *fit.design.columns])
     cells = grid.prediction_grid(frame, {axis: points}, ["site_category", "high_touch"], entity=fit.group)
-    return swabs, fit, rooms.room_curves(fit, cells, count), axis
+    return swabs, fit, cells, axis
 
 
 def _room_medians(spark, folder):
-    _, fit, curves, axis = _room_fit(spark, folder)
-    return tidy(intervals.median_curve(curves, [fit.group, axis, "site_category", "high_touch"]), 4)
+    _, fit, cells, axis = _room_fit(spark, folder)
+    return tidy(rooms.room_medians(fit, cells, THINNED).select(fit.group, axis, "site_category", "high_touch", "epred"), 4)
 
 
 add("p5_room_curves", _room_medians)
@@ -428,9 +428,9 @@ add("p5_median_curve", on_swabs(lambda s: intervals.median_curve(
 
 
 def _room_points(spark, folder):
-    swabs, fit, curves, axis = _room_fit(spark, folder, "mvbinom_distance_category_touch_mix_subject", 30)
-    nearest = prep.touched_or_floor(prep.at_minimum(curves, axis))
-    medians = intervals.median_curve(nearest, [fit.group, axis, "site_category", "high_touch"])
+    swabs, fit, cells, axis = _room_fit(spark, folder, "mvbinom_distance_category_touch_mix_subject", 30)
+    nearest = prep.touched_or_floor(prep.at_minimum(cells, axis))
+    medians = rooms.room_medians(fit, nearest, THINNED)
     return tidy(reshape.floor_against_touched(medians, swabs), 4)
 
 

@@ -195,3 +195,24 @@ def test_scores_of_left_out_rooms_equal_refits(spark):
     print(off)
     # A room that says much of the spread has a heavy tail, and the shape says so.
     assert all(gap < (0.05 if shape < 0.7 else 0.25) for gap, shape in off.values()) and sum(shape < 0.7 for _, shape in off.values()) >= 7
+
+
+@pytest.mark.parametrize("family", ["bernoulli", "hurdle_lognormal"])
+def test_medians_of_rooms_are_those_of_their_draws_and_no_draw_is_a_row(spark, family):
+    from pyspark.sql import functions as F
+
+    rows = [(f"r{r}", float(i % 4), bool((i + r) % 3), float(1 + (i * 7 + r) % 11) if i % 3 else None) for r in range(6) for i in range(12)]
+    frame = spark.createDataFrame(rows, "subject_room_id string, distance double, scv2_detected boolean, copies_max double")
+    fit = (rooms.fit_rooms if family == "bernoulli" else rooms.fit_rooms_lognormal)(frame, Design(("distance",)))
+    grid = frame.select("subject_room_id", "distance").distinct()
+    got = rooms.room_medians(fit, grid, 201)
+    eta = F.expr("b0 + b1 * distance")
+    value = 1 / (1 + F.exp(-eta)) if family == "bernoulli" else (1 - F.col("hu")) * F.exp(eta + F.col("sigma") ** 2 / 2)
+    want = grid.join(rooms.room_draws(fit, 201), "subject_room_id").groupBy("subject_room_id", "distance").agg(F.median(value).alias("m"))
+    found = {(r.subject_room_id, r.distance): r.epred for r in got.collect()}
+    expected = {(r.subject_room_id, r.distance): r.m for r in want.collect()}
+    assert found.keys() == expected.keys() and all(math.isclose(found[k], v, rel_tol=1e-9) for k, v in expected.items())
+    assert rooms.room_curves(fit, grid, 201).count() == 201 * len(found)
+    # Draws are made after the join: what could be sent to every task is a row for each room.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan

@@ -22,13 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelight.functions import is_detected
 from tracelight.functions.normal import inverse_normal_array, primes
 from tracelight.operators.joins import keyed_join, spread_join
 from tracelight.plans import room_likelihood as likelihood
-from tracelight.plans.design import Design, bernoulli_patterns, design_columns, linear_predictor
-from tracelight.plans.fits import _triangle, lognormal_mean, score_sums, with_score
+from tracelight.plans.design import Design, bernoulli_patterns, design_columns
+from tracelight.plans.fits import _triangle, score_sums, with_score
 from tracelight.session import cut_lineage
 
 ROOMS_PER_BATCH = 64
@@ -488,6 +489,35 @@ def leave_room_out(fit: RoomFit, count: int = 1000) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
+def _sampler(fit: RoomFit, count: int) -> Callable:
+    """Draws of ``intercept + x'u`` for a table of rooms, as (room, draw, p)."""
+    p = len(fit.design.parameters)
+    intercept, intercept_sd = fit.intercept, fit.intercept_sd
+    steps = np.arange(1, count + 1)[:, None] * np.sqrt(np.array(primes(p + 1), float))[None, :]
+    common = intercept + intercept_sd * inverse_normal_array(np.clip(steps[:, p] % 1.0, 1e-9, 1 - 1e-9))
+
+    def run(part: pd.DataFrame) -> np.ndarray:
+        lower = np.linalg.cholesky(_matrices(part, "v", p) + 1e-12 * np.eye(p))
+        uniform = (steps[None, :, :p] + _vectors(part, "s", p)[:, None, :]) % 1.0
+        z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
+        values = _vectors(part, "u", p)[:, None, :] + np.einsum("rij,rdj->rdi", lower, z)
+        # A room moves with the intercept's draw, so the two keep their covariance.
+        values += _vectors(part, "b", p)[:, None, :] * (common - intercept)[None, :, None]
+        values[:, :, 0] += common[None, :]
+        return values
+
+    return run
+
+
+def _shifted_effects(fit: RoomFit) -> DataFrame:
+    """The rooms' effects with ``s<i>``, by which a room's low-discrepancy sequence is shifted: a hash of its key."""
+    shifts = [
+        (F.pmod(F.xxhash64(F.col(fit.group), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias(f"s{i}")
+        for i in range(len(fit.design.parameters))
+    ]
+    return fit.effects.select("*", *shifts)
+
+
 def room_draws(fit: RoomFit, count: int) -> DataFrame:
     """Draws of ``intercept + x'u`` per room: key, ``draw``, ``b<i>`` (and ``sigma``, ``hu``).
 
@@ -496,26 +526,13 @@ def room_draws(fit: RoomFit, count: int) -> DataFrame:
     """
     p = len(fit.design.parameters)
     group, kind = fit.group, fit.effects.schema[fit.group].dataType.simpleString()
-    shifts = [
-        (F.pmod(F.xxhash64(F.col(group), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias(f"s{i}")
-        for i in range(p)
-    ]
-    roots = np.sqrt(np.array(primes(p + 1), float))
-    intercept, intercept_sd, sigma, hurdle = fit.intercept, fit.intercept_sd, fit.sigma, fit.hurdle
+    sigma, hurdle, draw = fit.sigma, fit.hurdle, _sampler(fit, count)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps = np.arange(1, count + 1)[:, None] * roots[None, :]
-        common = intercept + intercept_sd * inverse_normal_array(np.clip(steps[:, p] % 1.0, 1e-9, 1 - 1e-9))
         for batch in batches:
             for start in range(0, len(batch), ROOMS_PER_BATCH):
                 part = batch.iloc[start : start + ROOMS_PER_BATCH]
-                lower = np.linalg.cholesky(_matrices(part, "v", p) + 1e-12 * np.eye(p))
-                uniform = (steps[None, :, :p] + _vectors(part, "s", p)[:, None, :]) % 1.0
-                z = inverse_normal_array(np.clip(uniform, 1e-9, 1 - 1e-9))
-                values = _vectors(part, "u", p)[:, None, :] + np.einsum("rij,rdj->rdi", lower, z)
-                # A room moves with the intercept's draw, so the two keep their covariance.
-                values += _vectors(part, "b", p)[:, None, :] * (common - intercept)[None, :, None]
-                values[:, :, 0] += common[None, :]
+                values = draw(part)
                 data = {
                     group: np.repeat(part[group].to_numpy(), count),
                     "draw": np.tile(np.arange(count, dtype="int64"), len(part)),
@@ -527,19 +544,60 @@ def room_draws(fit: RoomFit, count: int) -> DataFrame:
 
     names = [f"b{i}" for i in range(p)] + (["sigma", "hu"] if sigma is not None else [])
     schema = ", ".join([f"{group} {kind}", "draw bigint", *[f"{n} double" for n in names]])
-    return fit.effects.select("*", *shifts).mapInPandas(sample, schema)
+    return _shifted_effects(fit).mapInPandas(sample, schema)
 
 
-def room_curves(fit: RoomFit, grid: DataFrame, count: int) -> DataFrame:
-    """Expected outcome of every room over its grid rows, one row per draw.
+def _curves(fit: RoomFit, grid: DataFrame, count: int, columns: str, reduce: Callable) -> DataFrame:
+    """Grid rows and what ``reduce`` makes of (place in the batch, expected outcomes by grid row and draw) of each of their rooms.
 
-    Draws join the grid on room alone and both sides have a bounded number of
-    rows per room, so the rooms spread the work.
+    A room's effects, not its draws, meet its grid rows: draws are made where these lie and are rows nowhere, so
+    neither a join nor a broadcast grows with their number.
     """
-    paired = keyed_join(grid, room_draws(fit, count), [fit.group], "inner")
-    eta = linear_predictor([F.col(f"b{i}") for i in range(len(fit.design.parameters))], fit.design)
-    if fit.family == "bernoulli":
-        value = 1.0 / (1.0 + F.exp(-eta))
-    else:
-        value = lognormal_mean(eta, F.col("sigma"), F.col("hu"))
-    return paired.select(*grid.columns, "draw", value.alias("epred"))
+    p, draw = len(fit.design.parameters), _sampler(fit, count)
+    family, sigma, hurdle = fit.family, fit.sigma, fit.hurdle
+    x = F.array(*[c.cast("double") for c in fit.design.expressions().values()])
+    points = grid.select(fit.group, F.struct(*grid.columns).alias("point"), x.alias("x"))
+    # A grid is exploded from few rows, which may lie in one task.
+    points = points.repartition(grid.sparkSession.sparkContext.defaultParallelism, fit.group)
+    effects = _shifted_effects(fit)
+    numbers = [c for c in effects.columns if c != fit.group]
+    group, joined = fit.group, keyed_join(points, effects, [fit.group], "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rooms = batch.column(group).to_pandas()
+            at = np.flatnonzero((rooms != rooms.shift()).to_numpy()) if len(rooms) else np.array([], int)
+            design = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, p)
+            parts = pa.table({c: batch.column(c).take(pa.array(at)) for c in numbers}).to_pandas()
+            for i, (a, b) in enumerate(zip(at, [*at[1:], len(rooms)])):
+                found = draw(parts.iloc[i : i + 1])[0]
+                # Term by term: a matrix product would start threads of its own in every task.
+                eta = sum(design[a:b, j, None] * found[:, j] for j in range(p))
+                value = 1.0 / (1.0 + np.exp(-eta)) if family == "bernoulli" else (1.0 - hurdle) * np.exp(eta + sigma * sigma / 2.0)
+                yield reduce(batch.column("point").slice(a, b - a), value)
+
+    schema = StructType([points.schema["point"]])
+    for field_ in StructType.fromDDL(columns):
+        schema = schema.add(field_)
+    names = [f.name for f in StructType.fromDDL(columns)]
+    return joined.mapInArrow(run, schema).select("point.*", *names)
+
+
+def room_curves(fit: RoomFit, grid: DataFrame, count: int) -> DataFrame:
+    """Expected outcome of every room over its grid rows, one row per draw."""
+
+    def rows(point: pa.Array, value: np.ndarray) -> pa.RecordBatch:
+        many, draws = value.shape
+        repeated = point.take(pa.array(np.repeat(np.arange(many), draws)))
+        return pa.RecordBatch.from_arrays([repeated, pa.array(np.tile(np.arange(draws), many)), pa.array(value.ravel())], names=["point", "draw", "epred"])
+
+    return _curves(fit, grid, count, "draw bigint, epred double", rows)
+
+
+def room_medians(fit: RoomFit, grid: DataFrame, count: int) -> DataFrame:
+    """Median over the draws of every room's expected outcome, at each of its grid rows."""
+
+    def rows(point: pa.Array, value: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([point, pa.array(np.median(value, axis=1), from_pandas=True)], names=["point", "epred"])
+
+    return _curves(fit, grid, count, "epred double", rows)
