@@ -54,6 +54,23 @@ def test_encoder_on_random_signs(seed):
     assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == [whole(path, t) for t in texts]
 
 
+def test_kept_chunks_take_little_memory_and_change_no_id():
+    """Not a Python object for each chunk and word: the worker's store is a few long arrays."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(2000)) + "," for _ in range(10)]
+    encoder = tokens.TextEncoder(tokens.default_vocabulary())
+    tracemalloc.start()
+    ids, at = encoder.encode(pa.array(texts))
+    del ids, at
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encoder.chunks) > 19_000 and held < 100 * len(encoder.chunks)
+    again, at = encoder.encode(pa.array(texts[::-1]))
+    assert [again[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encoder._encode([t])[0] for t in texts[::-1]]
+
+
 def test_files_hold_every_document(spark, docs):
     path, folder = tokens.default_vocabulary(), shared_path(spark, "tokens")
     manifest = tokens.write_token_files(docs, path, 2, folder).orderBy("shard").collect()

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,14 @@ class PieceEncoder(ChunkedEncoder):
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self._encode(texts)  # the vocabulary puts the space
 
-    def _learn(self, chunks: list[str]) -> list[list | None]:
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # After a line break there is no space: the one the vocabulary puts before the chunk is taken off.
-        return [None if not c else ids[1:] if c[0] == "\n" else ids for c, ids in zip(chunks, self._encode(chunks), strict=True)]
+        texts = chunks.to_pylist()
+        lists = [ids[1:] if c[:1] == "\n" else ids for c, ids in zip(texts, self._encode(texts), strict=True)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        size[pc.binary_length(chunks).to_numpy() == 0] = -1
+        return flat, size
 
     def token_bytes(self) -> list[bytes]:
         p = self.pieces

@@ -15,7 +15,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from tracelight.llm import text as T
 from tracelight.session import cut_lineage, shared_path
 
-#: Chunks whose ids a worker keeps, and as many of the words they are made of (some 320 MB together).
+#: Chunks whose ids a worker keeps (some 40 MB together).
 KEPT = 600_000
 #: Text that is encoded together, in bytes.
 ENCODED_BYTES = 1 << 22
 
-# Signs that a byte-level vocabulary never joins with the letters before them.
-SIGNS = ".,;:!?|*&$%#()\"-"
+#: Unknown chunks that are encoded as one text, in bytes.
+JOINED_BYTES = 1 << 20
+
+# What ends a word inside a chunk (white space, and more than a vocabulary may call so), and the sign where a text begins.
+INSIDE = "[\\x00\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
 
 def default_vocabulary() -> str:
@@ -56,7 +59,8 @@ class ChunkedEncoder:
 
     def __init__(self, chunked: bool, spaced: bool, signs: tuple[str, ...], kept: int):
         self.chunked, self.spaced, self.signs, self.kept = chunked, spaced, signs, kept
-        self.chunks: dict[str, int] = {}
+        # An Arrow column, not a dict of strings: a tenth of the memory, and a run's chunks are looked up at once.
+        self.chunks = pa.array([], pa.large_string())
         # The chunks' ids lie in ``flat``, chunk i in flat[start[i] : start[i] + length[i]]; there is room for more behind ``used``.
         self.flat, self.start, self.length, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
@@ -64,37 +68,33 @@ class ChunkedEncoder:
         """Ids of whole texts, as they are."""
         raise NotImplementedError
 
-    def _learn(self, chunks: list[str]) -> list[tuple | list | None]:
-        """Ids of each chunk; None for one that has no ids of its own."""
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, how many each chunk has); -1 marks a chunk without ids of its own."""
         raise NotImplementedError
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self._encode([" " + t for t in texts] if self.spaced else texts)
 
-    def _places(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, length) for these chunks; length -1 marks one without ids of its own."""
-        get, known = self.chunks.get, len(self.chunks)
-        at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+    def _places(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, length) for these distinct chunks; length -1 marks one without ids of its own."""
+        known = len(self.chunks)
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return self.flat, self.start[at], self.length[at]
-        new = [chunks[i] for i in missing]
-        lists = self._learn(new)
-        own = np.fromiter((x is not None for x in lists), bool, len(lists))
-        if not own.all():
-            lists = [x or () for x in lists]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        ends = self.used + np.cumsum(size)
+        new = chunks.take(pa.array(missing))
+        ids, size = self._learn(new)
+        ends = self.used + np.cumsum(np.maximum(size, 0))
         n, total = known + len(new), int(ends[-1])
         self.flat = _roomy(self.flat, self.used, total)
         self.start, self.length = _roomy(self.start, known, n), _roomy(self.length, known, n)
-        self.flat[self.used : total] = np.fromiter(chain.from_iterable(lists), np.uint32, total - self.used)
-        self.start[known:n], self.length[known:n] = ends - size, np.where(own, size, -1)
+        self.flat[self.used : total] = ids
+        self.start[known:n], self.length[known:n] = ends - np.maximum(size, 0), size
         at[missing] = known + np.arange(len(new))
         # What is beyond the limit is overwritten by the next call.
         more = min(len(new), self.kept - known)
         if more > 0:
-            self.chunks.update(zip(new[:more], range(known, known + more), strict=True))
+            self.chunks = pa.concat_arrays([self.chunks, new.slice(0, more)])
             self.used = int(ends[more - 1])
         return self.flat, self.start[at], self.length[at]
 
@@ -117,7 +117,7 @@ class ChunkedEncoder:
         spread = texts if self.spaced else pc.binary_join_element_wise(pa.scalar("\0", big), texts, pa.scalar("", big))
         lists = pc.split_pattern(pc.replace_substring(spread, "\n", " \n"), " ")
         coded = lists.values.dictionary_encode() if lists.offset == 0 else pa.concat_arrays([lists.flatten()]).dictionary_encode()
-        flat, start, length = self._places(coded.dictionary.to_pylist())
+        flat, start, length = self._places(coded.dictionary)
         index = coded.indices.to_numpy()
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bad_chunk = length < 0
@@ -167,67 +167,54 @@ class TextEncoder(ChunkedEncoder):
         pre = kind["pre_tokenizer"] or {}
         chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
         super().__init__(bool(chunked), spaced, ("\0", *added), kept)
-        self.bare = Tokenizer(self.whole.model)
-        self.letters = byte_letters()
-        self.words: dict[str, tuple] = {}
+        # The same words without added tokens, whose strings are plain text in a chunk.
+        self.plain = Tokenizer(self.whole.model)
+        if self.whole.pre_tokenizer is not None:
+            self.plain.pre_tokenizer = self.whole.pre_tokenizer
+        back = {c: b for b, c in byte_letters().items()}
+        names = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
+        self.size = np.array([len(n) if all(c in back for c in n) else 0 for n in names], np.int64)  # bytes of each id
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, words: dict[str, tuple]) -> None:
-        room = self.kept - len(self.words)
-        if room > 0:
-            self.words.update(islice(words.items(), room))
-
-    def _learn_words(self, words: set[str]) -> dict[str, tuple]:
-        """Ids of words (each with its space), those of plain letters without splitting again."""
-        new = [w for w in words if w not in self.words]
-        plain = [w for w in new if w[1:].isalpha() and (w.isascii() or max(w) < "ɐ")]
-        spelled = "\n".join(plain).encode().decode("latin1").translate(self.letters).split(self.letters[10])
-        found = dict(zip(plain, (tuple(e.ids) for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)), strict=True)) if plain else {}
-        other = [w for w in new if w not in found]
-        found.update(zip(other, map(tuple, self._encode(other)), strict=True))
-        self._keep(found)
-        return found
-
-    def _learn(self, chunks: list[str]) -> list[tuple | None]:
-        """Ids of chunks; None for one that has no ids of its own."""
-        parts = [self._parted(c) for c in chunks]
-        need = {p[1] for p in parts if p is not None}
-        need.update({p[2] for p in parts if p is not None and p[2]})
-        lead = {w for w in need if w[0] == " "}
-        found = self._learn_words(lead)
-        bare = [w for w in need - lead if w not in self.words]
-        new = dict(zip(bare, map(tuple, self._encode(bare)), strict=True))
-        self._keep(new)
-        found.update(new)
-        line = tuple(self._encode(["\n"])[0])
-        out = []
-        for part in parts:
-            if part is None:
-                out.append(None)
-                continue
-            broken, word, tail = part
-            ids = found.get(word) or self.words[word]
-            if broken:
-                ids = line + ids
-            out.append(ids + (found.get(tail) or self.words[tail]) if tail else ids)
-        return out
-
-    @staticmethod
-    def _parted(c: str) -> tuple[bool, str, str] | None:
-        """(after a line break, word with the space before it, signs after it) of a chunk that has ids of its own."""
-        if c.isalpha():  # nearly all chunks: a word, or one with a sign
-            return False, " " + c, ""
-        if c[:-1].isalpha() and c[-1] in SIGNS and c[-2] < "ɐ":
-            return False, " " + c[:-1], c[-1]
-        body = c[1:] if c[:1] in ("\n", "\0") else c
-        if not body or "\0" in body or len(body.split()) != 1 or body.split()[0] != body:
-            return None
-        stem = body.rstrip(SIGNS)
-        if not stem or not (stem[-1].isalpha() and stem[-1] < "ɐ"):
-            stem = body
-        return c[:1] == "\n", ("" if body is not c else " ") + stem, body[len(stem) :]
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each of which ends where a token ends; a chunk that is empty or holds white space has none of its own."""
+        broken, first = (pc.starts_with(chunks, sign).to_numpy(zero_copy_only=False) for sign in ("\n", "\0"))
+        body = pc.if_else(pa.array(broken | first), pc.utf8_slice_codeunits(chunks, 1), chunks)
+        bare = ~pc.match_substring_regex(body, INSIDE).to_numpy(zero_copy_only=False) & (pc.binary_length(body).to_numpy() > 0)
+        # Chunks stand as in a text: behind a space or a line break, which is taken off again where a text begins.
+        spelled = pc.binary_join_element_wise(pc.if_else(pa.array(broken | first), "\n", " ").cast(pa.large_string()), body, pa.scalar("", pa.large_string()))
+        spelled = spelled.filter(pa.array(bare))
+        ids, size = self._joined(spelled)
+        if first.any():
+            head = first[bare]
+            lead = len(self._encode(["\n"])[0])
+            begin = (np.cumsum(size) - size)[head]
+            keep = np.ones(len(ids), bool)
+            keep[(begin[:, None] + np.arange(lead)).ravel()] = False
+            ids, size = ids[keep], size - lead * head
+        sizes = np.full(len(chunks), -1)
+        sizes[bare] = size
+        return ids, sizes
+
+    def _joined(self, spelled: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, how many each chunk has) of chunks that stand one behind the other, some at a time."""
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first, data, offsets in T.slices(spelled, JOINED_BYTES):
+            n = len(offsets) - 1
+            ids = np.array(self.plain.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.size[ids])
+            last = np.searchsorted(ends, offsets[1:], "left")
+            # Only where every chunk ends with a token, and no byte is missing, are these the chunks' own ids.
+            if len(ids) and ends[-1] == offsets[-1] and (ends[last] == offsets[1:]).all():
+                parts.append(ids)
+                sizes.append(np.diff(last, prepend=-1))
+            else:
+                lists = [e.ids for e in self.plain.encode_batch_fast(spelled.slice(first, n).to_pylist(), add_special_tokens=False)]
+                parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+                sizes.append(np.fromiter(map(len, lists), np.int64, n))
+        return np.concatenate(parts), np.concatenate(sizes)
 
 
 def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
