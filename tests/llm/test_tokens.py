@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm.conftest import corpus
 from tracelight.llm import lattice, packing, tokens
+from tracelight.llm import text as T
 from tracelight.session import shared_path
 
 ODD = ["", " ", "a", " a", "a  b", "a \nb", "a\n b", "\n", "a\n\nb", "it's don't", "x\x00y", "\x00", "word,\nNext", "é è", "日本語 テスト", "tab\tx y", "end ",
@@ -71,6 +72,17 @@ def test_kept_chunks_take_little_memory_and_change_no_id():
     assert [again[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [encoder._encode([t])[0] for t in texts[::-1]]
 
 
+def test_a_worker_gives_back_all_but_what_an_operator_keeps():
+    state = T.worker_state()
+    was = dict(state)
+    state.update(encoders={"x": 1}, alignment={"y": 2})
+    assert list(T.lean(lambda batches: (list(state) for _ in batches), "encoders")([1])) == [["encoders"]]
+    assert list(state) == ["encoders"]
+    T.forget()
+    assert not state
+    state.update(was)
+
+
 def test_files_hold_every_document(spark, docs):
     path, folder = tokens.default_vocabulary(), shared_path(spark, "tokens")
     manifest = tokens.write_token_files(docs, path, 2, folder).orderBy("shard").collect()

@@ -93,7 +93,6 @@ def _pieces(window: int, hot: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.forget()
         met = Met()
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -287,15 +286,15 @@ def duplicate_spans(texts: DataFrame, window: int = 20) -> DataFrame:
     spark = T.tuned(texts.sparkSession)
     n = T.partitions(spark)
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
-    counts = sample.mapInArrow(_pieces(window, np.zeros(0, np.uint64)), PIECE).groupBy("anchor").agg(F.countDistinct("doc_id").alias("n"))
+    counts = sample.mapInArrow(T.lean(_pieces(window, np.zeros(0, np.uint64))), PIECE).groupBy("anchor").agg(F.countDistinct("doc_id").alias("n"))
     # The hottest only, so the list stays bounded; any choice gives the same result.
     hottest = counts.filter("n >= 16").orderBy(F.desc("n"), "anchor").limit(4 * n).collect()
     hot = np.array([r.anchor for r in hottest], np.int64).astype(np.uint64)
     pack, cut = _packed(n), _pieces(window, hot)
     # Pieces travel packed, many in a row for each block; the block they lie in is that of their anchor.
-    packed = texts.mapInArrow(lambda batches: pack(cut(batches)), "block int, body binary").repartitionById(n, "block")
+    packed = texts.mapInArrow(T.lean(lambda batches: pack(cut(batches))), "block int, body binary").repartitionById(n, "block")
     pieces = packed.mapInArrow(_unpacked, PIECE).sortWithinPartitions("anchor", "doc_id", "place")
-    factors = pieces.mapInArrow(_factors(window), "doc_id long, start int, length int")
+    factors = pieces.mapInArrow(T.lean(_factors(window)), "doc_id long, start int, length int")
     return factors.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
 
 
@@ -346,4 +345,4 @@ def without_copies(docs: DataFrame, window: int = 20) -> DataFrame:
     text = F.coalesce(F.col("given.text"), F.lit("")).alias("text")
     rows = keyed.select("given", "doc_id").join(duplicate_spans(keyed, window), "doc_id", "left").select("given", text, "spans")
     schema = StructType([rows.schema["given"]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(T.lean(run), schema)

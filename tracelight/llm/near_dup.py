@@ -76,7 +76,6 @@ def _signatures(size: int, lower: bool, bands: int, rows: int):
     seeds = np.stack([rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.forget()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             count = np.zeros(len(ids), np.int64)
@@ -258,7 +257,7 @@ def near_duplicates(
     if not plain:  # read again below, with the keys as they are now
         texts = cut_lineage(texts)
     kinds = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    signed = cut_lineage(texts.select("doc_id", "text").mapInArrow(_signatures(size, lower, bands, rows), kinds))
+    signed = cut_lineage(texts.select("doc_id", "text").mapInArrow(T.lean(_signatures(size, lower, bands, rows)), kinds))
     ident = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_a", "set_b", "bands")).alias("s")).select("doc_id", "s.*")
     classes = cut_lineage(ident.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
@@ -267,13 +266,13 @@ def near_duplicates(
     left = cut_lineage(keys.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long"))
 
     members = left.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut_lineage(texts.select("doc_id", "text").join(members, "doc_id").mapInArrow(_packed_sets(size, lower), "rep long, shingles binary")
+    sets = cut_lineage(texts.select("doc_id", "text").join(members, "doc_id").mapInArrow(T.lean(_packed_sets(size, lower)), "rep long, shingles binary")
                        .groupBy("rep").agg(F.max("shingles").alias("shingles")))
 
     def compare(pairs: DataFrame) -> DataFrame:
         wide = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a")
         wide = wide.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
-        return cut_lineage(wide.select("a", "b", "left", "right").mapInArrow(_confirm(threshold), "a long, b long, linked boolean"))
+        return cut_lineage(wide.select("a", "b", "left", "right").mapInArrow(T.lean(_confirm(threshold)), "a long, b long, linked boolean"))
 
     def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
         labels = components(links.filter("linked"))

@@ -196,7 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 2, fitted: int = FITTE
     rows = T.keyed_texts(docs).join(F.broadcast(rated), "doc_id").select("grade", "text")  # at most ``fitted`` ids are sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.forget()
         for batch in batches:
             for first, data, offsets in T.slices(batch.column(1)):
                 n = len(offsets) - 1
@@ -223,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 2, fitted: int = FITTE
         yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in parts], pa.array([found.flat])], names=["names", "weights", "thresholds", "flat"])
 
     # One task holds the features of at most 2 * ``fitted`` rows; one row with the weights in use comes back.
-    some = rows.mapInArrow(run, "grade int, features binary").orderBy(F.xxhash64("features"), "grade").limit(2 * fitted)
-    got = some.repartition(1).mapInArrow(solve, "names binary, weights binary, thresholds binary, flat double").first()
+    some = rows.mapInArrow(T.lean(run), "grade int, features binary").orderBy(F.xxhash64("features"), "grade").limit(2 * fitted)
+    got = some.repartition(1).mapInArrow(T.lean(solve), "names binary, weights binary, thresholds binary, flat double").first()
     if got.flat > FLAT:
         warnings.warn(f"the classifier's gradient is {got.flat:.2g} after its last step: not converged", stacklevel=2)
     return Ordinal(np.frombuffer(got.names, "<i4"), np.frombuffer(got.weights, "<f4"), np.frombuffer(got.thresholds, "<f8"), got.flat)
@@ -235,7 +234,6 @@ def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
     T.tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.forget()
         weights = model.dense()
         for batch in batches:
             parts = []
@@ -251,7 +249,7 @@ def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     rows = docs.select(F.struct("*").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
     schema = StructType([rows.schema["given"]]).add("score", "double").add("expected_grade", "double").add("tails", ArrayType(DoubleType()))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(T.lean(run), schema)
 
 
 def quality_grades(labels: DataFrame) -> DataFrame:

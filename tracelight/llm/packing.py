@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int
                 )
 
     T.tuned(docs.sparkSession)
-    return T.keyed_texts(docs).mapInArrow(run, PIECES)
+    return T.keyed_texts(docs).mapInArrow(T.lean(run, "encoders"), PIECES)
 
 
 class Grouping:
@@ -192,7 +192,7 @@ def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) ->
 
     for turn in range(epochs):
         dealt = state.repartition(T.partitions(spark), "block", "island")
-        done = cut_lineage(dealt.mapInArrow(epoch(turn), kind))
+        done = cut_lineage(dealt.mapInArrow(T.lean(epoch(turn)), kind))
         # Elites move on: island i gets its own best and that of island i - 1.
         best = done.select("block", F.col("island").alias("from"), "best")
         to = best.select("block", F.explode(F.array("from", (F.col("from") + 1) % islands)).alias("island"), "best")

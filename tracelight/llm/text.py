@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +164,29 @@ def worker_state() -> dict:
     return sys._corpus_worker_state
 
 
-def forget() -> None:
-    """Give back what other operators' tasks have kept in this worker, such as the ids of words."""
+def forget(but: str | None = None) -> None:
+    """Give back what other operators' tasks have kept in this worker, such as the ids of words (all but what stands under ``but``)."""
+    import ctypes
     import gc
 
-    if worker_state():
-        worker_state().clear()
+    state = worker_state()
+    others = [name for name in state if name != but]
+    for name in others:
+        del state[name]
+    if others:
         gc.collect()
+    # Workers wait while other stages run, so what is free goes back to the system.
+    pa.default_memory_pool().release_unused()
+    if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+        library.malloc_trim(0)
+
+
+def lean(run: Callable, keep: str | None = None) -> Callable:
+    """``run`` (batches to batches) in a worker that holds before and after it no more than what is kept under ``keep``."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
+        yield from run(batches)
+        forget(keep)
+
+    return whole

@@ -280,7 +280,7 @@ def write_token_files(docs: DataFrame, path: str, end: int, folder: str) -> Data
         yield pa.RecordBatch.from_pydict({"shard": [shard], "documents": [documents], "tokens": [tokens], "dtype": [np.dtype(kind).name]})
 
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
-    counts = cut_lineage(ordered.mapInArrow(run, "shard long, documents long, tokens long, dtype string"))
+    counts = cut_lineage(ordered.mapInArrow(T.lean(run, "encoders"), "shard long, documents long, tokens long, dtype string"))
     # One small row for each shard: the sums are made on the driver.
     rows, base, manifest = sorted(counts.collect()), 0, []
     for shard, documents, tokens, dtype in rows:
