@@ -118,3 +118,24 @@ def test_two_modes_give_two_regions(spark):
     assert a < -4 < b < -2 < 1 < c < 3 < d and got["same"] == [(2.5, 2.5, got["same"][0][2])]
     inside = np.mean([any(lo <= v <= hi for lo, hi, _ in got["two"]) for v in values["two"]])
     assert abs(inside - 0.9) < 0.02
+
+
+def test_simulated_quantiles_are_written_out_once(spark):
+    """Written out for each use, the plan is too long to be compiled and each row costs a hundredfold."""
+    from tracelight.plans import catalog
+
+    rows = spark.range(50).selectExpr("id AS event_id", "id % 9 AS subject_covid_day")
+    draws = spark.range(3).selectExpr("id AS draw", "0.1D AS b0", "0.2D AS b1", "1D AS sigma", "0.5D AS hu")
+    design = catalog.MODELS["hurdle_time_mix_category"].design
+    made = densities.simulated(densities.with_draws(rows, draws, 3), design, "event_id", "hurdle_lognormal")
+    binned = densities.linear_bins(made, ["draw"], 0.0, 4.0, 33)
+    plan = binned._jdf.queryExecution().optimizedPlan().toString()
+    # Two tails, and a partial and a final aggregate at most: far fewer than a copy for each use.
+    assert plan.count("LOG(") + plan.count("log(") + plan.count("ln(") <= 60, len(plan)
+    assert abs(binned.agg({"weight": "sum"}).first()[0] - made.count()) < 1e-9
+
+
+def test_missing_values_have_no_weight(spark):
+    rows = spark.createDataFrame([("a", 0.25), ("a", None), ("a", 9.0), ("b", None)], "k string, x double")
+    found = {(r.k, r.bin): r.weight for r in densities.linear_bins(rows, ["k"], 0.0, 1.0, 3).collect()}
+    assert found == {("a", 0): 0.5, ("a", 1): 0.5, ("a", 2): 1.0}

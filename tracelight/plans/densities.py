@@ -48,18 +48,26 @@ def simulated(paired: DataFrame, design: Design, key: str, family: str) -> DataF
     u, v = (row_uniform(F.col(key), F.col("draw"), salt) for salt in (0, 1))
     if family == "bernoulli":
         return paired.select("draw", (u < 1.0 / (1.0 + F.exp(-mu))).cast("double").alias("x"))
-    x = mu + F.col("sigma") * inverse_normal(v)
-    if family == "gaussian":
-        return paired.select("draw", x.alias("x"))
-    return paired.where(u >= F.col("hu")).select("draw", (x / F.lit(float(np.log(10.0)))).alias("x"))
+    if family != "gaussian":
+        paired = paired.where(u >= F.col("hu"))
+    # ``v`` is a column of its own: the quantile names it some forty times, and written out each time it is too long to be compiled.
+    placed = paired.select("draw", mu.alias("mu"), "sigma", v.alias("v"))
+    x = F.col("mu") + F.col("sigma") * inverse_normal(F.col("v"))
+    return placed.select("draw", (x if family == "gaussian" else x / F.lit(float(np.log(10.0)))).alias("x"))
 
 
 def linear_bins(rows: DataFrame, keys: Sequence[str], low: float, high: float, points: int) -> DataFrame:
     """(keys, bin, weight): every value ``x`` shared between the two of ``points`` grid points around it, the outer ones take what lies beyond."""
     at = F.least(F.greatest((F.col("x") - low) / ((high - low) / (points - 1)), F.lit(0.0)), F.lit(float(points - 1)))
-    left = F.least(F.floor(at), F.lit(points - 2))
-    both = F.array(F.struct(left.alias("bin"), (left + 1 - at).alias("weight")), F.struct((left + 1).alias("bin"), (at - left).alias("weight")))
-    return rows.where(F.col("x").isNotNull()).select(*keys, F.inline(both)).groupBy(*keys, "bin").agg(F.sum("weight").alias("weight"))
+    placed = rows.select(*keys, F.when(F.col("x").isNotNull(), at).alias("at"))
+    left = F.least(F.floor("at"), F.lit(points - 2))
+    # Counts and shares of the left point first: only sums are dealt to both points.
+    cells = placed.select(*keys, "at", left.alias("left")).groupBy(*keys, "left").agg(F.count("at").alias("n"), F.sum(F.col("at") - F.col("left")).alias("beyond"))
+    both = F.array(
+        F.struct(F.col("left").alias("bin"), (F.col("n") - F.col("beyond")).alias("weight")),
+        F.struct((F.col("left") + 1).alias("bin"), F.col("beyond").alias("weight")),
+    )
+    return cells.where(F.col("n") > 0).select(*keys, F.inline(both)).groupBy(*keys, "bin").agg(F.sum("weight").alias("weight"))
 
 
 def smoothed(binned: DataFrame, keys: Sequence[str], low: float, high: float, points: int) -> DataFrame:
