@@ -355,3 +355,19 @@ def test_prior_listing_follows_the_levels_that_occur(spark):
     alone = design.prior_listing(frame, design.Design(()), "bernoulli", "room", {"sd": "normal(0, 1)"}).collect()
     assert sorted((r["class"], r.coef, r.group, r.prior) for r in alone) == [
         ("Intercept", "", "", "student_t(3, 0, 2.5)"), ("sd", "", "", "normal(0, 1)"), ("sd", "", "room", "normal(0, 1)"), ("sd", "Intercept", "room", "normal(0, 1)")]
+
+
+def test_plain_scores_take_one_exponential_a_draw(monkeypatch):
+    from tracelight.plans import checks
+
+    rng = np.random.default_rng(4)
+    x, matrix, y = rng.normal(size=(40, 3)), rng.normal(size=(500, 3)), rng.integers(0, 2, 40).astype(float)
+    x[0] *= 300
+    loglik = checks._log_likelihood(y, x, matrix, "bernoulli")
+    top = -loglik.min(axis=1, keepdims=True)
+    want = -(np.log(np.exp(-loglik - top).mean(axis=1)) + top[:, 0])
+    # The likelihood itself, with two more transcendental functions for each row and draw, is not made.
+    monkeypatch.delattr(checks, "_log_likelihood")
+    assert np.allclose(checks.plain_scores(y, x, matrix, "bernoulli"), want, rtol=1e-13, atol=1e-13)
+    with pytest.raises(ValueError, match="0 or 1"):
+        checks.plain_scores(y + 1, x, matrix, "bernoulli")

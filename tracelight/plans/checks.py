@@ -187,6 +187,21 @@ def _log_likelihood(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, family: st
     return np.where(y > 0, np.log1p(-hu) + density, np.log(hu))
 
 
+def plain_scores(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, family: str) -> np.ndarray:
+    """Leave-one-out score without smoothing: minus the log of the mean of 1 / likelihood over the draws.
+
+    With y of 0 or 1 and odds e^z against it, 1 / likelihood is 1 + e^z: one exponential a draw.
+    """
+    binary = family == "bernoulli"
+    if binary and not ((y == 0) | (y == 1)).all():
+        raise ValueError("outcomes of a bernoulli model must be 0 or 1")
+    low = (x * (1 - 2 * y)[:, None]) @ matrix.T if binary else -_log_likelihood(y, x, matrix, family)
+    top = low.max(axis=1, keepdims=True)
+    low -= top
+    mean = np.log(np.exp(low, out=low).mean(axis=1)) + top[:, 0]
+    return -np.logaddexp(0.0, mean) if binary else -mean
+
+
 def leave_one_out(
     counts: DataFrame, columns: Sequence[str], draws: DataFrame, design: Design, smooth: bool = True,
     family: str = "bernoulli",
@@ -212,14 +227,11 @@ def leave_one_out(
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
                 x = part[[f"_x{i}" for i in range(p)]].to_numpy(float)
-                loglik = _log_likelihood(part["y"].to_numpy(float), x, matrix, family)
+                y = part["y"].to_numpy(float)
                 if smooth:
-                    elpd, shape = smoothed_scores(loglik)
+                    elpd, shape = smoothed_scores(_log_likelihood(y, x, matrix, family))
                 else:
-                    low = -loglik
-                    top = low.max(axis=1, keepdims=True)
-                    mean = np.log(np.exp(low - top).mean(axis=1)) + top[:, 0]
-                    elpd, shape = -mean, np.full(len(part), np.nan)
+                    elpd, shape = plain_scores(y, x, matrix, family), np.full(len(part), np.nan)
                 yield part[names].assign(elpd=elpd, shape=shape)
 
     return rows.mapInPandas(score, f"{schema}, elpd double, shape double")
