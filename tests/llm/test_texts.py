@@ -117,6 +117,35 @@ def test_large_buckets_of_chained_texts_lose_no_link(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_groups(rows, 4)
 
 
+def test_large_buckets_without_links_make_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(400)]
+    base, rows = list(rng.choice(words, 200)), []
+
+    def changed(text, n, mark):
+        text = list(text)
+        for at in rng.choice(len(text), n, replace=False):
+            text[at] = f"{mark}x{at}"
+        return text
+
+    for i in range(60):  # all alike, but below the threshold; every third has one text that it is linked with
+        text = changed(base, 5, f"a{i}")
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((100 + i, " ".join(changed(text, 3, f"b{i}"))))
+    asked, across = [], near_dup._across
+
+    def counted(*args):
+        pairs, later = across(*args)
+        asked.append(pairs.count())
+        return pairs, later
+
+    monkeypatch.setattr(near_dup, "_across", counted)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_groups(rows, 4)
+    assert asked and sum(asked) < len(rows)  # of 80 * 79 / 2
+
+
 def brute_hits(rows, items, size):
     windows = {}
     for i, t in items:

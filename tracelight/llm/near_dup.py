@@ -13,9 +13,10 @@ one component. Of the others, small ones are compared pair by pair. The texts of
 large ones are joined exactly, by prefix filter: shingles in order of rarity, two sets
 that reach the threshold share one of the first few of each. Texts under one such
 shingle are compared across components only, each text outside the largest
-component with the rest (of very many, some a round), and only where what follows
-the shingle in both sets is enough for the threshold. So no pair of a bucket is
-left out unless a component already joins it.
+component with the rest (a few first, whose links join most of the others; of very many,
+some a round), and only where what follows the shingle in both sets is enough for the
+threshold and the bit marks of the sets differ by no more than it allows. So no pair of a
+bucket is left out unless a component already joins it or it cannot be a link.
 
 Nulls and texts without words have an empty set and link with nothing. Ids are
 numbers. Rows with a null or repeated id are told apart by their text; rows with the
@@ -26,6 +27,8 @@ and one document of it is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,10 @@ from tracelight.session import cut_lineage
 BANDS, ROWS = 12, 3
 #: A bucket that is not settled is compared pair by pair up to this size.
 SMALL = 16
-#: Under one shingle, texts outside the largest component that meet the others in one round.
-OUTSIDE = 1024
+#: Under one shingle, texts outside the largest component that meet the others in the first round and in a later one.
+FEW, OUTSIDE = 8, 1024
+#: 64-bit words of the bit mark of a set.
+MARK = 32
 BLOCK = 256
 
 
@@ -202,6 +207,17 @@ def _pairwise(rows: DataFrame) -> DataFrame:
     return inner.filter("x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, mark): bits, each the parity of the set's shingles that fall on it; two sets differ in no fewer shingles than bits."""
+    for batch in batches:
+        marks = np.zeros((batch.num_rows, MARK), np.uint64)
+        for i, packed in enumerate(batch.column(1)):
+            at = T.mixed(np.frombuffer(packed.as_py(), np.uint64) ^ np.uint64(T.STEP)) % np.uint64(64 * MARK)
+            np.bitwise_xor.at(marks[i], at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        lists = pa.ListArray.from_arrays(np.arange(0, MARK * batch.num_rows + 1, MARK, dtype=np.int32), marks.view(np.int64).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "mark"])
+
+
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, rep, size): the shingles of each set."""
     for batch in batches:
@@ -225,22 +241,25 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return after.filter(100 * F.col("after") >= threshold * F.col("size"))
 
 
-def _across(placed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows to go on with) under the shingles of ``placed`` (key, rep, size, after, comp)."""
+def _across(placed: DataFrame, marks: DataFrame, threshold: int, asking: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows to go on with) under the shingles of ``placed`` (key, rep, size, after, comp); ``asking`` texts of each meet the others."""
     rows = _unsettled(placed)
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
     rows = cut_lineage(rows.join(most, "key"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
     other = cut_lineage(rows.filter("comp <> main").withColumn("turn", first))
-    x = other.filter(F.col("turn") <= OUTSIDE).select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("after").alias("ax"))
-    y = rows.select("key", "rep", "comp", "size", "after")
+    x = other.filter(F.col("turn") <= asking).join(marks, "rep").select(
+        "key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("after").alias("ax"), F.col("mark").alias("mx"))
+    y = rows.join(marks, "rep").select("key", "rep", "comp", "size", "after", "mark")
     # At the first shingle a pair shares, all that it shares comes from there on.
     enough = (100 + threshold) * F.least("ax", "after") >= threshold * (F.col("sx") + F.col("size"))
-    met = x.join(y, "key").filter((F.col("cx") != F.col("comp")) & enough)
+    differ = reduce(add, [F.bit_count(F.col("mx")[i].bitwiseXOR(F.col("mark")[i])) for i in range(MARK)])
+    near = (100 + threshold) * differ <= (100 - threshold) * (F.col("sx") + F.col("size"))
+    met = x.join(y, "key").filter((F.col("cx") != F.col("comp")) & enough & near)
     pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    asked = other.filter(F.col("turn") <= OUTSIDE).select("key", "rep")
-    later = rows.filter(F.col("outside") > OUTSIDE).join(asked, ["key", "rep"], "left_anti").select("key", "rep", "size", "after")
+    asked = other.filter(F.col("turn") <= asking).select("key", "rep")
+    later = rows.filter(F.col("outside") > asking).join(asked, ["key", "rep"], "left_anti").select("key", "rep", "size", "after")
     return pairs, later
 
 
@@ -285,11 +304,12 @@ def near_duplicates(
     rows = cut_lineage(_unsettled(placed(left, compared)))
     fresh = lambda pairs: pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     compared = compared.union(compare(fresh(_pairwise(rows.filter(F.col("n") <= SMALL)))))
-    large = rows.filter(F.col("n") > SMALL).select("rep").distinct()
-    later = cut_lineage(_prefixes(sets.join(large, "rep"), threshold))
+    large = sets.join(rows.filter(F.col("n") > SMALL).select("rep").distinct(), "rep")
+    marks = cut_lineage(large.mapInArrow(_marked, "rep long, mark array<long>"))
+    later, asking = cut_lineage(_prefixes(large, threshold)), FEW
     while later.limit(1).count():
-        pairs, later = _across(cut_lineage(placed(later, compared)), threshold)
-        pairs, later = cut_lineage(fresh(pairs)), cut_lineage(later)
+        pairs, later = _across(cut_lineage(placed(later, compared)), marks, threshold, asking)
+        pairs, later, asking = cut_lineage(fresh(pairs)), cut_lineage(later), OUTSIDE
         compared = compared.union(compare(pairs))
     labels = components(compared.filter("linked"))
     reps = classes.select("set_a", "set_b", "n_shingles", "rep")
