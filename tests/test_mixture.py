@@ -120,3 +120,15 @@ def test_small_errors_of_many_rows_keep_the_strata(given, scale):
         error = np.sqrt(np.diag(f.covariance))
         assert (np.abs(got.estimates[k] - f.beta) < 2 * error).all()
         assert np.allclose(np.sqrt(np.diag(got.covariances[k])), error, rtol=0.1)
+
+
+def test_a_comparison_makes_its_table_once(spark, monkeypatch):
+    folder, read = "/root/testdata/sf0.001", []
+    fit, score = catalog.fit_table, strata.leave_one_out
+    monkeypatch.setattr(catalog, "fit_table", lambda name, table, *a: read.append(table) or fit(name, table, *a))
+    monkeypatch.setattr(strata, "leave_one_out", lambda counts, *a: read.append(counts) or score(counts, *a))
+    names = catalog.COMPARISONS[-1]
+    out = strata.compare_catalogue(names, views.swabs(spark, folder), views.subjects(spark, folder), 50).collect()
+    assert {r.model_name for r in out} == set(names) and len(read) == 4
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in read]
+    assert not any("Join" in p or "Aggregate" in p for p in plans)

@@ -102,7 +102,8 @@ def compare_catalogue(
 ) -> DataFrame:
     """One comparison of the catalogue, on the rows of its first model's table that every model can score.
 
-    Every model is fitted to that table, so all score the same rows with the same weights.
+    Every model is fitted to that table, so all score the same rows with the same weights. The
+    few columns they use are written once: each fit and each scoring would join the table anew.
     """
     models = [catalog.MODELS[n] for n in names]
     table = catalog.model_table(names[0], swabs, subjects)
@@ -113,6 +114,7 @@ def compare_catalogue(
         y = F.col("scv2_detected").cast("int")
     else:
         y = F.when(is_detected(F.col("copies_max")), F.col("copies_max")).otherwise(0.0)
-    counts = rows.groupBy(y.alias("y"), *columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(rows.select(*columns, *[c for c in ("scv2_detected", "copies_max") if c not in columns]))
+    counts = cut_lineage(rows.groupBy(y.alias("y"), *columns).agg(F.count(F.lit(1)).alias("n")))
     scores = {n: model_scores(n, catalog.fit_table(n, rows), counts, columns, draws, smooth) for n in names}
     return compare_models(stack(scores), ["y", *columns])
