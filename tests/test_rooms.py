@@ -70,6 +70,77 @@ def test_many_rooms_at_once_equal_single_ones(p, nodes):
         assert all(np.allclose(a, b, atol=1e-9) for a, b in zip((value[i], gradient[i], z[i]), one, strict=True))
 
 
+def one_by_one(room, b, lower):
+    """Laplace's value of one room under one set, by a plain search for its mode."""
+    p = room.x.shape[1]
+    z = np.zeros(p)
+
+    def at(z):
+        eta = room.x @ (lower @ z + b * np.eye(p)[0])
+        mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+        value = room.k @ eta - room.n @ np.logaddexp(0, eta) - 0.5 * z @ z
+        matrix = np.eye(p) + lower.T @ (room.x.T * (room.n * mu * (1 - mu))) @ room.x @ lower
+        return value, lower.T @ room.x.T @ (room.k - room.n * mu) - z, matrix
+
+    for _ in range(500):
+        value, g, matrix = at(z)
+        step, size = np.linalg.solve(matrix, g), 1.0
+        while at(z + size * step)[0] < value - 1e-12 * abs(value) and size > 1e-9:
+            size /= 2
+        z = z + size * step
+    value, _, matrix = at(z)
+    return value - 0.5 * np.linalg.slogdet(matrix)[1], z
+
+
+def test_rooms_at_once_find_the_mode_of_each_also_far_from_the_first_set():
+    """Rooms of one outcome, repeated trials, predictors beyond exp, and sets far apart."""
+    rng = np.random.default_rng(77)
+    alone = [room_of(rng, 4, 9) for _ in range(6)]
+    alone[0].k[:] = alone[0].n  # every trial a success
+    alone[1].k[:] = 0
+    alone[2].n *= 400  # too many trials to multiply their chances
+    alone[2].k *= 380
+    alone[3].x[:, 2] *= 40
+    thetas = rng.normal(0, 0.3, (9, 11))
+    thetas[5:] = rng.normal(0, 4, (4, 11))
+    lower = likelihood.unpacked(thetas[:, 1:], 4)
+    together = likelihood.Rows(*(np.stack([getattr(r, c) for r in alone]) for c in ("x", "n", "k")))
+    parts = [[0, 1, 3, 4, 5], [2], [0, 1, 2, 3, 4, 5]]
+    for some in parts:
+        value, gradient, z = likelihood.Laplace(together[some], 0.0, np.eye(4)).terms(thetas[:, 0], lower)
+        for i, room in enumerate(some):
+            want = [one_by_one(alone[room], t[0], m) for t, m in zip(thetas, lower, strict=True)]
+            assert np.allclose(value[i], [v for v, _ in want], rtol=1e-9, atol=1e-7)
+            assert np.allclose(z[i], [m for _, m in want], atol=1e-6)
+        again = likelihood.Laplace(together[some], 0.0, np.eye(4)).terms(thetas[:, 0], lower, False)
+        assert np.array_equal(again[0], value) and again[1] is None and np.isfinite(gradient).all()
+
+
+def test_sets_close_together_take_two_evaluations(monkeypatch):
+    """A room's patterns are gone through twice for a set near the first, not once for every step of a search from nothing."""
+    rng = np.random.default_rng(4)
+    alone = [room_of(rng, 4, 12) for _ in range(20)]
+    together = likelihood.Rows(*(np.stack([getattr(r, c) for r in alone]) for c in ("x", "n", "k")))
+    first = rng.normal(0, 0.7, 11)
+    thetas = first + rng.normal(0, 0.003, (50, 11))
+    near = likelihood.Laplace(together, first[0], likelihood.unpacked(first[1:], 4))
+    seen, scores = [], likelihood.Laplace._scores
+    monkeypatch.setattr(likelihood.Laplace, "_scores", lambda self, beta, some: seen.append(beta.shape[0] * beta.shape[2]) or scores(self, beta, some))
+    near.terms(thetas[:, 0], likelihood.unpacked(thetas[:, 1:], 4), False)
+    assert sum(seen) <= 2.2 * 50 * 20
+
+
+@pytest.mark.parametrize("family", ["bernoulli", "hurdle_lognormal"])
+def test_passes_over_rooms_run_in_all_tasks(spark, family):
+    """Rooms lie in as many parts as there are tasks, also where a shuffle has that number of parts anyway."""
+    rows = [(f"r{r}", bool((i + r) % 3), float(1 + (i * 7 + r) % 11) if i % 3 else None) for r in range(60) for i in range(6)]
+    frame = spark.createDataFrame(rows, "subject_room_id string, scv2_detected boolean, copies_max double")
+    fit = (rooms.fit_rooms if family == "bernoulli" else rooms.fit_rooms_lognormal)(frame, Design(()), rounds=2)
+    tasks = spark.sparkContext.defaultParallelism
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == tasks > 1
+    assert all(table.rdd.getNumPartitions() == tasks for table, _ in fit.tables())
+
+
 def test_normal_rows_equal_the_dense_density():
     rng = np.random.default_rng(3)
     x, y = np.c_[np.ones(20), rng.normal(size=(20, 2))], rng.normal(1, 2, 20)

@@ -9,7 +9,7 @@ gradient needs. Everything here is numpy for many rooms and many parameter sets
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,7 +18,11 @@ import numpy as np
 #: Gauss-Hermite nodes in each direction, by the number of effects; more effects go by Laplace's method.
 NODES = {1: 31, 2: 21}
 #: A Newton step of this size leaves an error of its square.
-NEWTON_STEPS, SETTLED = 60, 1e-6
+NEWTON_STEPS, SETTLED, STILL = 60, 1e-6, 1e-9
+#: A Newton step that moves no predictor by more than this gains likelihood; so many of them are taken at first.
+SAFE, SHORT_STEPS = 1.5, 12
+#: Chances of so many trials may be multiplied: each is at least a half.
+MULTIPLIED = 1000
 #: A step moves no parameter by more than this.
 LONGEST = 2.0
 #: Lengths of a step that one pass tries, the whole one first; distance of the points that show the curvature, and its least value.
@@ -166,11 +170,188 @@ def modes(room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray, star
     return whole
 
 
+class Laplace:
+    """Rooms of about one size by Laplace's method, for many parameter sets around one of them.
+
+    The rooms' modes under that one set are found first. Under another set a mode starts where the curvature found there
+    sends it, and Newton steps follow until nothing moves. Arrays over patterns are (rooms, patterns, sets), so that sums
+    over patterns are matrix products; others are (sets, numbers, rooms), and small matrices are worked off entry by entry.
+    """
+
+    def __init__(self, rows: Rows, intercept: float, lower: np.ndarray):
+        many, p, self.rows = len(rows.n), rows.x.shape[-1], rows
+        self.half = np.tril_indices(p)
+        self.place = np.zeros((p, p), int)
+        self.place[self.half] = np.arange(len(self.half[0]))
+        self.place = np.maximum(self.place, self.place.T)
+        self.x, self.n = np.ascontiguousarray(rows.x), rows.n[:, None]
+        self.squares = self.x[..., self.half[0]] * self.x[..., self.half[1]]
+        self.xn, self.squares_n = (np.ascontiguousarray((a * rows.n[..., None]).mT) for a in (self.x, self.squares))
+        self.hits = (rows.k[:, None] @ self.x)[:, 0].T
+        self.pull = self.hits - 0.5 * self.xn.sum(axis=-1).T
+        self.reach = np.abs(self.x).max(axis=1).T
+        # Bits of the trials: a room's chances are multiplied, which saves a logarithm for each pattern, unless the product could vanish.
+        most = int(rows.n.max(initial=0)) if rows.n.sum(axis=1).max(initial=0) <= MULTIPLIED else 0
+        self.bits = [(rows.n.astype(int) >> b & 1)[..., None] == 1 for b in range(most.bit_length())]
+        self.z, self.centre, self.g, self.h = (np.zeros((k, many)) for k in (p, p, p, len(self.half[0])))
+        for some, found in self._modes(np.array([intercept], float), np.array(lower, float)[None], np.zeros((1, p, many))):
+            for name, kept in (("z", self.z), ("beta", self.centre), ("g", self.g), ("h", self.h)):
+                kept[:, some] = found[name][0]
+
+    def terms(self, intercept: np.ndarray, lower: np.ndarray, gradient: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """(log marginal likelihood, its gradient by (intercept, packed L), mode) of every room for every parameter set."""
+        sets, p, _ = lower.shape
+        many = self.z.shape[-1]
+        z = np.broadcast_to(self.z, (sets, p, many))
+        moved = self.h[self.place].transpose(2, 0, 1) @ _by_room(_placed(intercept, lower, z) - self.centre)
+        z = z + self._step(lower, _folds(lower, self.half), z, self.g - moved.transpose(2, 1, 0), self.h, slice(None))[0]
+        value, modes = np.empty((sets, many)), np.empty((sets, p, many))
+        slope = np.empty((sets, 1 + len(self.half[0]), many)) if gradient else None
+        for some, found in self._modes(intercept, lower, z):
+            modes[..., some] = found["z"]
+            value[:, some] = self._values(found, some)
+            if gradient:
+                slope[..., some] = self._slopes(lower, found, some)
+        return value.T, slope.transpose(2, 0, 1) if gradient else None, modes.transpose(2, 0, 1)
+
+    def _scores(self, beta: np.ndarray, some) -> dict:
+        """Gradient and information of the rooms' own log likelihood, and their cells: predictors with their sign turned, chances, weights."""
+        eta = self.x[some] @ _by_room(-beta)
+        mu = np.exp(eta)
+        mu += 1
+        np.divide(1, mu, out=mu)
+        weight = 1 - mu
+        weight *= mu
+        g = self.hits[:, some] - (self.xn[some] @ mu).transpose(2, 1, 0)
+        return {"beta": beta, "eta": eta, "mu": mu, "weight": weight, "g": g, "h": np.ascontiguousarray((self.squares_n[some] @ weight).transpose(2, 1, 0))}
+
+    def _step(self, lower: np.ndarray, folds: np.ndarray, z: np.ndarray, g: np.ndarray, h: np.ndarray, some) -> tuple[np.ndarray, dict]:
+        """Newton step of ``z``, cut where it would move a predictor so far that likelihood could be lost, and the factor of its matrix."""
+        factor = _factor(folds @ h, lower.shape[-1])
+        step = np.stack(_solved(factor, list((lower.mT @ g - z).transpose(1, 0, 2))), axis=1)
+        move = lower @ step
+        if (np.abs(move) * self.reach[:, some]).sum(axis=1).max() > SAFE:  # no predictor moves by more than this sum
+            moved = np.abs(self.x[some] @ _by_room(move)).max(axis=1)
+            step *= np.minimum(1, SAFE / np.maximum(moved, SAFE)).T[:, None]
+        return step, factor
+
+    def _modes(self, intercept: np.ndarray, lower: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
+        """Rooms and what an evaluation at their modes gives, as they settle."""
+        folds, some = _folds(lower, self.half), slice(None)
+        for left in range(SHORT_STEPS, -1, -1):
+            if not left:  # far from the first set: by longer steps, each of them looked at
+                z = modes(self.rows[some], intercept, lower, z.transpose(2, 0, 1)).transpose(1, 2, 0)
+            with np.errstate(over="ignore"):
+                found = {"z": z} | self._scores(_placed(intercept, lower, z), some)
+            step, found["factor"] = self._step(lower, folds, z, found["g"], found["h"], some)
+            live = np.abs(step).max(axis=(0, 1)) > STILL
+            if not left or not live.any():
+                yield some, found
+                return
+            if 2 * live.sum() < len(live):  # rooms that have settled are left where they are
+                rooms = np.arange(self.z.shape[-1])[some]
+                yield rooms[~live], {k: _picked(k, v, ~live) for k, v in found.items()}
+                some, z, step = rooms[live], z[..., live], step[..., live]
+            z = z + step
+
+    def _values(self, found: dict, some) -> np.ndarray:
+        mu = found["mu"]
+        if self.bits:
+            likely, logs = np.maximum(mu, 1 - mu), 0.0
+            for i, bit in enumerate(self.bits):
+                likely = likely * likely if i else likely
+                logs = logs + np.log(np.multiply.reduce(np.where(bit[some], likely, 1.0), axis=1).T)
+        else:
+            logs = (self.n[some] @ np.log(np.maximum(mu, 1 - mu)))[:, 0].T
+        far = (self.n[some] @ np.abs(found["eta"]))[:, 0].T
+        near = (self.pull[:, some] * found["beta"] - 0.5 * found["z"] ** 2).sum(axis=1)
+        return near - 0.5 * far + logs - np.log(np.prod([v for (i, j), v in found["factor"].items() if i == j], axis=0))
+
+    def _slopes(self, lower: np.ndarray, found: dict, some) -> np.ndarray:
+        """Gradient of the rooms' terms by (intercept, packed L) at their modes."""
+        p, pairs = lower.shape[-1], list(zip(*self.half))
+        z, g = (list(a.transpose(1, 0, 2)) for a in (found["z"], found["g"]))
+        h = [[found["h"][:, self.place[i, j]] for j in range(p)] for i in range(p)]
+        low, factor = lower.transpose(1, 2, 0)[..., None], found["factor"]
+        turned = _solved(factor, [low[:, i] for i in range(p)])  # L', by the curvature at the mode
+        cover = [[sum(low[i, k] * turned[k][j] for k in range(i + 1)) for j in range(p)] for i in range(p)]
+        halves = np.stack([cover[i][j] * (1 if i == j else 2) for i, j in pairs], axis=1)
+        bent = self.squares[some] @ _by_room(halves)
+        bent *= found["weight"] * (1 - 2 * found["mu"])
+        c = list((self.xn[some] @ bent).transpose(1, 2, 0))
+        # How the mode moves.
+        w = _solved(factor, [sum(low[k, i] * c[k] for k in range(i, p)) for i in range(p)])
+        lw = [sum(low[i, k] * w[k] for k in range(i + 1)) for i in range(p)]
+        q = [0.5 * (sum(h[i][k] * lw[k] for k in range(p)) - c[i]) for i in range(p)]
+        follow = [(i == 0) - sum(cover[i][k] * h[k][0] for k in range(p)) for i in range(p)]
+        by = [g[0] - 0.5 * sum(c[i] * follow[i] for i in range(p))]
+        by += [(g[i] + q[i]) * z[j] - sum(h[i][k] * turned[j][k] for k in range(p)) - 0.5 * g[i] * w[j] for i, j in pairs]
+        return np.stack(by, axis=1)
+
+
+def _placed(intercept: np.ndarray, lower: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Coefficients of many rooms (sets, numbers, rooms)."""
+    beta = lower @ z
+    beta[:, 0] += intercept[:, None]
+    return beta
+
+
+def _by_room(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.transpose(2, 1, 0))
+
+
+def _picked(name: str, value, some: np.ndarray):
+    """The part of some rooms of what an evaluation gives."""
+    if name == "factor":
+        return {k: v[..., some] for k, v in value.items()}
+    return value[some] if name in ("eta", "mu", "weight") else value[..., some]
+
+
+def _folds(lower: np.ndarray, half: tuple) -> np.ndarray:
+    """Matrices that take the lower half of ``H`` to that of ``L'HL``."""
+    turned, (i, j) = lower.mT, half
+    of = lambda a, b: turned[:, a[:, None], b]
+    return of(i, i) * of(j, j) + np.where(i == j, 0.0, of(i, j) * of(j, i))
+
+
+def _factor(halves: np.ndarray, p: int) -> dict:
+    """Cholesky factors of ``I`` plus matrices given by their lower halves (sets, pairs, rooms); -1 has the inverse of the diagonal."""
+    out: dict = {}
+    for i in range(p):
+        for j in range(i + 1):
+            v = halves[:, i * (i + 1) // 2 + j] + (1.0 if i == j else 0.0)
+            for k in range(j):
+                v -= out[i, k] * out[j, k]
+            if i > j:
+                v *= out[j, -1]
+            out[i, j] = np.sqrt(v) if i == j else v
+        out[i, -1] = 1 / out[i, i]
+    return out
+
+
+def _solved(factor: dict, sides: list[np.ndarray]) -> list[np.ndarray]:
+    """What the factored matrices take to ``sides``, given row by row."""
+    found: list = []
+    for i, v in enumerate(sides):
+        for k in range(i):
+            v = v - factor[i, k] * found[k]
+        found.append(v * factor[i, -1])
+    for i in reversed(range(len(found))):
+        for k in range(i + 1, len(found)):
+            found[i] -= factor[k, i] * found[k]
+        found[i] *= factor[i, -1]
+    return found
+
+
 def room_terms(
     room: Rows | Expansion, intercept: np.ndarray, lower: np.ndarray, nodes: int | None = None, gradient: bool = True
 ) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(log marginal likelihood, its gradient by (intercept, packed L), mode) of every room for every parameter set."""
     sets, p, _ = lower.shape
+    if nodes is None and isinstance(room, Rows):
+        alone = room.n.ndim == 1
+        found = Laplace(room[None] if alone else room, np.median(intercept), np.median(lower, axis=0)).terms(intercept, lower, gradient)
+        return tuple(x[0] if alone and x is not None else x for x in found)
     # The first set's mode is near those of the others.
     near = modes(room, intercept[:1], lower[:1])
     z = near if sets == 1 else modes(room, intercept, lower, near)

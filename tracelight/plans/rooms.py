@@ -39,6 +39,8 @@ NO_SPREAD = 1e-3
 HELD = 2000
 #: Numbers that an array of an evaluation may hold at once (rooms x sets x nodes x patterns).
 CELLS = 200_000
+#: The same by Laplace's method, whose arrays do best where a core's cache holds them, and sets it takes at once.
+FITTING, TOGETHER = 64_000, 48
 #: Rooms whose scores are smoothed at once.
 SCORED = 256
 #: Times the centres of large rooms are moved before the first search, before a later one, and searches at most.
@@ -152,6 +154,15 @@ def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
     return evaluate
 
 
+def _dealt(rooms: DataFrame, group: str) -> DataFrame:
+    """A row for each room, dealt to all tasks.
+
+    A repartition by the room itself is one the rows already have where both have as many parts, so it is left out and
+    the parts, small as they are, are put together: passes would then run in one task.
+    """
+    return rooms.repartition(rooms.sparkSession.sparkContext.defaultParallelism, F.xxhash64(group))
+
+
 def _parts(many: int, sets: int, size: int) -> Iterator[tuple[slice, slice]]:
     """Rooms and sets, cut so that ``size`` numbers for each pair of them stay within ``CELLS``."""
     columns = max(1, min(sets, CELLS // size))
@@ -203,6 +214,16 @@ def _bernoulli_terms(p: int, nodes: int | None) -> Callable:
     def run(rooms, thetas: np.ndarray, gradient: bool = True) -> Iterator[tuple]:
         listed = isinstance(rooms, likelihood.Rows)  # a large room needs no nodes
         many, size = (rooms.n.shape[0], rooms.n.shape[1] * (nodes**p if nodes else 1)) if listed else (len(rooms.base), 1)
+        if listed and nodes is None:
+            middle, rows = np.median(thetas, axis=0), max(1, FITTING // (size * min(TOGETHER, len(thetas))))
+            for i in range(0, many, rows):
+                some = slice(i, i + rows)
+                near = likelihood.Laplace(rooms[some], middle[0], _lower(middle, p))
+                columns = max(1, FITTING // (size * len(near.x)))
+                for j in range(0, len(thetas), columns):
+                    sets = slice(j, j + columns)
+                    yield some, sets, *near.terms(thetas[sets, 0], _lower(thetas[sets], p), gradient)[:2]
+            return
         for some, sets in _parts(many, len(thetas), max(size, p**3)):
             found = likelihood.room_terms(rooms[some], thetas[sets, 0], _lower(thetas[sets], p), nodes if listed else None, gradient)
             yield some, sets, *found[:2]
@@ -294,8 +315,7 @@ def fit_rooms(
     large = largest > held
     few = keyed_join(patterns, sizes.where(F.col("patterns") <= held), [group], "left_semi") if large else patterns
     lists = F.sort_array(F.collect_list(F.struct(*[f"x{i}" for i in range(p)], "n", "k")))  # at most ``held`` a room
-    tasks = frame.sparkSession.sparkContext.defaultParallelism
-    small = cut_lineage(few.groupBy(group).agg(lists.alias("patterns")).repartition(tasks, group))
+    small = cut_lineage(_dealt(few.groupBy(group).agg(lists.alias("patterns")), group))
     far = None
     tables = lambda: [(small, lambda batch: _listed(batch, p)), *([(far, lambda batch: _expanded(batch, p))] if large else [])]
     terms = _bernoulli_terms(p, nodes)
@@ -369,8 +389,7 @@ def fit_rooms_lognormal(
     sums = [f"sum(x{i} * x{j}) AS h{i}_{j}" for i, j in _triangle(p)]
     sums += [f"sum(x{i} * _y) AS g{i}" for i in range(p)]
     sums += ["sum(_y * _y) AS yy", "sum(_y) AS y", "count(1) AS n"]
-    tasks = frame.sparkSession.sparkContext.defaultParallelism
-    products = cut_lineage(rows.groupBy(group).agg(*[F.expr(t) for t in sums]).repartition(tasks, group))
+    products = cut_lineage(_dealt(rows.groupBy(group).agg(*[F.expr(t) for t in sums]), group))
     y, yy, total = (products.agg(F.sum("y"), F.sum("yy"), F.sum("n")).first()[i] or 0.0 for i in range(3))
     mean = y / max(total, 1)
 
