@@ -130,15 +130,15 @@ def test_sets_close_together_take_two_evaluations(monkeypatch):
     assert sum(seen) <= 2.2 * 50 * 20
 
 
-@pytest.mark.parametrize("family", ["bernoulli", "hurdle_lognormal"])
-def test_passes_over_rooms_run_in_all_tasks(spark, family):
+def test_passes_over_rooms_run_in_all_tasks_and_repeat_to_the_last_bit(spark):
     """Rooms lie in as many parts as there are tasks, also where a shuffle has that number of parts anyway."""
-    rows = [(f"r{r}", bool((i + r) % 3), float(1 + (i * 7 + r) % 11) if i % 3 else None) for r in range(60) for i in range(6)]
-    frame = spark.createDataFrame(rows, "subject_room_id string, scv2_detected boolean, copies_max double")
-    fit = (rooms.fit_rooms if family == "bernoulli" else rooms.fit_rooms_lognormal)(frame, Design(()), rounds=2)
+    rows = sample(np.random.default_rng(6), 60, (0.8, 0.4), rows=6)
+    frame = spark.createDataFrame(rows, "subject_room_id string, distance double, scv2_detected boolean")
+    first, second = (rooms.fit_rooms(frame.orderBy(order), Design(("distance",)), rounds=2) for order in ("distance", "subject_room_id"))
     tasks = spark.sparkContext.defaultParallelism
     assert int(spark.conf.get("spark.sql.shuffle.partitions")) == tasks > 1
-    assert all(table.rdd.getNumPartitions() == tasks for table, _ in fit.tables())
+    assert first.tables()[0][0].rdd.getNumPartitions() == tasks
+    assert np.array_equal(first.theta, second.theta) and first.history == second.history
 
 
 def test_normal_rows_equal_the_dense_density():

@@ -143,8 +143,10 @@ def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.union(part)
-        # One number for each set and parameter comes to the driver, whatever the number of rooms.
-        found = whole.groupBy("cell").agg(F.sum("value").alias("value")).toPandas().sort_values("cell")["value"].to_numpy()
+        # One number for each set and parameter comes to the driver, whatever the number of rooms. The tasks' sums are
+        # added in order of size: in the order they come in, the last bits, and with them the search, would change from run to run.
+        total = F.aggregate(F.array_sort(F.collect_list("value")), F.lit(0.0), lambda a, b: a + b)
+        found = whole.groupBy("cell").agg(total.alias("value")).toPandas().sort_values("cell")["value"].to_numpy()
         prior, slope = likelihood.log_prior(thetas, p)
         if not gradient:
             return found + prior, None
@@ -155,12 +157,12 @@ def _objective(tables: Callable, terms: Callable, p: int) -> Callable:
 
 
 def _dealt(rooms: DataFrame, group: str) -> DataFrame:
-    """A row for each room, dealt to all tasks.
+    """A row for each room, dealt to all tasks, in an order of its own.
 
     A repartition by the room itself is one the rows already have where both have as many parts, so it is left out and
     the parts, small as they are, are put together: passes would then run in one task.
     """
-    return rooms.repartition(rooms.sparkSession.sparkContext.defaultParallelism, F.xxhash64(group))
+    return rooms.repartition(rooms.sparkSession.sparkContext.defaultParallelism, F.xxhash64(group)).sortWithinPartitions(group)
 
 
 def _parts(many: int, sets: int, size: int) -> Iterator[tuple[slice, slice]]:
@@ -389,7 +391,8 @@ def fit_rooms_lognormal(
     sums = [f"sum(x{i} * x{j}) AS h{i}_{j}" for i, j in _triangle(p)]
     sums += [f"sum(x{i} * _y) AS g{i}" for i in range(p)]
     sums += ["sum(_y * _y) AS yy", "sum(_y) AS y", "count(1) AS n"]
-    products = cut_lineage(_dealt(rows.groupBy(group).agg(*[F.expr(t) for t in sums]), group))
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    products = cut_lineage(rows.groupBy(group).agg(*[F.expr(t) for t in sums]).repartition(tasks, group))
     y, yy, total = (products.agg(F.sum("y"), F.sum("yy"), F.sum("n")).first()[i] or 0.0 for i in range(3))
     mean = y / max(total, 1)
 
